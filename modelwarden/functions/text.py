@@ -104,7 +104,7 @@ def parse_response(text: Column, model: Column) -> Column:
 
     confidence = F.when(
         F.try_variant_get(doc, "$.confidence", "variant").isNull(), F.lit(0.5)
-    ).otherwise(F.coalesce(part("$.confidence", "double"), F.expr("try_cast(NULL AS DOUBLE)")))
+    ).otherwise(part("$.confidence", "double"))
     empty = F.array().cast(_NO_STRINGS)
     good = F.struct(
         F.coalesce(part("$.observations", _NO_STRINGS), empty).alias("observations"),
@@ -122,7 +122,8 @@ def parse_response(text: Column, model: Column) -> Column:
         empty.alias("alternatives_considered"),
         model.alias("model_used"),
     )
-    return F.when(doc.isNull(), bad).otherwise(good)
+    readable = F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False))
+    return F.when(readable, good).otherwise(bad)
 
 
 def basename(path: Column) -> Column:
