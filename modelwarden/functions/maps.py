@@ -21,10 +21,13 @@ def has_any_key(m: Column, *names: str) -> Column:
 
 def merge_later_wins(*maps: Column) -> Column:
     """Merge maps; on equal keys the later map wins, whatever the session's duplicate-key policy."""
+
+    def without(base: Column, names: Column) -> Column:
+        return F.map_filter(base, lambda k, v: ~F.array_contains(names, k))
+
     merged = maps[0]
     for later in maps[1:]:
-        kept = F.map_filter(merged, lambda k, v, later=later: ~F.array_contains(F.map_keys(later), k))
-        merged = F.map_concat(kept, later)
+        merged = F.map_concat(without(merged, F.map_keys(later)), later)
     return merged
 
 

@@ -435,13 +435,14 @@ def error_decisions(df: DataFrame, is_error: Column, message: Column, agent: str
         F.array().cast("array<string>").alias("alternatives_considered"),
         F.lit("error-handler").alias("model_used"),
     )
-    return (
-        df.withColumn("reasoning", F.when(bad, reasoning).otherwise(F.col("reasoning")))
-        .withColumn("approved", F.when(bad, F.lit(False)).otherwise(F.col("approved")))
-        .withColumn("escalation_reason", F.when(
-            bad, F.concat(F.lit(f"Unhandled error in {agent}: "), message)).otherwise(F.col("escalation_reason")))
-        .withColumn("escalate_to_human", bad | F.col("escalate_to_human"))
-    )
+    changed = {
+        "reasoning": F.when(bad, reasoning).otherwise(F.col("reasoning")),
+        "approved": F.when(bad, F.lit(False)).otherwise(F.col("approved")),
+        "escalation_reason": F.when(
+            bad, F.concat(F.lit(f"Unhandled error in {agent}: "), message)).otherwise(F.col("escalation_reason")),
+        "escalate_to_human": bad | F.col("escalate_to_human"),
+    }
+    return df.withColumns(changed)
 
 
 def split_valid(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
