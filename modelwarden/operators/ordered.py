@@ -1,15 +1,14 @@
 """Order-sensitive operators that stay balanced when one key holds much of the data.
 
-A window over a hot key would sort the whole key in one task. `scan` instead cuts long keys into
-ordered slices, works inside each slice, and adds what earlier slices carry in:
+A window over a hot key would sort the whole key in one task. `scan` first looks for keys longer
+than a slice. If there are none, it is a plain window. Otherwise it cuts the long keys into ordered
+slices, works inside each slice, and adds what earlier slices carry in:
 
-1. marks: rows whose hash is 0 modulo `slice_rows` give the cut points of a key. The choice depends
-   on the row only, so a retried task finds the same cuts. Keys shorter than a slice get no cut.
+1. marks: rows whose hash is 0 modulo `slice_rows` are the cut points of their key. The choice
+   depends on the row only. The marks are written to the shared work folder, so both uses see the
+   same cuts. At most MAX_MARKS are kept per key, and about rows / slice_rows in all.
 2. a window per (key, slice) gives the local result.
 3. one summary row per (key, slice) gives the carry; its window covers summaries, not rows.
-
-The marks are broadcast. Their number is at most about rows / slice_rows, and at most MAX_MARKS per
-key, so 10^12 rows give around 10^6 marks (tens of MB).
 """
 
 from __future__ import annotations
@@ -20,21 +19,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from modelwarden.session import work_dir
+
 SLICE_ROWS = 1_000_000
 MAX_MARKS = 16_384
 STRIDE = 128
+BROADCAST_MARKS = 1_000_000
 
 
 def _order_struct(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
-def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS):
-    """(df with `_slice`, marks). Slice numbers grow with the order inside each key."""
+def cut_marks(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame | None:
+    """Cut points of the keys that are longer than a slice, or None if there is no such key.
+
+    One pass over the key and order columns.
+    """
     keys, order = list(keys), list(order)
-    at = _order_struct(order)
     picks = (
-        df.select(*keys, at.alias("_at"), F.xxhash64(*keys, *order).alias("_h"))
+        df.select(*keys, _order_struct(order).alias("_at"), F.xxhash64(*keys, *order).alias("_h"))
         .where(F.pmod("_h", F.lit(slice_rows)) == 0)
         .withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
         .where(F.pmod(F.floor(F.col("_h") / slice_rows), F.ceil(F.col("_n") / MAX_MARKS)) == 0)
@@ -50,16 +54,27 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_
             ),
         )
     )
+    path = work_dir(df.sparkSession, "marks")
+    marks.write.parquet(path)
+    saved = df.sparkSession.read.schema(marks.schema).parquet(path)
+    n = saved.agg(F.sum(F.size("_fine"))).first()[0]
+    if not n:
+        return None
+    return F.broadcast(saved) if n <= BROADCAST_MARKS else saved
+
+
+def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], marks: DataFrame) -> DataFrame:
+    """Adds `_slice`, which grows with the order inside each key, and `_long` (the key has cuts)."""
+    at = _order_struct(order)
     coarse = F.size(F.filter("_coarse", lambda m: m <= at))
     start = F.greatest(coarse - 1, F.lit(0)) * STRIDE
     fine = F.size(F.filter(F.slice("_fine", start + 1, F.lit(STRIDE)), lambda m: m <= at))
-    sliced = (
-        df.join(F.broadcast(marks), keys, "left")
+    return (
+        df.join(marks, list(keys), "left")
         .withColumn("_slice", F.when(F.col("_fine").isNull(), F.lit(0)).otherwise(start + fine))
         .withColumn("_long", F.col("_fine").isNotNull())
         .drop("_fine", "_coarse")
     )
-    return sliced, marks
 
 
 def scan(
@@ -74,17 +89,54 @@ def scan(
     next: Mapping[str, str] | None = None,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Running results per key in ascending order, without sorting a whole key in one task.
+    """Running results per key in ascending order, without sorting a whole long key in one task.
 
     position: name of the 1-based row number; sums: output -> summed column (inclusive);
     last: output -> column, latest non-null value so far; prev / next: output -> column of the
     neighbouring row. The order columns must identify a row within its key. Keys are not NULL.
+    Runs one job to look for long keys.
     """
     sums, last, prev, next = (dict(m or {}) for m in (sums, last, prev, next))
     keys, order, columns = list(keys), list(order), df.columns
-    sliced, _ = with_slices(df, keys, order, slice_rows)
-    at = _order_struct(order)
+    marks = cut_marks(df, keys, order, slice_rows)
+    sliced = df if marks is None else with_slices(df, keys, order, marks)
+    by = keys if marks is None else [*keys, "_slice"]
+
+    local = W.partitionBy(*by).orderBy(*order)
+    running = local.rowsBetween(W.unboundedPreceding, 0)
+    out = sliced.select(
+        *columns,
+        *by[len(keys):],
+        F.row_number().over(local).alias("_rn"),
+        *[F.sum(c).over(running).alias(f"_w_{o}") for o, c in sums.items()],
+        *[F.last(c, ignorenulls=True).over(running).alias(f"_w_{o}") for o, c in last.items()],
+        *[F.lag(F.struct(c)).over(local).alias(f"_w_{o}") for o, c in prev.items()],
+        *[F.lead(F.struct(c)).over(local).alias(f"_w_{o}") for o, c in next.items()],
+    )
+    if marks is not None:
+        out = out.join(_carries(sliced, keys, order, sums, last, prev, next), by, "left")
+
+    def both(local_name: str, carry_name: str) -> Column:
+        return F.col(local_name) if marks is None else F.coalesce(local_name, carry_name)
+
+    cols = [F.col(c) for c in columns]
+    if position:
+        before = F.lit(0) if marks is None else F.coalesce("_c_n", F.lit(0))
+        cols.append((F.col("_rn") + before).cast("bigint").alias(position))
+    for o in sums:
+        total = F.col(f"_w_{o}")
+        if marks is not None:
+            total = F.coalesce(total + F.col(f"_c_s_{o}"), total, F.col(f"_c_s_{o}"))
+        cols.append(total.alias(o))
+    cols += [both(f"_w_{o}", f"_c_l_{o}").alias(o) for o in last]
+    cols += [both(f"_w_{o}", f"_c_p_{o}").getField(c).alias(o) for o, c in prev.items()]
+    cols += [both(f"_w_{o}", f"_c_x_{o}").getField(c).alias(o) for o, c in next.items()]
+    return out.select(*cols)
+
 
+def _carries(sliced: DataFrame, keys, order, sums, last, prev, next) -> DataFrame:
+    """What earlier (for `next`: later) slices of a long key bring into each slice."""
+    at = _order_struct(order)
     parts = [F.count(F.lit(1)).alias("_n")]
     parts += [F.sum(c).alias(f"_s_{o}") for o, c in sums.items()]
     parts += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_l_{o}") for o, c in last.items()]
@@ -93,7 +145,7 @@ def scan(
     summary = sliced.where("_long").groupBy(*keys, "_slice").agg(*parts)
     across = W.partitionBy(*keys).orderBy("_slice")
     before = across.rowsBetween(W.unboundedPreceding, -1)
-    carry = summary.select(
+    return summary.select(
         *keys,
         "_slice",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c_n"),
@@ -103,29 +155,6 @@ def scan(
         *[F.lead(f"_x_{o}").over(across).alias(f"_c_x_{o}") for o in next],
     )
 
-    local = W.partitionBy(*keys, "_slice").orderBy(*order)
-    running = local.rowsBetween(W.unboundedPreceding, 0)
-    out = sliced.select(
-        *columns,
-        "_slice",
-        F.row_number().over(local).alias("_rn"),
-        *[F.sum(c).over(running).alias(f"_w_{o}") for o, c in sums.items()],
-        *[F.last(c, ignorenulls=True).over(running).alias(f"_w_{o}") for o, c in last.items()],
-        *[F.lag(F.struct(c)).over(local).alias(f"_w_{o}") for o, c in prev.items()],
-        *[F.lead(F.struct(c)).over(local).alias(f"_w_{o}") for o, c in next.items()],
-    ).join(carry, [*keys, "_slice"], "left")
-
-    cols = [F.col(c) for c in columns]
-    if position:
-        cols.append((F.col("_rn") + F.coalesce("_c_n", F.lit(0))).cast("bigint").alias(position))
-    for o in sums:
-        total = F.coalesce(F.col(f"_w_{o}") + F.col(f"_c_s_{o}"), F.col(f"_w_{o}"), F.col(f"_c_s_{o}"))
-        cols.append(total.alias(o))
-    cols += [F.coalesce(f"_w_{o}", f"_c_l_{o}").alias(o) for o in last]
-    cols += [F.coalesce(f"_w_{o}", f"_c_p_{o}").getField(c).alias(o) for o, c in prev.items()]
-    cols += [F.coalesce(f"_w_{o}", f"_c_x_{o}").getField(c).alias(o) for o, c in next.items()]
-    return out.select(*cols)
-
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The newest row per key. Aggregates before the shuffle, so a hot key costs one row per task."""

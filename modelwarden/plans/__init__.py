@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["serving_queries", "quality_queries"]
+GROUPS = ["serving_queries", "quality_queries", "registry_queries", "feedback_queries"]
 
 
 def load():

@@ -1,7 +1,8 @@
 """Append-only tables for decisions, traces, events, runs, models and promotions.
 
 Parquet has no upsert. Every write appends, with a write time; readers take the newest row per key
-(`latest_by`). Tables are partitioned by date so that recent and trailing reads prune.
+(`latest_by`). Tables are partitioned by month so that reads with `since` prune; rows are rebalanced by
+month before a write, which keeps files few and splits a month that is too large for one task.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ def append(df: DataFrame, root: str, table: str, written_at: Column | None = Non
         df.select(*columns)
         .withColumn("write_ts", written_at if written_at is not None else F.current_timestamp())
         .withColumn("write_seq", F.monotonically_increasing_id())
-        .withColumn("date", F.to_date(TIMES[table]))
-        .write.mode("append").partitionBy("date").parquet(f"{root}/{table}")
+        .withColumn("month", F.date_format(TIMES[table], "yyyy-MM"))
+        .hint("rebalance", F.col("month"))
+        .write.mode("append").partitionBy("month").parquet(f"{root}/{table}")
     )
 
 
@@ -59,17 +61,19 @@ def _top_level(ddl: str) -> list[str]:
     return [*out, current]
 
 
-def history(spark: SparkSession, root: str, table: str) -> DataFrame:
-    schema = f"{SCHEMAS[table]}, write_ts timestamp, write_seq bigint, date date"
-    return spark.read.schema(schema).parquet(f"{root}/{table}")
+def history(spark: SparkSession, root: str, table: str, since: str | None = None) -> DataFrame:
+    """Every row written. `since` (yyyy-MM) reads only the partitions from that month on."""
+    schema = f"{SCHEMAS[table]}, write_ts timestamp, write_seq bigint, month string"
+    rows = spark.read.schema(schema).parquet(f"{root}/{table}")
+    return rows if since is None else rows.where(F.col("month") >= since)
 
 
-def current(spark: SparkSession, root: str, table: str) -> DataFrame:
+def current(spark: SparkSession, root: str, table: str, since: str | None = None) -> DataFrame:
     """The newest row per key (event and promotion tables: every row)."""
-    rows = history(spark, root, table)
+    rows = history(spark, root, table, since)
     if table in KEYS:
         rows = latest_by(rows, KEYS[table], ["write_ts", "write_seq"])
-    return rows.drop("write_ts", "write_seq", "date")
+    return rows.drop("write_ts", "write_seq", "month")
 
 
 def named_runs(runs: DataFrame) -> DataFrame:
@@ -98,7 +102,7 @@ def compact(spark: SparkSession, root: str, table: str, target: str) -> None:
     rows = history(spark, root, table)
     if table in KEYS:
         rows = latest_by(rows, KEYS[table], ["write_ts", "write_seq"])
-    rows.write.mode("errorifexists").partitionBy("date").parquet(f"{target}/{table}")
+    rows.hint("rebalance", F.col("month")).write.mode("errorifexists").partitionBy("month").parquet(f"{target}/{table}")
 
 
 def request_window(requests: DataFrame, endpoint: str, minutes: int, now: Column | None = None) -> DataFrame:
