@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["serving_queries", "quality_queries", "registry_queries", "feedback_queries"]
+GROUPS = [
+    "serving_queries", "quality_queries", "registry_queries", "feedback_queries", "audit_queries", "routing_queries",
+    "notebook_queries", "sql_queries",
+]
 
 
 def load():
