@@ -6,7 +6,7 @@ import importlib
 
 GROUPS = [
     "serving_queries", "quality_queries", "registry_queries", "feedback_queries", "audit_queries", "routing_queries",
-    "notebook_queries", "sql_queries",
+    "notebook_queries", "sql_queries", "stream_queries",
 ]
 
 

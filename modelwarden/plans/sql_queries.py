@@ -26,7 +26,9 @@ def _same(name: str, sql: str, *names: str) -> None:
 _same("sql_join_inner_left", """
 SELECT c_mktsegment, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total
 FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000 GROUP BY c_mktsegment, o_orderstatus""", "customer", "orders")
-_same("sql_join_right_full", """
+_same("sql_join_right", """
+SELECT n_name, count(s_suppkey) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_name""", "supplier", "nation")
+_same("sql_join_full", """
 SELECT s_nationkey, c_nationkey, coalesce(ns, 0) AS ns, coalesce(nc, 0) AS nc
 FROM (SELECT s_nationkey, count(*) AS ns FROM supplier WHERE s_acctbal > 0 GROUP BY s_nationkey) s
 FULL JOIN (SELECT c_nationkey, count(*) AS nc FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey) c ON s_nationkey = c_nationkey""", "supplier", "customer")
@@ -87,8 +89,9 @@ SELECT c_mktsegment, o_orderstatus, count(*) AS n FROM orders JOIN customer ON o
 _same("sql_cube", """
 SELECT p_type, p_size % 5 AS size_class, count(*) AS n, round(max(p_retailprice), 2) AS top FROM part GROUP BY CUBE (p_type, p_size % 5)""", "part")
 _same("sql_windows", """
-SELECT o_custkey, o_orderkey, row_number() OVER w AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr,
-  lag(o_orderkey) OVER w AS prev_key, lead(o_orderkey, 2) OVER w AS next2, ntile(4) OVER w AS quartile, first_value(o_orderkey) OVER w AS first_key,
+SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS rk,
+  CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS dr,
+  lag(o_orderkey) OVER w AS prev_key, lead(o_orderkey, 2) OVER w AS next2, CAST(ntile(4) OVER w AS BIGINT) AS quartile, first_value(o_orderkey) OVER w AS first_key,
   round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last3
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""", "orders")
 _same("sql_window_filter", """
@@ -117,7 +120,7 @@ SELECT c_custkey, t.top_price, t.n FROM customer, LATERAL (SELECT max(o_totalpri
 _RECURSIVE = """
 WITH RECURSIVE top AS (SELECT max(p_size) AS m FROM part),
 steps(size, depth) AS (SELECT min(p_size), 0 FROM part UNION ALL SELECT size * 2, depth + 1 FROM steps WHERE size * 2 <= (SELECT m FROM top))
-SELECT s.size, s.depth, count(*) AS n FROM steps s JOIN part ON p_size >= s.size GROUP BY s.size, s.depth"""
+SELECT s.size, s.depth, CAST(sum(c) AS BIGINT) AS n FROM steps s JOIN (SELECT p_size, count(*) AS c FROM part GROUP BY p_size) p ON p_size >= s.size GROUP BY s.size, s.depth"""
 
 
 _same("sql_recursive", _RECURSIVE, "part")
