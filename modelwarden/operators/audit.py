@@ -109,11 +109,19 @@ def nested(decisions: DataFrame, page_rows: int = PAGE_ROWS, slice_rows: int = S
     return paged.groupBy("trace_id", "page").agg(F.array_sort(F.collect_list(entry)).alias("decisions"))
 
 
-def pipeline_traces(headers: DataFrame, nested_decisions: DataFrame) -> DataFrame:
+def pipeline_traces(
+    headers: DataFrame, decisions: DataFrame, page_rows: int = PAGE_ROWS, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """Headers with their decision pages. A header alone has an empty list; decisions alone get a
-    made-up header with empty name and status `running`."""
-    joined = headers.join(nested_decisions, "trace_id", "full")
-    empty = F.array().cast(nested_decisions.schema["decisions"].dataType)
+    made-up header with empty name and status `running`.
+
+    The full join is a left join from the pages, whose skew Spark can split, and the headers without
+    decisions.
+    """
+    paged = nested(decisions, page_rows, slice_rows)
+    alone = headers.join(decisions.select("trace_id").distinct(), "trace_id", "left_anti")
+    joined = paged.join(headers, "trace_id", "left").unionByName(alone, allowMissingColumns=True)
+    empty = F.array().cast(paged.schema["decisions"].dataType)
     return joined.select(
         "trace_id",
         F.coalesce("page", F.lit(0)).alias("page"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modelwarden.operators.ordered import top_per_key
+
 
 def segment_counts(corrections: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Corrections per segment (`unknown` if absent) with the share of all corrections of the key."""
@@ -23,7 +25,8 @@ def error_patterns(corrections: DataFrame, keys: Sequence[str], min_count: int =
 
 
 def pattern_arrays(patterns: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Patterns per key as an array, most frequent first. One entry per segment, not per correction."""
+    """Patterns per key as an array, most frequent first, for keys with few segments. `pattern_summary`
+    keeps no array of unlimited length."""
     entry = F.struct((-F.col("count")).alias("_o"), "segment", "count", "percentage")
     ordered = F.array_sort(F.collect_list(entry))
     return patterns.groupBy(*keys).agg(
@@ -33,6 +36,14 @@ def pattern_arrays(patterns: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def pattern_summary(patterns: DataFrame, keys: Sequence[str], show: int = 3) -> DataFrame:
+    """What the gates need: the number of patterns per key and the `show` most frequent ones."""
+    keys = list(keys)
+    counts = patterns.groupBy(*keys).agg(F.count(F.lit(1)).alias("pattern_count"))
+    top = top_per_key(patterns, keys, [F.desc("count"), F.asc("segment")], show)
+    return counts.join(pattern_arrays(top, keys).withColumnRenamed("error_patterns", "top_patterns"), keys)
+
+
 def agreement(scores: DataFrame, keys: Sequence[str], min_rate: float = 0.7) -> DataFrame:
     mean = F.avg("score")
     return scores.groupBy(*keys).agg(

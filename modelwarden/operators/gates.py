@@ -270,15 +270,15 @@ def retrain_gate(
 ) -> DataFrame:
     """Whether to retrain, why, and with which strategy and data window.
 
-    A missing trigger source counts as manual, and a manual trigger always retrains.
+    A missing trigger source counts as manual, and a manual trigger always retrains. Error patterns come
+    as `pattern_count`, or as an `error_patterns` array.
     """
     source = F.coalesce(_opt(df, "trigger_source", "string"), F.lit("manual"))
     drifted = _arr(_opt(df, "drifted_features", "array<string>"))
     total = F.coalesce(_opt(df, "total_features", "int"), F.lit(0))
     fb = F.coalesce(_opt(df, "feedback_count", "bigint"), F.lit(0))
     drop = F.coalesce(_opt(df, "accuracy_drop", "double"), F.lit(0.0))
-    n_patterns = F.coalesce(F.size(F.col("error_patterns")), F.lit(0)) if "error_patterns" in df.columns else F.lit(0)
-    n_patterns = F.greatest(n_patterns, F.lit(0))
+    n_patterns, _ = _patterns(df)
     n = F.size(drifted)
     reasons = compact(
         F.when((n > 0) & (n >= min_drifted_features), F.concat(_n(n), F.lit(" features drifted"))),
@@ -317,10 +317,21 @@ def retrain_gate(
     )
 
 
+def _patterns(df: DataFrame) -> tuple[Column, Column | None]:
+    """(number of error patterns, array that starts with the most frequent ones)."""
+    if "pattern_count" in df.columns:
+        return F.coalesce("pattern_count", F.lit(0)), F.col("top_patterns") if "top_patterns" in df.columns else None
+    if "error_patterns" in df.columns:
+        found = F.col("error_patterns")
+        return F.when(found.isNull(), F.lit(0)).otherwise(F.size(found)), found
+    return F.lit(0), None
+
+
 def feedback_gate(df: DataFrame, min_samples: int = 50, min_agreement: float = 0.7) -> DataFrame:
     """Enough feedback and good label agreement; an absent agreement passes.
 
-    Columns: corrections_count, flags_count, avg_agreement, error_patterns (from the feedback operators).
+    Columns: corrections_count, flags_count, avg_agreement, and pattern_count with top_patterns (or an
+    error_patterns array), all from the feedback operators.
     """
     c = F.coalesce(_opt(df, "corrections_count", "bigint"), F.lit(0))
     f = F.coalesce(_opt(df, "flags_count", "bigint"), F.lit(0))
@@ -335,9 +346,8 @@ def feedback_gate(df: DataFrame, min_samples: int = 50, min_agreement: float = 0
                      F.lit(f", threshold: {min_agreement:.0%})"))),
     )
     middle = F.array().cast("array<string>")
-    if "error_patterns" in df.columns:
-        pats = F.col("error_patterns")
-        n = F.when(pats.isNull(), F.lit(0)).otherwise(F.size(pats))
+    n, pats = _patterns(df)
+    if pats is not None:
         found = F.array(F.concat(F.lit("Error patterns: "), _n(n), F.lit(" systematic failure segments")))
         lines = F.transform(F.slice(pats, 1, 3), lambda p: F.concat(
             F.lit("  Segment '"), p["segment"], F.lit("': "), _n(p["count"]), F.lit(" corrections ("),

@@ -82,11 +82,11 @@ def _strip(text: Column) -> Column:
 
 def rule_cascade(text: Column, rules: Sequence[tuple[str, float, Sequence[str]]], default: str = "unknown") -> Column:
     """Ordered regex rules to a (label, confidence) struct; the first rule with a hit wins."""
-    label, confidence = F.lit(default), F.lit(0.0)
+    out = F.struct(F.lit(default).alias("label"), F.lit(0.0).alias("confidence"))
     for name, conf, patterns in reversed(list(rules)):
         hit = F.regexp_like(text, F.lit("|".join(f"(?:{p})" for p in patterns)))
-        label, confidence = F.when(hit, F.lit(name)).otherwise(label), F.when(hit, F.lit(conf)).otherwise(confidence)
-    return F.struct(label.alias("label"), confidence.alias("confidence"))
+        out = F.when(hit, F.struct(F.lit(name).alias("label"), F.lit(conf).alias("confidence"))).otherwise(out)
+    return out
 
 
 def import_ratio(source: Column) -> Column:

@@ -156,6 +156,24 @@ def _carries(sliced: DataFrame, keys, order, sums, last, prev, next) -> DataFram
     )
 
 
+def exact_percentiles(
+    counts: DataFrame, keys: Sequence[str], value: str, n: str, probs: Mapping[str, float], slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Exact discrete percentiles per key from a table of value counts (keys, value, n).
+
+    The p-th percentile is the smallest value whose cumulative count reaches ceil(p * total). Values are
+    cumulated in slices, so a hot key with many distinct values is spread over tasks.
+    """
+    keys = list(keys)
+    known = counts.where(F.col(value).isNotNull()).select(*keys, value, n)
+    totals = known.groupBy(*keys).agg(F.sum(n).alias("_total"))
+    cum = scan(known, keys, [value], sums={"_cum": n}, slice_rows=slice_rows).join(totals, keys)
+    return cum.groupBy(*keys).agg(*[
+        F.min(F.when(F.col("_cum") >= F.ceil(F.lit(p) * F.col("_total")), F.col(value))).alias(out)
+        for out, p in probs.items()
+    ])
+
+
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The newest row per key. Aggregates before the shuffle, so a hot key costs one row per task."""
     rest = [c for c in df.columns if c not in keys]

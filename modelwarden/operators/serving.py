@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwarden.functions.numbers import safe_ratio
-from modelwarden.operators.ordered import SLICE_ROWS, scan
+from modelwarden.operators.ordered import SLICE_ROWS, exact_percentiles, scan
 
-PERCENTILES = (0.5, 0.95, 0.99)
+PERCENTILES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95, "latency_p99_ms": 0.99}
 ACCURACY = 10_000
 
 
@@ -22,7 +22,7 @@ def server_error(code: Column) -> Column:
 def metric_columns(code: str = "response_code", latency: str = "latency_ms", accuracy: int = ACCURACY) -> list[Column]:
     """Aggregates of one endpoint window. Percentiles are exact up to `accuracy` rows per group, then
     within 1/accuracy of the rank; their state is bounded, so hot endpoints combine map-side."""
-    p = F.percentile_approx(latency, list(PERCENTILES), accuracy)
+    p = F.percentile_approx(latency, list(PERCENTILES.values()), accuracy)
     return [
         F.count(F.lit(1)).alias("request_count"),
         F.count_if(server_error(F.col(code))).alias("error_count"),
@@ -31,23 +31,34 @@ def metric_columns(code: str = "response_code", latency: str = "latency_ms", acc
 
 
 def finish_metrics(agg: DataFrame) -> DataFrame:
-    return (
-        agg.withColumn("error_rate", safe_ratio(F.col("error_count"), F.col("request_count")))
-        .withColumn("latency_p50_ms", F.col("_p")[0])
-        .withColumn("latency_p95_ms", F.col("_p")[1])
-        .withColumn("latency_p99_ms", F.col("_p")[2])
-        .drop("_p")
-    )
+    out = agg.withColumn("error_rate", safe_ratio(F.col("error_count"), F.col("request_count")))
+    return out.withColumns({name: F.col("_p")[i] for i, name in enumerate(PERCENTILES)}).drop("_p")
 
 
-def endpoint_metrics(requests: DataFrame, keys: Sequence[str | Column], accuracy: int = ACCURACY) -> DataFrame:
-    return finish_metrics(requests.groupBy(*keys).agg(*metric_columns(accuracy=accuracy)))
+def endpoint_metrics(
+    requests: DataFrame, keys: Sequence[str], code: str = "response_code", latency: str = "latency_ms",
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """Request and error counts, error rate and exact latency percentiles per key.
+
+    Requests are counted per latency value first; everything else works on those counts.
+    """
+    keys = list(keys)
+    counts = requests.groupBy(*keys, latency).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(server_error(F.col(code))).alias("_e"))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("request_count"), F.sum("_e").alias("error_count"))
+    percentiles = exact_percentiles(counts, keys, latency, "_n", PERCENTILES, slice_rows)
+    out = totals.withColumn("error_rate", safe_ratio(F.col("error_count"), F.col("request_count")))
+    return out.join(percentiles, keys, "left")
 
 
 def windowed_metrics(
     requests: DataFrame, keys: Sequence[str], width: str = "15 minutes", slide: str | None = None, ts: str = "ts",
 ) -> DataFrame:
-    """Tumbling or sliding endpoint metrics with flat window_start / window_end. Batch and streaming."""
+    """Tumbling or sliding endpoint metrics with flat window_start / window_end. Batch and streaming.
+
+    Percentiles come from bounded sketches (see `metric_columns`), as a stream needs them.
+    """
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
     out = finish_metrics(requests.groupBy(w.alias("w"), *keys).agg(*metric_columns()))
     rest = [c for c in out.columns if c not in ("w", *keys)]

@@ -17,9 +17,8 @@ from modelwarden.operators.evaluation import class_metrics, roc_auc
 def balance_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """Class weights n / (classes * n_class) per label value."""
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    total = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    one_row = F.broadcast(total)
-    return counts.join(one_row).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("weight"))
+    total = rows.agg(F.count(F.lit(1)) / F.count_distinct(label)).scalar()
+    return counts.select(label, (total / F.col("_nc")).alias("weight"))
 
 
 def hash_split(rows: DataFrame, key: str, train_percent: int = 80, slot: Column | None = None) -> DataFrame:
@@ -32,11 +31,10 @@ def position_split(rows: DataFrame, order: Sequence[str], train_share: float = 0
     """First share of the rows in the given order is train, the rest test."""
     from modelwarden.operators.ordered import scan
 
-    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    total = rows.agg(F.count(F.lit(1))).scalar()
     numbered = scan(rows.withColumn("_all", F.lit(0)), ["_all"], list(order), position="_pos", **kwargs).drop("_all")
-    cut = F.floor(F.col("_n") * train_share)
-    return numbered.join(total).withColumn(
-        "split", F.when(F.col("_pos") <= cut, "train").otherwise("test")).drop("_pos", "_n")
+    return numbered.withColumn(
+        "split", F.when(F.col("_pos") <= F.floor(total * train_share), "train").otherwise("test")).drop("_pos")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, train_share: float = 0.8, order: Column | None = None, **kwargs) -> DataFrame:

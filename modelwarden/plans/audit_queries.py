@@ -124,8 +124,8 @@ def pipeline_traces(spark, sf):
     none = F.lit(None).cast("timestamp_ntz")
     heads = c.select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("trace_id"), F.col("c_name").alias("pipeline_name"),
                      none.alias("started_at"), none.alias("completed_at"), F.lit("completed").alias("status"))
-    nested = audit.nested(escalated_decisions(spark, sf).select("trace_id", "timestamp", "id"), page_rows=100_000)
-    out = audit.pipeline_traces(heads, nested)
+    d = escalated_decisions(spark, sf).select("trace_id", "timestamp", "id")
+    out = audit.pipeline_traces(heads, d, page_rows=100_000)
     return out.select("trace_id", "pipeline_name", "status", F.size("decisions").cast("bigint").alias("n_decisions"),
                       F.array_join(F.transform("decisions", lambda d: d["id"]), ",").alias("ids"))
 

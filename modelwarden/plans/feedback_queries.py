@@ -25,9 +25,9 @@ def error_segments(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY n DESC, segment) AS rn FROM pat)""") + """
 SELECT model_name, count(*) AS n_patterns, string_agg(CASE WHEN rn <= 3 THEN segment END, ',' ORDER BY rn) AS top3 FROM r GROUP BY 1""")
 def top_error_patterns(spark, sf):
-    arr = feedback.pattern_arrays(feedback.error_patterns(corrections(spark, sf), ["model_name"]), ["model_name"])
-    top = F.array_join(F.transform(F.slice("error_patterns", 1, 3), lambda p: p["segment"]), ",")
-    return arr.select("model_name", F.size("error_patterns").cast("bigint").alias("n_patterns"), top.alias("top3"))
+    out = feedback.pattern_summary(feedback.error_patterns(corrections(spark, sf), ["model_name"]), ["model_name"])
+    top = F.array_join(F.transform("top_patterns", lambda p: p["segment"]), ",")
+    return out.select("model_name", F.col("pattern_count").alias("n_patterns"), top.alias("top3"))
 
 
 @query("label_agreement", with_ctes(AGREEMENT_SQL) + """
@@ -62,7 +62,7 @@ def segment_errors(spark, sf):
 
 def _feedback_subjects(spark, sf):
     c, f = corrections(spark, sf), flags(spark, sf)
-    pats = feedback.pattern_arrays(feedback.error_patterns(c, ["model_name"]), ["model_name"])
+    pats = feedback.pattern_summary(feedback.error_patterns(c, ["model_name"]), ["model_name"])
     nations = table(spark, sf, "customer").select(
         F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("model_name"),
         (F.col("c_acctbal") > 0).cast("double").alias("score"))
@@ -85,7 +85,7 @@ def feedback_gate(spark, sf):
     out = gates.feedback_gate(_feedback_subjects(spark, sf), 260, 0.9)
     return out.select(
         "model_name", "total_feedback", F.round("avg_agreement", 9).alias("avg_agreement"), "agreement_ok", "enough_for_retrain",
-        "approved", F.coalesce(F.size("error_patterns"), F.lit(0)).cast("bigint").alias("n_patterns"),
+        "approved", F.coalesce("pattern_count", F.lit(0)).alias("n_patterns"),
         F.col("observations")[0].alias("first_observation"))
 
 
@@ -103,14 +103,14 @@ FROM w""")
 def retrain_strategy(spark, sf):
     k = F.substr("model_name", F.lit(2)).cast("int") % 5
     subjects = feedback.totals(corrections(spark, sf), flags(spark, sf), ["model_name"]).join(
-        feedback.pattern_arrays(feedback.error_patterns(corrections(spark, sf), ["model_name"]), ["model_name"]), "model_name", "left")
+        feedback.pattern_summary(feedback.error_patterns(corrections(spark, sf), ["model_name"]), ["model_name"]), "model_name", "left")
     names = F.array(*[F.lit(f"f{i}") for i in range(4)])
     rows = subjects.select(
         "model_name", F.lit("monitor").alias("trigger_source"), F.lit(10).alias("total_features"),
         F.slice(names, F.lit(1), F.when(k == 1, 4).when(k == 2, 1).otherwise(0)).alias("drifted_features"),
         F.when(k == 4, F.lit(0)).otherwise(F.col("total_feedback")).alias("feedback_count"),
         F.when(k.isin(3, 4), 0.0).otherwise(0.02).alias("accuracy_drop"),
-        F.when(k != 3, F.col("error_patterns")).alias("error_patterns"))
+        F.when(k != 3, F.col("pattern_count")).alias("pattern_count"))
     out = gates.retrain_gate(rows, min_feedback_samples=260)
     return out.select("model_name", "approved", "strategy", "data_window", F.array_join("retrain_reasons", "; ").alias("reasons"))
 

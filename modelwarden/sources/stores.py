@@ -109,7 +109,6 @@ def request_window(requests: DataFrame, endpoint: str, minutes: int, now: Column
     """Requests of one endpoint in the trailing window. Without `now` the newest request is the end."""
     mine = requests.where(F.col("endpoint_id") == endpoint)
     if now is None:
-        end = mine.agg(F.max("ts").alias("_end"))
-        mine = mine.join(F.broadcast(end))  # one row
-        return mine.where(F.expr(f"ts >= _end - INTERVAL {int(minutes)} MINUTES")).drop("_end")
+        newest = mine.agg(F.max("ts")).scalar()
+        return mine.where(F.col("ts") >= newest - F.expr(f"INTERVAL {int(minutes)} MINUTES"))
     return mine.where((F.col("ts") >= now - F.expr(f"INTERVAL {int(minutes)} MINUTES")) & (F.col("ts") <= now))
