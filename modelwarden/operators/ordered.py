@@ -34,17 +34,18 @@ def _order_struct(order: Sequence[str]) -> Column:
 def cut_marks(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame | None:
     """Cut points of the keys that are longer than a slice, or None if there is no such key.
 
-    One pass over the key and order columns.
+    Reads the key and order columns only. On counts per (key, value) the hash filter moves below the
+    aggregate, so the pass needs no large shuffle.
     """
     keys, order = list(keys), list(order)
-    picks = (
-        df.select(*keys, _order_struct(order).alias("_at"), F.xxhash64(*keys, *order).alias("_h"))
-        .where(F.pmod("_h", F.lit(slice_rows)) == 0)
-        .withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-        .where(F.pmod(F.floor(F.col("_h") / slice_rows), F.ceil(F.col("_n") / MAX_MARKS)) == 0)
-    )
+    picks = df.select(*keys, _order_struct(order).alias("_at"), F.xxhash64(*keys, *order).alias("_h")).where(
+        F.pmod("_h", F.lit(slice_rows)) == 0)
+    if picks.isEmpty():
+        return None
+    thinned = picks.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys))).where(
+        F.pmod(F.floor(F.col("_h") / slice_rows), F.ceil(F.col("_n") / MAX_MARKS)) == 0)
     marks = (
-        picks.groupBy(*keys)
+        thinned.groupBy(*keys)
         .agg(F.array_sort(F.collect_set("_at")).alias("_fine"))
         .withColumn(
             "_coarse",
@@ -57,9 +58,7 @@ def cut_marks(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_ro
     path = work_dir(df.sparkSession, "marks")
     marks.write.parquet(path)
     saved = df.sparkSession.read.schema(marks.schema).parquet(path)
-    n = saved.agg(F.sum(F.size("_fine"))).first()[0]
-    if not n:
-        return None
+    n = saved.agg(F.sum(F.size("_fine"))).first()[0] or 0
     return F.broadcast(saved) if n <= BROADCAST_MARKS else saved
 
 
@@ -84,6 +83,7 @@ def scan(
     *,
     position: str | None = None,
     sums: Mapping[str, str] | None = None,
+    totals: Mapping[str, str] | None = None,
     last: Mapping[str, str] | None = None,
     prev: Mapping[str, str] | None = None,
     next: Mapping[str, str] | None = None,
@@ -92,11 +92,12 @@ def scan(
     """Running results per key in ascending order, without sorting a whole long key in one task.
 
     position: name of the 1-based row number; sums: output -> summed column (inclusive);
+    totals: output -> column summed over the whole key, on every row;
     last: output -> column, latest non-null value so far; prev / next: output -> column of the
     neighbouring row. The order columns must identify a row within its key. Keys are not NULL.
     Runs one job to look for long keys.
     """
-    sums, last, prev, next = (dict(m or {}) for m in (sums, last, prev, next))
+    sums, totals, last, prev, next = (dict(m or {}) for m in (sums, totals, last, prev, next))
     keys, order, columns = list(keys), list(order), df.columns
     marks = cut_marks(df, keys, order, slice_rows)
     sliced = df if marks is None else with_slices(df, keys, order, marks)
@@ -109,12 +110,13 @@ def scan(
         *by[len(keys):],
         F.row_number().over(local).alias("_rn"),
         *[F.sum(c).over(running).alias(f"_w_{o}") for o, c in sums.items()],
+        *[F.sum(c).over(W.partitionBy(*by)).alias(f"_w_{o}") for o, c in totals.items()],
         *[F.last(c, ignorenulls=True).over(running).alias(f"_w_{o}") for o, c in last.items()],
         *[F.lag(F.struct(c)).over(local).alias(f"_w_{o}") for o, c in prev.items()],
         *[F.lead(F.struct(c)).over(local).alias(f"_w_{o}") for o, c in next.items()],
     )
     if marks is not None:
-        out = out.join(_carries(sliced, keys, order, sums, last, prev, next), by, "left")
+        out = out.join(_carries(sliced, keys, order, sums, totals, last, prev, next), by, "left")
 
     def both(local_name: str, carry_name: str) -> Column:
         return F.col(local_name) if marks is None else F.coalesce(local_name, carry_name)
@@ -128,17 +130,19 @@ def scan(
         if marks is not None:
             total = F.coalesce(total + F.col(f"_c_s_{o}"), total, F.col(f"_c_s_{o}"))
         cols.append(total.alias(o))
+    cols += [both(f"_c_t_{o}" if marks is not None else f"_w_{o}", f"_w_{o}").alias(o) for o in totals]
     cols += [both(f"_w_{o}", f"_c_l_{o}").alias(o) for o in last]
     cols += [both(f"_w_{o}", f"_c_p_{o}").getField(c).alias(o) for o, c in prev.items()]
     cols += [both(f"_w_{o}", f"_c_x_{o}").getField(c).alias(o) for o, c in next.items()]
     return out.select(*cols)
 
 
-def _carries(sliced: DataFrame, keys, order, sums, last, prev, next) -> DataFrame:
+def _carries(sliced: DataFrame, keys, order, sums, totals, last, prev, next) -> DataFrame:
     """What earlier (for `next`: later) slices of a long key bring into each slice."""
     at = _order_struct(order)
     parts = [F.count(F.lit(1)).alias("_n")]
     parts += [F.sum(c).alias(f"_s_{o}") for o, c in sums.items()]
+    parts += [F.sum(c).alias(f"_t_{o}") for o, c in totals.items()]
     parts += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_l_{o}") for o, c in last.items()]
     parts += [F.max_by(F.struct(c), at).alias(f"_p_{o}") for o, c in prev.items()]
     parts += [F.min_by(F.struct(c), at).alias(f"_x_{o}") for o, c in next.items()]
@@ -150,6 +154,7 @@ def _carries(sliced: DataFrame, keys, order, sums, last, prev, next) -> DataFram
         "_slice",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c_n"),
         *[F.sum(f"_s_{o}").over(before).alias(f"_c_s_{o}") for o in sums],
+        *[F.sum(f"_t_{o}").over(W.partitionBy(*keys)).alias(f"_c_t_{o}") for o in totals],
         *[F.last(f"_l_{o}", ignorenulls=True).over(before).alias(f"_c_l_{o}") for o in last],
         *[F.lag(f"_p_{o}").over(across).alias(f"_c_p_{o}") for o in prev],
         *[F.lead(f"_x_{o}").over(across).alias(f"_c_x_{o}") for o in next],
@@ -157,21 +162,22 @@ def _carries(sliced: DataFrame, keys, order, sums, last, prev, next) -> DataFram
 
 
 def exact_percentiles(
-    counts: DataFrame, keys: Sequence[str], value: str, n: str, probs: Mapping[str, float], slice_rows: int = SLICE_ROWS
+    counts: DataFrame, keys: Sequence[str], value: str, n: str, probs: Mapping[str, float],
+    also: Mapping[str, str] | None = None, slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Exact discrete percentiles per key from a table of value counts (keys, value, n).
 
-    The p-th percentile is the smallest value whose cumulative count reaches ceil(p * total). Values are
-    cumulated in slices, so a hot key with many distinct values is spread over tasks.
+    The p-th percentile is the smallest value whose cumulative count reaches ceil(p * total); NULL values
+    do not count. `also`: output -> count column summed per key in the same pass. Values are cumulated in
+    slices, so a hot key with many distinct values is spread over tasks.
     """
-    keys = list(keys)
-    known = counts.where(F.col(value).isNotNull()).select(*keys, value, n)
-    totals = known.groupBy(*keys).agg(F.sum(n).alias("_total"))
-    cum = scan(known, keys, [value], sums={"_cum": n}, slice_rows=slice_rows).join(totals, keys)
-    return cum.groupBy(*keys).agg(*[
-        F.min(F.when(F.col("_cum") >= F.ceil(F.lit(p) * F.col("_total")), F.col(value))).alias(out)
-        for out, p in probs.items()
-    ])
+    keys, also = list(keys), dict(also or {})
+    known = counts.withColumn("_known", F.when(F.col(value).isNotNull(), F.col(n)).otherwise(F.lit(0)))
+    cum = scan(known, keys, [value], sums={"_cum": "_known"}, totals={"_total": "_known"}, slice_rows=slice_rows)
+    return cum.groupBy(*keys).agg(
+        *[F.sum(c).alias(o) for o, c in also.items()],
+        *[F.min(F.when(F.col("_cum") >= F.ceil(F.lit(p) * F.col("_total")), F.col(value))).alias(o) for o, p in probs.items()],
+    )
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -113,11 +113,11 @@ def drift_profile(
     """
     by = [*keys, "feature"]
     counts = _value_counts(obs, by, "value")
-    totals = counts.groupBy(*by).agg(F.sum("n_base").alias("nb"), F.sum("n_cur").alias("nc"))
-    cum = scan(counts, by, ["value"], sums={"cb": "n_base", "cc": "n_cur"}, slice_rows=slice_rows)
+    cum = scan(counts, by, ["value"], sums={"cb": "n_base", "cc": "n_cur"}, totals={"nb": "n_base", "nc": "n_cur"},
+               slice_rows=slice_rows)
     below = F.col("cb") - F.col("n_base")
     per_bin = (
-        cum.join(totals, by)
+        cum
         # value > k-th quantile  <=>  baseline rows below it >= k * nb / bins
         .withColumn("bin", F.least(F.lit(bins - 1), F.floor(below * bins / F.greatest("nb", F.lit(1)))))
         .withColumn("gap", F.abs(F.try_divide("cb", "nb") - F.try_divide("cc", "nc")))

@@ -46,10 +46,9 @@ def endpoint_metrics(
     keys = list(keys)
     counts = requests.groupBy(*keys, latency).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(server_error(F.col(code))).alias("_e"))
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("request_count"), F.sum("_e").alias("error_count"))
-    percentiles = exact_percentiles(counts, keys, latency, "_n", PERCENTILES, slice_rows)
-    out = totals.withColumn("error_rate", safe_ratio(F.col("error_count"), F.col("request_count")))
-    return out.join(percentiles, keys, "left")
+    also = {"request_count": "_n", "error_count": "_e"}
+    out = exact_percentiles(counts, keys, latency, "_n", PERCENTILES, also, slice_rows)
+    return out.withColumn("error_rate", safe_ratio(F.col("error_count"), F.col("request_count")))
 
 
 def windowed_metrics(
