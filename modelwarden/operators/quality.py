@@ -94,7 +94,7 @@ def _value_counts(obs: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def _share(n: Column, total: Column) -> Column:
-    return F.greatest(F.coalesce(n / total, F.lit(0.0)), F.lit(SHARE_FLOOR))
+    return F.greatest(F.coalesce(F.try_divide(n, total), F.lit(0.0)), F.lit(SHARE_FLOOR))
 
 
 def _index_term(a: Column, e: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from modelwarden.operators import gates
 from modelwarden.plans.catalog import query
@@ -21,7 +20,7 @@ def _events(spark, sf):
 def _run(spark, frame, keys, mode="update"):
     folder = work_dir(spark, "stream")
     streams.run_available(frame, streams.batch_sink(f"{folder}/out"), f"{folder}/checkpoint", mode)
-    schema = StructType(list(frame.schema.fields))
+    schema = frame.schema
     if keys is None:
         return streams.results(spark, f"{folder}/out", schema).drop("batch")
     return streams.latest_result(spark, f"{folder}/out", schema, keys)
@@ -115,7 +114,7 @@ def stream_routing(spark, sf):
     streams.run_available(ev, streams.routed_sink(_ROUTES, handlers, f"{folder}/dead"), f"{folder}/checkpoint")
     out = None
     for h in ("registry", "deployer", "dead"):
-        part = streams.results(spark, f"{folder}/{h}", StructType(list(ev.schema.fields))).select(F.lit(h).alias("handler"), "id", "type")
+        part = streams.results(spark, f"{folder}/{h}", ev.schema).select(F.lit(h).alias("handler"), "id", "type")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from modelwarden.operators import gates, serving
 from modelwarden.operators.ordered import latest_by
@@ -57,7 +58,8 @@ def run_available(stream: DataFrame, sink: Sink, checkpoint: str, mode: str = "a
 
 def results(spark: SparkSession, folder: str, schema) -> DataFrame:
     """Rows written by `batch_sink`, with their batch number."""
-    return spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(folder)
+    numbered = StructType([*schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(numbered).parquet(folder)
 
 
 def latest_result(spark: SparkSession, folder: str, schema, keys: Sequence[str]) -> DataFrame:
