@@ -6,11 +6,14 @@ unless a gate says otherwise. Map inputs hold one entry per feature or field of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwarden.functions.maps import first_key, has_any_key, keys_above, keys_below, map_size, max_value
 from modelwarden.functions.numbers import fixed, pct, relative_improvement, safe_ratio, signed
+from modelwarden.functions.patterns import scope_allows
 from modelwarden.functions.text import (
     compact, escalation_reason, memory_title, result_event_type, short_id, static_reasoning,
 )
@@ -387,15 +390,54 @@ def training_rows(recent: DataFrame, feedback: DataFrame, keys: list[str]) -> Da
     return latest_by(both, keys, ["_fb"]).withColumn("from_feedback", F.col("_fb") == 1).drop("_fb")
 
 
-def with_reasoning(df: DataFrame, agent: str, proceed: bool = True, confidence: float = 0.9) -> DataFrame:
-    """Fixed dry-run reasoning. A user's own column or pandas function can take its place."""
-    return df.withColumn("agent_name", F.lit(agent)).withColumn(
-        "reasoning", static_reasoning(F.col("observations"), F.lit(agent), F.col("action"), proceed, confidence))
+Reasoner = Callable[[Column, Column, Column], Column]
+
+
+def with_reasoning(
+    df: DataFrame, agent: str, proceed: bool = True, confidence: float = 0.9, reasoner: Reasoner | None = None
+) -> DataFrame:
+    """Adds agent_name and reasoning. Default: fixed dry-run reasoning.
+
+    reasoner: (observations, agent, action) -> reasoning struct; a column function, or a pandas UDF
+    that calls a model in Arrow batches.
+    """
+    if reasoner is None:
+        def reasoner(observations, name, action):
+            return static_reasoning(observations, name, action, proceed, confidence)
+
+    made = reasoner(F.col("observations"), F.lit(agent), F.col("action"))
+    return df.withColumn("agent_name", F.lit(agent)).withColumn("reasoning", made)
+
+
+def decide(
+    subjects: DataFrame, gate: Callable[[DataFrame], DataFrame], agent: str, *, trace_id: Column, timestamp: Column,
+    id_parts: list[Column], scopes: list[str] | None = None, required: list[str] | None = None,
+    artifacts: dict[str, Column] | None = None, metadata: list[str] | None = None, reasoner: Reasoner | None = None,
+    thresholds: dict[str, float] | DataFrame | None = None, default: float = DEFAULT_CONFIDENCE,
+) -> DataFrame:
+    """Run any gate over its subjects and return finished decision rows.
+
+    gate: a function that adds action, approved and observations. Subjects with a NULL in `required`, an
+    action outside `scopes`, or a NULL outcome become error decisions; then low confidence escalates.
+    """
+    gated = with_reasoning(gate(subjects), agent, reasoner=reasoner)
+    missing = F.lit(False)
+    for c in required or []:
+        missing = missing | F.col(c).isNull()
+    outside = ~scope_allows(F.col("action"), scopes or [])
+    problem = (
+        F.when(missing, F.lit("missing input")).when(F.col("approved").isNull(), F.lit("no outcome"))
+        .when(outside, F.concat(F.lit("lacks authority for "), "action"))
+    )
+    rows = as_decisions(gated.withColumn("_problem", problem), trace_id, timestamp, id_parts, artifacts, metadata, ["_problem"])
+    failed = F.col("_problem").isNotNull() | F.col("reasoning.confidence").isNull()
+    rows = error_decisions(rows, failed, F.coalesce("_problem", F.lit("unreadable reasoning")), agent).drop("_problem")
+    return escalate(rows, thresholds, default)
 
 
 def as_decisions(
     df: DataFrame, trace_id: Column, timestamp: Column, id_parts: list[Column], artifacts: dict[str, Column] | None = None,
-    metadata: list[str] | None = None,
+    metadata: list[str] | None = None, extra: list[str] | None = None,
 ) -> DataFrame:
     """Gate output with reasoning to rows of the decision table."""
     pairs = [x for k, v in (artifacts or {}).items() for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit("")))]
@@ -408,6 +450,7 @@ def as_decisions(
         timestamp.alias("timestamp"),
         F.lit(False).alias("escalate_to_human"),
         F.lit(None).cast("string").alias("escalation_reason"),
+        *(extra or []),
     )
 
 

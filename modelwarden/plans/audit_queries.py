@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modelwarden.functions import text
+from modelwarden.functions import maps, text
 from modelwarden.functions.numbers import fixed, pct
 from modelwarden.operators import audit, gates
 from modelwarden.plans.catalog import query
@@ -116,11 +116,11 @@ def trace_nested(spark, sf):
 
 @query("pipeline_traces", with_ctes(ESCALATED_SQL, _POSITIONS_SQL, """
 nest AS (SELECT trace_id, count(*) AS n, string_agg(id, ',' ORDER BY position) AS ids FROM pos GROUP BY 1),
-head AS (SELECT 't' || CAST(c_custkey AS VARCHAR) AS trace_id, c_name AS pipeline_name, 'completed' AS status FROM customer WHERE c_custkey % 3 <> 0)""") + """
+head AS (SELECT 't' || CAST(c_custkey AS VARCHAR) AS trace_id, c_name AS pipeline_name, 'completed' AS status FROM customer WHERE c_mktsegment <> 'MACHINERY')""") + """
 SELECT coalesce(head.trace_id, nest.trace_id) AS trace_id, coalesce(pipeline_name, '') AS pipeline_name, coalesce(status, 'running') AS status,
   coalesce(n, 0) AS n_decisions, coalesce(ids, '') AS ids FROM head FULL JOIN nest ON head.trace_id = nest.trace_id""")
 def pipeline_traces(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey % 3 <> 0")
+    c = table(spark, sf, "customer").where("c_mktsegment <> 'MACHINERY'")
     none = F.lit(None).cast("timestamp_ntz")
     heads = c.select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("trace_id"), F.col("c_name").alias("pipeline_name"),
                      none.alias("started_at"), none.alias("completed_at"), F.lit("completed").alias("status"))
@@ -147,13 +147,13 @@ def bounded_history(spark, sf):
 
 
 @query("decision_store", with_ctes(DECISIONS_SQL) + """
-SELECT id, trace_id, agent_name, CASE WHEN event_id % 10 = 0 THEN NOT approved ELSE approved END AS approved, confidence, obs1 AS first_observation FROM decisions""")
+SELECT id, trace_id, agent_name, CASE WHEN action = 'data.validate' THEN NOT approved ELSE approved END AS approved, confidence, obs1 AS first_observation FROM decisions""")
 def decision_store(spark, sf):
     """Every decision is logged, some are logged again with a changed outcome; the store shows the newest."""
     root = work_dir(spark, "audit")
     d = decisions(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     stores.append(d, root, "decisions", F.to_timestamp(F.lit("2024-03-01")))
-    again = d.where(F.substr("id", F.lit(-1)) == "0").withColumn("approved", ~F.col("approved"))
+    again = d.where("action = 'data.validate'").withColumn("approved", ~F.col("approved"))
     stores.append(again, root, "decisions", F.to_timestamp(F.lit("2024-03-02")))
     return stores.current(spark, root, "decisions").select(
         "id", "trace_id", "agent_name", "approved", _CONF, F.col("reasoning.observations")[0].alias("first_observation"))
@@ -175,6 +175,59 @@ def result_events(spark, sf):
     return gates.result_events(escalated_decisions(spark, sf)).drop("payload")
 
 
+@query("trace_store", with_ctes(ESCALATED_SQL, _OUTCOME_SQL.format(src="esc")) + """
+SELECT trace_id, 'audit' AS pipeline_name, status FROM out""")
+def trace_store(spark, sf):
+    """Headers are saved as running when a trace starts and again with its outcome; the newest counts."""
+    root = work_dir(spark, "traces")
+    d = escalated_decisions(spark, sf)
+    spans = d.groupBy("trace_id").agg(F.min("timestamp").cast("timestamp").alias("started_at"), F.max("timestamp").cast("timestamp").alias("ended"))
+    begun = spans.select("trace_id", F.lit("audit").alias("pipeline_name"), "started_at", F.lit(None).cast("timestamp").alias("completed_at"),
+                         F.lit("running").alias("status"))
+    stores.append(begun, root, "traces", F.to_timestamp(F.lit("2024-03-01")))
+    done = spans.join(audit.trace_outcome(d), "trace_id").select(
+        "trace_id", F.lit("audit").alias("pipeline_name"), "started_at", F.col("ended").alias("completed_at"), "status")
+    stores.append(done, root, "traces", F.to_timestamp(F.lit("2024-03-02")))
+    return stores.current(spark, root, "traces").select("trace_id", "pipeline_name", "status")
+
+
+@query("custom_gate", """
+SELECT s_suppkey, CASE WHEN s_acctbal < 0 OR s_nationkey = 3 THEN false ELSE s_acctbal > 5000 END AS approved,
+  CASE WHEN s_acctbal < 0 THEN 'Unhandled error in credit: missing input' WHEN s_nationkey = 3 THEN 'Unhandled error in credit: lacks authority for credit.delete'
+    WHEN 0.5 + (s_suppkey % 8) / 16.0 < 0.7 THEN 'Confidence ' || CAST(CAST(round_even((0.5 + (s_suppkey % 8) / 16.0) * 100, 0) AS BIGINT) AS VARCHAR) || '% below threshold 70% for stage ' || chr(39) || 'credit' || chr(39) END AS escalation_reason
+FROM supplier""")
+def custom_gate(spark, sf):
+    """A user's own gate and reasoner: authority check, error rows, escalation and packing come with it."""
+    def credit(df):
+        return (
+            df.withColumn("action", F.when(F.col("s_nationkey") == 3, "credit.delete").otherwise("credit.check"))
+            .withColumn("approved", F.col("balance") > 5000)
+            .withColumn("observations", F.array(F.concat(F.lit("balance "), F.col("balance").cast("string")))))
+
+    def reasoner(observations, agent, action):
+        r = text.static_reasoning(observations, agent, action)
+        return r.withField("confidence", 0.5 + (F.col("s_suppkey") % 8) / 16)
+
+    s = table(spark, sf, "supplier").withColumn("balance", F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")))
+    out = gates.decide(
+        s, credit, "credit", trace_id=F.lit("t"), timestamp=F.lit("2024-01-01").cast("timestamp"), id_parts=[F.col("s_suppkey")],
+        scopes=["credit.check"], required=["balance"], metadata=["s_suppkey"], reasoner=reasoner)
+    return out.select(F.get_json_object("metadata", "$.s_suppkey").cast("bigint").alias("s_suppkey"), "approved", "escalation_reason")
+
+
+@query("payload_merge", with_ctes(DECISIONS_SQL) + """
+SELECT id, 'action=' || CASE WHEN approved THEN 'final' ELSE action END || ';event_type=' || event_type || ';previous=' || trace_id AS payload FROM decisions""")
+def payload_merge(spark, sf):
+    """Payload, then artifacts, then metadata: on equal names the later value wins."""
+    d = decisions(spark, sf)
+    first = F.create_map(F.lit("action"), F.col("action"), F.lit("event_type"), F.lit("unset"))
+    last = F.when(F.col("approved"), F.create_map(F.lit("action"), F.lit("final"), F.lit("previous"), F.col("trace_id"))).otherwise(
+        F.create_map(F.lit("previous"), F.col("trace_id")))
+    merged = maps.merge_later_wins(first, F.col("artifacts"), last)
+    kv = F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return d.select("id", F.array_join(kv, ";").alias("payload"))
+
+
 @query("event_store", with_ctes(ESCALATED_SQL) + """
 SELECT CASE WHEN escalate_to_human THEN 'human.escalation' WHEN approved THEN action || '.approved' ELSE action || '.rejected' END AS type, count(*) AS n FROM esc GROUP BY 1""")
 def event_store(spark, sf):

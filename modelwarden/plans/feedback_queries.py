@@ -127,7 +127,7 @@ def _windowed(spark, sf):
     labels = F.when(F.col("model") % 4 == 0, "all").when(F.col("model") % 4 == 1, "recent_90d").when(
         F.col("model") % 4 == 2, "recent_30d_plus_feedback").otherwise("none")
     windows = o.select("model").distinct().withColumn("data_window", labels)
-    return o, gates.select_window(o, windows, "model", "o_orderdate")
+    return o.join(windows, "model"), gates.select_window(o, windows, "model", "o_orderdate")
 
 
 @query("training_window", with_ctes(_WINDOW_SQL) + """
@@ -139,11 +139,11 @@ def training_window(spark, sf):
 
 
 @query("training_rows", with_ctes(_WINDOW_SQL, """
-fb AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 25 % 4 = 2),
+fb AS (SELECT o_orderkey FROM orders JOIN lab ON o_custkey % 25 = lab.model WHERE o_orderstatus = 'P' AND data_window = 'recent_30d_plus_feedback'),
 allr AS (SELECT o_orderkey, false AS from_feedback FROM kept WHERE o_orderkey NOT IN (SELECT o_orderkey FROM fb) UNION ALL SELECT o_orderkey, true FROM fb)""") + """
 SELECT o_orderkey, from_feedback FROM allr""")
 def training_rows(spark, sf):
     o, kept = _windowed(spark, sf)
-    fb = o.where("o_orderstatus = 'P' AND model % 4 = 2").select("o_orderkey", "o_totalprice")
+    fb = o.where("o_orderstatus = 'P' AND data_window = 'recent_30d_plus_feedback'").select("o_orderkey", "o_totalprice")
     out = gates.training_rows(kept.select("o_orderkey", "o_totalprice"), fb, ["o_orderkey"])
     return out.select("o_orderkey", "from_feedback")

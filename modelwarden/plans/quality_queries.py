@@ -325,6 +325,28 @@ def forest_train_score(spark, sf):
     return training.holdout_metrics(training.score(model, rows.where("split = 'test'"), "v1"))
 
 
+_WEIGHTS = (0.02, -0.00001, 3.0)
+
+
+@query("pandas_scoring", """
+SELECT l_returnflag, 'lin-1' AS model_version, count(*) AS n, round(avg(0.02 * l_quantity - 0.00001 * l_extendedprice + 3.0 * l_discount), 6) AS mean_score,
+  count(*) FILTER (WHERE 0.02 * l_quantity - 0.00001 * l_extendedprice + 3.0 * l_discount > 0.450034567) AS positives FROM lineitem GROUP BY 1""")
+def pandas_scoring(spark, sf):
+    """Scores from a Python model in Arrow batches: a linear model here."""
+    weights = _WEIGHTS
+
+    def load_model():
+        import numpy as np
+
+        w = np.array(weights)
+        return lambda x: x @ w
+
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice", "l_discount")
+    scored = training.score_batches(li, ["l_quantity", "l_extendedprice", "l_discount"], load_model, "lin-1")
+    return scored.groupBy("l_returnflag", "model_version").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("score") > 0.450034567).alias("positives"))
+
+
 @query("top_failures", """
 SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity FROM (
   SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey) AS rn FROM lineitem WHERE l_quantity >= 48)

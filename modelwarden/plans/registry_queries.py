@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from modelwarden.functions.maps import first_key, has_any_key
 from modelwarden.operators import evaluation, gates, registry
 from modelwarden.operators.ordered import latest_by
 from modelwarden.plans.catalog import query
@@ -168,19 +169,42 @@ def find_run(spark, sf):
 
 @query("run_store", with_ctes(RUNS_SQL) + """
 SELECT run_id, CASE WHEN o_orderstatus = 'P' THEN 'default' ELSE experiment_name END AS experiment_name,
-  CASE WHEN o_custkey % 2 = 0 THEN 'again' ELSE 'first' END AS attempt FROM runs""")
+  CASE WHEN price * 1000000 > 200000 THEN 'again' ELSE 'first' END AS attempt FROM runs""")
 def run_store(spark, sf):
     """Runs are logged twice for some ids; the store shows the newest row per id."""
     root = work_dir(spark, "runs")
     r = runs(spark, sf).withColumn("experiment_name", F.when(F.col("tags")["status"] == "P", "").otherwise(F.col("experiment_name")))
+    r = r.join(table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000000).alias("price")), "o_orderkey")
     r = stores.named_runs(r).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     first = r.withColumn("tags", F.create_map(F.lit("attempt"), F.lit("first")))
     stores.append(first, root, "runs", F.to_timestamp(F.lit("2024-01-01")))
-    again = r.where("o_custkey % 2 = 0").withColumn("tags", F.create_map(F.lit("attempt"), F.lit("again")))
+    again = r.where(F.col("price") * 1000000 > 200000).withColumn("tags", F.create_map(F.lit("attempt"), F.lit("again")))
     stores.append(again, root, "runs", F.to_timestamp(F.lit("2024-01-02")))
     return stores.current(spark, root, "runs").select("run_id", "experiment_name", F.col("tags")["attempt"].alias("attempt"))
 
 
+@query("model_store", with_ctes(MODELS_SQL, _CHAMPION_SQL) + """
+SELECT m.model_name, m.version_n, CASE WHEN c.version_n = m.version_n THEN 'production' ELSE 'none' END AS stage, round(m.f1, 9) AS f1
+FROM models m JOIN champ c USING (model_name)""")
+def model_store(spark, sf):
+    """Models are registered, then champions are registered again as production; the store shows the newest."""
+    root = work_dir(spark, "models")
+    m = models(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    stores.append(m.withColumn("stage", F.lit("none")), root, "models", F.to_timestamp(F.lit("2024-03-01")))
+    stores.append(registry.champion(m).withColumn("stage", F.lit("production")), root, "models", F.to_timestamp(F.lit("2024-03-02")))
+    return stores.current(spark, root, "models").select("model_name", "version_n", "stage", F.round(F.col("metrics")["f1"], 9).alias("f1"))
+
+
+@query("metric_lookup", with_ctes(RUNS_SQL) + """
+SELECT run_id, round(CASE o_orderkey % 3 WHEN 0 THEN price ELSE 0.0 END, 9) AS f1, round(CASE o_orderkey % 3 WHEN 0 THEN 1 - price WHEN 1 THEN price ELSE 0.0 END, 9) AS auc,
+  CASE WHEN o_orderkey % 3 = 1 THEN true ELSE false END AS has_accuracy FROM runs""")
+def metric_lookup(spark, sf):
+    m = F.col("metrics")
+    return runs(spark, sf).select(
+        "run_id", F.round(first_key(m, "f1", "f1_score", default=0.0), 9).alias("f1"),
+        F.round(first_key(m, "auc_roc", "auc", default=0.0), 9).alias("auc"), has_any_key(m, "accuracy", "acc").alias("has_accuracy"))
+
+
 @query("latest_by_key", """
 SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""")
 def latest_by_key(spark, sf):

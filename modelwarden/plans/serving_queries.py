@@ -112,15 +112,15 @@ def canary_start_rows(spark, sf):
 
 
 @query("measured_over_payload", with_ctes(REQUESTS_SQL, f"""
-m AS (SELECT endpoint_id, {_METRICS_SQL} FROM requests WHERE endpoint_id <> 'e3' GROUP BY 1),
-p AS (SELECT endpoint_id, CASE WHEN min(event_id) % 2 = 0 THEN 0.5 END AS error_rate, CAST(max(latency_ms) AS DOUBLE) AS latency_p99_ms FROM requests GROUP BY 1)""") + """
+m AS (SELECT endpoint_id, {_METRICS_SQL} FROM requests GROUP BY 1),
+p AS (SELECT 'e' || CAST(s_nationkey AS VARCHAR) AS endpoint_id, nullif(avg(CAST(s_acctbal < 0 AS DOUBLE)), 0.0) AS error_rate, max(s_acctbal) AS latency_p99_ms FROM supplier GROUP BY 1)""") + """
 SELECT p.endpoint_id, round(coalesce(m.error_rate, p.error_rate, 0), 9) AS error_rate, coalesce(m.latency_p99_ms, p.latency_p99_ms, 0) AS latency_p99_ms
 FROM p LEFT JOIN m USING (endpoint_id)""")
 def measured_over_payload(spark, sf):
-    r = requests(spark, sf)
-    payload = r.groupBy("endpoint_id").agg(
-        F.when(F.min("event_id") % 2 == 0, 0.5).alias("error_rate"), F.max("latency_ms").alias("latency_p99_ms"))
-    measured = serving.endpoint_metrics(r.where("endpoint_id <> 'e3'"), ["endpoint_id"])
+    """Suppliers' nations give the payload; only some of these endpoints have measured requests."""
+    payload = table(spark, sf, "supplier").groupBy(F.concat(F.lit("e"), F.col("s_nationkey").cast("string")).alias("endpoint_id")).agg(
+        F.nullif(F.avg((F.col("s_acctbal") < 0).cast("double")), F.lit(0.0)).alias("error_rate"), F.max("s_acctbal").alias("latency_p99_ms"))
+    measured = serving.endpoint_metrics(requests(spark, sf), ["endpoint_id"])
     return _rounded(serving.prefer_measured(payload, measured, "endpoint_id", ["error_rate", "latency_p99_ms"]))
 
 

@@ -91,6 +91,16 @@ def stream_unique(spark, sf):
     """Every event arrives twice; each decision is logged once."""
     events = _events(spark, sf)
     twice = events.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    d = decision_columns(twice).select("id", "trace_id", "action")
+    folder = work_dir(spark, "unique")
+    streams.run_available(d, streams.unique_sink(f"{folder}/out", d.schema), f"{folder}/checkpoint")
+    return streams.results(spark, f"{folder}/out", d.schema).drop("batch")
+
+
+@query("stream_unique_watermark", with_ctes(DECISIONS_SQL) + """
+SELECT id, trace_id, action FROM decisions""")
+def stream_unique_watermark(spark, sf):
+    twice = _events(spark, sf).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
     d = streams.unique_decisions(decision_columns(twice)).select("id", "trace_id", "action")
     return _run(spark, d, None, "append")
 

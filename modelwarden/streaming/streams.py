@@ -74,7 +74,11 @@ def endpoint_windows(
 
 
 def session_counts(events: DataFrame, keys: Sequence[str], gap: str, delay: str = "1 hour") -> DataFrame:
-    """Sessions per key. Only closed sessions are emitted (append mode)."""
+    """Sessions per key. Only closed sessions are emitted (append mode).
+
+    Rows of a session are merged inside each task before the shuffle, so a busy key sends sessions.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     out = event_time(events, "ts", delay).groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(
         F.count(F.lit(1)).alias("n_events"))
     return out.select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
@@ -110,10 +114,27 @@ def running_outcomes(decisions: DataFrame, max_stages: int = 20) -> DataFrame:
 
 
 def unique_decisions(decisions: DataFrame, delay: str = "1 hour", key: str = "id", ts: str = "timestamp") -> DataFrame:
-    """Drop repeats of an id that arrive within the watermark delay of each other."""
+    """Drop repeats of an id that arrive within the watermark delay of each other.
+
+    Every copy of an id goes to the id's task; where one id may be repeated without limit use `unique_sink`.
+    """
     return event_time(decisions, ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def unique_sink(folder: str, schema, key: str = "id") -> Sink:
+    """Log each id once. Copies inside a micro-batch are combined before the shuffle; ids of earlier
+    batches are left out by an anti-join with what is written, and a replayed batch ignores itself."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        rows = df.dropDuplicates([key])
+        if batch_id > 0:
+            seen = results(df.sparkSession, folder, schema).where(F.col("batch") < batch_id).select(key)
+            rows = rows.join(seen, key, "left_anti").select(*df.columns)
+        rows.write.mode("overwrite").parquet(batch_folder(folder, batch_id))
+
+    return write
+
+
 # --- sinks ----------------------------------------------------------------------------------------
 def routed_sink(subscriptions: list[tuple[str, str]], handlers: Mapping[str, Sink], dead_letters: str) -> Sink:
     """Deliver each event to every matching handler. A failing handler does not stop the others:
