@@ -1,7 +1,7 @@
 """Order-sensitive operators that stay balanced when one key holds much of the data.
 
-A window over a hot key would sort the whole key in one task. `scan` first looks for keys longer
-than a slice. If there are none, it is a plain window. Otherwise it cuts the long keys into ordered
+A window over a hot key would sort the whole key in one task. `scan` first looks for keys that are
+several slices long. If there are none, it is a plain window. Otherwise it cuts the long keys into ordered
 slices, works inside each slice, and adds what earlier slices carry in:
 
 1. marks: rows whose hash is 0 modulo `slice_rows` are the cut points of their key. The choice
@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from modelwarden.session import work_dir
 
 SLICE_ROWS = 1_000_000
+MIN_MARKS = 4
 MAX_MARKS = 16_384
 STRIDE = 128
 BROADCAST_MARKS = 1_000_000
@@ -32,18 +33,19 @@ def _order_struct(order: Sequence[str]) -> Column:
 
 
 def cut_marks(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame | None:
-    """Cut points of the keys that are longer than a slice, or None if there is no such key.
+    """Cut points of the long keys, or None if there is no such key.
 
-    Reads the key and order columns only. On counts per (key, value) the hash filter moves below the
-    aggregate, so the pass needs no large shuffle.
+    A key is long when it has MIN_MARKS cut points, that is about MIN_MARKS * slice_rows rows: below that
+    one task sorts it faster. Reads the key and order columns only. On counts per (key, value) the hash
+    filter moves below the aggregate, so the pass needs no large shuffle.
     """
     keys, order = list(keys), list(order)
     picks = df.select(*keys, _order_struct(order).alias("_at"), F.xxhash64(*keys, *order).alias("_h")).where(
         F.pmod("_h", F.lit(slice_rows)) == 0)
-    if picks.isEmpty():
+    if picks.groupBy(*keys).count().where(F.col("count") >= MIN_MARKS).isEmpty():
         return None
     thinned = picks.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys))).where(
-        F.pmod(F.floor(F.col("_h") / slice_rows), F.ceil(F.col("_n") / MAX_MARKS)) == 0)
+        (F.col("_n") >= MIN_MARKS) & (F.pmod(F.floor(F.col("_h") / slice_rows), F.ceil(F.col("_n") / MAX_MARKS)) == 0))
     marks = (
         thinned.groupBy(*keys)
         .agg(F.array_sort(F.collect_set("_at")).alias("_fine"))

@@ -37,13 +37,17 @@ def finish_metrics(agg: DataFrame) -> DataFrame:
 
 def endpoint_metrics(
     requests: DataFrame, keys: Sequence[str], code: str = "response_code", latency: str = "latency_ms",
-    slice_rows: int = SLICE_ROWS,
+    exact: bool = True, slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Request and error counts, error rate and exact latency percentiles per key.
+    """Request and error counts, error rate and latency percentiles per key.
 
-    Requests are counted per latency value first; everything else works on those counts.
+    exact: requests are counted per latency value and the counts cumulated, which shuffles one row per
+    distinct value; decisions use this. Otherwise percentiles come from bounded sketches combined
+    map-side (see `metric_columns`): one small shuffle, for reports over very large tables.
     """
     keys = list(keys)
+    if not exact:
+        return finish_metrics(requests.groupBy(*keys).agg(*metric_columns(code, latency)))
     counts = requests.groupBy(*keys, latency).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(server_error(F.col(code))).alias("_e"))
     also = {"request_count": "_n", "error_count": "_e"}

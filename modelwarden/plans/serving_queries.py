@@ -24,7 +24,7 @@ def _rounded(df):
 SELECT endpoint_id, date_trunc('day', ts) AS day, {_METRICS_SQL} FROM requests GROUP BY 1, 2""")
 def endpoint_metrics_daily(spark, sf):
     r = requests(spark, sf).withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
-    return _rounded(serving.endpoint_metrics(r, ["endpoint_id", "day"]))
+    return _rounded(serving.endpoint_metrics(r, ["endpoint_id", "day"], exact=False))
 
 
 @query("endpoint_metrics_15m", with_ctes(REQUESTS_SQL) + f"""
