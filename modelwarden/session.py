@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -26,16 +25,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder path under the folder that the cluster names in spark.checkpoint.dir.
+    """A new folder path on storage that the driver and all executors share, deleted when the session's JVM ends.
 
-    Only where the setting is absent (tests, a laptop) is a temporary folder used.
+    The root is the folder that the cluster names in spark.checkpoint.dir. Where that is unset (tests, a laptop) it is the
+    warehouse folder, which a session shares as well; a warehouse on a machine's own disk is refused on a cluster.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            root = current
-        else:
-            root = tempfile.mkdtemp(prefix="modelwarden-")
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if root.startswith(("file:", "/")) and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{root.rstrip('/')}/work"
+        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read again: cuts lineage, and survives a lost executor."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
