@@ -37,7 +37,6 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         if root.startswith(("file:", "/")) and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"{root.rstrip('/')}/work"
-        spark.conf.set("spark.checkpoint.dir", root)
         context.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
     target = context._jvm.org.apache.hadoop.fs.Path(path)
