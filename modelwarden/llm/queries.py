@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modelwarden.llm import language_id
+from modelwarden.llm import language_id, simhash
 from modelwarden.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents outside fold 2 of 4."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
     return language_id.identify(docs, docs.where("not held_out"), ["doc_id", "held_out"])
+
+
+@query
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of every document and the component of fingerprints within 3 bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
