@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modelwarden.llm import language_id, simhash
+from modelwarden.llm import language_id, simhash, toxicity
 from modelwarden.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint of every document and the component of fingerprints within 3 bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside fold 0 of 5."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0))
+    return toxicity.score(docs.withColumn("held_out", fold("doc_id", 5) == 0), model, ["doc_id", "held_out"])
