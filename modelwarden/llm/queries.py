@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from modelwarden.llm import language_id, simhash, toxicity
+from modelwarden.llm import language_id, sharding, simhash, toxicity, training_order
 from modelwarden.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0))
     return toxicity.score(docs.withColumn("held_out", fold("doc_id", 5) == 0), model, ["doc_id", "held_out"])
+
+
+@query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of equal row counts, uniformly shuffled."""
+    text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
+    dealt = sharding.shuffle_to_shards(rows, 16, seed=3)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index of the shard files that hold all documents as token ids in training order."""
+    return training_order.write_training_order(table(spark, sf_dir, "documents"), training_order.new_folder(spark))
