@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwarden.llm import language_id, sharding, simhash, toxicity, training_order
+from modelwarden.llm import decontamination, language_id, mixing, sharding, simhash, toxicity, training_order
 from modelwarden.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,24 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index of the shard files that hold all documents as token ids in training order."""
     return training_order.write_training_order(table(spark, sf_dir, "documents"), training_order.new_folder(spark))
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, with up to a fifth of the words of a window substituted."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+CHECK_SQL["op2_decontamination"] = decontamination.check_sql()
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling probability of every document, raked to tempered shares of sources, languages and topics."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.topic().alias("topic"),
+                                                    mixing.tokens().alias("n_tokens"))
+    mixed = mixing.calibrate(docs, dict.fromkeys(mixing.DIMENSIONS, mixing.POWER))
+    return mixed.withColumn("probability", F.round("probability", 9))
+
+
+CHECK_SQL["op4_mixing"] = mixing.check_sql()
