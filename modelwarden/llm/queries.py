@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwarden.llm import decontamination, language_id, mixing, sharding, simhash, toxicity, training_order
+from modelwarden.llm import ann, decontamination, language_id, mixing, sharding, simhash, toxicity, training_order
 from modelwarden.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHECK_SQL["op4_mixing"] = mixing.check_sql()
+
+
+@query
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every embedding whose vec_id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 20 = 0"))
