@@ -69,8 +69,9 @@ class Tree:
             self.centroid.append(middle)
             self.spread.append(float(np.sqrt(((points - middle) ** 2).sum(axis=1).mean())) if len(points) else 0.0)
             self.children.append([])
-            if len(points) * scale > target and len(points) >= 2 * BRANCHES:
-                own = kmeans(points, BRANCHES, rng)
+            branches = min(BRANCHES, int(len(points) * scale / target + 0.5))
+            if branches > 1 and len(points) >= 2 * branches:
+                own = kmeans(points, branches, rng)
                 if len(np.unique(own)) > 1:
                     self.children[at] = [grow(points[own == k]) for k in np.unique(own)]
             return at
