@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwarden.llm import ann, decontamination, language_id, mixing, sharding, simhash, toxicity, training_order
+from modelwarden.llm import (
+    ann, decontamination, language_id, mixing, sharding, simhash, substring_dedup, toxicity, training_order,
+)
 from modelwarden.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +85,9 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows found for every embedding whose vec_id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings")
     return ann.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
+@query
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of 400-byte strings that recur."""
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
