@@ -34,8 +34,8 @@ from modelwarden.session import materialise
 SEED = 42
 #: Distinct fingerprints that the tree is built from, at most.
 SAMPLE = 20_000
-#: Fingerprints that a leaf should hold, and that one side of a comparison holds at most.
-LEAF, BLOCK = 2048, 16_384
+#: Fingerprints that one side of a comparison holds at most.
+BLOCK = 16_384
 BINS = 512
 
 
@@ -97,6 +97,11 @@ def fingerprint(docs: DataFrame, keep: list[str], shingle: int, sketched: bool =
     return docs.select(*keep, F.col("text").cast("binary").alias("_shingled_text")).mapInArrow(run, schema)
 
 
+def leaf_size(total: int) -> float:
+    """Fingerprints that a leaf should hold. It grows slowly with all, as every level of the tree makes more visitors."""
+    return 400 * max(1, total) ** 0.25
+
+
 def build_tree(sample: np.ndarray, total: int, max_bits: int) -> list[tuple]:
     """Nodes (vantage, radius, left, right), or (leaf number,), of a tree for `total` fingerprints."""
     rng = np.random.default_rng(SEED)
@@ -109,7 +114,7 @@ def build_tree(sample: np.ndarray, total: int, max_bits: int) -> list[tuple]:
         at = len(nodes)
         nodes.append(())
         best = None
-        if len(points) * scale > LEAF and len(points) >= 16:
+        if len(points) * scale > leaf_size(total) and len(points) >= 16:
             for vantage in rng.choice(points, 8):
                 by = np.bincount(np.bitwise_count(points ^ vantage), minlength=65 + max_bits)
                 inside = by.cumsum()
