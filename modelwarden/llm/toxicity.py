@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from modelwarden.llm.common import byte_sizes, chunks
 
 #: Labelled texts that training takes of each class, at most.
-SAMPLE = 3000
+SAMPLE = 2000
 LANDMARKS = 192
 GAPS, DECAY = 2, 0.6
 SYMBOLS = 64
@@ -115,11 +115,13 @@ def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def word_strings(texts: list[str | None]) -> list[set[str]]:
     """The distinct words of each text, one character per symbol, of three symbols or more."""
     out: list[set[str]] = [set() for _ in texts]
+    known: dict[str, str] = {}
     row, starts, own = words(texts)
     flat, ends = row.tobytes().decode("latin-1"), np.append(starts[1:], len(row))
     for s, e, o in zip(starts.tolist(), ends.tolist(), own.tolist()):
         if e - s >= 3:
-            out[o].add(flat[s:e])
+            word = flat[s:e]
+            out[o].add(known.setdefault(word, word))
     return out
 
 
@@ -134,9 +136,10 @@ def weight_table(word: str) -> np.ndarray:
     return table / norms()[min(len(row), len(norms()) - 1)]
 
 
-def kernel(left: list[str], tables: np.ndarray) -> np.ndarray:
+def kernel(left: list[str], right: list[str]) -> np.ndarray:
+    """Kernel of all words with some, a table at a time."""
     row, starts = encode(left)
-    return np.stack([subsequence_sums(row, starts, t) for t in tables], axis=1)
+    return np.stack([subsequence_sums(row, starts, weight_table(w)) for w in right], axis=1)
 
 
 def svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -156,9 +159,9 @@ def svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1.0) -> np.n
 
 
 def first_witnesses(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
-    """For every toxic text the word with the n-gram (of four to six letters) that tells toxic from clean texts best."""
+    """For every toxic text the word with the n-gram (of four or five letters) that tells toxic from clean texts best."""
     def grams(word: str) -> set[str]:
-        return {word[i : i + n] for n in (4, 5, 6) for i in range(len(word) - n + 1)}
+        return {word[i : i + n] for n in (4, 5) for i in range(len(word) - n + 1)}
 
     seen, other = Counter(), Counter()
     for side, count in ((toxic, seen), (clean, other)):
@@ -168,12 +171,13 @@ def first_witnesses(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
 
     def tells(g: str) -> float:
         p, q = seen[g] / n, (other[g] + 0.5) / m
-        return (p - q) / np.sqrt(p / n + q / m + 1e-9) if seen[g] > 1 else 0.0
+        return (p - q) / (p / n + q / m + 1e-9) ** 0.5
 
-    strength = {g: tells(g) for g in seen}
+    strength = {g: tells(g) for g, times in seen.items() if times > 2}
+    del seen, other
     out = []
     for text in toxic:
-        best = max(((max((strength[g] for g in grams(w)), default=0.0), w) for w in text), default=(0.0, ""))
+        best = max(((max((strength.get(g, 0.0) for g in grams(w)), default=0.0), w) for w in text), default=(0.0, ""))
         if best[0] > 3:
             out.append(best[1])
     return out
@@ -217,16 +221,15 @@ def train(texts: list[str | None], toxic: np.ndarray) -> dict:
         if not common:
             break
         marks = spread_landmarks(common, LANDMARKS * 3 // 4) + picked[: LANDMARKS // 4]
-        tables = np.stack([weight_table(w) for w in marks])
-        gram = kernel(marks, tables)
+        gram = kernel(marks, marks)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
         rest = sorted(negatives)
-        x = kernel(common + rest, tables) @ root
+        x = kernel(common + rest, marks) @ root
         y = np.concatenate([np.ones(len(common)), -np.ones(len(rest))])
         w = svm(x, y, np.where(y > 0, 10.0 * max(1.0, len(rest) / len(common) / 10), 10.0))
-        table, bias = (root @ w[:-1]) @ tables, float(w[-1])
+        table, bias = sum(a * weight_table(m) for a, m in zip(root @ w[:-1], marks)), float(w[-1])
         high = subsequence_sums(row, starts, table) + bias
         negatives.update(clean_words[i] for i in np.argsort(-high)[:2000])
         judged = dict(zip(bag_words, subsequence_sums(bag_row, bag_starts, table) + bias))
