@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelwarden.llm import (
-    ann, decontamination, language_id, mixing, sharding, simhash, substring_dedup, toxicity, training_order,
+    ann, decontamination, language_id, lm_scoring, mixing, sharding, simhash, substring_dedup, toxicity, training_order,
 )
 from modelwarden.llm.common import fold, table
 
@@ -91,3 +91,10 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the bytes of 400-byte strings that recur."""
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learned from the documents outside fold 2 of 7."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 7) == 2)
+    return lm_scoring.score_texts(docs)
