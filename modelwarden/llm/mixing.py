@@ -11,7 +11,8 @@ Targets are given by value, or as an exponent: a value with share s of the token
 that power, below 1 lifting the small ones. Values without a target share the tokens that targets leave, in proportion.
 
 Defined results: null values of a dimension are one value of their own; null and empty texts have one token's weight;
-equal doc_ids are taken together; a table without rows gives none; other columns are carried along.
+a doc_id draws one number, in whatever rows; a table
+without rows gives none; other columns are carried along, and ones named probability or taken are replaced.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], sweeps:
 def calibrate(docs: DataFrame, targets: dict[str, dict[str, float] | float], seed: int = 4, sweeps: int = SWEEPS) -> DataFrame:
     """`docs` (with doc_id, n_tokens and a column per dimension) with probability and taken."""
     keys = list(targets)
-    named = docs.withColumns({f"_cell_{k}": F.coalesce(F.col(k).cast("string"), F.lit(NONE)) for k in keys})
+    named = docs.drop("probability", "taken").withColumns({f"_cell_{k}": F.coalesce(F.col(k).cast("string"), F.lit(NONE)) for k in keys})
     cells = materialise(named.groupBy(*(F.col(f"_cell_{k}").alias(k) for k in keys)).agg(F.sum("n_tokens").alias("n")), "cells")
     fitted = rake(cells, targets, sweeps)
     factor = F.col("weight") / F.col("n")

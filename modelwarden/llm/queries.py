@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from modelwarden.llm import (
     ann, decontamination, language_id, lm_scoring, mixing, sharding, simhash, substring_dedup, toxicity, training_order,
 )
@@ -31,7 +32,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint of every document and the component of fingerprints within 3 bits."""
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"]).drop("root")
 
 
 @query
@@ -98,3 +99,9 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document, learned from the documents outside fold 2 of 7."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 7) == 2)
     return lm_scoring.score_texts(docs)
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
