@@ -208,7 +208,7 @@ def intervals_of(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.n
     order = np.argsort(places, kind="stable")
     keys, places = keys[order], places[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    past = np.append(first[1:], len(keys))
+    past = np.append(first[1:], len(keys))[: len(first)]
     return keys[first], places[first], places[past - 1] + 1
 
 
