@@ -12,7 +12,7 @@ from modelwarden.functions.numbers import pct
 from modelwarden.functions.text import decision_line, display_label
 from modelwarden.operators.gates import reward
 from modelwarden.operators.ordered import SLICE_ROWS, pages, scan
-from modelwarden.session import work_dir
+from modelwarden.session import materialise
 
 MAX_STAGES = 20
 PAGE_ROWS = 1000
@@ -195,29 +195,26 @@ def lineage_pairs(decisions: DataFrame) -> DataFrame:
     return decisions.join(parent, "previous_decision_id")
 
 
-def lineage_roots(links: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(id, parent) to (id, root, depth) by pointer doubling: chains of length n take log2(n) joins.
+def lineage_roots(links: DataFrame) -> DataFrame:
+    """(id, parent) to (id, root, depth, cyclic), one row per input row, by pointer doubling.
 
-    Each round is written to the shared work folder, which cuts the lineage and survives lost executors.
-    Rows on a cycle have no root and are left out.
+    Chains of length n take log2(n) rounds; only rows that have not met their root are carried on. What is left after as
+    many rounds as the number of rows has bits lies on a cycle or leads into one: cyclic, without root and depth.
     """
-    spark = links.sparkSession
-    state = links.select("id", F.col("parent").alias("ptr"), F.when(F.col("parent").isNull(), 0).otherwise(1)
-                         .cast("bigint").alias("depth"), F.col("id").alias("root"))
-    known = links.select(F.col("id").alias("ptr"), F.lit(True).alias("_known"))
-    state = state.join(known, "ptr", "left").select(
-        "id", F.when(F.col("_known"), F.col("ptr")).alias("ptr"),
-        F.when(F.col("_known"), F.col("depth")).otherwise(F.lit(0)).alias("depth"), "root")
-    folder = work_dir(spark, "lineage")
-    for i in range(max_rounds):
-        path = f"{folder}/round-{i}"
-        state.write.parquet(path)
-        state = spark.read.parquet(path)
-        if state.where("ptr IS NOT NULL").isEmpty():
+    known = links.select(F.col("id").alias("parent"), F.lit(True).alias("_known")).distinct()
+    start = materialise(links.join(known, "parent", "left").select(
+        "id", F.when(F.col("_known"), F.col("parent")).alias("ptr")), "lineage")
+    done = start.where("ptr IS NULL").select("id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"))
+    pending = start.where("ptr IS NOT NULL").select("id", "ptr", F.lit(1).cast("bigint").alias("depth"))
+    for _ in range(start.count().bit_length() + 1):
+        if pending.isEmpty():
             break
-        step = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_p"), F.col("depth").alias("_d"),
-                            F.col("root").alias("_r"))
-        state = state.join(step, "ptr", "left").select(
-            "id", F.col("_p").alias("ptr"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
-            F.coalesce("_r", "root").alias("root"))
-    return state.where("ptr IS NULL").select("id", "root", "depth")
+        met = pending.join(done.select(F.col("id").alias("ptr"), "root", F.col("depth").alias("_d")), "ptr").select(
+            "id", "root", (F.col("depth") + F.col("_d")).alias("depth"))
+        ahead = pending.select(F.col("id").alias("ptr"), F.col("ptr").alias("_p"), F.col("depth").alias("_d"))
+        pending, met = materialise(pending.join(ahead, "ptr").select(
+            "id", F.col("_p").alias("ptr"), (F.col("depth") + F.col("_d")).alias("depth")), "lineage"), materialise(met, "lineage")
+        done = done.union(met)
+    lost = pending.select("id", F.lit(None).cast(done.schema["root"].dataType).alias("root"),
+                          F.lit(None).cast("bigint").alias("depth"), F.lit(True).alias("cyclic"))
+    return done.withColumn("cyclic", F.lit(False)).union(lost)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modelwarden.functions.patterns import glob_match, scope_match
 from modelwarden.operators.ordered import latest_by
-from modelwarden.session import work_dir
+from modelwarden.session import materialise, work_dir
 
 OUTCOMES = ["on_success", "on_failure", "on_drift", "on_degradation", "on_sufficient_feedback"]
 
@@ -23,19 +23,30 @@ def active_subscriptions(log: DataFrame) -> DataFrame:
     return on.where(F.coalesce(F.col("seq") > F.col("_off"), F.lit(True))).select("pattern", "handler", "seq")
 
 
+def _anchor(text: str, at: int) -> Column:
+    return F.split_part(F.col(text), F.lit("."), F.lit(at))
+
+
 def routes(types: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """(type, pattern, handler) for distinct event types.
+    """The rows of `types` and `subscriptions` whose type and pattern match; both tables should be distinct.
 
-    Patterns whose first segment is fixed join on that segment; only the others (`*.failed`, `*`)
-    are tried against every distinct type.
+    A pattern joins on its first segment if that is fixed, else on its last one if that is; only patterns with
+    neither (`*`, `[dm]*`) are tried against every distinct type.
     """
-    first = F.split_part(F.col("pattern"), F.lit("."), F.lit(1))
-    fixed = ~F.regexp_like(first, F.lit(r"[*?\[]"))
-    subs = subscriptions.withColumn("_seg", F.when(fixed, first))
-    named = types.withColumn("_seg", F.split_part(F.col("type"), F.lit("."), F.lit(1)))
-    by_segment = named.join(subs.where("_seg IS NOT NULL"), "_seg").where(glob_match(F.col("type"), F.col("pattern")))
-    general = types.join(subs.where("_seg IS NULL").drop("_seg"), glob_match(F.col("type"), F.col("pattern")))
-    return by_segment.drop("_seg").unionByName(general)
+    wild = F.lit(r"[*?\[]")
+    first, last = _anchor("pattern", 1), _anchor("pattern", -1)
+    key = (F.when(~F.regexp_like(first, wild), F.concat(F.lit("first."), first))
+           .when(~F.regexp_like(last, wild), F.concat(F.lit("last."), last)).otherwise(F.lit("any")))
+    keys = F.array(F.concat(F.lit("first."), _anchor("type", 1)), F.concat(F.lit("last."), _anchor("type", -1)), F.lit("any"))
+    tried = types.withColumn("_key", F.explode(keys)).join(subscriptions.withColumn("_key", key), "_key")
+    return tried.where(glob_match(F.col("type"), F.col("pattern"))).drop("_key")
+
+
+def delivery_counts(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(type, pattern, handler, deliveries): both sides are counted first, so no event meets a registration."""
+    types = events.groupBy("type").agg(F.count(F.lit(1)).alias("_events"))
+    subs = subscriptions.groupBy("pattern", "handler").agg(F.count(F.lit(1)).alias("_times"))
+    return routes(types, subs).select("type", "pattern", "handler", (F.col("_events") * F.col("_times")).alias("deliveries"))
 
 
 def route_events(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -107,33 +118,91 @@ def observed_transitions(positions: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, target, depth) with the smallest depth, over a possibly cyclic graph of (stage, target).
 
-    Each round is written to the shared work folder, so the plan does not grow.
+    Goes on until a round finds nothing new. Each round is written to the shared work folder, so the plan does not grow.
     """
     spark = edges.sparkSession
     folder = work_dir(spark, "reach")
-    edges = edges.select("stage", "target").distinct()
-    seen = roots.select(F.col("stage").alias("root"), F.col("stage").alias("target"), F.lit(0).alias("depth"))
+    edges = materialise(edges.select("stage", "target").distinct(), "edges")
+    seen = roots.select(F.col("stage").alias("root"), F.col("stage").alias("target"), F.lit(0).alias("depth")).distinct()
+    schema, depth = seen.schema, 0
     seen.write.parquet(f"{folder}/depth-0")
-    for d in range(1, max_depth + 1):
-        seen = spark.read.parquet(*[f"{folder}/depth-{i}" for i in range(d)])
-        last = seen.where(F.col("depth") == d - 1).select("root", F.col("target").alias("stage"))
+    while True:
+        seen = spark.read.schema(schema).parquet(*[f"{folder}/depth-{i}" for i in range(depth + 1)])
+        last = seen.where(F.col("depth") == depth).select("root", F.col("target").alias("stage"))
         fresh = last.join(edges, "stage").select("root", "target").distinct().join(
             seen.select("root", "target"), ["root", "target"], "left_anti")
-        fresh.withColumn("depth", F.lit(d)).write.parquet(f"{folder}/depth-{d}")
-        if spark.read.schema(seen.schema).parquet(f"{folder}/depth-{d}").isEmpty():
+        depth += 1
+        fresh.withColumn("depth", F.lit(depth)).write.parquet(f"{folder}/depth-{depth}")
+        if spark.read.schema(schema).parquet(f"{folder}/depth-{depth}").isEmpty():
+            return seen
+
+
+#: Steps along edges that one written round takes.
+STEPS = 4
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges left when those from a stage without predecessor, or to one without successor, go until none does."""
+    before = edges.count()
+    while before:
+        for _ in range(STEPS):
+            edges = edges.join(edges.select(F.col("target").alias("stage")).distinct(), "stage", "left_semi")
+            edges = edges.join(edges.select(F.col("stage").alias("target")).distinct(), "target", "left_semi")
+        edges = materialise(edges.select("stage", "target"), "edges")
+        now = edges.count()
+        if now == before:
             break
-    return spark.read.schema(seen.schema).parquet(*[f"{folder}/depth-{i}" for i in range(d + 1)])
-
-
-def on_cycle(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """Stages that can reach themselves."""
-    starts = edges.select(F.col("stage")).distinct()
-    reach = reachable(edges, starts, max_depth)
-    back = reach.select("root", F.col("target").alias("stage")).join(edges.select("stage", "target"), "stage")
-    return back.where(F.col("target") == F.col("root")).select(F.col("root").alias("stage")).distinct()
+        before = now
+    return edges
+
+
+def _least_ancestors(edges: DataFrame) -> DataFrame:
+    """(stage, label): the smallest stage from which each stage can be reached, itself included."""
+    stages = edges.select("stage").union(edges.select("target")).distinct()
+    labels = materialise(stages.withColumn("label", F.col("stage")), "labels")
+    while True:
+        new = labels
+        for _ in range(STEPS):
+            passed = edges.join(new, "stage").select(F.col("target").alias("stage"), "label")
+            new = new.union(passed).groupBy("stage").agg(F.min("label").alias("label"))
+        new = materialise(new, "labels")
+        if new.join(labels, ["stage", "label"], "left_anti").isEmpty():
+            return new
+        labels = new
+
+
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """Stages that can reach themselves, found without listing what reaches what.
+
+    Stages off all cycles are trimmed as far as possible. Every stage then gets the smallest stage that reaches it as its
+    label; the stages that reach the one named by their label, within that label, form a strongly connected part. The
+    parts found go, and the rest is looked at again.
+    """
+    live = _trimmed(materialise(edges.select("stage", "target").where("stage IS NOT NULL AND target IS NOT NULL").distinct(), "edges"))
+    found = None
+    while not live.isEmpty():
+        labels = _least_ancestors(live)
+        inner = (live.join(labels, "stage").join(labels.select(F.col("stage").alias("target"), F.col("label").alias("_to")), "target")
+                 .where("label = _to").select("stage", "target"))
+        inner = materialise(inner, "inner")
+        part = materialise(labels.where("stage = label").select("stage"), "part")
+        while True:
+            new = part
+            for _ in range(STEPS):
+                new = new.union(inner.join(new.withColumnRenamed("stage", "target"), "target").select("stage")).distinct()
+            new = materialise(new, "part")
+            if new.count() == part.count():
+                break
+            part = new
+        ends = part.withColumnRenamed("stage", "target")
+        own = materialise(inner.join(part, "stage", "left_semi").join(ends, "target", "left_semi").select("stage").distinct(), "own")
+        found = own if found is None else found.union(own)
+        live = _trimmed(materialise(live.join(part, "stage", "left_anti").join(ends, "target", "left_anti")
+                                    .select("stage", "target"), "edges"))
+    return edges.select("stage").limit(0) if found is None else found
 
 
 def delegations(agents: DataFrame, scopes: dict[str, list[str]], orchestrator: str, hours: int = 24) -> DataFrame:

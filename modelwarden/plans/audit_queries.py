@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from modelwarden.functions import maps, text
@@ -353,12 +354,25 @@ def lineage_pairs(spark, sf):
 
 
 @query("lineage_roots", with_ctes(ESCALATED_SQL, _POSITIONS_SQL) + """
-SELECT id, first_value(id) OVER (PARTITION BY trace_id ORDER BY position) AS root, position - 1 AS depth FROM pos""")
+SELECT id, first_value(id) OVER (PARTITION BY trace_id ORDER BY position) AS root, position - 1 AS depth, FALSE AS cyclic FROM pos""")
 def lineage_roots(spark, sf):
     pos = audit.positions(escalated_decisions(spark, sf).select("trace_id", "timestamp", "id", "agent_name"))
     return audit.lineage_roots(pos.select("id", F.col("previous_decision_id").alias("parent")))
 
 
+# Orders follow the order of the next smaller number in their block of 16; the first of every fourth block follows the last.
+@query("lineage_with_cycles", """
+WITH o AS (SELECT o_orderkey AS id, o_orderkey // 16 AS b FROM orders),
+l AS (SELECT *, min(id) OVER (PARTITION BY b) AS first, row_number() OVER (PARTITION BY b ORDER BY id) - 1 AS depth FROM o)
+SELECT id, CASE WHEN b % 4 <> 0 THEN first END AS root, CASE WHEN b % 4 <> 0 THEN depth END AS depth, b % 4 = 0 AS cyclic FROM l""")
+def lineage_with_cycles(spark, sf):
+    block = F.expr("CAST(o_orderkey DIV 16 AS BIGINT)")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("bigint").alias("id"), block.alias("b"))
+    w = Window.partitionBy("b")
+    last = F.when(F.col("b") % 4 == 0, F.max("id").over(w))
+    return audit.lineage_roots(o.select("id", F.coalesce(F.lag("id").over(w.orderBy("id")), last).alias("parent")))
+
+
 @query("reasoning_prompts", with_ctes(DECISIONS_SQL) + """
 SELECT id, 'Agent: ' || agent_name || chr(10) || 'Action: ' || action || chr(10) || chr(10) || 'Observations:' || chr(10) || '- ' || obs1 || chr(10) || '- ' || obs2 || chr(10) || chr(10)
   || 'Context:' || chr(10) || '{"trace_id":"' || trace_id || '","approved":' || CASE WHEN approved THEN 'true' ELSE 'false' END || '}' || chr(10) || chr(10)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from modelwarden.operators import audit, gates, routing
@@ -39,8 +40,7 @@ SELECT t.type, p.pattern, p.handler, n * c AS deliveries FROM t JOIN p ON (p.pat
   OR (p.pattern = 'model.deploy.r[!a]llback' AND regexp_full_match(t.type, 'model\\.deploy\\.r[^a]llback')) OR (p.pattern = 'human.*' AND t.type LIKE 'human.%')""")
 def event_routing(spark, sf):
     ev = decisions(spark, sf).select("id", F.col("action").alias("type"))
-    out = routing.route_events(ev, routing.active_subscriptions(_subscription_log(spark, sf)))
-    return out.groupBy("type", "pattern", "handler").agg(F.count(F.lit(1)).alias("deliveries"))
+    return routing.delivery_counts(ev, routing.active_subscriptions(_subscription_log(spark, sf)))
 
 
 @query("event_routing_rows", with_ctes(ESCALATED_SQL, """
@@ -116,7 +116,7 @@ def next_stage(spark, sf):
 
 @query("stage_reachability", """
 WITH RECURSIVE """ + _STAGES_SQL.strip() + """,
-r AS (SELECT 'c1' AS target, 0 AS depth UNION SELECT e.target, r.depth + 1 FROM r JOIN edges e ON e.stage = r.target WHERE r.depth < 20)
+r AS (SELECT 'c1' AS target, 0 AS depth UNION SELECT e.target, r.depth + 1 FROM r JOIN edges e ON e.stage = r.target WHERE r.depth <= (SELECT count(*) FROM stages))
 SELECT 'c1' AS root, target, min(depth) AS depth FROM r GROUP BY 2""")
 def stage_reachability(spark, sf):
     s = _stages(spark, sf)
@@ -131,6 +131,37 @@ def stage_cycles(spark, sf):
     return routing.on_cycle(routing.observed_transitions(pos).select("stage", "target"))
 
 
+# Suppliers in rings of up to 33 (the next number in the same block of 33, the last one back to the first), blocks apart;
+# the even blocks lack the way back. The deepest chain has 32 steps.
+_RINGS_SQL = """
+n AS (SELECT s_suppkey AS k, (s_suppkey - 1) // 33 AS b FROM supplier),
+edges AS (SELECT k AS stage, coalesce(lead(k) OVER (PARTITION BY b ORDER BY k), CASE WHEN b % 2 = 1 THEN min(k) OVER (PARTITION BY b) END) AS target, b FROM n
+          UNION ALL SELECT min(k), max(k) + 1, b FROM n GROUP BY b)"""
+
+
+def _ring_edges(spark, sf):
+    k, size = F.col("s_suppkey"), 33
+    block = F.expr("CAST((s_suppkey - 1) DIV 33 AS BIGINT)")
+    n = table(spark, sf, "supplier").select(k.cast("bigint").alias("k"), block.alias("b"))
+    w = Window.partitionBy("b")
+    back = F.when(F.col("b") % 2 == 1, F.min("k").over(w))
+    ring = n.select(F.col("k").alias("stage"), F.coalesce(F.lead("k").over(w.orderBy("k")), back).alias("target"))
+    on = n.groupBy("b").agg(F.min("k").alias("stage"), (F.max("k") + 1).alias("target")).select("stage", "target")
+    return ring.where("target IS NOT NULL").union(on).select(F.col("stage").cast("string"), F.col("target").cast("string"))
+
+
+@query("stage_rings", f"WITH {_RINGS_SQL.strip()} SELECT CAST(k AS VARCHAR) AS stage FROM n WHERE b % 2 = 1")
+def stage_rings(spark, sf):
+    return routing.on_cycle(_ring_edges(spark, sf))
+
+
+@query("stage_chain", f"""WITH RECURSIVE {_RINGS_SQL.strip()},
+r AS (SELECT 1::BIGINT AS target, 0 AS depth UNION SELECT e.target, r.depth + 1 FROM r JOIN edges e ON e.stage = r.target WHERE e.target IS NOT NULL AND r.depth <= (SELECT count(*) FROM n))
+SELECT '1' AS root, CAST(target AS VARCHAR) AS target, min(depth) AS depth FROM r GROUP BY 2""")
+def stage_chain(spark, sf):
+    return routing.reachable(_ring_edges(spark, sf), spark.createDataFrame([("1",)], "stage string"))
+
+
 @query("observed_transitions", with_ctes(DECISIONS_SQL, """
 t AS (SELECT agent_name AS target, lag(agent_name) OVER (PARTITION BY trace_id ORDER BY "timestamp", id) AS stage FROM decisions)""") + """
 SELECT stage, target, count(*) AS n FROM t WHERE stage IS NOT NULL GROUP BY 1, 2""")

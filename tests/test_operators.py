@@ -230,10 +230,11 @@ def test_pipeline_traces(trail, spark):
 
 
 def test_lineage(spark, rows):
-    links = spark.createDataFrame([(f"d{i}", f"d{i - 1}" if i else None) for i in range(9)] + [("x", "gone"), ("c1", "c2"), ("c2", "c1")],
+    links = spark.createDataFrame([(f"d{i}", f"d{i - 1}" if i else None) for i in range(9)] + [("x", "gone"), ("c1", "c2"), ("c2", "c1"), ("in", "c1")],
                                   "id string, parent string")
-    got = {r.id: (r.root, r.depth) for r in audit.lineage_roots(links, max_rounds=6).collect()}
-    assert got == {f"d{i}": ("d0", i) for i in range(9)} | {"x": ("x", 0)}
+    got = {r.id: (r.root, r.depth, r.cyclic) for r in audit.lineage_roots(links).collect()}
+    cyclic = {i: (None, None, True) for i in ("c1", "c2", "in")}
+    assert got == {f"d{i}": ("d0", i, False) for i in range(9)} | {"x": ("x", 0, False)} | cyclic
 
 
 def test_payload(trail, spark, rows):
@@ -277,6 +278,10 @@ def test_stages(spark, rows):
     reach = routing.reachable(edges, st.where("stage = 'validate'"))
     assert rows(reach, "target", "depth") == [("alert_human", 1), ("evaluate", 2), ("train", 1), ("validate", 0)]
     assert rows(routing.on_cycle(edges), "stage") == [("evaluate",), ("train",)]
+    pairs = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 5), (6, 7), (8, 1), (9, 9), (9, 10), (2, 11), (11, 2)]
+    graph = spark.createDataFrame(pairs, "stage int, target int")
+    assert rows(routing.on_cycle(graph), "stage") == [(i,) for i in (1, 11, 2, 3, 5, 6, 9)]
+    assert routing.on_cycle(graph.where("stage > 9")).count() == 0
 
 
 def test_delegations(spark, rows):

@@ -14,9 +14,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "conversations").split()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
          "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
-# Patterns against distinct event types; a size range over a handful of recursion steps; one row per
-# model version, whose name is a constant.
-NESTED_LOOPS = {"event_routing", "sql_recursive", "forest_train_score"}
+# A size range over a handful of recursion steps; one row per model version, whose name is a constant.
+NESTED_LOOPS = {"sql_recursive", "forest_train_score"}
 QUERIES, CHECK = entry_module.queries(), entry_module.oracle_sql()
 
 
