@@ -86,6 +86,13 @@ def completion_events(outcomes: DataFrame) -> DataFrame:
         kind.alias("type"), F.lit("orchestrator").alias("source"), "trace_id", payload.alias("payload"))
 
 
+def start_events(traces: DataFrame, pipeline: str) -> DataFrame:
+    """The event that opens a run, from traces (trace_id, entry_stage)."""
+    payload = F.to_json(F.struct(F.lit(pipeline).alias("pipeline"), "entry_stage"))
+    return traces.select(F.lit("pipeline.started").alias("type"), F.lit("orchestrator").alias("source"), "trace_id",
+                         payload.alias("payload"))
+
+
 def capped(decisions: DataFrame, max_stages: int = MAX_STAGES) -> DataFrame:
     """The first max_stages decisions of each trace. Tasks drop the rest before the shuffle."""
     w = W.partitionBy("trace_id").orderBy("timestamp", "id")

@@ -178,6 +178,42 @@ def model_gate(
     )
 
 
+def canary_start(df: DataFrame, traffic_pct: int = 5) -> DataFrame:
+    """Decision to start a canary: approved unless the deployment failed, which goes to a human.
+
+    Columns: model_name, model_version, endpoint_id (empty if nothing served it), endpoint_status, error (null if none).
+    """
+    failed, served = F.col("error").isNotNull(), F.coalesce("endpoint_id", F.lit("")) != ""
+    result = (
+        F.when(failed, F.concat(F.lit("Canary deployment failed: "), "error"))
+        .when(served, F.concat(F.lit("Canary endpoint created: "), "endpoint_id", F.lit(" (status: "), "endpoint_status", F.lit(")")))
+        .otherwise("No serving backend: nothing was deployed"))
+    head = F.concat(F.lit("Deploying "), "model_name", F.lit("/"), "model_version", F.lit(f" as canary ({traffic_pct}% traffic)"))
+    return df.withColumns({
+        "action": F.lit("model.deploy.canary"), "approved": ~failed, "observations": F.array(head, result),
+        "artifacts": F.when(failed, F.create_map().cast("map<string,string>")).otherwise(F.create_map(
+            F.lit("endpoint_id"), F.coalesce("endpoint_id", F.lit("")), F.lit("model_name"), F.col("model_name"),
+            F.lit("model_version"), F.col("model_version"))),
+        "metadata": F.when(failed, F.lit("{}")).otherwise(F.lit(f'{{"canary_traffic_pct":{traffic_pct}}}')),
+        "escalate_to_human": failed,
+        "escalation_reason": F.when(failed, F.concat(F.lit("Canary deployment failed: "), "error")),
+    })
+
+
+def rollback(df: DataFrame) -> DataFrame:
+    """Decision to roll back an endpoint, approved whether or not its removal went well.
+
+    Columns: endpoint_id, removed (boolean, null if nothing served it), error.
+    """
+    head = F.concat(F.lit("Rolling back endpoint: "), "endpoint_id")
+    result = (F.when(F.col("error").isNotNull(), F.concat(F.lit("Rollback failed: "), "error"))
+              .when(F.col("removed"), F.lit("Canary endpoint removed")))
+    return df.withColumns({
+        "action": F.lit("model.rollback"), "approved": F.lit(True), "observations": F.array_compact(F.array(head, result)),
+        "artifacts": F.create_map(F.lit("endpoint_id"), F.col("endpoint_id")),
+    })
+
+
 def canary_gate(df: DataFrame, max_error_rate: float = 0.05, max_latency_p99_ms: float = 200.0) -> DataFrame:
     """Promote when error rate and p99 are within limits, else roll back. Missing metrics are not approved."""
     err, p99 = F.col("error_rate"), F.col("latency_p99_ms")

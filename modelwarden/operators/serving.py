@@ -19,20 +19,13 @@ def server_error(code: Column) -> Column:
     return F.startswith(F.coalesce(code.cast("string"), F.lit("200")), F.lit("5"))
 
 
-def metric_columns(code: str = "response_code", latency: str = "latency_ms", accuracy: int = ACCURACY) -> list[Column]:
-    """Aggregates of one endpoint window. Percentiles are exact up to `accuracy` rows per group, then
-    within 1/accuracy of the rank; their state is bounded, so hot endpoints combine map-side."""
-    p = F.percentile_approx(latency, list(PERCENTILES.values()), accuracy)
-    return [
-        F.count(F.lit(1)).alias("request_count"),
-        F.count_if(server_error(F.col(code))).alias("error_count"),
-        p.alias("_p"),
-    ]
-
-
-def finish_metrics(agg: DataFrame) -> DataFrame:
+def _sketched(requests: DataFrame, by: Sequence[str | Column], code: str, latency: str) -> DataFrame:
+    """Counts, and percentiles from bounded sketches that combine map-side: within 1/ACCURACY of the rank."""
+    agg = requests.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("request_count"), F.count_if(server_error(F.col(code))).alias("error_count"),
+        F.percentile_approx(latency, list(PERCENTILES.values()), ACCURACY).alias("_p"))
     out = agg.withColumn("error_rate", safe_ratio(F.col("error_count"), F.col("request_count")))
-    return out.withColumns({name: F.col("_p")[i] for i, name in enumerate(PERCENTILES)}).drop("_p")
+    return out.withColumns({f"approx_{name}": F.col("_p")[i] for i, name in enumerate(PERCENTILES)}).drop("_p")
 
 
 def endpoint_metrics(
@@ -41,13 +34,12 @@ def endpoint_metrics(
 ) -> DataFrame:
     """Request and error counts, error rate and latency percentiles per key.
 
-    exact: requests are counted per latency value and the counts cumulated, which shuffles one row per
-    distinct value; decisions use this. Otherwise percentiles come from bounded sketches combined
-    map-side (see `metric_columns`): one small shuffle, for reports over very large tables.
+    exact: requests are counted per latency value and the counts cumulated, which shuffles one row per distinct
+    value. Otherwise the percentiles are called approx_* and come from sketches.
     """
     keys = list(keys)
     if not exact:
-        return finish_metrics(requests.groupBy(*keys).agg(*metric_columns(code, latency)))
+        return _sketched(requests, keys, code, latency)
     counts = requests.groupBy(*keys, latency).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(server_error(F.col(code))).alias("_e"))
     also = {"request_count": "_n", "error_count": "_e"}
@@ -58,16 +50,17 @@ def endpoint_metrics(
 def windowed_metrics(
     requests: DataFrame, keys: Sequence[str], width: str = "15 minutes", slide: str | None = None, ts: str = "ts",
 ) -> DataFrame:
-    """Tumbling or sliding endpoint metrics with flat window_start / window_end. Batch and streaming.
+    """Tumbling or sliding endpoint metrics with flat window_start / window_end.
 
-    Percentiles come from bounded sketches (see `metric_columns`), as a stream needs them.
+    A batch gets exact percentiles. A stream, whose state must stay bounded, gets sketches named approx_*.
     """
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    out = finish_metrics(requests.groupBy(w.alias("w"), *keys).agg(*metric_columns()))
-    rest = [c for c in out.columns if c not in ("w", *keys)]
-    return out.select(
-        *keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *rest
-    )
+    bounds = [F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end")]
+    if requests.isStreaming:
+        out = _sketched(requests, [w.alias("w"), *keys], "response_code", "latency_ms")
+        return out.select(*keys, *bounds, *[c for c in out.columns if c not in ("w", *keys)])
+    placed = requests.select(w.alias("w"), *keys, "response_code", "latency_ms").select(*keys, *bounds, "response_code", "latency_ms")
+    return endpoint_metrics(placed, [*keys, "window_start", "window_end"])
 
 
 def sessions(

@@ -89,6 +89,14 @@ def completion_events(spark, sf):
     return audit.completion_events(audit.trace_outcome(_short(spark, sf)))
 
 
+@query("start_events", with_ctes(DECISIONS_SQL) + """
+SELECT 'pipeline.started' AS type, 'orchestrator' AS source, trace_id, '{"pipeline":"nightly","entry_stage":"' || arg_min(agent_name, ("timestamp", id)) || '"}' AS payload
+FROM decisions GROUP BY trace_id""")
+def start_events(spark, sf):
+    first = decisions(spark, sf).groupBy("trace_id").agg(F.min_by("agent_name", F.struct("timestamp", "id")).alias("entry_stage"))
+    return audit.start_events(first, "nightly")
+
+
 _POSITIONS_SQL = """
 pos AS (SELECT *, row_number() OVER w AS position, lag(agent_name) OVER w AS previous_stage, lag(id) OVER w AS previous_decision_id
         FROM esc WINDOW w AS (PARTITION BY trace_id ORDER BY "timestamp", id))"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from modelwarden.operators import evaluation, gates, quality, serving
@@ -24,7 +25,7 @@ def _rounded(df):
 SELECT endpoint_id, date_trunc('day', ts) AS day, {_METRICS_SQL} FROM requests GROUP BY 1, 2""")
 def endpoint_metrics_daily(spark, sf):
     r = requests(spark, sf).withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
-    return _rounded(serving.endpoint_metrics(r, ["endpoint_id", "day"], exact=False))
+    return _rounded(serving.endpoint_metrics(r, ["endpoint_id", "day"]))
 
 
 @query("endpoint_metrics_15m", with_ctes(REQUESTS_SQL) + f"""
@@ -111,6 +112,46 @@ def canary_start_rows(spark, sf):
     return serving.canary_rows(models(spark, sf)).drop("traffic_split")
 
 
+_STARTS_SQL = """
+starts AS (SELECT model_name, version AS model_version, CASE WHEN hash3 = 0 THEN NULL ELSE model_name || '-canary' END AS endpoint_id,
+  CASE WHEN hash3 = 1 THEN 'no capacity' END AS error FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY version) % 3 AS hash3 FROM models))"""
+
+
+@query("canary_start", with_ctes(MODELS_SQL, _STARTS_SQL) + """
+SELECT model_name, model_version, 'model.deploy.canary' AS action, error IS NULL AS approved, error IS NOT NULL AS escalate_to_human,
+  CASE WHEN error IS NOT NULL THEN 'Canary deployment failed: ' || error END AS escalation_reason,
+  CASE WHEN error IS NOT NULL THEN '{}' ELSE '{"canary_traffic_pct":5}' END AS metadata,
+  CASE WHEN error IS NULL THEN coalesce(endpoint_id, '') || '|' || model_name || '|' || model_version END AS artifacts,
+  'Deploying ' || model_name || '/' || model_version || ' as canary (5% traffic);' ||
+  CASE WHEN error IS NOT NULL THEN 'Canary deployment failed: ' || error
+       WHEN endpoint_id IS NOT NULL THEN 'Canary endpoint created: ' || endpoint_id || ' (status: creating)'
+       ELSE 'No serving backend: nothing was deployed' END AS observations FROM starts""")
+def canary_start(spark, sf):
+    """Every third version of a model finds no backend, every third fails to deploy."""
+    w = Window.partitionBy("model_name").orderBy("version")
+    m = models(spark, sf).select("model_name", "version", (F.row_number().over(w) % 3).alias("k"))
+    starts = m.select("model_name", F.col("version").alias("model_version"), F.lit("creating").alias("endpoint_status"),
+                      F.when(F.col("k") != 0, F.concat("model_name", F.lit("-canary"))).alias("endpoint_id"),
+                      F.when(F.col("k") == 1, "no capacity").alias("error"))
+    out = gates.canary_start(starts)
+    parts = [F.col("artifacts")[k] for k in ("endpoint_id", "model_name", "model_version")]
+    return out.select(
+        "model_name", "model_version", "action", "approved", "escalate_to_human", "escalation_reason", "metadata",
+        F.when(F.size("artifacts") > 0, F.concat_ws("|", *parts)).alias("artifacts"), F.array_join("observations", ";").alias("observations"))
+
+
+@query("rollback", """
+SELECT 'ep-' || CAST(s_suppkey AS VARCHAR) AS endpoint_id, 'model.rollback' AS action, TRUE AS approved, 'ep-' || CAST(s_suppkey AS VARCHAR) AS artifact,
+  'Rolling back endpoint: ep-' || CAST(s_suppkey AS VARCHAR) || CASE WHEN s_acctbal < 0 THEN ';Rollback failed: gone' WHEN s_nationkey % 2 = 0 THEN ';Canary endpoint removed' ELSE '' END AS observations
+FROM supplier""")
+def rollback(spark, sf):
+    s = table(spark, sf, "supplier").select(
+        F.concat(F.lit("ep-"), F.col("s_suppkey").cast("string")).alias("endpoint_id"),
+        F.when(F.col("s_nationkey") % 2 == 0, True).alias("removed"), F.when(F.col("s_acctbal") < 0, "gone").alias("error"))
+    return gates.rollback(s).select("endpoint_id", "action", "approved", F.col("artifacts")["endpoint_id"].alias("artifact"),
+                                    F.array_join("observations", ";").alias("observations"))
+
+
 @query("measured_over_payload", with_ctes(REQUESTS_SQL, f"""
 m AS (SELECT endpoint_id, {_METRICS_SQL} FROM requests GROUP BY 1),
 p AS (SELECT 'e' || CAST(s_nationkey AS VARCHAR) AS endpoint_id, nullif(avg(CAST(s_acctbal < 0 AS DOUBLE)), 0.0) AS error_rate, max(s_acctbal) AS latency_p99_ms FROM supplier GROUP BY 1)""") + """

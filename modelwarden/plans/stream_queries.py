@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modelwarden.operators import gates
+from modelwarden.operators.serving import PERCENTILES
 from modelwarden.plans.catalog import query
-from modelwarden.plans.serving_queries import _METRICS_SQL
 from modelwarden.plans.views import DECISIONS_SQL, ESCALATED_SQL, REQUESTS_SQL, decision_columns, request_columns, table, with_ctes
 from modelwarden.session import work_dir
 from modelwarden.streaming import streams
@@ -32,21 +32,43 @@ def _plain(df, *columns):
     return df
 
 
+#: Share of a window's rows by which the rank of an approximate percentile may be off.
+RANK_TOLERANCE = 0.001
+_COUNTS_SQL = """
+  count(*) AS request_count, count(*) FILTER (WHERE response_code LIKE '5%') AS error_count,
+  round(CAST(count(*) FILTER (WHERE response_code LIKE '5%') AS DOUBLE) / greatest(count(*), 1), 9) AS error_rate,
+  CAST(count(latency_ms) AS BIGINT) AS ranked, TRUE AS ranks_ok"""
+
+
+def _ranked(spark, sf, out, width, slide=None):
+    """The stream's windows with whether each percentile's rank among the window's rows is within the tolerance."""
+    w = F.window("ts", width, slide) if slide else F.window("ts", width)
+    rows = request_columns(table(spark, sf, "events")).select("endpoint_id", w.start.alias("window_start"), "latency_ms")
+    rows = _plain(rows, "window_start")
+    out = _plain(out, "window_start", "window_end")
+    keys = ["endpoint_id", "window_start", "window_end", "request_count", "error_count", "error_rate"]
+    names = {f"approx_{k}": p for k, p in PERCENTILES.items()}
+    ranks = out.join(rows, ["endpoint_id", "window_start"]).groupBy(*keys).agg(
+        F.count("latency_ms").alias("ranked"), *[F.count_if(F.col("latency_ms") < F.col(c)).alias(f"lt_{c}") for c in names],
+        *[F.count_if(F.col("latency_ms") <= F.col(c)).alias(f"le_{c}") for c in names])
+    n = F.col("ranked")
+    fits = [(F.col(f"lt_{c}") < p * n + RANK_TOLERANCE * n + 1) & (F.col(f"le_{c}") > p * n - RANK_TOLERANCE * n - 1) for c, p in names.items()]
+    return ranks.select(*keys, "ranked", (fits[0] & fits[1] & fits[2]).alias("ranks_ok")).withColumn("error_rate", F.round("error_rate", 9))
+
+
 @query("stream_tumbling", with_ctes(REQUESTS_SQL) + f"""
-SELECT endpoint_id, time_bucket(INTERVAL 6 HOURS, ts) AS window_start, time_bucket(INTERVAL 6 HOURS, ts) + INTERVAL 6 HOURS AS window_end, {_METRICS_SQL} FROM requests GROUP BY 1, 2, 3""")
+SELECT endpoint_id, time_bucket(INTERVAL 6 HOURS, ts) AS window_start, time_bucket(INTERVAL 6 HOURS, ts) + INTERVAL 6 HOURS AS window_end, {_COUNTS_SQL} FROM requests GROUP BY 1, 2, 3""")
 def stream_tumbling(spark, sf):
     w = streams.endpoint_windows(request_columns(_events(spark, sf)), ["endpoint_id"], "6 hours")
-    out = _run(spark, w, ["endpoint_id", "window_start", "window_end"])
-    return _plain(out, "window_start", "window_end").withColumn("error_rate", F.round("error_rate", 9))
+    return _ranked(spark, sf, _run(spark, w, ["endpoint_id", "window_start", "window_end"]), "6 hours")
 
 
 @query("stream_sliding", with_ctes(REQUESTS_SQL, """
 slid AS (SELECT r.*, time_bucket(INTERVAL 6 HOURS, ts) - o.k * INTERVAL 6 HOURS AS window_start FROM requests r CROSS JOIN (SELECT unnest(range(0, 4)) AS k) o)""") + f"""
-SELECT endpoint_id, window_start, window_start + INTERVAL 24 HOURS AS window_end, {_METRICS_SQL} FROM slid GROUP BY 1, 2""")
+SELECT endpoint_id, window_start, window_start + INTERVAL 24 HOURS AS window_end, {_COUNTS_SQL} FROM slid GROUP BY 1, 2""")
 def stream_sliding(spark, sf):
     w = streams.endpoint_windows(request_columns(_events(spark, sf)), ["endpoint_id"], "24 hours", "6 hours")
-    out = _run(spark, w, ["endpoint_id", "window_start", "window_end"])
-    return _plain(out, "window_start", "window_end").withColumn("error_rate", F.round("error_rate", 9))
+    return _ranked(spark, sf, _run(spark, w, ["endpoint_id", "window_start", "window_end"]), "24 hours", "6 hours")
 
 
 @query("stream_sessions")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +45,19 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, purpose: str) -> DataFrame:
+def materialise(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: cuts lineage, and survives a lost executor."""
     path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more, and let Spark clean the shuffles of finished steps."""
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            target = jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    gc.collect()
+    jvm.System.gc()

@@ -86,7 +86,9 @@ def session_counts(events: DataFrame, keys: Sequence[str], gap: str, delay: str
 
 def continuous_health(requests: DataFrame, keys: Sequence[str], width: str = "15 minutes", **limits) -> DataFrame:
     """Health gate on every endpoint window: a streaming aggregate followed by stateless columns."""
-    return gates.health_gate(endpoint_windows(requests, keys, width), **limits)
+    windows = endpoint_windows(requests, keys, width)
+    named = windows.withColumnsRenamed({c: c.removeprefix("approx_") for c in windows.columns})
+    return gates.health_gate(named, **limits)
 
 
 def continuous_feedback(feedback: DataFrame, keys: Sequence[str], interval: str = "1 hour", delay: str = "1 hour", **limits) -> DataFrame:

@@ -34,7 +34,8 @@ def test_windows_equal_batch(spark, feed, tmp_path, rows):
     w = streams.endpoint_windows(renamed(stream), ["endpoint_id"], delay="2 days")
     streams.run_available(w, streams.batch_sink(f"{tmp_path}/out"), f"{tmp_path}/ck", "update")
     got = streams.latest_result(spark, f"{tmp_path}/out", w.schema, ["endpoint_id", "window_start", "window_end"])
-    assert rows(got.select(*w.columns)) == rows(serving.windowed_metrics(renamed(batch), ["endpoint_id"]).select(*w.columns))
+    exact = serving.windowed_metrics(renamed(batch), ["endpoint_id"])  # windows of few rows, where sketches are exact too
+    assert rows(got.select(*w.columns)) == rows(exact.select(*[c.removeprefix("approx_") for c in w.columns]))
 
 
 def test_unique(spark, feed, tmp_path):
