@@ -65,17 +65,19 @@ def recent_status(decisions: DataFrame, last: int = 50, traces: int = 10) -> Dat
 
 
 def trace_outcome(decisions: DataFrame, max_stages: int = MAX_STAGES) -> DataFrame:
-    """Status per trace: escalated, else failed (stage limit reached or anything rejected), else completed."""
-    per = decisions.groupBy("trace_id").agg(
-        F.count(F.lit(1)).alias("stages_executed"),
-        F.bool_or("escalate_to_human").alias("_esc"), F.bool_and("approved").alias("_all"),
-    )
+    """Status per trace: escalated, else failed (stage limit reached or anything rejected), else completed.
+
+    A run ends at its first escalation or at the stage limit, in time order; what comes later is not looked at.
+    """
+    per = capped(decisions, max_stages).groupBy("trace_id").agg(
+        F.max("stage_no").cast("bigint").alias("_n"), F.bool_and("approved").alias("_all"),
+        F.min(F.when(F.col("escalate_to_human"), F.col("stage_no"))).cast("bigint").alias("_esc"))
+    stages = F.coalesce("_esc", "_n")
     status = (
-        F.when(F.col("_esc"), "escalated")
-        .when((F.col("stages_executed") >= max_stages) | ~F.col("_all"), "failed")
+        F.when(F.col("_esc").isNotNull(), "escalated").when((F.col("_n") >= max_stages) | ~F.col("_all"), "failed")
         .otherwise("completed")
     )
-    return per.select("trace_id", "stages_executed", F.col("stages_executed").alias("decisions"), status.alias("status"))
+    return per.select("trace_id", stages.alias("stages_executed"), stages.alias("decisions"), status.alias("status"))
 
 
 def completion_events(outcomes: DataFrame) -> DataFrame:

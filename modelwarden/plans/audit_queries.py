@@ -64,8 +64,11 @@ def recent_status(spark, sf):
     return audit.recent_status(escalated_decisions(spark, sf))
 
 
+# Only the first 20 stages count, and none after the first escalation.
 _OUTCOME_SQL = """
-out AS (SELECT trace_id, count(*) AS n, CASE WHEN bool_or(escalate_to_human) THEN 'escalated' WHEN count(*) >= 20 OR NOT bool_and(approved) THEN 'failed' ELSE 'completed' END AS status FROM {src} GROUP BY 1)"""
+runs AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY "timestamp", id) AS r FROM {src}),
+ends AS (SELECT trace_id, min(r) FILTER (WHERE escalate_to_human AND r <= 20) AS e, least(count(*), 20) AS m, bool_and(approved) FILTER (WHERE r <= 20) AS ok FROM runs GROUP BY 1),
+out AS (SELECT trace_id, coalesce(e, m) AS n, CASE WHEN e IS NOT NULL THEN 'escalated' WHEN m >= 20 OR NOT ok THEN 'failed' ELSE 'completed' END AS status FROM ends)"""
 # Short runs: one trace per user, event type and day, so that all outcomes occur.
 _SHORT_SQL = """
 short AS (SELECT * REPLACE (trace_id || '-' || event_type || '-' || strftime("timestamp", '%Y%m%d') AS trace_id) FROM esc)"""
@@ -250,10 +253,7 @@ def event_store(spark, sf):
 SELECT id, CASE WHEN value < 5 THEN false ELSE approved END AS approved, CASE WHEN value < 5 THEN 0.0 ELSE confidence END AS confidence, value < 5 AS escalate_to_human,
   CASE WHEN value < 5 THEN 'Unhandled error in cicd: missing input of user ' || CAST(user_id AS VARCHAR) END AS escalation_reason FROM decisions""")
 def error_rows(spark, sf):
-    d = decisions(spark, sf)
-    small = table(spark, sf, "events").select(
-        F.concat(F.lit("d"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("id"), (F.col("value") < 5).alias("missing"))
-    joined = d.join(small, "id")
+    joined = decisions(spark, sf, "value").withColumn("missing", F.col("value") < 5)
     msg = F.concat(F.lit("missing input of "), F.col("reasoning.observations")[1])
     return gates.error_decisions(joined, F.col("missing"), msg, "cicd").select(
         "id", "approved", _CONF, "escalate_to_human", "escalation_reason")
@@ -262,11 +262,9 @@ def error_rows(spark, sf):
 @query("valid_decisions", with_ctes(DECISIONS_SQL) + """
 SELECT id, confidence * 1.25 AS confidence FROM decisions WHERE confidence * 1.25 BETWEEN 0 AND 1 AND value > 3""")
 def valid_decisions(spark, sf):
-    d = decisions(spark, sf)
+    d = decisions(spark, sf, "value")
     shifted = d.withColumn("reasoning", F.col("reasoning").withField("confidence", F.col("reasoning.confidence") * 1.25))
-    e = table(spark, sf, "events").select(
-        F.concat(F.lit("d"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("id"), "value")
-    blank = shifted.join(e, "id").withColumn("action", F.when(F.col("value") > 3, F.col("action")))
+    blank = shifted.withColumn("action", F.when(F.col("value") > 3, F.col("action")))
     good, _ = gates.split_valid(blank)
     return good.select("id", _CONF)
 
@@ -321,9 +319,8 @@ def memory_rows(spark, sf):
 
 
 def _payload_columns(spark, sf):
-    e = table(spark, sf, "events")
-    return decisions(spark, sf).select("trace_id", "timestamp", "id", F.col("artifacts")["event_type"].alias("event_type"), "approved").join(
-        e.select(F.concat(F.lit("d"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("id"), "value"), "id").select(
+    d = decisions(spark, sf, "value").withColumn("event_type", F.col("artifacts")["event_type"])
+    return d.select(
         "trace_id", "timestamp", "id",
         F.when(F.col("event_type") == "click", F.col("value")).alias("f1"),
         F.when(F.col("event_type") == "error", F.col("id")).alias("failed_id"),

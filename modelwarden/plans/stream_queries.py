@@ -71,9 +71,13 @@ def stream_sliding(spark, sf):
     return _ranked(spark, sf, _run(spark, w, ["endpoint_id", "window_start", "window_end"]), "24 hours", "6 hours")
 
 
-@query("stream_sessions")
+@query("stream_sessions", """
+WITH lagged AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+numbered AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 12 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM lagged),
+done AS (SELECT user_id, s, min(ts) AS session_start, max(ts) + INTERVAL 12 HOURS AS session_end, count(*) AS n_events FROM numbered GROUP BY 1, 2)
+SELECT user_id, session_start, session_end, n_events FROM done WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_sessions(spark, sf):
-    """Closed sessions only: append mode leaves out sessions that the watermark has not passed."""
+    """Closed sessions: append mode emits those that the watermark has passed."""
     s = streams.session_counts(_events(spark, sf).select("user_id", "ts"), ["user_id"], "12 hours")
     return _plain(_run(spark, s, None, "append"), "session_start", "session_end")
 
@@ -99,9 +103,11 @@ def stream_feedback(spark, sf):
     return _plain(_run(spark, g, ["model_name", "window_start"]), "window_start")
 
 
-@query("stream_outcomes", with_ctes(ESCALATED_SQL) + """
-SELECT trace_id, least(count(*), 20) AS stages, CASE WHEN bool_or(escalate_to_human) THEN 'escalated' WHEN count(*) >= 20 THEN 'failed' ELSE 'running' END AS status,
-  arg_max(agent_name || '/' || action, ("timestamp", id)) AS last_action FROM esc GROUP BY 1""")
+@query("stream_outcomes", with_ctes(ESCALATED_SQL, """
+runs AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY "timestamp", id) AS r FROM esc),
+ends AS (SELECT trace_id, min(r) FILTER (WHERE escalate_to_human AND r <= 20) AS e, least(count(*), 20) AS m FROM runs GROUP BY 1)""") + """
+SELECT trace_id, coalesce(e, m) AS stages, CASE WHEN e IS NOT NULL THEN 'escalated' WHEN m >= 20 THEN 'failed' ELSE 'running' END AS status,
+  agent_name || '/' || action AS last_action FROM ends JOIN runs USING (trace_id) WHERE r = coalesce(e, m)""")
 def stream_outcomes(spark, sf):
     d = gates.escalate(decision_columns(_events(spark, sf)), {"deployment": 0.2}, 0.1)
     return _run(spark, streams.running_outcomes(d), ["trace_id"])
@@ -156,8 +162,9 @@ SELECT id, trace_id FROM decisions ORDER BY "timestamp" DESC, id DESC LIMIT 100"
 def stream_history(spark, sf):
     """The newest 100 decisions, kept over micro-batches of a few files each."""
     folder = work_dir(spark, "history")
-    table(spark, sf, "events").repartition(6, "event_id").write.parquet(f"{folder}/in")
-    d = decision_columns(streams.read_files(spark, f"{folder}/in", max_files=2)).select("id", "trace_id", "timestamp")
+    days = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    days.hint("rebalance", "day").write.partitionBy("day").parquet(f"{folder}/in")
+    d = decision_columns(streams.read_files(spark, f"{folder}/in", max_files=10)).select("id", "trace_id", "timestamp")
     schema = d.schema
     q = streams.run_available(d, streams.history_sink(f"{folder}/out", schema, 100), f"{folder}/checkpoint")
     last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"] > 0)
@@ -166,33 +173,34 @@ def stream_history(spark, sf):
 
 @query("stream_new_files", """
 SELECT 'feed' || CAST(o_custkey % 4 AS VARCHAR) AS dataset_name, count(*) AS num_rows, count(*) >= 3700 AS rows_ok,
-  avg(CAST(o_orderstatus = 'P' AS DOUBLE)) <= 0.34 AS nulls_ok, count(*) >= 3700 AND avg(CAST(o_orderstatus = 'P' AS DOUBLE)) <= 0.34 AS approved FROM orders GROUP BY 1""")
+  avg(CAST(o_orderstatus = 'P' AS DOUBLE)) <= 0.34 AS nulls_ok, count(*) >= 3700 AND avg(CAST(o_orderstatus = 'P' AS DOUBLE)) <= 0.34 AS approved,
+  CASE WHEN count(*) >= 3700 AND avg(CAST(o_orderstatus = 'P' AS DOUBLE)) <= 0.34 THEN count(*) ELSE 0 END AS appended FROM orders GROUP BY 1""")
 def stream_new_files(spark, sf):
-    """Files arrive per feed; every new file is profiled and gated."""
+    """Feeds arrive in a file per order month over many batches; each feed is gated once, and appended if accepted."""
     folder = work_dir(spark, "arrivals")
-    o = table(spark, sf, "orders").withColumn("o_orderstatus", F.nullif(F.col("o_orderstatus"), F.lit("P")))
-    o = o.withColumn("feed", F.concat(F.lit("feed"), (F.col("o_custkey") % 4).cast("string")))
-    o.hint("rebalance", "feed").write.partitionBy("feed").parquet(f"{folder}/in")
-    schema = spark.read.parquet(f"{folder}/in").schema
-    src = streams.read_files(spark, f"{folder}/in", schema=schema, max_files=2)
-    # one dataset per feed folder, whatever number of files the writer made of it
-    src = src.withColumn("file_path", F.col("feed"))
-    sink = streams.new_file_sink(f"{folder}/out", ["o_orderstatus", "o_orderpriority"], min_rows=3700, max_null_rate=0.34)
-    streams.run_available(src, sink, f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out").select("dataset_name", "num_rows", "rows_ok", "nulls_ok", "approved")
+    columns = ["o_orderstatus", "o_orderpriority"]
+    o = table(spark, sf, "orders").withColumn("o_orderstatus", F.nullif(F.col("o_orderstatus"), F.lit("P"))).withColumns({
+        "feed": F.concat(F.lit("feed"), (F.col("o_custkey") % 4).cast("string")), "year": F.year("o_orderdate")})
+    o.hint("rebalance", "feed", "year").write.partitionBy("feed", "year").parquet(f"{folder}/in")
+    src = streams.read_files(spark, f"{folder}/in", schema=spark.read.parquet(f"{folder}/in").schema, max_files=8)
+    streams.run_available(src, streams.arrivals_sink(f"{folder}/feed", columns, F.col("feed")), f"{folder}/checkpoint")
+    decided = streams.gate_arrivals(spark, f"{folder}/feed", columns, min_rows=3700, max_null_rate=0.34)
+    streams.accepted_arrivals(spark, f"{folder}/feed", decided).write.mode("append").parquet(f"{folder}/accepted")
+    kept = spark.read.schema("dataset_name string").parquet(f"{folder}/accepted").groupBy("dataset_name").agg(F.count(F.lit(1)).alias("n"))
+    return decided.join(kept, "dataset_name", "left").select(
+        "dataset_name", "num_rows", "rows_ok", "nulls_ok", "approved", F.coalesce("n", F.lit(0)).alias("appended"))
 
 
 @query("stream_late_rows", """
-SELECT 'all' AS side, count(*) AS n FROM events""")
+WITH m AS (SELECT max(ts) - INTERVAL 5 DAYS AS m FROM events WHERE event_id % 2 = 0)
+SELECT event_id, CASE WHEN event_id % 2 = 1 AND ts < m THEN 'late' ELSE 'on time' END AS side FROM events, m""")
 def stream_late_rows(spark, sf):
-    """Rows split into on time and late over two batches; together they are all rows."""
+    """Even events arrive first, then odd ones, of which those five days behind the newest so far are late."""
     folder = work_dir(spark, "late")
-    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    e.repartition(4, "event_id").write.parquet(f"{folder}/in")
-    src = streams.read_files(spark, f"{folder}/in", max_files=2)
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     sink = streams.late_split_sink(f"{folder}/ontime", f"{folder}/late", f"{folder}/marks", "ts", 86400 * 5)
-    streams.run_available(src, sink, f"{folder}/checkpoint")
-    both = spark.read.parquet(f"{folder}/ontime").unionByName(spark.read.parquet(f"{folder}/late"))
-    return both.groupBy(F.lit("all").alias("side")).agg(F.count(F.lit(1)).alias("n"))
-
-
+    for odd in (0, 1):
+        e.where(F.col("event_id") % 2 == odd).write.mode("append").parquet(f"{folder}/in")
+        streams.run_available(streams.read_files(spark, f"{folder}/in"), sink, f"{folder}/checkpoint")
+    sides = [spark.read.parquet(f"{folder}/{k}").select("event_id", F.lit(v).alias("side")) for k, v in (("ontime", "on time"), ("late", "late"))]
+    return sides[0].unionByName(sides[1])

@@ -56,8 +56,8 @@ def _case(column: str, pairs: dict[str, str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + " END"
 
 
-def decision_columns(events: DataFrame) -> DataFrame:
-    """Events as decision rows; big values turn a promotion into a rollback action."""
+def decision_columns(events: DataFrame, *extra: str) -> DataFrame:
+    """Events as decision rows, with further columns of theirs; big values turn a promotion into a rollback action."""
     action = F.when((F.col("event_type") == "purchase") & (F.col("value") > 60), "model.deploy.rollback").otherwise(
         _lookup("event_type", ACTIONS))
     reasoning = F.struct(
@@ -81,11 +81,12 @@ def decision_columns(events: DataFrame) -> DataFrame:
         F.col("ts").alias("timestamp"),
         F.lit(False).alias("escalate_to_human"),
         F.lit(None).cast("string").alias("escalation_reason"),
+        *extra,
     )
 
 
-def decisions(spark: SparkSession, sf: str) -> DataFrame:
-    return decision_columns(table(spark, sf, "events"))
+def decisions(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
+    return decision_columns(table(spark, sf, "events"), *extra)
 
 
 def escalated_decisions(spark: SparkSession, sf: str, default: float = 0.1) -> DataFrame:

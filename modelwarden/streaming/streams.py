@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from modelwarden.operators import gates, serving
@@ -102,17 +104,37 @@ def continuous_feedback(feedback: DataFrame, keys: Sequence[str], interval: str
     return gates.feedback_gate(flat, **limits)
 
 
-def running_outcomes(decisions: DataFrame, max_stages: int = 20) -> DataFrame:
+def running_outcomes(decisions: DataFrame, max_stages: int = 20, delay: str = "1 day", expire_hours: int = 24 * 7) -> DataFrame:
     """Run state per trace while its decisions arrive: stages so far, status, last action.
 
-    Counters only, combined before the shuffle, so one busy trace does not pile up in one task.
-    A trace is `running` until it is escalated or reaches the stage limit.
+    A run ends at its first escalation or at the stage limit, in time order, whatever order decisions arrive in. The state
+    of a trace is its first `max_stages` decisions, however many come; it expires `expire_hours` after the newest one.
     """
-    agg = decisions.groupBy("trace_id").agg(
-        F.count(F.lit(1)).alias("stages"), F.bool_or("escalate_to_human").alias("_e"),
-        F.max_by(F.concat("agent_name", F.lit("/"), "action"), F.struct("timestamp", "id")).alias("last_action"))
-    status = F.when(F.col("_e"), "escalated").when(F.col("stages") >= max_stages, "failed").otherwise("running")
-    return agg.select("trace_id", F.least("stages", F.lit(max_stages)).alias("stages"), status.alias("status"), "last_action")
+    state_schema = "times array<bigint>, ids array<string>, escalated array<boolean>, actions array<string>"
+
+    def update(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = list(zip(*state.get)) if state.exists else []
+        newest = max((t for t, *_ in kept), default=0)
+        for rows in batches:
+            times = rows["timestamp"].astype("datetime64[us]").astype("int64")
+            newest = max(newest, int(times.max()))
+            new = zip(times.tolist(), rows["id"], rows["escalate_to_human"].astype(bool), rows["last_action"])
+            kept = sorted([*kept, *new])[:max_stages]
+        state.update(tuple(list(x) for x in zip(*kept)))
+        state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + expire_hours * 3_600_000)
+        stop = next((i for i, row in enumerate(kept) if row[2]), None)
+        stages = len(kept) if stop is None else stop + 1
+        status = "escalated" if stop is not None else "failed" if stages >= max_stages else "running"
+        yield pd.DataFrame({"trace_id": [key[0]], "stages": [stages], "status": [status], "last_action": [kept[stages - 1][3]]})
+
+    rows = event_time(decisions, "timestamp", delay).select(
+        "trace_id", "timestamp", "id", "escalate_to_human", F.concat("agent_name", F.lit("/"), "action").alias("last_action"))
+    return rows.groupBy("trace_id").applyInPandasWithState(
+        update, "trace_id string, stages bigint, status string, last_action string", state_schema, "update",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def unique_decisions(decisions: DataFrame, delay: str = "1 hour", key: str = "id", ts: str = "timestamp") -> DataFrame:
@@ -150,7 +172,7 @@ def routed_sink(subscriptions: list[tuple[str, str]], handlers: Mapping[str, Sin
             try:
                 handlers[name](mine, batch_id)
             except Exception as e:  # a handler is user code
-                failed.append(mine.withColumn("error", F.lit(f"{type(e).__name__}: {e}"[:1000])))
+                failed.append(mine.withColumn("error", F.lit(f"{type(e).__name__}: {e}")))
         path = batch_folder(dead_letters, batch_id)
         letters = routed.where(F.lit(False)).withColumn("error", F.lit(""))
         for f in failed:
@@ -203,6 +225,33 @@ def new_file_gate(files: DataFrame, columns: Sequence[str], name: Column | None
     return gates.data_gate(subject, **limits)
 
 
+def arrivals_sink(folder: str, columns: Sequence[str], dataset: Column) -> Sink:
+    """Keep the rows of a feed as they arrive, with partial counts per dataset, so a dataset may span batches."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        rows = df.withColumn("dataset_name", dataset)
+        rows.write.mode("overwrite").parquet(batch_folder(f"{folder}/rows", batch_id))
+        counts = rows.groupBy("dataset_name").agg(
+            F.count(F.lit(1)).alias("num_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+        counts.write.mode("overwrite").parquet(batch_folder(f"{folder}/counts", batch_id))
+
+    return write
+
+
+def gate_arrivals(spark: SparkSession, folder: str, columns: Sequence[str], **limits) -> DataFrame:
+    """One gate row per dataset over all that has arrived of it, in however many files and batches."""
+    counts = spark.read.parquet(f"{folder}/counts").groupBy("dataset_name").agg(
+        *[F.sum(c).alias(c) for c in ("num_rows", *columns)])
+    rates = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c) / F.col("num_rows"))])
+    return gates.data_gate(counts.select("dataset_name", "num_rows", rates.alias("null_rates")), **limits)
+
+
+def accepted_arrivals(spark: SparkSession, folder: str, decided: DataFrame) -> DataFrame:
+    """The rows of the datasets that the gate approved."""
+    rows = spark.read.parquet(f"{folder}/rows").drop("batch")
+    return rows.join(decided.where("approved").select("dataset_name"), "dataset_name", "left_semi")
+
+
 def new_file_sink(folder: str, columns: Sequence[str], **limits) -> Sink:
     def write(df: DataFrame, batch_id: int) -> None:
         new_file_gate(df, columns, **limits).write.mode("overwrite").parquet(batch_folder(folder, batch_id))
