@@ -10,10 +10,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwarden.operators.evaluation import class_metrics, roc_auc
+from modelwarden.session import materialise
 
 
 def balance_weights(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -29,14 +30,23 @@ def hash_split(rows: DataFrame, key: str, train_percent: int = 80, slot: Column
     return rows.withColumn("split", F.when(s < train_percent, "train").otherwise("test"))
 
 
-def position_split(rows: DataFrame, order: Sequence[str], train_share: float = 0.8, **kwargs) -> DataFrame:
-    """First share of the rows in the given order is train, the rest test."""
-    from modelwarden.operators.ordered import scan
+def position_split(rows: DataFrame, order: Sequence[str], train_share: float = 0.8) -> DataFrame:
+    """First share of the rows in the given order is train, the rest test.
 
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    numbered = scan(rows.withColumn("_all", F.lit(0)), ["_all"], list(order), position="_pos", **kwargs).drop("_all")
-    return numbered.withColumn(
-        "split", F.when(F.col("_pos") <= F.floor(total * train_share), "train").otherwise("test")).drop("_pos")
+    Rows are dealt by range of the order and written with their range's number; a row's position is the number of rows in
+    earlier ranges (one count per range) plus its place in its own range, so no task sees all rows.
+    """
+    order = list(order)
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = sorted(ranged.groupBy("_range").agg(F.count(F.lit(1))).collect())  # a row per shuffle partition
+    before, total = [], 0
+    for number, n in counts:
+        before.append((number, total))
+        total += n
+    offsets = rows.sparkSession.createDataFrame(before, "_range int, _before bigint")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    split = F.when(F.col("_before") + place <= int(total * train_share + 1e-9), "train").otherwise("test")
+    return ranged.join(F.broadcast(offsets), "_range").withColumn("split", split).select(*rows.columns, "split")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, train_share: float = 0.8, order: Column | None = None, **kwargs) -> DataFrame:

@@ -308,7 +308,7 @@ def test_training(spark):
     split = training.stratified_split(df, "label", "id", slice_rows=25)
     assert {(r.label, r.split): r["count"] for r in split.groupBy("label", "split").count().collect()} == {
         (0, "train"): 288, (0, "test"): 72, (1, "train"): 32, (1, "test"): 8}
-    assert training.position_split(df, ["id"], slice_rows=30).where("split = 'train'").agg(F.max("id")).first()[0] == 319
+    assert training.position_split(df, ["id"]).where("split = 'train'").agg(F.max("id")).first()[0] == 319
     model = training.train_forest(split.where("split = 'train'"), ["x"], trees=3, depth=3)
     scored = training.score(model, split.where("split = 'test'"), "v1")
     m = training.holdout_metrics(scored).first()
