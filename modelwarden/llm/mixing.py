@@ -48,24 +48,23 @@ def unit_hash(column: str, seed: int) -> Column:
 
 def target_shares(cells: DataFrame, dimension: str, targets: dict[str, float] | float) -> DataFrame:
     """(value, target) of every value of a dimension; targets add up to 1."""
-    shares = cells.groupBy(dimension).agg(F.sum("n").alias("n")).crossJoin(cells.agg(F.sum("n").alias("all")))
-    shares = shares.select(dimension, (F.col("n") / F.col("all")).alias("share"))
+    shares = cells.groupBy(dimension).agg(F.sum("n").alias("n"))
+    shares = shares.select(dimension, (F.col("n") / cells.agg(F.sum("n")).scalar()).alias("share"))
     if isinstance(targets, dict):
         wanted = F.coalesce(*(F.when(F.col(dimension) == v, F.lit(float(w))) for v, w in sorted(targets.items())), F.lit(None))
         shares = shares.withColumn("wanted", wanted)
-        facts = shares.agg(F.sum("wanted").alias("given"), F.sum(F.when(F.col("wanted").isNull(), F.col("share"))).alias("open"))
-        left = F.greatest(F.lit(0.0), 1 - F.coalesce("given", F.lit(0.0)))
-        raw = F.coalesce("wanted", left * F.col("share") / F.col("open"))
-        shares = shares.crossJoin(facts).select(dimension, raw.alias("raw"))
+        given = shares.agg(F.coalesce(F.sum("wanted"), F.lit(0.0))).scalar()
+        others = shares.where("wanted IS NULL").agg(F.sum("share")).scalar()
+        raw = F.coalesce("wanted", F.greatest(F.lit(0.0), 1 - given) * F.col("share") / others)
     else:
-        shares = shares.select(dimension, F.pow("share", F.lit(float(targets))).alias("raw"))
-    return shares.crossJoin(shares.agg(F.sum("raw").alias("sum"))).select(
-        dimension, (F.col("raw") / F.col("sum")).alias(f"target_{dimension}"))
+        raw = F.pow("share", F.lit(float(targets)))
+    shares = shares.select(dimension, raw.alias("raw"))
+    return shares.select(dimension, (F.col("raw") / shares.agg(F.sum("raw")).scalar()).alias(f"target_{dimension}"))
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], sweeps: int = SWEEPS) -> DataFrame:
     """The cells with weight: their share of tokens, raked to the targets of every dimension."""
-    fitted = cells.crossJoin(cells.agg(F.sum("n").alias("_all"))).withColumn("weight", F.col("n") / F.col("_all")).drop("_all")
+    fitted = cells.withColumn("weight", F.col("n") / cells.agg(F.sum("n")).scalar())
     for dimension, wanted in targets.items():
         fitted = fitted.join(target_shares(cells, dimension, wanted), dimension)
     fitted = materialise(fitted, "cells")
@@ -84,8 +83,8 @@ def calibrate(docs: DataFrame, targets: dict[str, dict[str, float] | float], see
     cells = materialise(named.groupBy(*(F.col(f"_cell_{k}").alias(k) for k in keys)).agg(F.sum("n_tokens").alias("n")), "cells")
     fitted = rake(cells, targets, sweeps)
     factor = F.col("weight") / F.col("n")
-    odds = fitted.crossJoin(fitted.agg(F.max(factor).alias("_top"))).select(
-        *(F.col(k).alias(f"_cell_{k}") for k in keys), (factor / F.col("_top")).alias("probability"))
+    odds = fitted.select(*(F.col(k).alias(f"_cell_{k}") for k in keys),
+                         (factor / fitted.agg(F.max(factor)).scalar()).alias("probability"))
     odds = materialise(odds, "odds")
     return (named.join(odds, [f"_cell_{k}" for k in keys]).drop(*(f"_cell_{k}" for k in keys))
             .withColumn("taken", unit_hash("doc_id", seed) < F.col("probability")))
