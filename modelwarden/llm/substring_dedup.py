@@ -28,10 +28,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelwarden.session import materialise
+from modelwarden.session import materialise, release
 
 LENGTH = 400
 GRAM, W = 16, 140
@@ -137,70 +137,62 @@ def parse(text: bytes) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v) for k, v in parts.items()}
 
 
-def parsed(docs: DataFrame) -> DataFrame:
-    """One row per document with its place in a shard, its parse and its text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, held, number = TaskContext.get().partitionId() << 24, 0, 0, 0
-        for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("_bytes")
-            for lo in range(0, len(ids), 256):
-                cols: list[list] = [[] for _ in range(8)]
-                for text in texts[lo : lo + 256].to_pylist():
-                    text = text or b""
-                    p = parse(text)
-                    row = ((part >> 24) << 33) + number
-                    if len(p["phrases"]):
-                        p["phrases"][-1] = mixed(np.array([row]), np.array([0x5EED]))[0]  # the last phrase matches nothing
-                    for c, v in zip(cols, (row, part + shard, len(text), hashlib.sha256(text).hexdigest(),
-                                           p["anchors"].astype("<i4").tobytes(), p["phrases"].tobytes(),
-                                           p["start"].astype("<i4").tobytes(),
-                                           np.stack([p["core"].astype("<u8"), p["whole"].astype("<u8")]).tobytes())):
-                        c.append(v)
-                    number += 1
-                    held += len(text)
-                    if held >= SHARD_BYTES:
-                        shard, held = shard + 1, 0
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [ids[lo : lo + 256], texts[lo : lo + 256], *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                    names=["doc_id", "bytes", "row", "shard", "n_bytes", "sha256", "anchors", "phrases", "starts", "keys"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("_bytes"))
-    return rows.mapInArrow(run, "doc_id bigint, bytes binary, row bigint, shard bigint, n_bytes bigint, sha256 string, "
-                                "anchors binary, phrases binary, starts binary, keys binary")
+def numbered(docs: DataFrame) -> DataFrame:
+    """Every document with a number, its size and the hash of its bytes."""
+    text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("bytes")).select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "bytes", F.octet_length("bytes").cast("bigint").alias("n_bytes"),
+        F.sha2("bytes", 256).alias("sha256"))
+
+
+SHARD = ("shard bigint, docs binary, sizes binary, order binary, phrases binary, lengths binary, offsets binary, widths binary, "
+         "cores binary, wholes binary")
 
 
 def shard_transforms(rows: DataFrame) -> DataFrame:
     """One row per shard: suffixes sorted by their first ROUNDS phrases, and what the refinement needs of them.
 
-    order: place in the shard's sequence of each sorted suffix; rank: the inverse; phrases, lengths: of the sequence; row,
-    index: document and number of each place; core, whole: keys of the segment there (0 where there is none).
+    docs, sizes: number and count of anchors of each text; order: place in the shard's sequence of each sorted suffix;
+    phrases, lengths: of the sequence; offsets, widths, cores, wholes: of the segment of each place (width 0: none).
     """
-    def build(t: pa.Table) -> pa.Table:
-        t = t.sort_by("row")
-        cols: dict[str, list[np.ndarray]] = {k: [] for k in ("phrases", "lengths", "row", "index", "core", "whole")}
-        for row, n, a, p, k in zip(*(t.column(c).to_pylist() for c in ("row", "n_bytes", "anchors", "phrases", "keys"))):
-            a, p = np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(p, np.uint64)
-            core, whole = np.frombuffer(k, "<u8").reshape(2, -1)
-            pad = np.zeros(len(a) - len(core), np.uint64)
-            for name, v in (("phrases", p), ("lengths", np.diff(np.append(a, n)).astype(np.int32)),
-                            ("row", np.full(len(a), row, np.int64)), ("index", np.arange(len(a), dtype=np.int32)),
-                            ("core", np.concatenate([core, pad])), ("whole", np.concatenate([whole, pad]))):
-                cols[name].append(v)
-        seq = {k: np.concatenate(v) for k, v in cols.items()}
-        n = len(seq["phrases"])
-        _, name = np.unique(seq["phrases"], return_inverse=True)
-        following = [np.concatenate([name[k:], np.full(min(k, n), -1)]) for k in range(ROUNDS)]
-        order = np.lexsort(following[::-1]).astype(np.int32)
-        rank = np.empty(n, np.int32)
-        rank[order] = np.arange(n, dtype=np.int32)
-        return pa.table({"shard": t.column("shard")[:1], "order": pa.array([order.tobytes()], pa.binary()),
-                         "rank": pa.array([rank.tobytes()], pa.binary()),
-                         **{k: pa.array([v.tobytes()], pa.binary()) for k, v in seq.items()}})
-
-    kinds = "shard bigint, order binary, rank binary, phrases binary, lengths binary, row binary, index binary, core binary, whole binary"
-    used = rows.where(F.length("phrases") > 0).select("shard", "row", "n_bytes", "anchors", "phrases", "keys")
-    return used.groupBy("shard").applyInArrow(build, kinds)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, shard, held, docs = TaskContext.get().partitionId() << 24, 0, 0, []
+
+        def cut() -> pa.RecordBatch:
+            nonlocal shard, held, docs
+            seq = {k: np.concatenate([d[k] for _, d in docs]) for k in docs[0][1]}
+            n = len(seq["phrases"])
+            _, name = np.unique(seq["phrases"], return_inverse=True)
+            following = [np.concatenate([name[k:], np.full(min(k, n), -1)]) for k in range(ROUNDS)]
+            out = {"shard": part + shard, "docs": np.array([r for r, _ in docs], np.int64).tobytes(),
+                   "sizes": np.array([len(d["phrases"]) for _, d in docs], np.int64).tobytes(),
+                   "order": np.lexsort(following[::-1]).astype(np.int32).tobytes(), **{k: v.tobytes() for k, v in seq.items()}}
+            shard, held, docs = shard + 1, 0, []
+            return pa.RecordBatch.from_pylist([out], schema=kinds)
+
+        kinds = pa.schema([("shard", pa.int64())] + [(c.split()[0], pa.binary()) for c in SHARD.split(", ")[1:]])
+        for batch in batches:
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("bytes")):
+                text = text.as_py()
+                p = parse(text)
+                if not len(p["start"]):
+                    continue
+                n, m = len(p["anchors"]), len(p["start"])
+                p["phrases"][-1] = mixed(np.array([row]), np.array([0x5EED]))[0]  # the last phrase matches nothing
+                pad = np.zeros(n - m, np.int64)
+                docs.append((row, {
+                    "phrases": p["phrases"], "lengths": np.diff(np.append(p["anchors"], len(text))).astype("<u2"),
+                    "offsets": np.concatenate([p["anchors"][:m] - p["start"], pad]).astype("<u2"),
+                    "widths": np.concatenate([np.diff(np.append(p["start"], len(text) - LENGTH + 1)), pad]).astype("<u2"),
+                    "cores": np.concatenate([p["core"], pad.astype(np.uint64)]),
+                    "wholes": np.concatenate([p["whole"], pad.astype(np.uint64)])}))
+                held += len(text)
+                if held >= SHARD_BYTES:
+                    yield cut()
+        if docs:
+            yield cut()
+
+    return rows.select("row", "bytes").mapInArrow(run, SHARD)
 
 
 def intervals_of(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,7 +218,7 @@ def first_blocks(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 phrases, order = np.frombuffer(r["phrases"], np.uint64), np.frombuffer(r["order"], np.int32)
-                lengths = np.frombuffer(r["lengths"], np.int32)
+                lengths = np.frombuffer(r["lengths"], "<u2")
                 sorted_phrases = phrases[order]
                 key, low, high = intervals_of(sorted_phrases, np.arange(len(order)))
                 size = lengths[order[low]]
@@ -244,8 +236,11 @@ def extended_blocks(shards: DataFrame, alive: DataFrame, needed: int) -> DataFra
         for batch in batches:
             for r in batch.to_pylist():
                 phrases, order = np.frombuffer(r["phrases"], np.uint64), np.frombuffer(r["order"], np.int32)
-                rank, lengths = np.frombuffer(r["rank"], np.int32), np.frombuffer(r["lengths"], np.int32)
-                rows = np.frombuffer(r["row"], np.int64)
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(len(order), dtype=np.int32)
+                lengths = np.frombuffer(r["lengths"], "<u2").astype(np.int64)
+                sizes = np.frombuffer(r["sizes"], np.int64)
+                rows = np.repeat(np.arange(len(sizes)), sizes)
                 low = np.array([x["low"] for x in r["alive"]], np.int64)
                 count = np.array([x["high"] for x in r["alive"]], np.int64) - low
                 block = np.array([x["block"] for x in r["alive"]], np.int64).view(np.uint64)
@@ -269,135 +264,132 @@ def extended_blocks(shards: DataFrame, alive: DataFrame, needed: int) -> DataFra
                                    tail=tail[inside[first]], low=lo, high=hi)
 
     own = alive.groupBy("shard").agg(F.collect_list(F.struct("block", "bytes", "tail", "low", "high")).alias("alive"))
-    return (shards.select("shard", "order", "rank", "phrases", "lengths", "row").join(own, "shard")
+    return (shards.select("shard", "order", "phrases", "lengths", "sizes").join(own, "shard")
             .mapInArrow(run, BLOCK_SCHEMA))
 
 
 def repeated_intervals(shards: DataFrame, rounds: int = ROUNDS, needed: int = NEEDED) -> DataFrame:
     """(shard, low, high) of the intervals of all phrase strings that recur and have `needed` bytes or `rounds` phrases."""
-    done, level = None, materialise(first_blocks(shards), "blocks")
+    spark, done, level = shards.sparkSession, None, first_blocks(shards)
+    size = F.sum(F.col("high") - F.col("low")).over(Window.partitionBy("block"))  # a block has a row per shard at most
     for k in range(1, rounds + 1):
-        several = level.groupBy("block").agg(F.sum(F.col("high") - F.col("low")).alias("n")).where("n > 1").select("block")
-        recurring = materialise(level.join(several, "block"), "recurring")
+        recurring = materialise(level.withColumn("n", size).where("n > 1").drop("n"), "recurring")
+        release(spark)
         enough = F.col("bytes") >= needed if k < rounds else F.lit(True)
         ready = recurring.where(enough).select("shard", "low", "high")
         done = ready if done is None else done.union(ready)
-        if k < rounds:
-            level = materialise(extended_blocks(shards, recurring, needed), "blocks")
+        level = extended_blocks(shards, recurring, needed)
     return done
 
 
 def candidates(shards: DataFrame, intervals: DataFrame) -> DataFrame:
-    """(row, index, core, whole) of every segment whose anchor begins a repeated interval."""
+    """(row, start, end, core, whole) of every segment whose anchor begins a repeated interval."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                order = np.frombuffer(r["order"], np.int32)
+                order, widths = np.frombuffer(r["order"], np.int32), np.frombuffer(r["widths"], "<u2").astype(np.int32)
+                offsets, lengths = (np.frombuffer(r[c], "<u2").astype(np.int32) for c in ("offsets", "lengths"))
+                docs, sizes = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["sizes"], np.int64)
                 marked = np.zeros(len(order) + 1, np.int32)
                 np.add.at(marked, [x["low"] for x in r["spans"]], 1)
                 np.add.at(marked, [x["high"] for x in r["spans"]], -1)
                 at = order[np.cumsum(marked[:-1]) > 0]
-                core = np.frombuffer(r["core"], np.int64)
-                at = np.sort(at[core[at] != 0])
-                yield pa.record_batch({"row": np.frombuffer(r["row"], np.int64)[at],
-                                       "index": np.frombuffer(r["index"], np.int32)[at], "core": core[at],
-                                       "whole": np.frombuffer(r["whole"], np.int64)[at]})
+                at = np.sort(at[widths[at] > 0])
+                first = np.cumsum(sizes) - sizes
+                # The first segment of a text starts at 0, so its offset is the place of the first anchor.
+                before = np.cumsum(lengths.astype(np.int64)) - lengths
+                doc = np.repeat(np.arange(len(docs)), sizes)[at]
+                start = before[at] - before[first[doc]] + offsets[first[doc]] - offsets[at]
+                yield pa.record_batch({"row": docs[doc], "start": start.astype(np.int32), "end": (start + widths[at]).astype(np.int32),
+                                       "core": np.frombuffer(r["cores"], np.int64)[at], "whole": np.frombuffer(r["wholes"], np.int64)[at]})
 
     own = intervals.groupBy("shard").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return (shards.select("shard", "order", "row", "index", "core", "whole").join(own, "shard")
-            .mapInArrow(run, "row bigint, index int, core bigint, whole bigint"))
-
-
-def segment_bounds(starts: bytes, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and past window of each segment."""
-    first = np.frombuffer(starts, "<i4").astype(np.int64)
-    return first, np.append(first[1:], n_bytes - LENGTH + 1) if len(first) else first
+    return (shards.select("shard", "docs", "sizes", "order", "lengths", "offsets", "widths", "cores", "wholes").join(own, "shard")
+            .mapInArrow(run, "row bigint, start int, end int, core bigint, whole bigint"))
 
 
 def window_hashes(rows: DataFrame, segments: DataFrame) -> DataFrame:
-    """(row, at, hash) of every window of the segments (row, index)."""
+    """(row, at, hash) of every window of the segments (row, start, end)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 data = np.frombuffer(r["bytes"], np.uint8)
-                first, past = segment_bounds(r["starts"], len(data))
-                index = np.array(sorted(r["indexes"]), np.int64)
-                gap = np.append(True, np.diff(index) > 1)
-                runs = np.flatnonzero(gap)
-                for lo, hi in zip(index[runs], index[np.append(runs[1:], len(index)) - 1]):
-                    for s in range(int(first[lo]), int(past[hi]), PIECE):
-                        e = min(s + PIECE, int(past[hi]))
+                spans = np.array(sorted((x["start"], x["end"]) for x in r["spans"]), np.int64)
+                first = np.flatnonzero(np.append(True, spans[1:, 0] > spans[:-1, 1]))
+                for lo, hi in zip(spans[first, 0], spans[np.append(first[1:], len(spans)) - 1, 1]):
+                    for s in range(int(lo), int(hi), PIECE):
+                        e = min(s + PIECE, int(hi))
                         h = Hashes(data[s : e - 1 + LENGTH])
                         at = np.arange(e - s)
                         yield pa.record_batch({"row": np.full(e - s, r["row"], np.int64), "at": (at + s).astype(np.int32),
                                                "hash": h.of(at, at + LENGTH).view(np.int64)})
 
-    wanted = segments.groupBy("row").agg(F.collect_list("index").alias("indexes"))
-    return rows.select("row", "bytes", "starts").join(wanted, "row").mapInArrow(run, "row bigint, at int, hash bigint")
+    wanted = segments.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return rows.select("row", "bytes").join(wanted, "row").mapInArrow(run, "row bigint, at int, hash bigint")
 
 
 RESULT = "row bigint, doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
 
 
 def removed(rows: DataFrame, segments: DataFrame, windows: DataFrame) -> DataFrame:
-    """Removal in every row that has repeated segments (row, index) or windows (row, at)."""
+    """Removal in every row that has repeated segments (row, start, end) or windows (row, at)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
+                           ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
+                           ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 text = r["bytes"]
-                first, past = segment_bounds(r["starts"], len(text))
-                index = np.array(r["indexes"] or [], np.int64)
-                at = np.array(r["ats"] or [], np.int64)
-                start = np.concatenate([first[index], at])
-                end = np.concatenate([past[index] - 1 + LENGTH, at + LENGTH])
-                by = np.argsort(start, kind="stable")
-                start, reach = start[by], np.maximum.accumulate(end[by])
+                found = sorted((x["start"], x["end"] - 1 + LENGTH) for x in r["found"])
+                start, end = np.array(found, np.int64).T
+                reach = np.maximum.accumulate(end)
                 new = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
                 spans = list(zip(start[new].tolist(), reach[np.append(new[1:], len(start)) - 1].tolist()))
-                kept, past_span = hashlib.sha256(), 0
+                kept, past = hashlib.sha256(), 0
                 for s, e in spans:
-                    kept.update(text[past_span:s])
-                    past_span = e
-                kept.update(text[past_span:])
-                out.append({"row": r["row"], "doc_id": r["doc_id"], "n_bytes": len(text), "n_removed": sum(e - s for s, e in spans),
-                            "n_spans": len(spans), "kept_sha256": kept.hexdigest(),
+                    kept.update(text[past:s])
+                    past = e
+                kept.update(text[past:])
+                out.append({"row": r["row"], "doc_id": r["doc_id"], "n_bytes": len(text),
+                            "n_removed": sum(e - s for s, e in spans), "n_spans": len(spans), "kept_sha256": kept.hexdigest(),
                             "spans": [{"start": s, "end": e} for s, e in spans]})
-            kinds = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                               ("kept_sha256", pa.string()),
-                               ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    whole = segments.groupBy("row").agg(F.collect_list("index").alias("indexes"))
-    single = windows.groupBy("row").agg(F.collect_list("at").alias("ats"))
-    found = whole.join(single, "row", "full")
-    return rows.select("row", "doc_id", "bytes", "starts").join(found, "row").mapInArrow(run, RESULT)
+    both = segments.select("row", "start", "end").union(windows.select("row", F.col("at"), F.col("at") + 1))
+    found = both.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    return rows.select("row", "doc_id", "bytes").join(found, "row").mapInArrow(run, RESULT)
 
 
 def touched_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(removal in every row that loses bytes, all rows as parsed)."""
-    rows = materialise(parsed(docs), "parsed")
-    shards = materialise(shard_transforms(rows), "shards")
+    """(removal in every row that loses bytes, all rows)."""
+    spark = docs.sparkSession
+    rows = materialise(numbered(docs), "rows", "zstd")
+    shards = materialise(shard_transforms(rows), "shards", "zstd")
     segments = materialise(candidates(shards, repeated_intervals(shards)), "segments")
-    wholes = segments.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "index")).alias("first"))
+    release(spark, shards)
+    wholes = segments.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("first"))
     cores = segments.groupBy("core").agg(F.min("whole").alias("least"), F.max("whole").alias("most"))
-    cores = cores.where("least <> most").select("core")
-    known = materialise(segments.join(materialise(wholes.where("n > 1"), "wholes"), "whole", "left")
-                        .withColumn("copied", F.col("n").isNotNull()), "known")
+    cores = materialise(cores.where("least <> most").select("core"), "cores")
+    copied = materialise(wholes.where("n > 1").select("whole", "first"), "wholes")
+    known = materialise(segments.join(copied, "whole", "left"), "known")
+    release(spark, segments, copied)
     # Where segments differ but hold the same core, windows are compared: those of one segment of each kind.
-    speaks = ~F.col("copied") | (F.struct("row", "index") == F.col("first"))
-    open_segments = known.where(speaks).join(materialise(cores, "cores"), "core", "left_semi").select("row", "index")
-    windows = materialise(window_hashes(rows, open_segments), "windows")
-    several = windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    repeated = windows.join(materialise(several, "hashes"), "hash").select("row", "at")
-    touched = removed(rows, known.where("copied").select("row", "index"), repeated)
+    speaks = F.col("first").isNull() | (F.struct("row", "start") == F.col("first"))
+    compared = known.where(speaks).join(cores, "core", "left_semi").select("row", "start", "end")
+    windows = materialise(window_hashes(rows, compared), "windows")
+    release(spark, cores)
+    several = materialise(windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes")
+    repeated = materialise(windows.join(several, "hash").select("row", "at"), "repeated")
+    release(spark, windows, several)
+    touched = removed(rows, known.where("first IS NOT NULL"), repeated)
     return materialise(touched, "removed"), rows
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end in bytes) of every row."""
     touched, rows = touched_rows(docs)
-    whole = rows.join(touched.select("row"), "row", "left_anti").select(
+    whole = rows.select("row", "doc_id", "n_bytes", "sha256").join(touched.select("row"), "row", "left_anti").select(
         "doc_id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"),
         F.col("sha256").alias("kept_sha256"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
     return touched.drop("row").unionByName(whole)
