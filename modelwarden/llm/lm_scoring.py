@@ -12,8 +12,8 @@ an end id. Three things are learned from the training texts, all of them in pass
   unit; the unit within the class follows from the counts. Shards train copies by Adam on a fixed share of their
   windows; after each round the copies are averaged, weighted by windows.
 
-Scoring lays windows of WINDOW positions over each text, each starting OVERLAP before the last one ended, runs them in
-batches under one causal mask, and counts each id once: in the first window that holds it with its context.
+Scoring lays windows of WINDOW places over each text, each starting OVERLAP before the last one ended, runs them in batches
+under one causal mask, and counts each id once: in the window that holds it among its last FRESH places.
 
 Defined results: null and empty texts have only the end; equal texts score alike; repeated rows are scored each; with no
 training text, words have no counts and the model is uniform over ids; very long texts run over many windows; other
@@ -38,11 +38,12 @@ from modelwarden.session import materialise
 IDS = END + 1
 SINGLE, GROUPS, CLASSES = 2000, 48, 64
 UNITS = SINGLE + GROUPS
-WIDTH, HIDDEN, WINDOW, OVERLAP = 32, 32, 32, 8
+WIDTH, WINDOW, OVERLAP = 32, 32, 8
+FRESH = WINDOW - OVERLAP
 #: One training window in RATE is learned from in each round.
-RATE, ROUNDS, BATCH, STEP = 24, 2, 128, 1e-2
+RATE, ROUNDS, BATCH, STEP = 32, 2, 128, 1e-2
 #: Windows and rows that scoring handles at a time: small enough for the processor's caches.
-TOGETHER, ROWS = 16, 256
+TOGETHER, ROWS = 64, 1024
 SHARD_BYTES = 12 << 20
 SPACE = 32
 
@@ -223,22 +224,23 @@ def counted(rows: DataFrame, size: int, count) -> np.ndarray:
 
 
 def windows_of(texts: list[np.ndarray], of: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Units, units before, ids to predict, text number and whether to count, for the windows of all texts.
+    """Units and units before of WINDOW places; ids to predict, text number and whether to count of the last FRESH places;
+    and whether the window begins its text, so that its first OVERLAP places stand before the text.
 
     A text is read after an end; a window's places beyond its text are not counted.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     stream = np.concatenate([x for t in texts for x in ([END, END], t)]).astype(np.int64)
     begin = np.cumsum(sizes + 2) - sizes - 2
-    step = WINDOW - OVERLAP
-    n = np.maximum(1, -(-(sizes - OVERLAP) // step))
+    n = np.maximum(1, -(-sizes // FRESH))
     text = np.repeat(np.arange(len(texts)), n)
-    start = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * step
-    place = start[:, None] + np.arange(WINDOW)[None, :]
-    inside = place < sizes[text][:, None]
-    at = begin[text][:, None] + 1 + np.where(inside, place, 0)
-    counts = inside & ((start == 0)[:, None] | (np.arange(WINDOW) >= OVERLAP)[None, :])
-    return of[stream[at]], of[stream[at - 1]], stream[at + 1], np.broadcast_to(text[:, None], at.shape), counts
+    start = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * FRESH
+    place = start[:, None] + np.arange(-OVERLAP, FRESH)[None, :]
+    at = begin[text][:, None] + 1 + np.clip(place, 0, sizes[text][:, None] - 1)
+    counts = place[:, OVERLAP:] < sizes[text][:, None]
+    units = of[stream]
+    return (units[at], units[at - 1], stream[at[:, OVERLAP:] + 1], np.broadcast_to(text[:, None], counts.shape), counts,
+            start == 0)
 
 
 class Attention:
@@ -249,32 +251,41 @@ class Attention:
         small = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.p = parameters or {
             "own": 0.1 * rng.standard_normal((UNITS, WIDTH)), "before": 0.1 * rng.standard_normal((UNITS, WIDTH)),
-            "query": small(WIDTH, WIDTH), "distance": np.zeros(WINDOW, np.float32), "mix": small(2 * WIDTH, HIDDEN), "shift": np.full(HIDDEN, 0.1, np.float32),
-            "out": np.zeros((HIDDEN, CLASSES), np.float32)}
+            "query": small(WIDTH, WIDTH), "distance": np.zeros(WINDOW, np.float32), "mix": small(2 * WIDTH, WIDTH), "shift": np.full(WIDTH, 0.1, np.float32),
+            "out": np.zeros((WIDTH, CLASSES), np.float32)}
         self.p = {k: np.array(v, np.float32) for k, v in self.p.items()}
         self.neighbours, self.odds = neighbours, np.exp(neighbours)
+        self.room, self.sides = np.empty((0, FRESH, WINDOW), np.float32), []
         self.gain, self.row = np.empty((ROWS, CLASSES), np.float32), np.empty((ROWS, CLASSES), np.float32)
-        self.causal = np.tril(np.ones((WINDOW, WINDOW), bool))
-        self.gap = np.clip(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
+        gap = np.arange(OVERLAP, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+        self.causal, self.gap = gap >= 0, np.maximum(gap, 0)
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         self.steps = 0
 
-    def hidden(self, own: np.ndarray, before: np.ndarray) -> dict[str, np.ndarray]:
-        """Attention of a batch of windows; products of the query and key maps, and of value and mix, are one map each."""
-        p, s = self.p, {}
-        s["h"] = np.take(p["own"], own, axis=0)
-        s["h"] += np.take(p["before"], before, axis=0)
-        s["q"] = s["h"] @ p["query"]
-        a = s["q"] @ s["h"].transpose(0, 2, 1)
+    def hidden(self, own: np.ndarray, before: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+        """Attention of the last FRESH places of a batch of windows; `first`: nothing stands before these.
+
+        Products of the query and key maps, and of the value map and mix, are one map each.
+        """
+        p, s, n = self.p, {}, len(own)
+        if len(self.room) < n:  # kept arrays: new ones of this size cost page faults
+            self.room = np.empty((n, FRESH, WINDOW), np.float32)
+            self.sides = [np.empty((n, size, WIDTH), np.float32) for size in (WINDOW, WINDOW, FRESH, FRESH, FRESH, FRESH)]
+        h, more, q, o, z, y = (x[:n] for x in self.sides)
+        np.take(p["own"], own, axis=0, out=h, mode="clip")
+        h += np.take(p["before"], before, axis=0, out=more, mode="clip")
+        fresh = h[:, OVERLAP:]
+        a = np.matmul(np.matmul(fresh, p["query"], out=q), h.transpose(0, 2, 1), out=self.room[:n])
         a += np.where(self.causal, p["distance"][self.gap], np.float32(-1e9))
+        a[first, :, :OVERLAP] = -1e9
         np.exp(np.minimum(a, np.float32(60), out=a), out=a)
         total = a.sum(axis=2, keepdims=True)
-        s["o"] = a @ s["h"]
-        s["o"] /= total
-        z = s["h"] @ p["mix"][:WIDTH]
-        z += s["o"] @ p["mix"][WIDTH:]
+        np.matmul(a, h, out=o)
+        o /= total
+        np.matmul(fresh, p["mix"][:WIDTH], out=z)
+        z += np.matmul(o, p["mix"][WIDTH:], out=y)
         z += p["shift"]
-        s["z"], s["a"], s["total"] = np.maximum(z, 0, out=z), a, total
+        s.update(h=h, q=q, o=o, a=a, total=total, z=np.maximum(z, 0, out=z))
         return s
 
     def logs(self, z: np.ndarray, own: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -291,13 +302,13 @@ class Attention:
             out[i : i + ROWS] = at - np.log(np.einsum("nc,nc->n", gain, odds).astype(np.float64))
         return out
 
-    def learn(self, own: np.ndarray, before: np.ndarray, target: np.ndarray, counts: np.ndarray) -> None:
-        """One Adam step on the counted positions of a batch of windows."""
-        p, s = self.p, self.hidden(own, before)
+    def learn(self, own: np.ndarray, before: np.ndarray, target: np.ndarray, counts: np.ndarray, first: np.ndarray) -> None:
+        """One Adam step on the counted places of a batch of windows."""
+        p, s = self.p, self.hidden(own, before, first)
         s["a"] /= s["total"]
         b, t = np.nonzero(counts)
         z, n = s["z"][b, t], max(1, len(b))
-        logit = z @ p["out"] + self.neighbours[own[b, t]]
+        logit = z @ p["out"] + self.neighbours[own[:, OVERLAP:][b, t]]
         logit -= logit.max(axis=1, keepdims=True)
         np.exp(logit, out=logit)
         logit /= logit.sum(axis=1, keepdims=True)
@@ -307,18 +318,20 @@ class Attention:
         dz = np.zeros_like(s["z"])
         dz[b, t] = (logit @ p["out"].T) * (z > 0)
         flat = lambda x: x.reshape(-1, x.shape[-1])
-        both = np.concatenate([s["h"], s["o"]], axis=2)
+        fresh = s["h"][:, OVERLAP:]
+        both = np.concatenate([fresh, s["o"]], axis=2)
         g["mix"], g["shift"] = flat(both).T @ flat(dz), flat(dz).sum(axis=0)
         dx = dz @ p["mix"].T
-        dh, do = dx[..., :WIDTH].copy(), dx[..., WIDTH:]
-        dh += s["a"].transpose(0, 2, 1) @ do
+        do = dx[..., WIDTH:]
+        dh = s["a"].transpose(0, 2, 1) @ do
+        dh[:, OVERLAP:] += dx[..., :WIDTH]
         da = do @ s["h"].transpose(0, 2, 1)
         da = s["a"] * (da - (da * s["a"]).sum(axis=2, keepdims=True))
         g["distance"] = np.bincount(self.gap[self.causal], weights=da.sum(axis=0)[self.causal], minlength=WINDOW).astype(np.float32)
         dh += da.transpose(0, 2, 1) @ s["q"]
         dq = da @ s["h"]
-        g["query"] = flat(s["h"]).T @ flat(dq)
-        dh += dq @ p["query"].T
+        g["query"] = flat(fresh).T @ flat(dq)
+        dh[:, OVERLAP:] += dq @ p["query"].T
         for name, at in (("own", own), ("before", before)):
             order = np.argsort(at.ravel(), kind="stable")
             keys = at.ravel()[order]
@@ -356,12 +369,12 @@ def train(rows: DataFrame, of: np.ndarray, kind: np.ndarray, neighbours: np.ndar
                 for row in batch.to_pylist():
                     texts = training_stream(row)
                     for s in range(0, len(texts), 256):
-                        own, before, target, _, counts = windows_of(texts[s : s + 256], units)
+                        own, before, target, _, counts, first = windows_of(texts[s : s + 256], units)
                         rng = np.random.default_rng([row["shard"] & 0xFFFFFFFF, s, number])
                         chosen = np.flatnonzero(rng.integers(0, rate, len(own)) == 0)
                         for i in range(0, len(chosen), BATCH):
                             c = chosen[i : i + BATCH]
-                            copy.learn(own[c], before[c], classes[units[target[c]]], counts[c])
+                            copy.learn(own[c], before[c], classes[units[target[c]]], counts[c], first[c])
                         seen += len(chosen)
             if seen:
                 values = copy.flat()
@@ -393,12 +406,14 @@ def attention_scores(rows: DataFrame, tables: tuple[np.ndarray, ...], parameters
                 while first < len(sizes):
                     past = max(first + 1, int(np.searchsorted(ends, ends[first] + 65536)))
                     texts = [ids[e - n : e] for e, n in zip(ends[first:past], sizes[first:past])]
-                    own, before, target, text, counts = windows_of(texts, units)
+                    own, before, target, text, counts, begins = windows_of(texts, units)
+                    last = own[:, OVERLAP:]
                     found = []
                     for i in range(0, len(own), TOGETHER):
-                        c = counts[i : i + TOGETHER]
-                        z = model.hidden(own[i : i + TOGETHER], before[i : i + TOGETHER])["z"][c]
-                        x, y = own[i : i + TOGETHER][c], target[i : i + TOGETHER][c]
+                        some = slice(i, i + TOGETHER)
+                        c = counts[some]
+                        z = model.hidden(own[some], before[some], begins[some])["z"][c]
+                        x, y = last[some][c], target[some][c]
                         u = units[y]
                         found.append(model.logs(z, x, classes[u]) + after[x, u] + inside[y])
                     score[first:past] = np.bincount(text[counts], weights=np.concatenate(found), minlength=past - first)

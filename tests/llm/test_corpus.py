@@ -429,9 +429,9 @@ def test_model_probabilities_add_up():
     model = lm_scoring.Attention(logs)
     model.p["out"] += rng.standard_normal(model.p["out"].shape).astype(np.float32)
     texts = [rng.integers(0, 3000, 100).astype("<u2")]
-    own, before, _, _, counted = lm_scoring.windows_of(texts, units)
+    own, before, _, _, counted, first = lm_scoring.windows_of(texts, units)
     assert counted.sum() == 100
-    z, x = model.hidden(own, before)["z"][0, 10], own[0, 10]
+    z, x = model.hidden(own, before, first)["z"][0, 10], own[0, lm_scoring.OVERLAP + 10]
     ids = np.arange(lm_scoring.IDS)
     u = units[ids]
     n = len(ids)
@@ -444,19 +444,24 @@ def test_attention_is_causal_and_learns():
     logs = np.log(np.full((lm_scoring.UNITS, lm_scoring.CLASSES), 1 / lm_scoring.CLASSES, np.float32))
     model = lm_scoring.Attention(logs)
     own = rng.integers(0, 50, (32, lm_scoring.WINDOW))
-    before = np.roll(own, 1, axis=1)
-    first = model.hidden(own, before)["z"].copy()
-    changed = own.copy()
-    changed[:, 20:] = 51
-    assert np.allclose(model.hidden(changed, before)["z"][:, :20], first[:, :20], atol=1e-6)
-    target, counted = own % lm_scoring.CLASSES, np.ones(own.shape, bool)
+    before, begins = np.roll(own, 1, axis=1), np.arange(32) % 2 == 0
+    first = model.hidden(own, before, begins)["z"].copy()
+    later, place = own.copy(), lm_scoring.OVERLAP + 12
+    later[:, place:] = 51
+    assert np.allclose(model.hidden(later, before, begins)["z"][:, :12], first[:, :12], atol=1e-6)
+    earlier = own.copy()
+    earlier[:, : lm_scoring.OVERLAP] = 51  # seen as context, but not where the text begins
+    moved = np.abs(model.hidden(earlier, before, begins)["z"] - first).max(axis=(1, 2)) > 1e-6
+    assert (moved == ~begins).all()
+    last = own[:, lm_scoring.OVERLAP :]
+    target, counted = last % lm_scoring.CLASSES, np.ones(last.shape, bool)
 
     def loss():
-        return -model.logs(model.hidden(own, before)["z"][counted], own[counted], target[counted]).mean()
+        return -model.logs(model.hidden(own, before, begins)["z"][counted], last[counted], target[counted]).mean()
 
     start = loss()
     for _ in range(60):
-        model.learn(own, before, target, counted)
+        model.learn(own, before, target, counted, begins)
     assert loss() < 0.5 * start
 
 
