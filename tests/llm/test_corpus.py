@@ -143,6 +143,14 @@ def test_similarity_links(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([rows[1], rows[2]])
 
 
+def test_similarity_links_of_texts_with_a_word_repeated_often(spark):
+    words = [f"w{i}" for i in range(500)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + ["menu"] * 50))]  # 496 of 501 shingles are shared
+    plain = [plain_fingerprint(t, 5) for _, t in rows]
+    assert (plain[0] ^ plain[1]).bit_count() > 22
+    assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [1]
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     for n, share in ((60, 0.8), (2000, 0.8), (2000, 0.4)):
