@@ -9,10 +9,11 @@ cut into blocks, and pairs of blocks are compared in tasks of their own, so a la
 gives back a spanning forest of the links it found, never all pairs; connected components join the forests.
 
 With `min_similarity` fingerprints count each distinct shingle of a text once, as similarity is one of sets. The links
-are between texts, and hold where fingerprints are within max_bits (SHORT_BITS more for texts of under SHORT shingles) and the similarity of
-the sets of shingles, estimated from one-permutation sketches of 512 bins (standard error 0.03 at most), reaches
-min_similarity less TOLERANCE; sizes that rule it out part the texts into rings first. Such links need a wide max_bits,
-where the triangle bound cannot save comparisons: then only rings and blocks part the work.
+are between texts, and hold where fingerprints are within max_bits (SHORT_BITS more for texts of under SHORT shingles) and
+the similarity of the sets of shingles is min_similarity or more. Sizes that rule it out part the texts into rings first. Such
+links need a wide max_bits, where the triangle bound cannot save comparisons: then only rings and blocks part the work.
+One-permutation sketches of 512 bins (standard error 0.03 at most) pick candidates with a margin of five errors; texts joined
+by candidates are a group, and inside the groups the sets themselves are compared, in blocks again where a group is large.
 
 Defined results: null, empty and blank texts have no words and fingerprint zero, and link like any others; texts with
 fewer words than a shingle are one shingle; equal texts always share a component; repeated rows are returned each; an
@@ -41,7 +42,10 @@ BLOCK = 16_384
 #: Few shingles make the majority unsteady: sets of 4 and 5 that share 4 differ in 12 +- 3 bits, those of 500 in 9.6 +- 2.9.
 SHORT, SHORT_BITS = 8, 4
 BINS = 512
-TOLERANCE = 0.03
+#: How far below the wanted similarity a sketch may be, and how many bins may disagree by chance besides (few shingles).
+MARGIN, SLACK = 0.14, 4
+#: Shingles that one side of a comparison of sets holds, about; texts up to which a group is not cut into blocks.
+SET_BLOCK, GROUP = 1 << 20, 256
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -158,19 +162,38 @@ def deal(points: np.ndarray, nodes: list[tuple], max_bits: int) -> tuple[np.ndar
     return np.concatenate(index), np.concatenate(leaf)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of sets, from rows of sketches as 64-bit words: first which bins are used, then the bits."""
+def bins_matched(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bins used in either set, and those matched less those that match by chance, from rows of sketches as 64-bit words:
+    first which bins are used, then the bits."""
     half = a.shape[1] // 2
     either = np.bitwise_count(a[:, :half] | b[:, :half]).sum(axis=1, dtype=np.int64)
     both = a[:, :half] & b[:, :half]
     agree = np.bitwise_count(both & ~(a[:, half:] ^ b[:, half:])).sum(axis=1, dtype=np.int64)
-    matched = 2 * agree - np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+    return either, 2 * agree - np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sets from rows of sketches."""
+    either, matched = bins_matched(a, b)
     return np.where(either == 0, 1.0, matched / np.maximum(either, 1))
 
 
+def candidates(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, min_similarity: float) -> np.ndarray:
+    """Which of the pairs can have the similarity, by sizes and sketches."""
+    least, most = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    out = least >= min_similarity * most - 1e-9
+    fit = np.flatnonzero(out)
+    for k in range(0, len(fit), 65536):
+        some = fit[k : k + 65536]
+        either, matched = bins_matched(sketches[i[some]], sketches[j[some]])
+        # Sets of under 5 shingles are similar by 0.8 only if equal, and equal sets match in all bins.
+        out[some] = matched >= (min_similarity - MARGIN) * either - SLACK * (most[some] * (1 - min_similarity) >= 1 - 1e-9)
+    return out
+
+
 def forest(fps: np.ndarray, first: np.ndarray, second: np.ndarray, max_bits: int, sizes: np.ndarray | None = None,
            sketches: np.ndarray | None = None, min_similarity: float = 0.0) -> list[tuple[int, int]]:
-    """A spanning forest, as index pairs, of the links between the points `first` and the points `second`."""
+    """A spanning forest, as index pairs, of the links (of candidates, if sketched) between the points `first` and `second`."""
     label = np.arange(len(fps))
     tree = []
     step = max(1, (1 << 21) // max(1, len(second)))
@@ -182,11 +205,7 @@ def forest(fps: np.ndarray, first: np.ndarray, second: np.ndarray, max_bits: int
         apart = label[i] != label[j]
         i, j = i[apart], j[apart]
         if sketches is not None:
-            least, most = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-            fit = least >= min_similarity * most
-            i, j = i[fit], j[fit]
-            ok = np.concatenate([similar(sketches[i[k : k + 65536]], sketches[j[k : k + 65536]]) >= min_similarity - TOLERANCE
-                                 for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+            ok = candidates(i, j, sizes, sketches, min_similarity)
             i, j = i[ok], j[ok]
         if not len(i):
             continue
@@ -212,9 +231,83 @@ def forest(fps: np.ndarray, first: np.ndarray, second: np.ndarray, max_bits: int
     return tree
 
 
+def set_forest(fps: np.ndarray, first: np.ndarray, second: np.ndarray, max_bits: int, sizes: np.ndarray, sketches: np.ndarray,
+               sets: list[np.ndarray], min_similarity: float) -> list[tuple[int, int]]:
+    """Like `forest`, of the pairs whose sets of shingles have the similarity."""
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([len(x) for x in sets])
+    own = [ids[e - len(x) : e] for x, e in zip(sets, ends)]
+    label, held, tree = np.arange(len(fps)), np.zeros(len(known), bool), []
+    for x in first.tolist():
+        others = second[label[second] != label[x]]
+        others = others[np.bitwise_count(fps[others] ^ fps[x]) <= max_bits + SHORT_BITS * (sizes[x] < SHORT)]
+        others = others[candidates(np.full(len(others), x), others, sizes, sketches, min_similarity)]
+        if not len(others):
+            continue
+        held[own[x]] = True
+        shared = np.array([np.count_nonzero(held[own[y]]) for y in others.tolist()])
+        held[own[x]] = False
+        others = others[shared >= min_similarity * (sizes[x] + sizes[others] - shared) - 1e-9]
+        joined, once = np.unique(label[others], return_index=True)
+        tree += [(x, y) for y in others[once].tolist()]
+        label[np.isin(label, joined)] = label[x]
+    return tree
+
+
+def set_links(docs: DataFrame, points: DataFrame, grouped: DataFrame, shingle: int, max_bits: int,
+              min_similarity: float) -> DataFrame:
+    """Edges (a, b) that connect all texts of a group (node, root) whose sets of shingles have the similarity.
+
+    points has node, fp, size, sketch, and row: the doc_id and hash of one row of `docs` that holds the text.
+    """
+    members = materialise(points.join(grouped, "node"), "members")
+    chosen = members.select(F.col("row.doc_id").alias("_row_id"), F.col("row._set_hash").alias("_row_hash"), "node")
+    texts = docs.select("doc_id", "_set_hash", F.col("text").cast("binary").alias("_shingled_text"))
+    texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_row_id")) & (F.col("_set_hash") == F.col("_row_hash")))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("_shingled_text")):
+                found = np.unique(shingle_hashes(text.as_py(), shingle)).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([found], pa.binary())], names=["node", "shingles"])
+
+    sets = texts.select("node", "_shingled_text").mapInArrow(shingles, "node bigint, shingles binary")
+    sets = materialise(sets.dropDuplicates(["node"]), "sets")  # of repeated rows each gave one
+    # Blocks by texts, so that a large group is many tasks but no set is copied often, and by shingles.
+    by_texts = F.greatest(F.least(F.ceil(F.count("*") / F.lit(GROUP)), F.lit(16)), F.ceil(F.count("*") / F.lit(BLOCK)))
+    sizes = members.groupBy("root").agg(F.greatest(by_texts, F.ceil(F.sum("size") / F.lit(SET_BLOCK))).alias("k"))
+    large = materialise(sizes.where("k > 1"), "large")  # at most one group in GROUP texts or SET_BLOCK shingles
+    n, held = members.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    bundles = 1 + max(n // 4096, held // SET_BLOCK)
+    bundle = F.when(F.col("k").isNull(), F.pmod(F.xxhash64("root"), F.lit(bundles))).otherwise(F.col("root"))
+    k = F.coalesce("k", F.lit(1))
+    tasks = (members.select("node", "root", "fp", "size", "sketch").join(sets, "node").join(F.broadcast(large), "root", "left")
+             .withColumns({"bundle": bundle, "whole": F.col("k").isNull(), "own": F.pmod(F.xxhash64("node"), k)})
+             .withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
+             .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("k", "other"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        node, root, own = (t.column(c).to_numpy() for c in ("node", "root", "own"))
+        fps, size = t.column("fp").to_numpy().view(np.uint64), t.column("size").to_numpy()
+        words = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(fps), -1)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        order = np.argsort(root, kind="stable")
+        a, b = [], []
+        for at in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+            first, second = np.flatnonzero(own[at] == i), np.flatnonzero(own[at] == j)
+            for x, y in set_forest(fps[at], first, second, max_bits, size[at], words[at], [sets[p] for p in at], min_similarity):
+                a.append(node[at[x]])
+                b.append(node[at[y]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tasks.groupBy("whole", "bundle", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
 def links(points: DataFrame, max_bits: int, min_similarity: float | None = None, leaf_sample: int = SAMPLE,
           block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect all linked points; columns node and fp, and size and sketch with min_similarity."""
+    """Edges (a, b) that connect all linked points; columns node and fp. With min_similarity they connect all candidates, and
+    points has size and sketch too."""
     total = points.count()
     rank = F.xxhash64("fp", F.lit(7))
     sample = points.select("fp").orderBy(rank, "fp").limit(leaf_sample).toArrow().column("fp").to_numpy().view(np.uint64)
@@ -268,15 +361,20 @@ def near_duplicates(docs: DataFrame, keep: list[str], shingle: int = 3, max_bits
     component_id is the smallest doc_id reachable over links, root a number that only the rows of one component share.
     """
     sketched = min_similarity is not None
-    rows = materialise(fingerprint(docs, keep, shingle, sketched), "fingerprints")
+    if sketched:
+        docs = docs.withColumn("_set_hash", F.xxhash64("text"))
+    rows = materialise(fingerprint(docs, [*keep, *["_set_hash"] * sketched], shingle, sketched), "fingerprints")
     node = "text_key" if sketched else "fp"
     facts = [F.min("doc_id").alias("least_id")]
     if sketched:
-        facts += [F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("sketch").alias("sketch")]
+        facts += [F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("sketch").alias("sketch"),
+                  F.min(F.struct("doc_id", "_set_hash")).alias("row")]
     points = materialise(rows.groupBy(F.col(node).alias("node")).agg(*facts), "points")
     if not sketched:
         points = points.withColumn("fp", F.col("node"))
     rooted = components(links(points, max_bits, min_similarity, block=block))
+    if sketched:
+        rooted = components(set_links(docs, points, rooted, shingle, max_bits, min_similarity))
     named = points.select("node", "least_id").join(rooted, "node", "left")
     named = materialise(named.select("node", "least_id", F.coalesce("root", "node").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))

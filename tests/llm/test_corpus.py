@@ -151,6 +151,21 @@ def test_similarity_links_of_texts_with_a_word_repeated_often(spark):
     assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [1]
 
 
+@pytest.mark.parametrize("group", [simhash.GROUP, 4])
+def test_similarity_links_are_exact_at_the_threshold(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rows, want = [], set()
+    for n in range(120):  # sets of shingles of which the second is a part: 640 or 639 of 800
+        words, part = [f"p{n}x{i}" for i in range(804)], 644 - n % 2
+        rows += [(1000 + n, " ".join(words)), (2000 + n, " ".join(words[:part]))]
+        want |= {1000 + n} | ({2000 + n} if n % 2 else set())
+    chain = [f"c{i}" for i in range(1000)]  # neighbours share 276 of 316 shingles, the next but one 256 of 336
+    rows += [(1 + i, " ".join(chain[20 * i : 20 * i + 300])) for i in range(30)]
+    rows += [(40, "a b c d e f g h"), (41, "a b c d e f g h i"), (42, "a b c d e f g"), (42, "a b c d e f g")]  # 4 of 5, 3 of 4
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(kept) == sorted(want | {1, 40, 42})
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     for n, share in ((60, 0.8), (2000, 0.8), (2000, 0.4)):
