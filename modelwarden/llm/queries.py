@@ -12,6 +12,7 @@ from modelwarden.llm import (
     ann, decontamination, language_id, lm_scoring, mixing, sharding, simhash, substring_dedup, toxicity, training_order,
 )
 from modelwarden.llm.common import fold, table
+from modelwarden.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -46,12 +47,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal row counts, uniformly shuffled."""
+    # Written whole, so that texts are dealt and not only numbers about them.
+    dealt = materialise(sharding.shuffle_to_shards(table(spark, sf_dir, "documents"), 16, seed=3), "shards", "zstd")
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
-    dealt = sharding.shuffle_to_shards(rows, 16, seed=3)
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-                        F.lit(None).cast("int").alias("grown_shard"))
+    return dealt.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
+                        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query

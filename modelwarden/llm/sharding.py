@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from modelwarden.session import materialise
 
-#: Rows that one task permutes at a time in the second permutation, about.
-BLOCK_ROWS = 1 << 16
+#: Rows, and bytes of text, that one task permutes at a time in the second permutation, about.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 64 << 20
 PART, POSITION, MIXED, BLOCK = "_deal_part", "_deal_position", "_deal_key", "_deal_block"
 
 
@@ -63,13 +63,16 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0, block_rows: int
     columns = [c for c in df.columns if c not in ("shard", "slot")]
     place = F.monotonically_increasing_id()
     numbered = materialise(df.select(*columns, F.shiftright(place, 33).cast("int").alias(PART),
-                                     place.bitwiseAND(F.lit((1 << 33) - 1)).alias(POSITION)), "dealt")
-    counts = {r[PART]: r["n"] for r in numbered.groupBy(PART).agg(F.count("*").alias("n")).collect()}  # one per partition
+                                     place.bitwiseAND(F.lit((1 << 33) - 1)).alias(POSITION)), "dealt", "zstd")
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("bigint") for f in numbered.schema
+             if f.dataType.simpleString() in ("string", "binary")]
+    found = numbered.groupBy(PART).agg(F.count("*").alias("n"), F.sum(sum(texts, F.lit(0))).alias("bytes")).collect()  # one per partition
+    counts = {r[PART]: r["n"] for r in found}
     parts = sorted(counts)
     total = sum(counts.values())
     matrix = communication_matrix([counts[p] for p in parts], shard_sizes(total, shards), seed)
     lines = {p: np.cumsum(matrix[i]) for i, p in enumerate(parts)}
-    bits = max(0, math.ceil(math.log2(max(1, total / shards / block_rows))))
+    bits = max(0, math.ceil(math.log2(max(1, total / shards / block_rows, sum(r["bytes"] for r in found) / shards / BLOCK_BYTES))))
     shared = df.sparkSession.sparkContext.broadcast(lines)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +92,13 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0, block_rows: int
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard), pa.array(block), pa.array(key.view(np.int64))],
                                              names=[*batch.schema.names, "shard", BLOCK, MIXED])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema)
-    dealt = numbered.mapInArrow(cut, f"{fields}, shard int, {BLOCK} bigint, {MIXED} bigint")
+    def deal(rows: DataFrame) -> DataFrame:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        return rows.mapInArrow(cut, f"{fields}, shard int, {BLOCK} bigint, {MIXED} bigint")
+
+    dealt = deal(numbered)
     ahead = Window.partitionBy("shard").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (dealt.groupBy("shard", BLOCK).agg(F.count("*").alias("n"))  # a row per BLOCK_ROWS rows or so
+    offsets = (deal(numbered.select(PART, POSITION)).groupBy("shard", BLOCK).agg(F.count("*").alias("n"))  # a row per BLOCK_ROWS rows or so
                .select("shard", BLOCK, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_deal_offset")))
     within = F.row_number().over(Window.partitionBy("shard", BLOCK).orderBy(MIXED)) - 1
     return (dealt.join(offsets, ["shard", BLOCK])

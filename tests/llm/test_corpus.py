@@ -225,6 +225,20 @@ def test_shards_are_exact_and_gapless(spark, odd, empty):
     assert sharding.shuffle_to_shards(empty, 4).count() == 0
 
 
+def test_sharding_query_deals_whole_documents(spark, monkeypatch):
+    dealt, real = [], sharding.shuffle_to_shards
+
+    def watched(df, *args, **kwargs):
+        out = real(df, *args, **kwargs)
+        dealt.append((df.columns, out.columns))
+        return out
+
+    monkeypatch.setattr(sharding, "shuffle_to_shards", watched)
+    assert QUERIES["op3_sharding"](spark, SMALL).count() == table(spark, SMALL, "documents").count()
+    columns = table(spark, SMALL, "documents").columns
+    assert dealt == [(columns, [*columns, "shard", "slot"])]
+
+
 def test_matrix_margins_and_distribution():
     parts, sizes = [5, 0, 20, 7], sharding.shard_sizes(32, 3)
     draws = np.stack([sharding.communication_matrix(parts, sizes, seed) for seed in range(3000)])
