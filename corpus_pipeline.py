@@ -37,10 +37,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample in which the shares of sources, languages and topics are tempered."""
+    """A sample in which the shares of sources, languages and topics are tempered, of half the tokens at least."""
     facts = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "lang", mixing.topic().alias("topic"),
                         mixing.tokens().alias("n_tokens"))
-    mixed = mixing.calibrate(facts, dict.fromkeys(mixing.DIMENSIONS, mixing.POWER))
+    mixed = mixing.calibrate(facts, dict.fromkeys(mixing.DIMENSIONS, mixing.POWER), keep=mixing.KEEP,
+                             tolerance=mixing.TOLERANCE)
     return mixed.where("taken").select("_row.*")
 
 

@@ -7,6 +7,11 @@ multiplied by, divided by the largest such factor, is the probability with which
 above 1, and in expectation the sampled tokens have the raked shares. A document is taken if a hash of its doc_id, seen as
 a number from 0 to 1, is below the probability, so the choice can be repeated.
 
+One document of a rare source and language has the largest factor of all, and dividing by it would drop most of the others.
+With `keep` the factors are scaled so that the sample is expected to hold that share of the tokens at least; cells whose
+probability would pass 1 are taken whole, and fall short of their target. With `tolerance` sweeps go on until all sums are
+within that share of their targets, or come no closer (then a warning names them).
+
 Targets are given by value, or as an exponent: a value with share s of the tokens gets a target in proportion to s to
 that power, below 1 lifting the small ones. Values without a target share the tokens that targets leave, in proportion.
 
@@ -17,12 +22,16 @@ without rows gives none; other columns are carried along, and ones named probabi
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwarden.session import materialise
 
 SWEEPS = 10
+#: Share of the tokens that the pipeline's mixture keeps at least, and how close its sums come to their targets.
+KEEP, TOLERANCE = 0.5, 0.01
 POWER = 0.85
 NONE = "(none)"
 DIMENSIONS = ("source", "lang", "topic")
@@ -62,29 +71,69 @@ def target_shares(cells: DataFrame, dimension: str, targets: dict[str, float] |
     return shares.select(dimension, (F.col("raw") / shares.agg(F.sum("raw")).scalar()).alias(f"target_{dimension}"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], sweeps: int = SWEEPS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], sweeps: int = SWEEPS,
+         tolerance: float | None = None) -> DataFrame:
     """The cells with weight: their share of tokens, raked to the targets of every dimension."""
     fitted = cells.withColumn("weight", F.col("n") / cells.agg(F.sum("n")).scalar())
     for dimension, wanted in targets.items():
         fitted = fitted.join(target_shares(cells, dimension, wanted), dimension)
     fitted = materialise(fitted, "cells")
-    for _ in range(sweeps):
+    done, worst = 0, float("inf")
+    while done < sweeps or tolerance is not None:
         for dimension in targets:
             total = F.sum("weight").over(Window.partitionBy(dimension))
             fitted = fitted.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"target_{dimension}") / total).otherwise(0.0))
         fitted = materialise(fitted, "cells")
+        done += 1
+        if tolerance is not None:
+            before, worst = worst, off_target(fitted, targets).agg(F.max("off")).first()[0] or 0.0
+            if worst <= tolerance:
+                break
+            if done >= sweeps and worst > 0.99 * before:
+                far = off_target(fitted, targets).where(F.col("off") > tolerance).orderBy(F.desc("off")).limit(10).collect()
+                warnings.warn("raking cannot meet: " + ", ".join(f"{x.dimension} {x.value} (off by {x.off:.1%})" for x in far), stacklevel=2)
+                break
     return fitted
 
 
-def calibrate(docs: DataFrame, targets: dict[str, dict[str, float] | float], seed: int = 4, sweeps: int = SWEEPS) -> DataFrame:
+def off_target(fitted: DataFrame, targets: dict[str, dict[str, float] | float]) -> DataFrame:
+    """(dimension, value, off): by what share of its target the weight of each value with a target differs from it."""
+    out = None
+    for k in targets:
+        sums = fitted.groupBy(F.col(k).alias("value")).agg(F.sum("weight").alias("weight"), F.first(f"target_{k}").alias("target"))
+        one = sums.where("target > 0").select(F.lit(k).alias("dimension"), "value", F.abs(F.col("weight") / F.col("target") - 1).alias("off"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def scale_for(fitted: DataFrame, factor: Column, keep: float) -> float:
+    """What factors are multiplied by, so that min(1, factor * scale) keeps a share `keep` of the tokens at least.
+
+    Kept tokens are the least, over all numbers of cells taken whole, of their tokens plus scale times the others' weight.
+    """
+    order = Window.orderBy(F.desc("factor"))  # one row a cell
+    cells = fitted.select("n", "weight", factor.alias("factor"))
+    cells = cells.select("factor", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("whole"),
+                         F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("others"))
+    total = fitted.agg(F.sum("n")).first()[0]
+    if not total:
+        return 1.0
+    wanted = (F.lit(keep * float(total)) - F.coalesce("whole", F.lit(0))) / F.col("others")
+    return cells.where("others > 0").agg(F.greatest(F.max(wanted), 1 / F.max("factor"))).first()[0]
+
+
+def calibrate(docs: DataFrame, targets: dict[str, dict[str, float] | float], seed: int = 4, sweeps: int = SWEEPS,
+              keep: float | None = None, tolerance: float | None = None) -> DataFrame:
     """`docs` (with doc_id, n_tokens and a column per dimension) with probability and taken."""
     keys = list(targets)
     named = docs.drop("probability", "taken").withColumns({f"_cell_{k}": F.coalesce(F.col(k).cast("string"), F.lit(NONE)) for k in keys})
     cells = materialise(named.groupBy(*(F.col(f"_cell_{k}").alias(k) for k in keys)).agg(F.sum("n_tokens").alias("n")), "cells")
-    fitted = rake(cells, targets, sweeps)
+    fitted = rake(cells, targets, sweeps, tolerance)
     factor = F.col("weight") / F.col("n")
+    chance = (factor / fitted.agg(F.max(factor)).scalar() if keep is None
+              else F.least(F.lit(1.0), factor * F.lit(scale_for(fitted, factor, keep))))
     odds = fitted.select(*(F.col(k).alias(f"_cell_{k}") for k in keys),
-                         (factor / fitted.agg(F.max(factor)).scalar()).alias("probability"))
+                         chance.alias("probability"))
     odds = materialise(odds, "odds")
     return (named.join(odds, [f"_cell_{k}" for k in keys]).drop(*(f"_cell_{k}" for k in keys))
             .withColumn("taken", unit_hash("doc_id", seed) < F.col("probability")))

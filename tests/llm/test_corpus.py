@@ -270,6 +270,18 @@ def test_raking_meets_targets(spark, odd, empty):
     assert mixing.calibrate(none, {"lang": 0.5}).count() == 0
 
 
+def test_one_rare_document_does_not_empty_the_mixture(spark, empty):
+    rows = [(i, "some words of prose", ("en", "fr", "de")[i % 3], ("web", "book")[i % 5 > 0], 19) for i in range(6000)]
+    docs = spark.createDataFrame([*rows, (9999, "one more", "xx", "rare", 8)], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SMALL).collect()}
+    assert 9999 in kept and len(kept) > 0.47 * len(rows)
+    facts = docs.withColumns({"topic": mixing.topic(), "n_tokens": mixing.tokens()})
+    mixed = mixing.calibrate(facts, {"source": 0.85, "lang": 0.85}, keep=0.6, tolerance=1e-3)
+    share = mixed.agg(F.sum(F.col("probability") * F.col("n_tokens")) / F.sum("n_tokens"), F.max("probability")).first()
+    assert share[0] == pytest.approx(0.6) and share[1] == 1
+    assert corpus_pipeline.mix_sources(spark, empty, SMALL).count() == 0
+
+
 # Nearest neighbours
 
 def brute_nearest(rows, k):
