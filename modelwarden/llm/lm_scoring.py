@@ -40,8 +40,8 @@ SINGLE, GROUPS, CLASSES = 2000, 48, 64
 UNITS = SINGLE + GROUPS
 WIDTH, WINDOW, OVERLAP = 32, 32, 8
 FRESH = WINDOW - OVERLAP
-#: One training window in RATE is learned from in each round.
-RATE, ROUNDS, BATCH, STEP = 32, 2, 128, 1e-2
+#: The training windows are dealt to the rounds, so each is learned from once.
+ROUNDS, BATCH, STEP = 2, 128, 1e-2
 #: Windows and rows that scoring handles at a time: small enough for the processor's caches.
 TOGETHER, ROWS = 64, 1024
 SHARD_BYTES = 12 << 20
@@ -355,7 +355,13 @@ class Attention:
         return out
 
 
-def train(rows: DataFrame, of: np.ndarray, kind: np.ndarray, neighbours: np.ndarray, rounds: int = ROUNDS, rate: int = RATE) -> dict[str, np.ndarray]:
+def windows_of_round(count: int, shard: int, start: int, number: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Which of the windows that begin at text `start` of a shard are learned from in round `number`."""
+    rng = np.random.default_rng([shard & 0xFFFFFFFF, start])
+    return np.flatnonzero(rng.integers(0, rounds, count) == number)
+
+
+def train(rows: DataFrame, of: np.ndarray, kind: np.ndarray, neighbours: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Parameters, after rounds in which every task trains a copy on its windows and copies are averaged."""
     model = Attention(neighbours)
     context = rows.sparkSession.sparkContext
@@ -370,8 +376,7 @@ def train(rows: DataFrame, of: np.ndarray, kind: np.ndarray, neighbours: np.ndar
                     texts = training_stream(row)
                     for s in range(0, len(texts), 256):
                         own, before, target, _, counts, first = windows_of(texts[s : s + 256], units)
-                        rng = np.random.default_rng([row["shard"] & 0xFFFFFFFF, s, number])
-                        chosen = np.flatnonzero(rng.integers(0, rate, len(own)) == 0)
+                        chosen = windows_of_round(len(own), row["shard"], s, number, rounds)
                         for i in range(0, len(chosen), BATCH):
                             c = chosen[i : i + BATCH]
                             copy.learn(own[c], before[c], classes[units[target[c]]], counts[c], first[c])

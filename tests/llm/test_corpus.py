@@ -514,6 +514,11 @@ def test_attention_is_causal_and_learns():
     assert loss() < 0.5 * start
 
 
+def test_every_training_window_is_learned_from_once():
+    dealt = [lm_scoring.windows_of_round(1001, 3 << 24, 256, number) for number in range(lm_scoring.ROUNDS)]
+    assert sorted(np.concatenate(dealt).tolist()) == list(range(1001)) and min(map(len, dealt)) > 400
+
+
 def test_lm_odd_rows(spark, odd, empty):
     marked = odd.withColumn("held_out", F.coalesce(F.col("doc_id") == 4, F.lit(False)))
     rows = lm_scoring.score_texts(marked).collect()
