@@ -79,14 +79,18 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, place[~joined], own[~joined]
 
 
-@cache
-def norms(limit: int = 4096) -> np.ndarray:
-    """Norm, by length, of the subsequence weights of a word in which none recurs; 1 where there is none."""
-    size = np.arange(limit)
+def norm_of(size: np.ndarray) -> np.ndarray:
+    """Norm, for every length, of the subsequence weights of a word in which none recurs; 1 where there is none."""
     total = sum(w * w * np.maximum(0, size - 2 - g - h) for g, h, w in WEIGHTS)
     return np.sqrt(np.where(total > 0, total, 1.0))
 
 
+@cache
+def norms(limit: int = 4096) -> np.ndarray:
+    """The norms of the lengths below `limit`."""
+    return norm_of(np.arange(limit))
+
+
 def subsequence_sums(row: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
     """For every word the weighted sum of `table` over its subsequences, divided by the norm of its length."""
     if not len(starts):
@@ -102,7 +106,10 @@ def subsequence_sums(row: np.ndarray, starts: np.ndarray, table: np.ndarray) ->
             key = (at[:n] * SYMBOLS + at[j : j + n]) * SYMBOLS + at[k : k + n]
             total[:n] += np.where(word[:n] == word[k : k + n], weight * table[key], 0.0)
     by = norms()
-    return np.add.reduceat(total[:-1], starts) / by[np.minimum(size, len(by) - 1)]
+    norm = by[np.minimum(size, len(by) - 1)]
+    long = size >= len(by)
+    norm[long] = norm_of(size[long])
+    return np.add.reduceat(total[:-1], starts) / norm
 
 
 def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +140,7 @@ def weight_table(word: str) -> np.ndarray:
         n = len(row) - 2 - g - h
         if n > 0:
             np.add.at(table, (row[:n] * SYMBOLS + row[1 + g : 1 + g + n]) * SYMBOLS + row[2 + g + h :][:n], weight)
-    return table / norms()[min(len(row), len(norms()) - 1)]
+    return table / norm_of(np.array(len(row)))
 
 
 def kernel(left: list[str], right: list[str]) -> np.ndarray:

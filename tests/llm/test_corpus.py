@@ -444,6 +444,14 @@ def test_subsequence_kernel_matches_plain_sum():
     assert toxicity.kernel([a], [b])[0, 0] == pytest.approx(sum(x[k] * y[k] for k in x) / norm)
 
 
+def test_norm_of_a_very_long_word():
+    size = 400_000
+    row, table = np.ones(size, np.uint8), np.ones(toxicity.SYMBOLS**3)
+    plain = [(w, size - 2 - g - h) for g, h, w in toxicity.WEIGHTS]
+    want = sum(w * n for w, n in plain) / sum(w * w * n for w, n in plain) ** 0.5
+    assert toxicity.subsequence_sums(row, np.array([0]), table)[0] == pytest.approx(want)
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(5, 1), (6, None), (None, 1), (99, 0), (4, 3)], "doc_id bigint, toxic int")
     rows = toxicity.score(odd, toxicity.fit(odd, labels), ["doc_id"]).collect()
