@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from modelwarden.llm import (
-    ann, decontamination, language_id, lm_scoring, mixing, sharding, simhash, substring_dedup, toxicity, training_order,
+    ann, decontamination, language_id, licence_scan, lm_scoring, mixing, periodic_runs, sharding, simhash, spelling,
+    substring_dedup, toxicity, training_order,
 )
 from modelwarden.llm.common import fold, table
 from modelwarden.session import materialise
@@ -101,6 +102,61 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(docs)
 
 
+def repeated_from(text: str, mark: str) -> Column:
+    """The words of `text` from word mark % n on made periodic: word i is word a + (i - a) % p, a = mark % n."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, mark = F.size(words), F.col(mark)
+    head = F.pmod(mark, n).cast("int")
+    period = (1 + F.floor((n - head) / (3 + mark % 8))).cast("int")
+    block = F.slice(words, head + 1, period)
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil((n - head) / period).cast("int"))), F.lit(1), n - head)
+    return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), head), tail), " ")).otherwise(F.col(text))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal periodic runs of words in every document, a tenth of the documents made periodic first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    docs = docs.withColumn("mark", F.floor(F.col("h") / 10))
+    docs = docs.withColumn("text", F.when(F.col("h") % 10 == 0, repeated_from("text", "mark")).otherwise(F.col("text")))
+    found = periodic_runs.periodic_runs(docs, ["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("longest.before")).alias("start"),
+        F.col("longest.length").alias("length"), (-F.col("longest.shorter")).alias("period"),
+        F.expr("1000 * longest.length div -longest.shorter").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and the notices that cover every document's words."""
+    found = licence_scan.scan_licences(table(spark, sf_dir, "documents"), ["doc_id"])
+
+    def listed(labels: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min("places.first").alias("first_word"),
+        F.array_max("places.first").alias("last_word"), listed(F.col("places.label")).alias("base_labels"),
+        listed(F.concat("places.label", "spans.label")).alias("labels"), "score")
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common form of every word of at least 7 letters that occurs twice, a letter of some words left out first."""
+    word = F.col("word")
+    h = F.crc32(F.concat(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.lit(":"), word).cast("binary"))
+    gone = (h % F.length(word)).cast("int")
+    left_out = F.concat(word.substr(F.lit(1), gone), word.substr(gone + 2, F.length(word)))
+    words = spelling.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                word=F.when(h % 31 == 0, left_out).otherwise(word))
+    return spelling.variants(words)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
