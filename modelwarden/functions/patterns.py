@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 _TOKENS = r"(\[!?\]?[^\]]*\]|(?s:.))"
 
 
+def glob_tokens(pattern: Column) -> Column:
+    """The pattern in parts: `*`, `?`, a set in brackets, or one character."""
+    return F.regexp_extract_all(pattern, F.lit(_TOKENS), F.lit(0))
+
+
 def glob_regex(pattern: Column) -> Column:
     """Regex text for a glob: `*` and `?` cross dots, `[seq]` and `[!seq]` are sets, the match is full.
 
@@ -28,8 +33,7 @@ def glob_regex(pattern: Column) -> Column:
             .otherwise(F.regexp_replace(t, r"([^A-Za-z0-9_])", r"\\$1"))
         )
 
-    tokens = F.regexp_extract_all(pattern, F.lit(_TOKENS), F.lit(0))
-    return F.concat(F.lit(r"\A(?s:"), F.array_join(F.transform(tokens, token), ""), F.lit(r")\z"))
+    return F.concat(F.lit(r"\A(?s:"), F.array_join(F.transform(glob_tokens(pattern), token), ""), F.lit(r")\z"))
 
 
 def glob_match(name: Column, pattern: Column | str) -> Column:

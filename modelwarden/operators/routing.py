@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from modelwarden.functions.patterns import glob_match, scope_match
+from modelwarden.functions.patterns import glob_match, glob_tokens, scope_match
 from modelwarden.operators.ordered import latest_by
 from modelwarden.session import materialise, work_dir
 
+#: Marks of the ends of a name and of a wildcard in a pattern's fixed text; groups in which patterns without fixed text meet names.
+BEGIN, END, GAP = "\x02", "\x03", "\x01"
+SALTS = 64
 OUTCOMES = ["on_success", "on_failure", "on_drift", "on_degradation", "on_sufficient_feedback"]
 
 
@@ -23,23 +27,60 @@ def active_subscriptions(log: DataFrame) -> DataFrame:
     return on.where(F.coalesce(F.col("seq") > F.col("_off"), F.lit(True))).select("pattern", "handler", "seq")
 
 
-def _anchor(text: str, at: int) -> Column:
-    return F.split_part(F.col(text), F.lit("."), F.lit(at))
+def _grams(text: str, size: int) -> str:
+    """SQL of all stretches of `size` characters of a text; a shorter one gives itself."""
+    return f"transform(sequence(1, greatest(length({text}) - {size - 1}, 1)), i -> substr({text}, i, {size}))"
 
 
-def routes(types: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """The rows of `types` and `subscriptions` whose type and pattern match; both tables should be distinct.
+def name_keys(names: DataFrame) -> DataFrame:
+    """(type, key): the name, its stretches of one to three characters with the marks of its ends, and its group."""
+    grams = ", ".join(_grams("t", n) for n in (1, 2, 3))
+    marked = names.selectExpr("type", f"concat('{BEGIN}', type, '{END}') AS t")
+    return marked.selectExpr("type", f"""explode(array_append(array_distinct(concat(array(t), {grams})),
+        concat('{GAP}', pmod(xxhash64(type), {SALTS})))) AS key""")
+
 
-    A pattern joins on its first segment if that is fixed, else on its last one if that is; only patterns with
-    neither (`*`, `[dm]*`) are tried against every distinct type.
+def pattern_keys(patterns: DataFrame) -> DataFrame:
+    """(pattern, every, key): a matching name has all keys of a pattern if `every`, else one of them.
+
+    A pattern without wildcards has itself as its key. One with fixed text has the three-character stretches of that text, or its
+    two- or one-character pieces; the ends of a name count as characters. One without, that begins with a set, has the first
+    characters allowed. A pattern that fixes nothing (`*`, `?*`) has all groups of names as keys.
+    """
+    tokens = patterns.where("pattern is not null").select("pattern", glob_tokens(F.col("pattern")).alias("t"))
+    fixed = tokens.selectExpr("pattern", "t[0] AS head", f"""concat('{BEGIN}', array_join(transform(t, x -> CASE
+        WHEN x IN ('*', '?') OR length(x) > 1 AND startswith(x, '[') THEN '{GAP}' ELSE x END), ''), '{END}') AS text""")
+    pieces = fixed.selectExpr("*", f"filter(split(text, '{GAP}'), p -> p NOT IN ('', '{BEGIN}', '{END}')) AS pieces")
+    sized = pieces.selectExpr("*", "least(coalesce(array_max(transform(pieces, p -> length(p))), 0), 3) AS n")
+    return sized.selectExpr("pattern", f"n > 0 AND contains(text, '{GAP}') AS every", rf"""explode(CASE
+        WHEN NOT contains(text, '{GAP}') THEN array(text)
+        WHEN n > 0 THEN array_distinct(flatten(transform(filter(pieces, p -> length(p) >= n),
+            p -> transform(sequence(1, length(p) - n + 1), i -> substr(p, i, n)))))
+        WHEN head RLIKE r'\A\[[^!\]-][^\]-]*\]\z' THEN transform(
+            filter(split(substr(head, 2, length(head) - 2), ''), c -> c <> ''), c -> concat('{BEGIN}', c))
+        ELSE transform(sequence(0, {SALTS - 1}), i -> concat('{GAP}', i)) END) AS key""")
+
+
+def matching(names: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(type, pattern) of distinct names and distinct patterns that match.
+
+    An index of character stretches: every pattern is looked up by the one stretch of its fixed text that fewest names hold, so
+    only names with that stretch are tried. A pattern that fixes nothing matches all names of some length; it
+    meets the names in SALTS groups, which costs no more than its matches.
     """
-    wild = F.lit(r"[*?\[]")
-    first, last = _anchor("pattern", 1), _anchor("pattern", -1)
-    key = (F.when(~F.regexp_like(first, wild), F.concat(F.lit("first."), first))
-           .when(~F.regexp_like(last, wild), F.concat(F.lit("last."), last)).otherwise(F.lit("any")))
-    keys = F.array(F.concat(F.lit("first."), _anchor("type", 1)), F.concat(F.lit("last."), _anchor("type", -1)), F.lit("any"))
-    tried = types.withColumn("_key", F.explode(keys)).join(subscriptions.withColumn("_key", key), "_key")
-    return tried.where(glob_match(F.col("type"), F.col("pattern"))).drop("_key")
+    held, wanted = name_keys(names.where("type is not null")), pattern_keys(patterns)
+    common = held.groupBy("key").agg(F.count(F.lit(1)).alias("names"))
+    # A stretch that no name holds has no count: its pattern matches nothing, and looks that stretch up.
+    ranked = wanted.join(common, "key", "left").withColumn("place", F.row_number().over(
+        W.partitionBy("pattern").orderBy(F.col("names").asc_nulls_first(), "key")))
+    tried = held.join(ranked.where("place = 1 OR NOT every"), "key").select("type", "pattern").distinct()
+    return tried.where(glob_match(F.col("type"), F.col("pattern")))
+
+
+def routes(types: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """The rows of `types` (distinct types) and `subscriptions` whose type and pattern match."""
+    found = matching(types.select("type"), subscriptions.select("pattern").distinct())
+    return types.join(found, "type").join(subscriptions, "pattern").select(*types.columns, *subscriptions.columns)
 
 
 def delivery_counts(events: DataFrame, subscriptions: DataFrame) -> DataFrame:

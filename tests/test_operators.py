@@ -1,7 +1,10 @@
 """Operators on small literal cases."""
 
 import datetime as dt
+import fnmatch
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -313,3 +316,40 @@ def test_training(spark):
     scored = training.score(model, split.where("split = 'test'"), "v1")
     m = training.holdout_metrics(scored).first()
     assert (m.f1, m.auc_roc, m.model_version) == (1.0, 1.0, "v1")
+
+
+def test_matching_equals_plain_match(spark):
+    """10,000 patterns and 10,000 names against the plain match of every pair, on patterns of all shapes."""
+    rng = random.Random(7)
+    parts = ["model", "data", "deploy", "drift", "valid", "feed", "x1", "q", "[a]", "ok!"]
+
+    def name():
+        return ".".join(rng.choice(parts) + rng.choice(["", "", str(rng.randrange(400))]) for _ in range(rng.randint(1, 4)))
+
+    def pattern():
+        text, kind = name(), rng.randrange(10)
+        if kind < 3:
+            return text
+        if kind < 8:
+            chars = list(text)
+            for _ in range(rng.randint(1, 3)):
+                i = rng.randrange(len(chars))
+                chars[i : i + rng.randint(1, 4)] = rng.choice([["*"], ["?"], ["[dmq]"], ["[!x]"], ["[0-9]"]])
+            return "".join(chars)
+        return rng.choice(["*", "?*", "????", "[dm]*", "[!dm]*", "*.*", "*1*", "[", "[]x]*", "*[0-4]", ""]) + rng.choice(["", "", "*"])
+
+    names, globs = sorted({name() for _ in range(14_000)})[:10_000] + [""], sorted({pattern() for _ in range(16_000)})[:10_000]
+    assert len(names) > 9_000 and len(globs) > 8_000
+    n = spark.createDataFrame([(x,) for x in names], "type string")
+    found = routing.matching(n, spark.createDataFrame([(x,) for x in globs], "pattern string"))
+    shape = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in shape and "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.pattern: r.n for r in found.groupBy("pattern").agg(F.count_distinct("type").alias("n")).collect()}
+    assert found.count() == sum(got.values())
+    want = {}
+    for p in globs:
+        rule = re.compile(fnmatch.translate(p))
+        hits = sum(1 for x in names if rule.match(x))
+        if hits:
+            want[p] = hits
+    assert got == want
