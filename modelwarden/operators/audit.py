@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from modelwarden.functions.numbers import pct
 from modelwarden.functions.text import decision_line, display_label
 from modelwarden.operators.gates import reward
-from modelwarden.operators.ordered import SLICE_ROWS, pages, scan
+from modelwarden.operators.ordered import SLICE_ROWS, pages, running_map, scan
 from modelwarden.session import materialise
 
 MAX_STAGES = 20
@@ -189,6 +189,12 @@ def carry_forward(decisions: DataFrame, columns: Sequence[str], slice_rows: int
     return scan(kept, ["trace_id"], ["timestamp", "id"], last={f"payload_{c}": c for c in columns}, slice_rows=slice_rows)
 
 
+def running_payload(entries: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(trace_id, timestamp, id, payload map) with `carried`: all that the run has written so far, under any keys, later wins."""
+    kept = entries.select("trace_id", "timestamp", "id", "payload")
+    return running_map(kept, ["trace_id"], ["timestamp", "id"], "payload", "carried", slice_rows)
+
+
 def final_payload(entries: DataFrame) -> DataFrame:
     """Final payload map per trace from (trace_id, timestamp, id, payload map): newest value per key."""
     exploded = entries.select("trace_id", "timestamp", "id", F.explode("payload").alias("k", "v"))

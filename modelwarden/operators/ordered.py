@@ -26,6 +26,8 @@ MIN_MARKS = 4
 MAX_MARKS = 16_384
 STRIDE = 128
 BROADCAST_MARKS = 1_000_000
+#: Positions that one row gives at once where it stands for many.
+BLOCK = 4096
 
 
 def _order_struct(order: Sequence[str]) -> Column:
@@ -163,6 +165,29 @@ def _carries(sliced: DataFrame, keys, order, sums, totals, last, prev, next) ->
     )
 
 
+def running_map(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, out: str, slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """Adds `out`: the maps of `column` up to each row merged in order, later values winning, whatever keys they hold.
+
+    Every entry stands from its row until the next row of the key (in `keys`) that writes the same map key; the map of a row is
+    made of the entries that stand there. Work grows with the entries of the result. Positions and next writes are scans in
+    slices, and rows are put together per position, so one long key is spread over tasks. An entry with a null
+    value is a value; a null map writes nothing. The order columns must identify a row within its key.
+    """
+    keys = list(keys)
+    placed = scan(df.withColumn("_one", F.lit(1)), keys, order, position="_at", totals={"_rows": "_one"}, slice_rows=slice_rows)
+    writes = placed.select(*keys, "_at", "_rows", F.explode(column).alias("_k", "_v"))
+    until = scan(writes, [*keys, "_k"], ["_at"], next={"_next": "_at"}, slice_rows=slice_rows)
+    until = until.withColumn("_end", F.coalesce("_next", F.col("_rows") + 1))
+    blocks = until.withColumn("_from", F.explode(F.sequence("_at", F.col("_end") - 1, F.lit(BLOCK).cast("bigint"))))
+    stands = blocks.select(*keys, "_k", "_v", F.explode(F.sequence(
+        "_from", F.least(F.col("_from") + BLOCK, F.col("_end")) - 1)).alias("_at"))
+    maps = stands.groupBy(*keys, "_at").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias(out))
+    empty = F.map_from_arrays(F.array(), F.array()).cast(df.schema[column].dataType)
+    return placed.join(maps, [*keys, "_at"], "left").select(*df.columns, F.coalesce(out, empty).alias(out))
+
+
 def exact_percentiles(
     counts: DataFrame, keys: Sequence[str], value: str, n: str, probs: Mapping[str, float],
     also: Mapping[str, str] | None = None, slice_rows: int = SLICE_ROWS,

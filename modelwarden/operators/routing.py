@@ -48,7 +48,7 @@ def pattern_keys(patterns: DataFrame) -> DataFrame:
     characters allowed. A pattern that fixes nothing (`*`, `?*`) has all groups of names as keys.
     """
     tokens = patterns.where("pattern is not null").select("pattern", glob_tokens(F.col("pattern")).alias("t"))
-    fixed = tokens.selectExpr("pattern", "t[0] AS head", f"""concat('{BEGIN}', array_join(transform(t, x -> CASE
+    fixed = tokens.selectExpr("pattern", "get(t, 0) AS head", f"""concat('{BEGIN}', array_join(transform(t, x -> CASE
         WHEN x IN ('*', '?') OR length(x) > 1 AND startswith(x, '[') THEN '{GAP}' ELSE x END), ''), '{END}') AS text""")
     pieces = fixed.selectExpr("*", f"filter(split(text, '{GAP}'), p -> p NOT IN ('', '{BEGIN}', '{END}')) AS pieces")
     sized = pieces.selectExpr("*", "least(coalesce(array_max(transform(pieces, p -> length(p))), 0), 3) AS n")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from modelwarden.operators.ordered import SLICE_ROWS, exact_percentiles, scan
 
 PERCENTILES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95, "latency_p99_ms": 0.99}
 ACCURACY = 10_000
+#: Size of a pane's sketch: ranks are within 0.1 % of the requests.
+SKETCH_K = 8192
 
 
 def server_error(code: Column) -> Column:
@@ -47,20 +51,58 @@ def endpoint_metrics(
     return out.withColumn("error_rate", safe_ratio(F.col("error_count"), F.col("request_count")))
 
 
+def pane_width(width: str, slide: str) -> str:
+    """The longest time that divides both, so that every window is a whole number of panes."""
+    micros = math.gcd(*(int(pd.Timedelta(t) / pd.Timedelta(microseconds=1)) for t in (width, slide)))
+    return f"{micros} microseconds"
+
+
 def windowed_metrics(
     requests: DataFrame, keys: Sequence[str], width: str = "15 minutes", slide: str | None = None, ts: str = "ts",
 ) -> DataFrame:
     """Tumbling or sliding endpoint metrics with flat window_start / window_end.
 
-    A batch gets exact percentiles. A stream, whose state must stay bounded, gets sketches named approx_*.
+    A batch gets exact percentiles. Sliding windows are made of panes: requests are counted once per pane and latency value,
+    and only these counts go to every window of their pane. A stream, whose state must stay bounded, gets sketches named
+    approx_*, for tumbling windows; sliding ones are `pane_sketches` merged by `merge_panes`.
     """
-    w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    bounds = [F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end")]
+    keys, bounds = list(keys), [F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end")]
     if requests.isStreaming:
-        out = _sketched(requests, [w.alias("w"), *keys], "response_code", "latency_ms")
+        if slide:
+            raise ValueError("keep pane_sketches of a stream, and merge_panes of what is kept")
+        out = _sketched(requests, [F.window(ts, width).alias("w"), *keys], "response_code", "latency_ms")
         return out.select(*keys, *bounds, *[c for c in out.columns if c not in ("w", *keys)])
-    placed = requests.select(w.alias("w"), *keys, "response_code", "latency_ms").select(*keys, *bounds, "response_code", "latency_ms")
-    return endpoint_metrics(placed, [*keys, "window_start", "window_end"])
+    pane = F.window(ts, pane_width(width, slide) if slide else width).alias("w")
+    counts = requests.select(pane, *keys, "response_code", "latency_ms").groupBy("w", *keys, "latency_ms").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(server_error(F.col("response_code"))).alias("_e"))
+    if slide:
+        counts = counts.select(*keys, "latency_ms", "_n", "_e", F.window("w.start", width, slide).alias("w")).groupBy(
+            "w", *keys, "latency_ms").agg(F.sum("_n").alias("_n"), F.sum("_e").alias("_e"))
+    also = {"request_count": "_n", "error_count": "_e"}
+    flat = counts.select(*keys, *bounds, "latency_ms", "_n", "_e")
+    out = exact_percentiles(flat, [*keys, "window_start", "window_end"], "latency_ms", "_n", PERCENTILES, also)
+    return out.withColumn("error_rate", safe_ratio(F.col("error_count"), F.col("request_count")))
+
+
+def pane_sketches(requests: DataFrame, keys: Sequence[str], width: str, slide: str, ts: str = "ts") -> DataFrame:
+    """Per key and pane: counts and a mergeable latency sketch. Every request is in one pane, whatever the windows."""
+    agg = requests.groupBy(F.window(ts, pane_width(width, slide)).alias("w"), *keys).agg(
+        F.count(F.lit(1)).alias("request_count"), F.count_if(server_error(F.col("response_code"))).alias("error_count"),
+        F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), F.lit(SKETCH_K)).alias("sketch"))
+    return agg.select(*keys, F.col("w.start").alias("pane_start"), "request_count", "error_count", "sketch")
+
+
+def merge_panes(panes: DataFrame, keys: Sequence[str], width: str, slide: str) -> DataFrame:
+    """Sliding windows with approx_* percentiles from the panes that they cover."""
+    w = F.window("pane_start", width, slide).alias("w")
+    merged = panes.select(w, *keys, "request_count", "error_count", "sketch").groupBy("w", *keys).agg(
+        F.sum("request_count").alias("request_count"), F.sum("error_count").alias("error_count"),
+        F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"))
+    known = F.kll_sketch_get_n_double("sketch") > 0
+    return merged.select(
+        *keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "request_count", "error_count",
+        safe_ratio(F.col("error_count"), F.col("request_count")).alias("error_rate"),
+        *[F.when(known, F.kll_sketch_get_quantile_double("sketch", F.lit(p))).alias(f"approx_{name}") for name, p in PERCENTILES.items()])
 
 
 def sessions(

@@ -337,18 +337,34 @@ def payload_carry_forward(spark, sf):
     return out.select("id", "trace_id", "payload_f1", "payload_failed_id", "payload_large")
 
 
-@query("final_payload", with_ctes(DECISIONS_SQL, """
+_PAYLOAD_SQL = """
 kv AS (SELECT trace_id, "timestamp", id, agent_name AS k, action || '/' || id AS v FROM decisions
-       UNION ALL SELECT trace_id, "timestamp", id, 'previous_stage', agent_name FROM decisions),
+       UNION ALL SELECT trace_id, "timestamp", id, 'previous_stage', agent_name FROM decisions)"""
+
+
+def _payloads(spark, sf):
+    return decisions(spark, sf).select("trace_id", "timestamp", "id", F.create_map(
+        F.col("agent_name"), F.concat("action", F.lit("/"), "id"), F.lit("previous_stage"), F.col("agent_name")).alias("payload"))
+
+
+def _entries_text(payload: str):
+    return F.array_join(F.array_sort(F.transform(F.map_entries(payload), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+
+
+@query("running_payload", with_ctes(DECISIONS_SQL, _PAYLOAD_SQL, """
+upto AS (SELECT d.id, kv.k, arg_max(kv.v, (kv."timestamp", kv.id)) AS v FROM decisions d
+         JOIN kv ON kv.trace_id = d.trace_id AND (kv."timestamp", kv.id) <= (d."timestamp", d.id) GROUP BY 1, 2)""") + """
+SELECT id, string_agg(k || '=' || v, ';' ORDER BY k) AS payload FROM upto GROUP BY 1""")
+def running_payload(spark, sf):
+    """What each decision finds in the payload: all that its run has written until then."""
+    return audit.running_payload(_payloads(spark, sf)).select("id", _entries_text("carried").alias("payload"))
+
+
+@query("final_payload", with_ctes(DECISIONS_SQL, _PAYLOAD_SQL, """
 n AS (SELECT trace_id, k, arg_max(v, ("timestamp", id)) AS v FROM kv GROUP BY 1, 2)""") + """
 SELECT trace_id, string_agg(k || '=' || v, ';' ORDER BY k) AS payload FROM n GROUP BY 1""")
 def final_payload(spark, sf):
-    d = decisions(spark, sf)
-    entries = d.select("trace_id", "timestamp", "id", F.create_map(
-        F.col("agent_name"), F.concat("action", F.lit("/"), "id"), F.lit("previous_stage"), F.col("agent_name")).alias("payload"))
-    out = audit.final_payload(entries)
-    kv = F.array_sort(F.transform(F.map_entries("payload"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return out.select("trace_id", F.array_join(kv, ";").alias("payload"))
+    return audit.final_payload(_payloads(spark, sf)).select("trace_id", _entries_text("payload").alias("payload"))
 
 
 @query("lineage_pairs", with_ctes(ESCALATED_SQL, _POSITIONS_SQL) + """

@@ -135,16 +135,26 @@ def drift_summary(spark, sf):
     return out.withColumn("max_psi", F.round("max_psi", 6)).withColumn("drifted_features", F.array_join("drifted_features", ","))
 
 
-@query("psi_stored_edges", _drift_sql(_BASE, FEATURES) + "SELECT feature, round(psi, 6) AS psi, TRUE AS sketch_close FROM psi")
+@query("psi_stored_edges", _drift_sql(_BASE, FEATURES) + "SELECT feature, round(psi, 6) AS psi FROM psi")
 def psi_stored_edges(spark, sf):
-    """Baseline edges are sketched once, saved as a table and reused; the index is within 0.005 of the exact one."""
+    """The baseline's exact edges are selected once, saved as a table and reused."""
     base = table(spark, sf, "lineitem").where(F.col("l_shipdate") < F.lit(SPLIT_DATE).cast("timestamp_ntz"))
     path = work_dir(spark, "edges")
-    quality.baseline_edges(base, FEATURES).write.parquet(path)
-    out = quality.psi_from_edges(_observations(spark, sf), spark.read.parquet(path)).select("feature", F.col("psi").alias("sketched"))
-    exact = quality.drift_profile(_observations(spark, sf)).select("feature", "psi")
-    close = F.abs(F.col("sketched") - F.col("psi")) <= 0.005
-    return out.join(exact, "feature").select("feature", F.round("psi", 6).alias("psi"), close.alias("sketch_close"))
+    quality.exact_edges(base, FEATURES).write.parquet(path)
+    edges = spark.read.schema("feature string, edges array<double>").parquet(path)
+    return quality.psi_from_edges(_observations(spark, sf), edges).select("feature", F.round("psi", 6).alias("psi"))
+
+
+_EDGES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+
+
+@query("baseline_edges", " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, unnest(quantile_disc(CAST({f} AS DOUBLE), {_EDGES})) AS edge, generate_subscripts({_EDGES}, 1) AS place FROM lineitem" for f in FEATURES))
+def baseline_edges(spark, sf):
+    """The exact deciles of every feature."""
+    exact = quality.exact_edges(table(spark, sf, "lineitem"), FEATURES)
+    return exact.select("feature", F.posexplode("edges").alias("place", "edge")).select(
+        "feature", "edge", (F.col("place") + 1).cast("bigint").alias("place"))
 
 
 @query("psi_categorical", f"""

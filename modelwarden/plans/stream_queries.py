@@ -67,8 +67,12 @@ def stream_tumbling(spark, sf):
 slid AS (SELECT r.*, time_bucket(INTERVAL 6 HOURS, ts) - o.k * INTERVAL 6 HOURS AS window_start FROM requests r CROSS JOIN (SELECT unnest(range(0, 4)) AS k) o)""") + f"""
 SELECT endpoint_id, window_start, window_start + INTERVAL 24 HOURS AS window_end, {_COUNTS_SQL} FROM slid GROUP BY 1, 2""")
 def stream_sliding(spark, sf):
-    w = streams.endpoint_windows(request_columns(_events(spark, sf)), ["endpoint_id"], "24 hours", "6 hours")
-    return _ranked(spark, sf, _run(spark, w, ["endpoint_id", "window_start", "window_end"]), "24 hours", "6 hours")
+    """The stream keeps panes of 6 hours; windows are merged from them."""
+    keys, width, slide = ["endpoint_id"], "24 hours", "6 hours"
+    panes = streams.endpoint_panes(request_columns(_events(spark, sf)), keys, width, slide)
+    folder = work_dir(spark, "panes")
+    streams.run_available(panes, streams.batch_sink(f"{folder}/out"), f"{folder}/checkpoint", "update")
+    return _ranked(spark, sf, streams.sliding_windows(spark, f"{folder}/out", panes.schema, keys, width, slide), width, slide)
 
 
 @query("stream_sessions", """

@@ -69,10 +69,18 @@ def latest_result(spark: SparkSession, folder: str, schema, keys: Sequence[str])
 
 
 # --- windows --------------------------------------------------------------------------------------
-def endpoint_windows(
-    requests: DataFrame, keys: Sequence[str], width: str = "15 minutes", slide: str | None = None, delay: str = "1 hour",
-) -> DataFrame:
-    return serving.windowed_metrics(event_time(requests, "ts", delay), keys, width, slide)
+def endpoint_windows(requests: DataFrame, keys: Sequence[str], width: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
+    return serving.windowed_metrics(event_time(requests, "ts", delay), keys, width)
+
+
+def endpoint_panes(requests: DataFrame, keys: Sequence[str], width: str, slide: str, delay: str = "1 hour") -> DataFrame:
+    """Panes of sliding windows: the state holds one sketch per key and pane, and a request updates one of them."""
+    return serving.pane_sketches(event_time(requests, "ts", delay), keys, width, slide)
+
+
+def sliding_windows(spark: SparkSession, folder: str, panes: StructType, keys: Sequence[str], width: str, slide: str) -> DataFrame:
+    """Sliding windows from the newest version of the panes in a folder of `batch_sink`."""
+    return serving.merge_panes(latest_result(spark, folder, panes, [*keys, "pane_start"]), keys, width, slide)
 
 
 def session_counts(events: DataFrame, keys: Sequence[str], gap: str, delay: str = "1 hour") -> DataFrame:

@@ -353,3 +353,22 @@ def test_matching_equals_plain_match(spark):
         if hits:
             want[p] = hits
     assert got == want
+
+
+@pytest.mark.parametrize("cells", [2, 512])
+def test_exact_edges_of_any_spread(spark, cells):
+    """Deciles by rank: ties, wide spread, both signs, nulls, one value, no value."""
+    rng = random.Random(5)
+    n = 4001
+    cols = {
+        "ties": [float(rng.randrange(4)) for _ in range(n)], "wide": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-200, 200) for _ in range(n)],
+        "nulls": [rng.gauss(0, 1) if rng.random() < 0.1 else None for _ in range(n)], "one": [7.25] * n, "none": [None] * n,
+        "huge": [rng.choice([-1.7e308, 1.7e308, 0.0, 5e-324]) for _ in range(n)]}
+    df = spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} double" for c in cols))
+    got = {r.feature: r.edges for r in quality.exact_edges(df, list(cols), cells=cells).collect()}
+    want = {}
+    for c, values in cols.items():
+        known = sorted(v for v in values if v is not None)
+        if known:
+            want[c] = [known[max(-(-i * len(known) // 10), 1) - 1] for i in range(1, 10)]
+    assert got == want

@@ -38,6 +38,29 @@ def test_windows_equal_batch(spark, feed, tmp_path, rows):
     assert rows(got.select(*w.columns)) == rows(exact.select(*[c.removeprefix("approx_") for c in w.columns]))
 
 
+def test_sliding_windows_equal_batch(spark, feed, tmp_path, rows):
+    """Windows merged from panes, where sketches of few rows are exact; a request is in one pane only."""
+    stream, batch = feed
+    panes = streams.endpoint_panes(renamed(stream), ["endpoint_id"], "60 minutes", "20 minutes", delay="2 days")
+    streams.run_available(panes, streams.batch_sink(f"{tmp_path}/out"), f"{tmp_path}/ck", "update")
+    w = streams.sliding_windows(spark, f"{tmp_path}/out", panes.schema, ["endpoint_id"], "60 minutes", "20 minutes")
+    exact = serving.windowed_metrics(renamed(batch), ["endpoint_id"], "60 minutes", "20 minutes")
+    assert rows(w) == rows(exact.select(*[c.removeprefix("approx_") for c in w.columns]))
+    plain = serving.windowed_metrics(renamed(batch).where("endpoint_id = 'x'"), ["endpoint_id"], "50 minutes", "20 minutes")
+    assert sorted((r.window_start, r.request_count) for r in plain.collect()) == sorted(
+        (r.w.start, r.n) for r in batch.where("k = 'x'").groupBy(F.window("ts", "50 minutes", "20 minutes").alias("w")).agg(
+            F.count("*").alias("n")).collect())
+
+
+def test_sliding_plan_copies_counts_only(feed):
+    """Below the copies that go to every window there is an aggregate, not the requests."""
+    _, batch = feed
+    w = serving.windowed_metrics(renamed(batch), ["endpoint_id"], "60 minutes", "20 minutes")
+    lines = w._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    copies = [i for i, line in enumerate(lines) if "Expand" in line]
+    assert len(copies) == 1 and any("Aggregate" in line for line in lines[copies[0] + 1 :])
+
+
 def test_unique(spark, feed, tmp_path):
     stream, _ = feed
     u = streams.unique_decisions(stream, "2 days", "id", "ts")
