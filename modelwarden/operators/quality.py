@@ -230,38 +230,38 @@ def _disjoint(brackets) -> list[tuple[float, float]]:
 def _cell_counts(wide: DataFrame, brackets: dict[str, list[tuple[float, float]]], cells: int) -> dict[str, list[tuple]]:
     """feature -> (count, least, greatest) of the values between the brackets and in the parts of each, in order of the values."""
 
-    def number(x: float) -> str:
-        return f"{x!r}D"
-
-    def slot(f: str, places: list[tuple[float, float]]) -> str:
-        cases = "".join(f" WHEN `{f}` < {number(a)} THEN {2 * i} WHEN `{f}` <= {number(b)} THEN {2 * i + 1}" for i, (a, b) in enumerate(places))
-        return f"CASE{cases} ELSE {2 * len(places)} END"
-
-    def part(f: str, places: list[tuple[float, float]]) -> str:
-        # Halved where the width itself would overflow. The two ends are never in one part, so every round narrows a bracket.
-        scaled = [(a, b, 2 if math.isinf(b - a) else 1) for a, b in places if a < b]
-        cases = "".join(
-            f" WHEN `{f}` BETWEEN {number(a)} AND {number(b)} THEN least({cells - 1}, cast(floor((`{f}` / {h} - {number(a / h)}) / "
-            f"{number(b / h - a / h)} * {cells}) AS int))" for a, b, h in scaled)
-        return f"CASE{cases} ELSE 0 END" if cases else "0"
-
-    items = ", ".join(f"named_struct('f', '{f}', 'v', `{f}`, 's', {slot(f, places)}, 'p', {part(f, places)})" for f, places in brackets.items())
-    counted = wide.selectExpr(f"inline(array({items}))").where("v IS NOT NULL").groupBy("f", "s", "p").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    names = list(brackets)
+    # Places from 0 on, odd ones inside a bracket: a sum of comparisons, which compiles to less than a chain of cases.
+    items = ", ".join("named_struct('f', {}, 'v', `{}`, 's', {})".format(i, f, " + ".join(
+        f"CAST(`{f}` >= {low!r}D AS INT) + CAST(`{f}` > {high!r}D AS INT)" for low, high in brackets[f])) for i, f in enumerate(names))
+    parts = ""
+    for i, f in enumerate(names):
+        for j, (low, high) in enumerate(brackets[f]):
+            if low < high:
+                # Halved where the width itself would overflow. The two ends are never in one part, so a bracket always narrows.
+                h = 2 if math.isinf(high - low) else 1
+                parts += (f" WHEN f = {i} AND s = {2 * j + 1} THEN least({cells - 1}, CAST(floor((v / {h} - {low / h!r}D) / "
+                          f"{high / h - low / h!r}D * {cells}) AS INT))")
+    rows = wide.selectExpr(f"inline(array({items}))").where("v IS NOT NULL")
+    rows = rows.select("f", "s", "v", F.expr(f"CASE{parts} ELSE 0 END" if parts else "0").alias("p"))
+    counted = rows.groupBy("f", "s", "p").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     found: dict[str, list[tuple]] = {}
     for r in counted.orderBy("f", "s", "p").collect():  # at most (2 + cells) rows per bracket
-        found.setdefault(r.f, []).append((r.n, r.low, r.high))
+        found.setdefault(names[r.f], []).append((r.n, r.low, r.high))
     return found
 
 
 def psi_from_edges(obs: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """PSI against stored edges: one pass with a tiny shuffle of bin counts."""
-    by = [*keys, "feature"]
-    # one row per feature: bounded by the number of columns
-    binned = obs.join(F.broadcast(edges), "feature").withColumn(
-        "bin", F.size(F.filter("edges", lambda e: e < F.col("value")))
-    )
-    return psi_categorical(binned.withColumn("value", F.col("bin")), keys)
+    """PSI against stored edges: one pass with a tiny shuffle of bin counts. Reads the edges, a row per feature, when built."""
+    bins = "".join(
+        " WHEN {} THEN {}".format(_quoted(r.feature), " + ".join(f"CAST(coalesce(value > {e!r}D, FALSE) AS INT)" for e in r.edges) or "0")
+        for r in edges.select("feature", "edges").collect())
+    binned = obs.withColumn("value", F.expr(f"CASE feature{bins} END") if bins else F.lit(None).cast("int"))
+    return psi_categorical(binned.where("value IS NOT NULL"), keys)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def drift_maps(profile: DataFrame, keys: Sequence[str]) -> DataFrame:
