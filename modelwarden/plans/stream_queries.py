@@ -120,13 +120,16 @@ def stream_outcomes(spark, sf):
 @query("stream_unique", with_ctes(DECISIONS_SQL) + """
 SELECT id, trace_id, action FROM decisions""")
 def stream_unique(spark, sf):
-    """Every event arrives twice; each decision is logged once."""
-    events = _events(spark, sf)
-    twice = events.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    d = decision_columns(twice).select("id", "trace_id", "action")
+    """Every event arrives twice, the second time in a later run; each decision is logged once, known from the state."""
     folder = work_dir(spark, "unique")
-    streams.run_available(d, streams.unique_sink(f"{folder}/out", d.schema), f"{folder}/checkpoint")
-    return streams.results(spark, f"{folder}/out", d.schema).drop("batch")
+    twice = table(spark, sf, "events").withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    d = None
+    for _ in range(2):
+        twice.write.mode("append").parquet(f"{folder}/in")
+        src = streams.read_files(spark, f"{folder}/in")
+        d = streams.unique_decisions(decision_columns(src).select("id", "trace_id", "action", "timestamp"), "60 days")
+        streams.run_available(d, streams.batch_sink(f"{folder}/out"), f"{folder}/checkpoint")
+    return streams.results(spark, f"{folder}/out", d.schema).select("id", "trace_id", "action")
 
 
 @query("stream_unique_watermark", with_ctes(DECISIONS_SQL) + """
@@ -170,7 +173,7 @@ def stream_history(spark, sf):
     days.hint("rebalance", "day").write.partitionBy("day").parquet(f"{folder}/in")
     d = decision_columns(streams.read_files(spark, f"{folder}/in", max_files=10)).select("id", "trace_id", "timestamp")
     schema = d.schema
-    q = streams.run_available(d, streams.history_sink(f"{folder}/out", schema, 100), f"{folder}/checkpoint")
+    q = streams.run_available(streams.newest_rows(d, 100), streams.history_sink(f"{folder}/out", schema, 100), f"{folder}/checkpoint")
     last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"] > 0)
     return spark.read.schema(schema).parquet(streams.batch_folder(f"{folder}/out", last)).select("id", "trace_id")
 
@@ -197,14 +200,14 @@ def stream_new_files(spark, sf):
 
 @query("stream_late_rows", """
 WITH m AS (SELECT max(ts) - INTERVAL 5 DAYS AS m FROM events WHERE event_id % 2 = 0)
-SELECT event_id, CASE WHEN event_id % 2 = 1 AND ts < m THEN 'late' ELSE 'on time' END AS side FROM events, m""")
+SELECT event_id, event_id % 2 = 1 AND ts <= m AS late FROM events, m""")
 def stream_late_rows(spark, sf):
-    """Even events arrive first, then odd ones, of which those five days behind the newest so far are late."""
+    """Even events arrive first, then odd ones, of which those behind the engine's watermark of five days are late."""
     folder = work_dir(spark, "late")
     e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    sink = streams.late_split_sink(f"{folder}/ontime", f"{folder}/late", f"{folder}/marks", "ts", 86400 * 5)
     for odd in (0, 1):
         e.where(F.col("event_id") % 2 == odd).write.mode("append").parquet(f"{folder}/in")
-        streams.run_available(streams.read_files(spark, f"{folder}/in"), sink, f"{folder}/checkpoint")
-    sides = [spark.read.parquet(f"{folder}/{k}").select("event_id", F.lit(v).alias("side")) for k, v in (("ontime", "on time"), ("late", "late"))]
-    return sides[0].unionByName(sides[1])
+        src = streams.event_time(streams.read_files(spark, f"{folder}/in"), "ts", "5 days")
+        run = streams.run_available(src, streams.batch_sink(f"{folder}/out"), f"{folder}/checkpoint")
+        streams.save_watermarks(run, f"{folder}/watermarks")
+    return streams.split_late(spark, f"{folder}/out", e.schema, f"{folder}/watermarks", "ts").select("event_id", "late")

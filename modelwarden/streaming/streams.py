@@ -7,13 +7,17 @@ TIMESTAMP (`event_time` casts).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from modelwarden.operators import gates, serving
@@ -21,6 +25,13 @@ from modelwarden.operators.ordered import latest_by
 from modelwarden.operators.routing import route_static
 
 Sink = Callable[[DataFrame, int], None]
+#: What a query of this module needs to find in the session when it starts: state on disk, sessions merged before the shuffle.
+START_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
+#: Rows keep their microseconds as JSON text.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def read_files(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, max_files: int | None = None) -> DataFrame:
@@ -50,10 +61,24 @@ def batch_sink(folder: str) -> Sink:
     return write
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: Mapping[str, str]) -> Iterator[None]:
+    """Session settings for the time in which a query starts, as it keeps those that it finds then."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_available(stream: DataFrame, sink: Sink, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything available, then stop. For a service use a processing-time trigger instead."""
     q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
-    started = q.trigger(availableNow=True).start()
+    with settings(stream.sparkSession, START_SETTINGS):
+        started = q.trigger(availableNow=True).start()
     started.awaitTermination()
     return started
 
@@ -86,9 +111,8 @@ def sliding_windows(spark: SparkSession, folder: str, panes: StructType, keys: S
 def session_counts(events: DataFrame, keys: Sequence[str], gap: str, delay: str = "1 hour") -> DataFrame:
     """Sessions per key. Only closed sessions are emitted (append mode).
 
-    Rows of a session are merged inside each task before the shuffle, so a busy key sends sessions.
+    Rows of a session are merged inside each task before the shuffle (START_SETTINGS), so a busy key sends sessions.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     out = event_time(events, "ts", delay).groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(
         F.count(F.lit(1)).alias("n_events"))
     return out.select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
@@ -112,59 +136,114 @@ def continuous_feedback(feedback: DataFrame, keys: Sequence[str], interval: str
     return gates.feedback_gate(flat, **limits)
 
 
+class RunOutcome(StatefulProcessor):
+    """State of one run: its first decisions in time order as a list, and the time of its newest one."""
+
+    def __init__(self, max_stages: int, expire_ms: int):
+        self.max_stages, self.expire_ms = max_stages, expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getListState("first", "at bigint, id string, escalated boolean, action string")
+        self.newest = handle.getValueState("newest", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        kept = [tuple(r) for r in self.first.get()]
+        newest = self.newest.get()[0] if self.newest.exists() else 0
+        for batch in rows:
+            new = zip(batch["at"].tolist(), batch["id"], batch["escalated"].astype(bool).tolist(), batch["action"])
+            kept = sorted([*kept, *new])[: self.max_stages]
+            newest = max(newest, int(batch["at"].max()))
+        self.first.put(kept)
+        self.newest.update((newest,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(newest // 1000, timerValues.getCurrentWatermarkInMs()) + self.expire_ms)
+        stop = next((i for i, row in enumerate(kept) if row[2]), None)
+        stages = len(kept) if stop is None else stop + 1
+        status = "escalated" if stop is not None else "failed" if stages >= self.max_stages else "running"
+        yield pd.DataFrame({"trace_id": [key[0]], "stages": [stages], "status": [status], "last_action": [kept[stages - 1][3]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.first.clear()
+        self.newest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def running_outcomes(decisions: DataFrame, max_stages: int = 20, delay: str = "1 day", expire_hours: int = 24 * 7) -> DataFrame:
     """Run state per trace while its decisions arrive: stages so far, status, last action.
 
     A run ends at its first escalation or at the stage limit, in time order, whatever order decisions arrive in. The state
-    of a trace is its first `max_stages` decisions, however many come; it expires `expire_hours` after the newest one.
+    of a trace is its first `max_stages` decisions, however many come; a timer drops it `expire_hours` after the newest one.
     """
-    state_schema = "times array<bigint>, ids array<string>, escalated array<boolean>, actions array<string>"
-
-    def update(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(zip(*state.get)) if state.exists else []
-        newest = max((t for t, *_ in kept), default=0)
-        for rows in batches:
-            times = rows["timestamp"].astype("datetime64[us]").astype("int64")
-            newest = max(newest, int(times.max()))
-            new = zip(times.tolist(), rows["id"], rows["escalate_to_human"].astype(bool), rows["last_action"])
-            kept = sorted([*kept, *new])[:max_stages]
-        state.update(tuple(list(x) for x in zip(*kept)))
-        state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + expire_hours * 3_600_000)
-        stop = next((i for i, row in enumerate(kept) if row[2]), None)
-        stages = len(kept) if stop is None else stop + 1
-        status = "escalated" if stop is not None else "failed" if stages >= max_stages else "running"
-        yield pd.DataFrame({"trace_id": [key[0]], "stages": [stages], "status": [status], "last_action": [kept[stages - 1][3]]})
-
     rows = event_time(decisions, "timestamp", delay).select(
-        "trace_id", "timestamp", "id", "escalate_to_human", F.concat("agent_name", F.lit("/"), "action").alias("last_action"))
-    return rows.groupBy("trace_id").applyInPandasWithState(
-        update, "trace_id string, stages bigint, status string, last_action string", state_schema, "update",
-        GroupStateTimeout.EventTimeTimeout)
+        "trace_id", "timestamp", F.unix_micros("timestamp").alias("at"), F.col("id").cast("string").alias("id"),
+        F.col("escalate_to_human").alias("escalated"), F.concat("agent_name", F.lit("/"), "action").alias("action"))
+    return rows.groupBy("trace_id").transformWithStateInPandas(
+        RunOutcome(max_stages, expire_hours * 3_600_000), "trace_id string, stages bigint, status string, last_action string",
+        "Update", "EventTime")
 
 
-def unique_decisions(decisions: DataFrame, delay: str = "1 hour", key: str = "id", ts: str = "timestamp") -> DataFrame:
-    """Drop repeats of an id that arrive within the watermark delay of each other.
+class NewestRows(StatefulProcessor):
+    """State of one group of a feed: its newest n rows. Gives the rows of a batch that are among them."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("kept", "at bigint, id string, row string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = [tuple(r) for r in self.kept.get()]
+        kept = before
+        for batch in rows:
+            kept = sorted([*kept, *zip(batch["at"].tolist(), batch["id"], batch["row"])], reverse=True)[: self.n]
+        self.kept.put(kept)
+        added = Counter(kept) - Counter(before)
+        if added:
+            yield pd.DataFrame(list(added.elements()), columns=["at", "id", "row"])
 
-    Every copy of an id goes to the id's task; where one id may be repeated without limit use `unique_sink`.
+    def close(self) -> None:
+        pass
+
+
+def newest_rows(stream: DataFrame, n: int = 1000, salts: int = 64, ts: str = "timestamp", key: str = "id") -> DataFrame:
+    """The rows of each batch that can be among the newest n of all so far, for `history_sink`.
+
+    The feed is dealt to `salts` groups by its key, each with its newest n rows as state: what a batch hands on is at most
+    n rows a group, and less and less as the history fills.
     """
-    return event_time(decisions, ts, delay).dropDuplicatesWithinWatermark([key])
+    row = F.to_json(F.struct(*stream.columns), JSON_TIMES).alias("row")
+    packed = stream.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(key).cast("string").alias("id"), row,
+                           F.pmod(F.xxhash64(key), F.lit(salts)).alias("salt"))
+    out = packed.groupBy("salt").transformWithStateInPandas(NewestRows(n), "at bigint, id string, row string", "Append", "None")
+    return out.select(F.from_json("row", stream.schema, JSON_TIMES).alias("r")).select("r.*")
 
 
-def unique_sink(folder: str, schema, key: str = "id") -> Sink:
-    """Log each id once. Copies inside a micro-batch are combined before the shuffle; ids of earlier
-    batches are left out by an anti-join with what is written, and a replayed batch ignores itself."""
+def first_copies(stream: DataFrame, key: str) -> DataFrame:
+    """One row per key of every Arrow batch of a task: a key that comes again and again sends few rows on."""
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        rows = df.dropDuplicates([key])
-        if batch_id > 0:
-            seen = results(df.sparkSession, folder, schema).where(F.col("batch") < batch_id).select(key)
-            rows = rows.join(seen, key, "left_anti").select(*df.columns)
-        rows.write.mode("overwrite").parquet(batch_folder(folder, batch_id))
+    at = stream.columns.index(key)
 
-    return write
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = pc.dictionary_encode(batch.column(at), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            yield batch.take(pa.array(np.sort(np.unique(codes, return_index=True)[1])))
+
+    return stream.mapInArrow(pick, stream.schema)
+
+
+def unique_decisions(decisions: DataFrame, delay: str = "1 hour", key: str = "id", ts: str = "timestamp") -> DataFrame:
+    """Drop repeats of an id that arrive within the watermark delay of each other.
+
+    Copies are first combined inside each task, so an id that comes without end sends few rows. The state holds the ids of the
+    delay; a batch reads its own rows and looks its own ids up, however much has been logged.
+    """
+    rows = first_copies(decisions.withColumn(ts, F.col(ts).cast("timestamp")), key)
+    return event_time(rows, ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 # --- sinks ----------------------------------------------------------------------------------------
@@ -191,24 +270,24 @@ def routed_sink(subscriptions: list[tuple[str, str]], handlers: Mapping[str, Sin
     return write
 
 
-def late_split_sink(on_time: str, late: str, marks: str, ts: str, delay_seconds: int) -> Sink:
-    """Rows older than the newest time of earlier batches minus the delay go to the late table."""
+def save_watermarks(query: StreamingQuery, folder: str) -> None:
+    """The watermark that the engine used in every batch of a query's run, from its progress: (batch, watermark).
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        newest = None
-        if batch_id > 0:
-            earlier = spark.read.schema("newest timestamp, batch long").parquet(marks).where(F.col("batch") < batch_id)
-            newest = earlier.agg(F.max("newest")).first()[0]
-        limit = F.lit(newest) - F.expr(f"INTERVAL {int(delay_seconds)} SECONDS") if newest else None
-        is_late = F.col(ts) < limit if newest else F.lit(False)
-        df = df.persist()
-        df.where(~is_late).write.mode("overwrite").parquet(batch_folder(on_time, batch_id))
-        df.where(is_late).write.mode("overwrite").parquet(batch_folder(late, batch_id))
-        df.agg(F.max(F.col(ts).cast("timestamp")).alias("newest")).write.mode("overwrite").parquet(batch_folder(marks, batch_id))
-        df.unpersist()
-
-    return write
+    Progress goes back spark.sql.streaming.numRecentProgressUpdates batches; a service saves from time to time, and rows
+    saved twice are equal.
+    """
+    spark = SparkSession.active()
+    used = {p["batchId"]: p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in p["eventTime"]}
+    rows = spark.createDataFrame(sorted(used.items()), "batch bigint, watermark string")
+    rows.withColumn("watermark", F.col("watermark").cast("timestamp")).coalesce(1).write.mode("overwrite").parquet(
+        f"{folder}/run={query.runId}")
+
+
+def split_late(spark: SparkSession, folder: str, schema, watermarks: str, ts: str) -> DataFrame:
+    """Rows of a `batch_sink` folder with `late`: at or before the engine's watermark of their batch, which its state drops."""
+    used = spark.read.schema("batch bigint, watermark timestamp").parquet(watermarks).distinct()
+    rows = results(spark, folder, schema).join(used, "batch", "left")
+    return rows.withColumn("late", F.coalesce(F.col(ts) <= F.col("watermark"), F.lit(False))).drop("batch", "watermark")
 
 
 def history_sink(folder: str, schema, n: int = 1000) -> Sink:

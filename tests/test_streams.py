@@ -68,21 +68,60 @@ def test_unique(spark, feed, tmp_path):
     assert sorted(r.id for r in streams.results(spark, f"{tmp_path}/out", u.schema).collect()) == ["a", "b", "c", "d", "e"]
 
 
-def test_late_rows(spark, feed, tmp_path):
-    stream, batch = feed
-    sink = streams.late_split_sink(f"{tmp_path}/ok", f"{tmp_path}/late", f"{tmp_path}/marks", "ts", 3600)
-    streams.run_available(stream, sink, f"{tmp_path}/ck")
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/late").collect()) == ["b", "e"]
-    assert spark.read.parquet(f"{tmp_path}/ok").count() == 4
-    sink(batch.limit(2), 1)  # a replayed batch replaces its own output
-    assert spark.read.parquet(f"{tmp_path}/ok").where("batch = 1").count() + spark.read.parquet(f"{tmp_path}/late").where("batch = 1").count() == 2
-
-
-def test_history(spark, feed, tmp_path):
+def test_late_rows_are_those_the_engine_drops(spark, feed, tmp_path):
+    """The split by the saved watermarks, against the rows that a stateful query on the same feed drops."""
     stream, _ = feed
-    d = stream.select("id", F.col("ts").alias("timestamp"))
-    streams.run_available(d, streams.history_sink(f"{tmp_path}/h", d.schema, 3), f"{tmp_path}/ck")
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/h/batch=1").collect()) == ["b", "c", "d"]
+    timed = streams.event_time(stream, "ts", "1 hour")
+    run = streams.run_available(timed, streams.batch_sink(f"{tmp_path}/all"), f"{tmp_path}/ck")
+    streams.save_watermarks(run, f"{tmp_path}/marks")
+    split = streams.split_late(spark, f"{tmp_path}/all", stream.schema, f"{tmp_path}/marks", "ts")
+    assert sorted(r.id for r in split.where("late").collect()) == ["b", "e"] and split.count() == 6
+    once = timed.dropDuplicates(["id", "ts"])
+    dropped = streams.run_available(once, streams.batch_sink(f"{tmp_path}/once"), f"{tmp_path}/ck2").recentProgress
+    assert sum(o["numRowsDroppedByWatermark"] for p in dropped for o in p["stateOperators"]) == 2
+
+
+def test_unique_over_runs_reads_new_rows_only(spark, tmp_path):
+    """Four runs on one checkpoint: ids known from earlier runs are left out, and no batch reads more than its own rows."""
+    for i in range(4):
+        rows = [(f"{k}", "x", at(i), "200", 1.0) for k in range(10 * i, 10 * i + 20) for _ in range(3)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        u = streams.unique_decisions(streams.read_files(spark, f"{tmp_path}/in", schema=SCHEMA), "2 days", "id", "ts")
+        run = streams.run_available(u, streams.batch_sink(f"{tmp_path}/out"), f"{tmp_path}/ck")
+        assert sum(p["numInputRows"] for p in run.recentProgress) == 60
+    got = [r.id for r in streams.results(spark, f"{tmp_path}/out", u.schema).collect()]
+    assert len(got) == 50 and len(set(got)) == 50
+
+
+def test_copies_are_combined_before_the_shuffle(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(1000)] + [(None, 1), (None, 2), ("a", 3)], "id string, n int").coalesce(1)
+    assert sorted(str(r.id) for r in streams.first_copies(rows, "id").collect()) == ["None", "a", "hot"]
+
+
+def test_history_from_state_over_a_restart(spark, tmp_path):
+    """The newest three of four runs on one checkpoint; a run hands on only rows that can be among them."""
+    handed = 0
+    for i, minutes in enumerate(([5, 9, 1], [2, 3, 4, 0], [8, 9, 7], [6])):
+        rows = [(f"r{i}{m}", "x", at(m), "200", 1.0) for m in minutes]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        d = streams.read_files(spark, f"{tmp_path}/in", schema=SCHEMA).select("id", F.col("ts").alias("timestamp"))
+        sink, seen = streams.history_sink(f"{tmp_path}/h", d.schema, 3), []
+        streams.run_available(streams.newest_rows(d, 3, salts=1), lambda df, b: (seen.append((b, df.count())), sink(df, b)), f"{tmp_path}/ck")
+        handed += sum(n for _, n in seen)
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/h/batch={seen[-1][0]}").collect()) == ["r09", "r28", "r29"]
+    assert handed == 3 + 1 + 2 + 0
+
+
+def test_outcomes_over_a_restart(spark, tmp_path, rows):
+    """A run's decisions come in two runs on one checkpoint, out of order; the state carries over."""
+    for part in ([("a", 3, False), ("b", 5, True)], [("c", 1, False), ("d", 9, False)]):
+        new = [("t", at(m), i, "ag", i, e) for i, m, e in part]
+        schema = "trace_id string, timestamp timestamp, id string, agent_name string, action string, escalate_to_human boolean"
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        o = streams.running_outcomes(streams.read_files(spark, f"{tmp_path}/in", schema=schema))
+        streams.run_available(o, streams.batch_sink(f"{tmp_path}/o"), f"{tmp_path}/ck", "update")
+    got = streams.latest_result(spark, f"{tmp_path}/o", o.schema, ["trace_id"])
+    assert rows(got, "trace_id", "stages", "status", "last_action") == [("t", 3, "escalated", "ag/b")]
 
 
 def test_failing_handler(spark, feed, tmp_path):
