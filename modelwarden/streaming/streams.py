@@ -283,9 +283,14 @@ def save_watermarks(query: StreamingQuery, folder: str) -> None:
         f"{folder}/run={query.runId}")
 
 
-def split_late(spark: SparkSession, folder: str, schema, watermarks: str, ts: str) -> DataFrame:
-    """Rows of a `batch_sink` folder with `late`: at or before the engine's watermark of their batch, which its state drops."""
+def split_late(spark: SparkSession, folder: str, schema, watermarks: str, ts: str, lag: int = 0) -> DataFrame:
+    """Rows of a `batch_sink` folder with `late`: at or before the watermark that the engine had for their batch.
+
+    Operators with state drop rows by the watermark of the batch before, which is the same once the engine has had an empty
+    batch between; lag=1 gives what they drop while every batch has data.
+    """
     used = spark.read.schema("batch bigint, watermark timestamp").parquet(watermarks).distinct()
+    used = used.withColumn("batch", F.col("batch") + lag)
     rows = results(spark, folder, schema).join(used, "batch", "left")
     return rows.withColumn("late", F.coalesce(F.col(ts) <= F.col("watermark"), F.lit(False))).drop("batch", "watermark")
 
