@@ -30,10 +30,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that hold no benchmark item."""
-    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak_id")).distinct()
-    found = materialise(found, "leaks")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leak_id")), "left_anti")
+    """Texts that hold no benchmark item; rows that share a doc_id, or have none, are told apart by their texts."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("text_key"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    found = decontamination.leaks(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    found = materialise(found.select("doc_id.doc_id", "doc_id.text_key").distinct(), "leaks")
+    same = F.col("key.doc_id").eqNullSafe(found["doc_id"]) & (F.col("key.text_key") == found["text_key"])
+    return rows.join(found, same, "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

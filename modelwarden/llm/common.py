@@ -21,6 +21,12 @@ def fold(column: str | Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def free_names(names: list[str], taken: list[str]) -> list[str]:
+    """The names, with underscores in front of those that are taken (names differ by more than case)."""
+    used = {c.lower() for c in taken}
+    return [next(x for x in ("_" * k + n for k in range(len(used) + 1)) if x.lower() not in used) for n in names]
+
+
 def chunks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows whose sizes add up to `limit` at most, or of one row that is larger."""
     start, total = 0, 0

@@ -91,8 +91,8 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without the bytes of 400-byte strings that recur."""
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+    """What is left of every document without the bytes of 400-byte strings that recur, and the removed runs (in bytes)."""
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelwarden.llm.common import free_names
 from modelwarden.session import materialise
 
 #: Rows, and bytes of text, that one task permutes at a time in the second permutation, about.
 BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 64 << 20
-PART, POSITION, MIXED, BLOCK = "_deal_part", "_deal_position", "_deal_key", "_deal_block"
+#: Working columns, under other names where the table has these.
+WORKING = ["_deal_part", "_deal_position", "_deal_block", "_deal_key", "_deal_offset"]
 
 
 def shard_sizes(rows: int, shards: int) -> list[int]:
@@ -61,13 +63,14 @@ def mix(values: np.ndarray, seed: int) -> np.ndarray:
 def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All rows of `df` with shard (0 to shards-1) and slot (gapless from 0 in each shard), uniformly shuffled."""
     columns = [c for c in df.columns if c not in ("shard", "slot")]
+    part_name, position_name, block_name, mixed_name, offset_name = free_names(WORKING, columns)
     place = F.monotonically_increasing_id()
-    numbered = materialise(df.select(*columns, F.shiftright(place, 33).cast("int").alias(PART),
-                                     place.bitwiseAND(F.lit((1 << 33) - 1)).alias(POSITION)), "dealt", "zstd")
+    numbered = materialise(df.select(*columns, F.shiftright(place, 33).cast("int").alias(part_name),
+                                     place.bitwiseAND(F.lit((1 << 33) - 1)).alias(position_name)), "dealt", "zstd")
     texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("bigint") for f in numbered.schema
              if f.dataType.simpleString() in ("string", "binary")]
-    found = numbered.groupBy(PART).agg(F.count("*").alias("n"), F.sum(sum(texts, F.lit(0))).alias("bytes")).collect()  # one per partition
-    counts = {r[PART]: r["n"] for r in found}
+    found = numbered.groupBy(part_name).agg(F.count("*").alias("n"), F.sum(sum(texts, F.lit(0))).alias("bytes")).collect()  # one per partition
+    counts = {r[part_name]: r["n"] for r in found}
     parts = sorted(counts)
     total = sum(counts.values())
     matrix = communication_matrix([counts[p] for p in parts], shard_sizes(total, shards), seed)
@@ -78,7 +81,7 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0, block_rows: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, order = None, np.zeros(0, np.int64)
         for batch in batches:
-            part, position = batch.column(PART).to_numpy(), batch.column(POSITION).to_numpy()
+            part, position = batch.column(part_name).to_numpy(), batch.column(position_name).to_numpy()
             shard = np.zeros(len(part), np.int32)
             for p in np.unique(part):
                 if p != last:
@@ -90,16 +93,16 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0, block_rows: int
             key = mix((part.astype(np.uint64) << np.uint64(33)) | position.astype(np.uint64), seed)
             block = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard), pa.array(block), pa.array(key.view(np.int64))],
-                                             names=[*batch.schema.names, "shard", BLOCK, MIXED])
+                                             names=[*batch.schema.names, "shard", block_name, mixed_name])
 
     def deal(rows: DataFrame) -> DataFrame:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInArrow(cut, f"{fields}, shard int, {BLOCK} bigint, {MIXED} bigint")
+        return rows.mapInArrow(cut, f"{fields}, shard int, {block_name} bigint, {mixed_name} bigint")
 
     dealt = deal(numbered)
-    ahead = Window.partitionBy("shard").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (deal(numbered.select(PART, POSITION)).groupBy("shard", BLOCK).agg(F.count("*").alias("n"))  # a row per BLOCK_ROWS rows or so
-               .select("shard", BLOCK, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_deal_offset")))
-    within = F.row_number().over(Window.partitionBy("shard", BLOCK).orderBy(MIXED)) - 1
-    return (dealt.join(offsets, ["shard", BLOCK])
-            .select(*columns, "shard", (F.col("_deal_offset") + within).cast("bigint").alias("slot")))
+    ahead = Window.partitionBy("shard").orderBy(block_name).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (deal(numbered.select(part_name, position_name)).groupBy("shard", block_name).agg(F.count("*").alias("n"))  # a row per BLOCK_ROWS rows or so
+               .select("shard", block_name, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(offset_name)))
+    within = F.row_number().over(Window.partitionBy("shard", block_name).orderBy(mixed_name)) - 1
+    return (dealt.join(offsets, ["shard", block_name])
+            .select(*columns, "shard", (F.col(offset_name) + within).cast("bigint").alias("slot")))

@@ -385,11 +385,11 @@ def near_duplicates(docs: DataFrame, keep: list[str], shingle: int = 3, max_bits
 
 def keep_one(docs: DataFrame, shingle: int = 5, max_bits: int = 22, min_similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the row with the smallest doc_id stays."""
-    columns = docs.columns
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    rows = near_duplicates(hashed, ["doc_id", "_text_hash"], shingle, max_bits, min_similarity)
-    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "_text_hash")).alias("k"))
-    first = materialise(first.select(F.col("k.doc_id").alias("_first_id"), F.col("k._text_hash").alias("_first_hash")), "first")
-    chosen = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("_first_id")) & (F.col("_text_hash") == F.col("_first_hash")))
-    once = Window.partitionBy("doc_id", "_text_hash").orderBy("_text_hash")  # of repeated rows too only one stays
-    return chosen.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*columns)
+    text_hash = F.xxhash64("text").alias("text_hash")
+    rows = near_duplicates(docs.select("doc_id", "text", text_hash), ["doc_id", "text_hash"], shingle, max_bits, min_similarity)
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    first = materialise(first.select(F.col("k.doc_id").alias("first_id"), F.col("k.text_hash").alias("first_hash")), "first")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", text_hash)
+    chosen = whole.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
+    once = Window.partitionBy("doc_id", "text_hash").orderBy("text_hash")  # of repeated rows too only one stays
+    return chosen.withColumn("copy", F.row_number().over(once)).where("copy = 1").select("row.*")
