@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwarden.llm.components import components
-from modelwarden.session import materialise
+from modelwarden.session import materialise, release
 
 SEED = 42
 #: Distinct fingerprints that the tree is built from, at most.
@@ -45,7 +45,7 @@ BINS = 512
 #: How far below the wanted similarity a sketch may be, and how many bins may disagree by chance besides (few shingles).
 MARGIN, SLACK = 0.14, 4
 #: Shingles that one side of a comparison of sets holds, about; texts up to which a group is not cut into blocks.
-SET_BLOCK, GROUP = 1 << 20, 256
+SET_BLOCK, GROUP = 1 << 20, 1024
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -301,7 +301,9 @@ def set_links(docs: DataFrame, points: DataFrame, grouped: DataFrame, shingle: i
                 b.append(node[at[y]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return tasks.groupBy("whole", "bundle", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    edges = materialise(tasks.groupBy("whole", "bundle", "i", "j").applyInArrow(compare, "a bigint, b bigint"), "set-links")
+    release(docs.sparkSession, members, sets, large)
+    return edges
 
 
 def links(points: DataFrame, max_bits: int, min_similarity: float | None = None, leaf_sample: int = SAMPLE,
@@ -351,7 +353,11 @@ def links(points: DataFrame, max_bits: int, min_similarity: float | None = None,
         found = np.array(forest(fps, first, second, max_bits, **more), np.int64).reshape(-1, 2)
         return pa.table({"a": node[found[:, 0]], "b": node[found[:, 1]]})
 
-    return tasks.groupBy("leaf", "ring", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    found = tasks.groupBy("leaf", "ring", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    if sketched:  # the dealt sketches are large
+        found = materialise(found, "candidates")
+        release(points.sparkSession, placed)
+    return found
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], shingle: int = 3, max_bits: int = 3,
