@@ -36,13 +36,18 @@ TIMES = {"decisions": "timestamp", "traces": "started_at", "events_log": "timest
          "models": "created_at", "promotions": "ts"}
 
 
-def append(df: DataFrame, root: str, table: str, written_at: Column | None = None) -> None:
-    """Append rows. `write_seq` orders versions of the same key: write time, then position in the write."""
+def append(df: DataFrame, root: str, table: str, written_at: Column | None = None, sequence: Column | None = None) -> None:
+    """Append rows. Versions of one key are ordered by write time, then by `write_seq`: `sequence`, or the row's own time.
+
+    Both depend on the row only, so a repeated task writes the same order. Rows of one key in one write that have the same
+    time need a sequence.
+    """
+    own = F.unix_micros(F.col(TIMES[table]).cast("timestamp"))
     columns = [f.strip().split(" ")[0] for f in _top_level(SCHEMAS[table])]
     (
         df.select(*columns)
         .withColumn("write_ts", written_at if written_at is not None else F.current_timestamp())
-        .withColumn("write_seq", F.monotonically_increasing_id())
+        .withColumn("write_seq", (own if sequence is None else sequence).cast("bigint"))
         .withColumn("month", F.date_format(TIMES[table], "yyyy-MM"))
         .hint("rebalance", F.col("month"))
         .write.mode("append").partitionBy("month").parquet(f"{root}/{table}")
@@ -69,11 +74,14 @@ def history(spark: SparkSession, root: str, table: str, since: str | None = None
 
 
 def current(spark: SparkSession, root: str, table: str, since: str | None = None) -> DataFrame:
-    """The newest row per key (event and promotion tables: every row)."""
-    rows = history(spark, root, table, since)
-    if table in KEYS:
-        rows = latest_by(rows, KEYS[table], ["write_ts", "write_seq"])
-    return rows.drop("write_ts", "write_seq", "month")
+    """The newest row per key (event and promotion tables: every row), of those only the ones from month `since` on.
+
+    The newest version of a key may lie in an earlier month than an older one, so keyed tables are read whole.
+    """
+    if table not in KEYS:
+        return history(spark, root, table, since).drop("write_ts", "write_seq", "month")
+    rows = latest_by(history(spark, root, table), KEYS[table], ["write_ts", "write_seq"])
+    return (rows if since is None else rows.where(F.col("month") >= since)).drop("write_ts", "write_seq", "month")
 
 
 def named_runs(runs: DataFrame) -> DataFrame:

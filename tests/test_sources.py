@@ -1,4 +1,5 @@
 import base64
+import datetime as dt
 import json
 
 import pytest
@@ -80,6 +81,17 @@ def test_store_upsert_view(spark, tmp_path, rows):
     assert rows(stores.current(spark, root + "/next", "traces"), "trace_id", "status") == [("t1", "failed"), ("t2", "running")]
 
 
+def test_newest_version_in_an_earlier_month(spark, tmp_path, rows):
+    """A key whose newest version lies in an earlier month is not current from a later month on; a sequence orders one write."""
+    root, columns = str(tmp_path), "trace_id string, pipeline_name string, status string, started_at timestamp, completed_at timestamp"
+    first = [("t1", "p", "running", dt.datetime(2024, 5, 1), None), ("t2", "p", "running", dt.datetime(2024, 5, 2), None)]
+    stores.append(spark.createDataFrame(first, columns), root, "traces", F.to_timestamp(F.lit("2024-06-01")))
+    again = [("t1", "p", s, dt.datetime(2024, 3, 1), None) for s in ("b", "c", "a")]
+    stores.append(spark.createDataFrame(again, columns), root, "traces", F.to_timestamp(F.lit("2024-06-02")), F.ascii("status"))
+    assert rows(stores.current(spark, root, "traces"), "trace_id", "status") == [("t1", "c"), ("t2", "running")]
+    assert rows(stores.current(spark, root, "traces", "2024-05"), "trace_id", "status") == [("t2", "running")]
+
+
 def test_runs(spark):
     runs = spark.createDataFrame(
         [("", "", {"f1": 0.5}, {}, {}), ("r2", "exp", {"f1": 0.6}, {}, {})],
