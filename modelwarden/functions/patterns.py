@@ -2,12 +2,47 @@
 
 from __future__ import annotations
 
+import re
+from re import _parser as regex_parser
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKENS = r"(\[!?\]?[^\]]*\]|(?s:.))"
 
 
+def needed_texts(pattern: str) -> list[str]:
+    """Strings of which every match of a regular expression holds one; empty if none can be told.
+
+    A test for these is far cheaper than the expression, which then runs on few texts only.
+    """
+    try:
+        parsed = regex_parser.parse(pattern)
+    except re.error:  # an expression of Java alone
+        return []
+    return [] if parsed.state.flags & (re.IGNORECASE | re.VERBOSE) or "(?" in pattern else _needed(parsed)
+
+
+def _needed(tokens) -> list[str]:
+    best: list[str] = []
+    run = ""
+    for kind, value in [*tokens, (None, None)]:
+        if str(kind) == "LITERAL":
+            run += chr(value)
+            continue
+        found = [[run]] if run else []
+        run = ""
+        if str(kind) == "SUBPATTERN":
+            found.append(_needed(value[-1]))
+        elif str(kind) == "BRANCH":
+            each = [_needed(way) for way in value[1]]
+            found.append([x for way in each for x in way] if all(each) else [])
+        elif str(kind) in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0:
+            found.append(_needed(value[2]))
+        best = max([best, *found], key=lambda texts: min(map(len, texts), default=0))
+    return best
+
+
 def glob_tokens(pattern: Column) -> Column:
     """The pattern in parts: `*`, `?`, a set in brackets, or one character."""
     return F.regexp_extract_all(pattern, F.lit(_TOKENS), F.lit(0))

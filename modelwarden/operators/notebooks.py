@@ -1,7 +1,8 @@
 """Notebook corpora: cell sections by manifest, tag or rules; imports, metrics, model family, packages.
 
-Input: cells (notebook, index, cell_type, source). Work is per cell or aggregated before a shuffle;
-a notebook is never gathered into one row, except in pages of bounded size.
+Input: cells (notebook, index, cell_type, source), numbered by `index` within their notebook. Work is per cell or aggregated
+before a shuffle; a notebook is never gathered into one row, except in pages of bounded size. Ranges of the first manifest
+cell travel to the cells as one array per notebook, so the mode of all notebooks takes one aggregation over their cells.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelwarden.operators.ordered import SLICE_ROWS, pages
+from modelwarden.functions.patterns import needed_texts
+from modelwarden.operators.ordered import SLICE_ROWS, pages, top_per_key
 
 # Tags, rules in order, names, and package names that stored results refer to.
 SECTIONS = ["imports", "data-loading", "feature-engineering", "training", "evaluation", "metrics", "config"]
 REQUIRED = ["training", "metrics"]
+TAG_WORD = "mlops:"
 TAG = r"(?md)^\s*#\s*mlops:\s*(\S+)"
 MANIFEST_CELL = r"(?md)^\s*#\s*mlops:\s*manifest"
 MANIFEST_ENTRY = r"(?md)^\s*#\s*cell\s+(\d+)(?:\s*-\s*(\d+))?\s*:\s*(\S+)"
@@ -77,14 +80,28 @@ STDLIB = [
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Whether a pattern is found in a text; texts without any string that the pattern needs skip the regular expression."""
+    hit = F.regexp_like(text, F.lit(pattern))
+    needs = needed_texts(pattern)
+    if not needs:
+        return hit
+    held = F.contains(text, F.lit(needs[0]))
+    for other in needs[1:]:
+        held = held | F.contains(text, F.lit(other))
+    return held & hit
 
 
 def rule_cascade(text: Column, rules: Sequence[tuple[str, float, Sequence[str]]], default: str = "unknown") -> Column:
     """Ordered regex rules to a (label, confidence) struct; the first rule with a hit wins."""
     out = F.struct(F.lit(default).alias("label"), F.lit(0.0).alias("confidence"))
     for name, conf, patterns in reversed(list(rules)):
-        hit = F.regexp_like(text, F.lit("|".join(f"(?:{p})" for p in patterns)))
+        hit = F.lit(False)
+        for p in patterns:
+            hit = hit | matches(text, p)
         out = F.when(hit, F.struct(F.lit(name).alias("label"), F.lit(conf).alias("confidence"))).otherwise(out)
     return out
 
@@ -92,7 +109,8 @@ def rule_cascade(text: Column, rules: Sequence[tuple[str, float, Sequence[str]]]
 def import_ratio(source: Column) -> Column:
     lines = F.split(source, "\n", -1)
     hits = F.size(F.filter(lines, lambda line: F.regexp_like(line, F.lit(IMPORT_LINE))))
-    return hits / F.greatest(F.size(lines), F.lit(1))
+    ratio = hits / F.greatest(F.size(lines), F.lit(1))
+    return F.when(F.contains(source, F.lit("import ")), ratio).otherwise(F.lit(0.0))
 
 
 def classify(source: Column) -> Column:
@@ -109,69 +127,99 @@ def code(cells: DataFrame) -> DataFrame:
 
 def tagged_cells(cells: DataFrame) -> DataFrame:
     """Cells whose first tag is a known section, with confidence 1."""
-    tag = F.lower(F.regexp_extract("source", TAG, 1))
-    return code(cells).withColumn("section", tag).where(F.col("section").isin(SECTIONS)).withColumn(
+    return code(cells).withColumn("section", _tag()).where(F.col("section").isin(SECTIONS)).withColumn(
         "confidence", F.lit(1.0))
 
 
-def manifest_entries(cells: DataFrame) -> DataFrame:
-    """(notebook, start, end, section) of each notebook's first manifest cell, ends clipped to its cells."""
-    marked = code(cells).where(F.regexp_like("source", F.lit(MANIFEST_CELL)))
-    first = marked.groupBy("notebook").agg(F.min_by("source", "index").alias("_src"))
-    sizes = cells.join(first.select("notebook"), "notebook", "left_semi").groupBy("notebook").agg(
-        F.count(F.lit(1)).alias("_n"))
+def manifest_ranges(cells: DataFrame) -> DataFrame:
+    """(notebook, ranges): the (start, end, section) entries of each notebook's first manifest cell, as written."""
+    marked = code(cells).where(F.contains("source", F.lit(TAG_WORD))).where(F.regexp_like("source", F.lit(MANIFEST_CELL))).select("notebook", "index", "source")
+    first = top_per_key(marked, ["notebook"], [F.col("index")], 1)
 
     def part(group: int) -> Column:
-        return F.regexp_extract_all("_src", F.lit(MANIFEST_ENTRY), F.lit(group))
+        return F.regexp_extract_all("source", F.lit(MANIFEST_ENTRY), F.lit(group))
+
+    def number(digits: Column) -> Column:
+        # whole numbers too long for the type are beyond any cell
+        return F.least(F.coalesce(digits.try_cast("decimal(38,0)"), F.lit(10**18)), F.lit(10**18)).cast("bigint")
+
+    written = F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("t")), lambda e: F.struct(
+        number(e["a"]).alias("start"), F.when(e["b"] == "", number(e["a"])).otherwise(number(e["b"])).alias("end"),
+        F.lower(e["t"]).alias("section")))
+    known = F.filter(written, lambda e: e["section"].isin(SECTIONS) & (e["start"] <= e["end"]))
+    return first.select("notebook", known.alias("ranges")).where(F.size("ranges") > 0)
+
 
-    zipped = F.explode(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("t")))
-    rows = first.join(sizes, "notebook").select("notebook", "_n", zipped.alias("e"))
-    # whole numbers too long for the type are beyond any cell
-    start = F.coalesce(F.col("e.a").try_cast("decimal(38,0)"), F.lit(10**18))
-    end = F.when(F.col("e.b") == "", start).otherwise(F.coalesce(F.col("e.b").try_cast("decimal(38,0)"), F.lit(10**18)))
-    return (
-        rows.withColumn("section", F.lower("e.t")).where(F.col("section").isin(SECTIONS))
-        .withColumn("start", F.least(start, F.col("_n")).cast("bigint"))
-        .withColumn("end", F.least(end, F.col("_n") - 1).cast("bigint"))
-        .where("start <= end").select("notebook", "start", "end", "section")
-    )
+def _listed() -> Column:
+    """The manifest entries that name a cell, of the columns `ranges` and `index`."""
+    return F.filter("ranges", lambda r: F.col("index").between(r["start"], r["end"]))
 
 
 def manifest_cells(cells: DataFrame) -> DataFrame:
-    """Code cells named by manifest ranges; a cell in two entries appears twice.
+    """Code cells named by manifest ranges; a cell in two entries appears twice."""
+    named = code(cells).join(manifest_ranges(cells), "notebook")
+    sections = F.transform(_listed(), lambda r: r["section"])
+    return named.withColumn("section", F.explode(sections)).withColumn("confidence", F.lit(1.0)).drop("ranges")
 
-    Ranges are unfolded to cell numbers and joined on (notebook, number).
-    """
-    named = manifest_entries(cells).select("notebook", "section", F.explode(F.sequence("start", "end")).alias("index"))
-    src = code(cells).withColumn("index", F.col("index").cast("bigint"))
-    return src.join(named, ["notebook", "index"]).withColumn("confidence", F.lit(1.0))
+
+def _inferred() -> Column:
+    """Section and confidence of a non-empty cell with a known section, as an array of one; else empty or null."""
+    found = F.when(_strip(F.col("source")) != "", F.array(classify(F.col("source"))))
+    return F.filter(found, lambda c: c["label"] != "unknown")
 
 
 def inferred_cells(cells: DataFrame) -> DataFrame:
     """Non-empty code cells with an inferred section; unknown cells are left out."""
-    s = code(cells).where(_strip(F.col("source")) != "").withColumn("_c", classify(F.col("source")))
-    return s.withColumn("section", F.col("_c.label")).withColumn("confidence", F.col("_c.confidence")).drop("_c").where(
-        "section <> 'unknown'")
+    s = code(cells).withColumn("_c", F.explode(_inferred()))
+    return s.withColumn("section", F.col("_c.label")).withColumn("confidence", F.col("_c.confidence")).drop("_c")
+
+
+def _tag() -> Column:
+    """The first tag of a cell in lower case, or null."""
+    return F.when(F.contains("source", F.lit(TAG_WORD)), F.lower(F.regexp_extract("source", TAG, 1)))
+
+
+def _bit(section: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for i, name in enumerate(SECTIONS) for x in (name, 1 << i)]), section)
+
+
+def _mode(manifest: Column, tagged: Column) -> Column:
+    return F.when(manifest, "manifest").when(tagged, "blueprint").otherwise("inferred")
+
+
+def _is_code() -> Column:
+    return F.col("cell_type") == "code"
 
 
 def notebook_modes(cells: DataFrame) -> DataFrame:
     """(notebook, mode): manifest before blueprint (tags) before inferred."""
-    listed = manifest_cells(cells).select("notebook").distinct().withColumn("_m", F.lit(True))
-    tag = F.lower(F.regexp_extract("source", TAG, 1)).isin(SECTIONS) & (F.col("cell_type") == "code")
-    tags = cells.groupBy("notebook").agg(F.bool_or(tag).alias("_t"))
-    mode = F.when(F.col("_m"), "manifest").when(F.col("_t"), "blueprint").otherwise("inferred")
-    return tags.join(listed, "notebook", "left").select("notebook", mode.alias("mode"))
+    return _modes(cells, manifest_ranges(cells))
+
+
+def _modes(cells: DataFrame, ranges: DataFrame) -> DataFrame:
+    named = F.coalesce(F.size(_listed()), F.lit(0)) > 0
+    per = cells.join(ranges, "notebook", "left").groupBy("notebook").agg(
+        F.bool_or(_is_code() & named).alias("_m"), F.bool_or(_is_code() & _tag().isin(SECTIONS)).alias("_t"))
+    return per.select("notebook", _mode(F.col("_m"), F.col("_t")).alias("mode"))
 
 
 def section_cells(cells: DataFrame) -> DataFrame:
-    """(notebook, mode, section, index, confidence, source) in each notebook's mode."""
-    cols = ["notebook", "index", "section", "confidence", "source"]
-    found = (
-        manifest_cells(cells).select(F.lit("manifest").alias("mode"), *cols)
-        .unionByName(tagged_cells(cells).select(F.lit("blueprint").alias("mode"), *cols))
-        .unionByName(inferred_cells(cells).select(F.lit("inferred").alias("mode"), *cols))
-    )
-    return found.join(notebook_modes(cells), ["notebook", "mode"])
+    """(notebook, mode, section, index, confidence, source) in each notebook's mode.
+
+    Cells are read for the ranges, the modes and the sections; only cells of inferred notebooks go through the rules.
+    """
+    ranges = manifest_ranges(cells)
+    placed = code(cells).join(_modes(cells, ranges), "notebook").join(ranges, "notebook", "left")
+
+    def sure(section: Column) -> Column:
+        return F.struct(section.alias("label"), F.lit(1.0).alias("confidence"))
+
+    mine = (F.when(F.col("mode") == "manifest", F.transform(_listed(), lambda r: sure(r["section"])))
+            .when(F.col("mode") == "blueprint", F.filter(F.array(sure(_tag())), lambda c: c["label"].isin(SECTIONS)))
+            .otherwise(_inferred()))
+    found = placed.withColumn("_c", F.explode(mine))
+    return found.select("notebook", "mode", "index", F.col("_c.label").alias("section"),
+                        F.col("_c.confidence").alias("confidence"), "source")
 
 
 def section_confidence(sections: DataFrame) -> DataFrame:
@@ -182,34 +230,55 @@ def section_confidence(sections: DataFrame) -> DataFrame:
     return out.withColumn("level", level)
 
 
-def structures(cells: DataFrame) -> DataFrame:
-    """One row per notebook: mode, sections found, required sections missing, metrics, model family."""
-    found = section_cells(cells).groupBy("notebook").agg(F.array_sort(F.collect_set("section")).alias("sections"))
-    sections = F.coalesce("sections", F.array().cast("array<string>"))
-    required = F.array(*[F.lit(r) for r in REQUIRED])
-    return (
-        notebook_modes(cells).join(found, "notebook", "left").withColumn("sections", sections)
-        .withColumn("missing_sections", F.array_except(required, F.col("sections")))
-        .join(code_usage(cells), "notebook", "left")
-        .withColumn("metrics", F.coalesce("metrics", F.array().cast("array<string>")))
-        .withColumn("model_type", F.coalesce("model_type", F.lit("unknown")))
-    )
-
-
-def code_usage(cells: DataFrame) -> DataFrame:
-    """Metric names used and model family per notebook.
+def _usage() -> tuple[Column, Column]:
+    """Metric names used by a cell, as bits in the order of the patterns, and the rank of its model family.
 
     No pattern spans a line break, so matching cell by cell equals matching the whole code.
     """
     src = F.col("source")
-    used = [F.bool_or(F.regexp_like(src, F.lit(p))).alias(f"_m{i}") for i, p in enumerate(METRIC_PATTERNS.values())]
+    used = F.lit(0)
+    for i, p in enumerate(METRIC_PATTERNS.values()):
+        used = used.bitwiseOR(F.when(matches(src, p), 1 << i).otherwise(0))
     rank = F.lit(None).cast("int")
     for i, p in reversed(list(enumerate(MODEL_PATTERNS.values()))):
-        rank = F.when(F.regexp_like(src, F.lit(p)), F.lit(i)).otherwise(rank)
-    agg = code(cells).groupBy("notebook").agg(*used, F.min(rank).alias("_model"))
-    names = F.array_compact(F.array(*[F.when(F.col(f"_m{i}"), F.lit(n)) for i, n in enumerate(METRIC_PATTERNS)]))
-    family = F.coalesce(F.get(F.array(*[F.lit(n) for n in MODEL_PATTERNS]), F.col("_model")), F.lit("unknown"))
-    return agg.select("notebook", names.alias("metrics"), family.alias("model_type"))
+        rank = F.when(matches(src, p), F.lit(i)).otherwise(rank)
+    return used, rank
+
+
+def _names(bits: Column, names: Sequence[str]) -> Column:
+    """The names whose bits are set, in their order."""
+    return F.array_compact(F.array(*[F.when(bits.bitwiseAND(1 << i) != 0, F.lit(n)) for i, n in enumerate(names)]))
+
+
+def code_usage(cells: DataFrame) -> DataFrame:
+    """Metric names used and model family per notebook with code."""
+    return structures(code(cells)).select("notebook", "metrics", "model_type")
+
+
+def structures(cells: DataFrame) -> DataFrame:
+    """One row per notebook: mode, sections found, required sections missing, metrics, model family.
+
+    One aggregation over the cells: what each mode would find is kept as bits, and the mode picks among them.
+    """
+    is_code = _is_code()
+    none = F.lit(0)
+    listed = F.aggregate(F.coalesce(_listed(), F.array().cast("array<struct<start:bigint,end:bigint,section:string>>")),
+                         none, lambda a, r: a.bitwiseOR(_bit(r["section"])))
+    used, rank = _usage()
+    # a model family or a metric is found in code cells only, as are sections
+    facts = cells.join(manifest_ranges(cells), "notebook", "left").select(
+        "notebook", F.when(is_code, listed).otherwise(none).alias("_m"),
+        F.when(is_code, F.coalesce(_bit(_tag()), none)).otherwise(none).alias("_t"),
+        F.when(is_code, F.coalesce(_bit(F.get(_inferred(), F.lit(0))["label"]), none)).otherwise(none).alias("_i"),
+        F.when(is_code, used).otherwise(none).alias("_used"), F.when(is_code, rank).alias("_rank"))
+    per = facts.groupBy("notebook").agg(*[F.bit_or(c).alias(c) for c in ("_m", "_t", "_i", "_used")], F.min("_rank").alias("_rank"))
+    mode = _mode(F.col("_m") != 0, F.col("_t") != 0)
+    bits = F.when(F.col("_m") != 0, F.col("_m")).when(F.col("_t") != 0, F.col("_t")).otherwise(F.col("_i"))
+    family = F.coalesce(F.get(F.array(*[F.lit(n) for n in MODEL_PATTERNS]), F.col("_rank")), F.lit("unknown"))
+    out = per.select("notebook", mode.alias("mode"), F.array_sort(_names(bits, SECTIONS)).alias("sections"),
+                     _names(F.col("_used"), list(METRIC_PATTERNS)).alias("metrics"), family.alias("model_type"))
+    missing = F.array_except(F.array(*[F.lit(r) for r in REQUIRED]), F.col("sections"))
+    return out.select("notebook", "mode", "sections", missing.alias("missing_sections"), "metrics", "model_type")
 
 
 def mode_warnings(structure: DataFrame) -> DataFrame:

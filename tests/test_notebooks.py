@@ -68,3 +68,33 @@ def test_imports(spark, rows):
                              ("markdown", "import torch")]))
     assert rows(nb.import_lines(df), "line") == [("from sklearn.svm import SVC",), ("import os",), ("import pandas as pd",), ("import yaml",)]
     assert rows(nb.requirements(df), "package") == [("pandas",), ("pyyaml",), ("scikit-learn",)]
+
+
+def test_sections_follow_the_mode_of_the_whole_notebook(spark, rows):
+    df = cells(
+        spark,
+        # the manifest names no code cell, so tags decide; rules are not asked
+        ("b", ["# mlops: manifest\n# cell 1: training\n# cell 9: metrics", ("markdown", "text"), "# mlops: config\nmodel.fit(X)", "f1_score(a, b)"]),
+        ("m", ["# mlops: config\nx", "# mlops: manifest\n# cell 0: imports\n# cell 0-2: training", ("markdown", "# mlops: metrics")]),
+        ("i", [" \n", "import os", "# mlops: nope\ny_hat = 1"]))
+    got = rows(nb.section_cells(df), "notebook", "mode", "index", "section", "confidence")
+    assert got == [("b", "blueprint", 2, "config", 1.0), ("i", "inferred", 1, "imports", 0.95), ("i", "inferred", 2, "evaluation", 0.85),
+                   ("m", "manifest", 0, "imports", 1.0), ("m", "manifest", 0, "training", 1.0), ("m", "manifest", 1, "training", 1.0)]
+    assert rows(nb.notebook_modes(df)) == [("b", "blueprint"), ("i", "inferred"), ("m", "manifest")]
+    assert rows(nb.code_usage(df), "notebook", "metrics") == [("b", ["f1"]), ("i", []), ("m", [])]
+
+
+def test_matches_agree_with_the_plain_expression(spark):
+    from modelwarden.functions.patterns import needed_texts
+    from modelwarden.plans.notebook_queries import TEXT_RULES
+
+    every = [p for _, _, ps in [*nb.SECTION_RULES, *TEXT_RULES] for p in ps] + [*nb.METRIC_PATTERNS.values(), *nb.MODEL_PATTERNS.values()]
+    texts = ["a@b.de", "@", "Licence", "LICENSE", "copyright", "https://x", "ftp://x", "12345", "555-123-4567", "model.compile(a, optimizer)",
+             "xgb.train(", "XGBClassifier", "lgbRegressor", "y_hat = 1", "X_test=", "feature_x", "encode_", "params = {", "r2_score", "auc", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in every:
+        got = df.select(nb.matches(F.col("t"), p).alias("a"), F.regexp_like("t", F.lit(p)).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got], p
+    assert needed_texts(r"(ab|c)+x?d{2,}") == ["ab", "c"] or needed_texts(r"(ab|c)+x?d{2,}") == ["d"]
+    assert needed_texts(r"(?i)abc") == [] and needed_texts(r"a|\d") == [] and needed_texts(r"https?://") == ["http"]
+    assert needed_texts(r"[a-z]+@\w+") == ["@"] and needed_texts(r"(foo|bar)baz?") == ["foo", "bar"]

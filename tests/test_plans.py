@@ -34,3 +34,11 @@ def test_limits_before_the_shuffle(spark):
 def test_partial_aggregation(spark):
     for name in ("endpoint_metrics_15m", "trace_outcome", "reward_signals"):
         assert "partial_" in plan(spark, name)
+
+
+@pytest.mark.parametrize("name,scans", [("notebook_structures", 2), ("notebook_warnings", 2), ("section_code", 3), ("section_confidence", 3)])
+def test_notebook_scans(spark, name, scans):
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    done = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert done.count("FileScan") <= scans and "SortAggregate" not in done
