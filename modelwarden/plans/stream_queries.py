@@ -9,6 +9,7 @@ from modelwarden.operators.serving import PERCENTILES
 from modelwarden.plans.catalog import query
 from modelwarden.plans.views import DECISIONS_SQL, ESCALATED_SQL, REQUESTS_SQL, decision_columns, request_columns, table, with_ctes
 from modelwarden.session import work_dir
+from modelwarden.sources import files
 from modelwarden.streaming import streams
 
 
@@ -198,6 +199,53 @@ def stream_new_files(spark, sf):
         "dataset_name", "num_rows", "rows_ok", "nulls_ok", "approved", F.coalesce("n", F.lit(0)).alias("appended"))
 
 
+def _text_files(spark, lines, folder, suffix, rows_per_file=0):
+    """Lines as text files of another suffix."""
+    lines.repartition(2).write.option("maxRecordsPerFile", rows_per_file).text(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for i, status in enumerate(fs.globStatus(path(f"{folder}/part-*"))):
+        fs.rename(status.getPath(), path(f"{folder}/{i}.{suffix}"))
+
+
+_FORMATS = ["csv", "jsonl", "json", "parquet"]
+
+
+@query("stream_feed_formats", """
+WITH o AS (SELECT ['csv', 'jsonl', 'json', 'parquet'][CAST(o_custkey % 4 AS INTEGER) + 1] AS f, o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END AS s FROM orders),
+c AS (SELECT f, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys, CAST(sum(s) AS BIGINT) AS known, CASE WHEN f IN ('csv', 'jsonl') THEN 1 ELSE 0 END AS broken FROM o GROUP BY 1)
+SELECT f AS dataset_name, n + broken AS num_rows, CAST(broken AS BIGINT) AS broken, broken = 0 AS approved, CASE WHEN broken = 0 THEN keys END AS accepted_keys, CASE WHEN broken = 0 THEN known END AS accepted_known FROM c
+UNION ALL SELECT 'empty', 0, 0, true, NULL, NULL""")
+def stream_feed_formats(spark, sf):
+    """Orders arrive as csv, jsonl, json and Parquet files, with a broken record in two of them and a csv file without rows.
+
+    Any broken record fails its dataset; the file without rows gets a gate row of its own.
+    """
+    folder = work_dir(spark, "formats")
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("o_orderstatus"),
+        F.col("o_totalprice").cast("double").alias("o_totalprice"), (F.col("o_custkey") % 4).alias("f"))
+    part = {f: o.where(F.col("f") == i).drop("f") for i, f in enumerate(_FORMATS)}
+    row = F.struct("o_orderkey", "o_orderstatus", "o_totalprice")
+    part["csv"].write.csv(f"{folder}/in/csv", header=True)
+    part["parquet"].write.parquet(f"{folder}/in/parquet")
+    arrays = part["json"].groupBy(F.floor(F.col("o_orderkey") / 4000)).agg(F.to_json(F.collect_list(row)).alias("value"))
+    _text_files(spark, arrays.select("value"), f"{folder}/in/json", "json", 1)
+    _text_files(spark, part["jsonl"].select(F.to_json(row).alias("value")), f"{folder}/in/jsonl", "jsonl")
+    _text_files(spark, spark.sql("SELECT 'o_orderkey,o_orderstatus,o_totalprice\nx,O,1.0' AS value"), f"{folder}/in/late", "csv")
+    _text_files(spark, spark.sql("SELECT '{broken' AS value"), f"{folder}/in/later", "jsonl")
+    _text_files(spark, spark.sql("SELECT 'o_orderkey,o_orderstatus,o_totalprice' AS value"), f"{folder}/in/empty", "csv")
+    src = files.feed(spark, f"{folder}/in", part["csv"].schema, max_files=8)
+    name = F.when(F.contains("file_path", F.lit("/empty/")), "empty").otherwise(F.regexp_extract("file_path", r"([a-z]+)$", 1))
+    streams.run_available(src, streams.feed_sink(f"{folder}/feed", ["o_orderkey"], name), f"{folder}/checkpoint")
+    decided = streams.gate_arrivals(spark, f"{folder}/feed", ["o_orderkey", "parsed"], min_rows=1, max_null_rate=0.0)
+    broken = spark.read.parquet(f"{folder}/feed/broken").groupBy("dataset_name").agg(F.count(F.lit(1)).alias("broken"))
+    kept = streams.accepted_arrivals(spark, f"{folder}/feed", decided).groupBy("dataset_name").agg(
+        F.sum("o_orderkey").alias("accepted_keys"), F.count("o_orderstatus").alias("accepted_known"))
+    return decided.join(broken, "dataset_name", "left").join(kept, "dataset_name", "left").select(
+        "dataset_name", "num_rows", F.coalesce("broken", F.lit(0)).alias("broken"), "approved", "accepted_keys", "accepted_known")
+
+
 @query("stream_late_rows", """
 WITH m AS (SELECT max(ts) - INTERVAL 5 DAYS AS m FROM events WHERE event_id % 2 = 0)
 SELECT event_id, event_id % 2 = 1 AND ts <= m AS late FROM events, m""")

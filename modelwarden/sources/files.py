@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
 
 from modelwarden.functions.text import basename, stem, suffix
 
@@ -43,6 +44,43 @@ def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
 
 
+def feed(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
+    """One stream over the csv, json, jsonl and Parquet files below a folder, with `file_path`, `unparsed` and `is_row`.
+
+    A record that does not parse keeps its text in `unparsed` and has null columns; csv files have a header line, a json file is
+    one object or an array. Besides its rows every file gives one row with is_row = false, so that a file without rows (a header, `[]`) is seen. Spark skips
+    files of zero bytes in all sources; those show in the upload notices (`arrivals`) by their size.
+    `max_files` is the limit of a batch for each format.
+    """
+    broken = StructType([*schema.fields, StructField("unparsed", StringType())])
+    place = F.col("_metadata.file_path").alias("file_path")
+    names = [F.col(f"`{f.name}`") for f in schema.fields]
+
+    def read(fmt: str, suffix: str, fields: StructType, **options) -> DataFrame:
+        reader = spark.readStream.format(fmt).schema(fields).options(
+            recursiveFileLookup=True, pathGlobFilter=f"*.{suffix}", **options)
+        if max_files:
+            reader = reader.option("maxFilesPerTrigger", max_files)
+        return reader.load(path)
+
+    loose = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "unparsed"}
+    parts = [
+        read("csv", "csv", broken, header=True, **loose), read("json", "jsonl", broken, **loose),
+        read("json", "json", broken, multiLine=True, **loose),
+        read("parquet", "parquet", schema).withColumn("unparsed", F.lit(None).cast("string")),
+    ]
+    out = None
+    for part in parts:
+        rows = part.select(*names, "unparsed", place, F.lit(True).alias("is_row"))
+        out = rows if out is None else out.unionByName(rows)
+    binary = StructType([StructField("path", StringType()), StructField("modificationTime", TimestampType()),
+                         StructField("length", LongType()), StructField("content", BinaryType())])
+    files = read("binaryFile", "{" + ",".join(DATA_SUFFIXES) + "}", binary)  # only the path is read
+    marks = files.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields],
+                         F.lit(None).cast("string").alias("unparsed"), place, F.lit(False).alias("is_row"))
+    return out.unionByName(marks)
+
+
 def artifact_type(path: Column) -> Column:
     s = suffix(path)
     return F.when(s.isin(*MODEL_SUFFIXES), "model").when(s == METRIC_SUFFIX, "metrics").otherwise("logs")

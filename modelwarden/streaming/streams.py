@@ -330,11 +330,33 @@ def arrivals_sink(folder: str, columns: Sequence[str], dataset: Column) -> Sink:
     return write
 
 
+def feed_sink(folder: str, columns: Sequence[str], dataset: Column) -> Sink:
+    """`arrivals_sink` for a feed of several formats (`sources.files.feed`): counts rows and broken records, and keeps both apart.
+
+    Files without a row count as a dataset of 0 rows. Broken records go to `broken`, and their share is the null rate of `parsed`.
+    """
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        rows = df.withColumn("dataset_name", dataset).persist()
+        good = F.col("is_row") & F.col("unparsed").isNull()
+        rows.where(good).drop("is_row", "unparsed").write.mode("overwrite").parquet(batch_folder(f"{folder}/rows", batch_id))
+        rows.where("unparsed is not null").select("dataset_name", "file_path", "unparsed").write.mode("overwrite").parquet(
+            batch_folder(f"{folder}/broken", batch_id))
+        counts = rows.groupBy("dataset_name").agg(
+            F.count_if("is_row").alias("num_rows"), *[F.count_if(good & F.col(c).isNull()).alias(c) for c in columns],
+            F.count_if(F.col("is_row") & F.col("unparsed").isNotNull()).alias("parsed"))
+        counts.write.mode("overwrite").parquet(batch_folder(f"{folder}/counts", batch_id))
+        rows.unpersist()
+
+    return write
+
+
 def gate_arrivals(spark: SparkSession, folder: str, columns: Sequence[str], **limits) -> DataFrame:
     """One gate row per dataset over all that has arrived of it, in however many files and batches."""
     counts = spark.read.parquet(f"{folder}/counts").groupBy("dataset_name").agg(
         *[F.sum(c).alias(c) for c in ("num_rows", *columns)])
-    rates = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c) / F.col("num_rows"))])
+    # a dataset without rows has no rates
+    rates = F.create_map(*[x for c in columns for x in (F.lit(c), F.try_divide(F.col(c), F.col("num_rows")))])
     return gates.data_gate(counts.select("dataset_name", "num_rows", rates.alias("null_rates")), **limits)
 
 

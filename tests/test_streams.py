@@ -170,3 +170,28 @@ def test_outcomes_and_feedback(spark, feed, tmp_path, rows):
     streams.run_available(fb, streams.batch_sink(f"{tmp_path}/f"), f"{tmp_path}/ck2", "update")
     got = streams.latest_result(spark, f"{tmp_path}/f", fb.schema, ["model_name"])
     assert rows(got, "model_name", "total_feedback", "approved") == [("x", 4, True), ("y", 2, False)]
+
+
+def test_feed_of_four_formats(spark, tmp_path, rows):
+    from pyspark.sql.types import StructType
+
+    from modelwarden.sources import files
+
+    src = tmp_path / "in"
+    (src / "deep").mkdir(parents=True)
+    schema = StructType.fromDDL("id bigint, x double")
+    (src / "a.csv").write_text("id,x\n1,0.5\nbad,2.5\n2,\n")
+    (src / "b.jsonl").write_text('{"id": 3, "x": 1.5}\n{"id": \n')
+    (src / "deep" / "c.json").write_text('[{"id": 4, "x": 2.5},\n {"id": 5}]')
+    (src / "d.json").write_text("[]")
+    (src / "e.csv").write_text("id,x\n")
+    (src / "notes.txt").write_text("1,2\n")
+    spark.createDataFrame([(6, 3.5)], schema).coalesce(1).write.parquet(str(src / "p"))
+    out = str(tmp_path / "out")
+    name = F.regexp_extract("file_path", r"([a-z]+)\.[a-z]+$", 1)
+    name = F.when(F.endswith("file_path", F.lit(".parquet")), "p").otherwise(name)
+    streams.run_available(files.feed(spark, str(src), schema, max_files=1), streams.feed_sink(out, ["x"], name), str(tmp_path / "cp"))
+    got = rows(streams.gate_arrivals(spark, out, ["x", "parsed"], min_rows=1, max_null_rate=0.4), "dataset_name", "num_rows", "approved")
+    assert got == [("a", 3, True), ("b", 2, False), ("c", 2, False), ("d", 0, True), ("e", 0, True), ("p", 1, True)]
+    assert rows(spark.read.parquet(f"{out}/rows"), "id", "x") == [(1, 0.5), (2, None), (3, 1.5), (4, 2.5), (5, None), (6, 3.5)]
+    assert rows(spark.read.parquet(f"{out}/broken"), "dataset_name", "unparsed") == [("a", "bad,2.5"), ("b", '{"id": ')]
