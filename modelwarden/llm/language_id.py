@@ -2,7 +2,8 @@
 
 Training counts character 1-, 2- and 3-grams of whole texts per language into hash buckets, inside each task and then
 across tasks. The matrix of log-probabilities (languages x buckets) goes to all tasks as a broadcast; texts are scored in
-batches with numpy.
+batches with numpy. A broadcast holds BLOCK languages at most (64 MB). More languages are scored in rounds, one block each;
+every round keeps a text's best language so far and the sum that its posterior is taken from.
 
 Defined results: a null text, an empty text and a text without a letter give `und` with score 0; rows with null
 `lang` teach nothing; with nothing learned every text gives `und`; equal scores go to the language first in text order;
@@ -19,14 +20,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from modelwarden.llm.common import byte_sizes, chunks
+from modelwarden.session import materialise
+
+#: Blocks of languages in text order: their names and the log-probabilities of the buckets.
+Model = list[tuple[list[str], np.ndarray]]
 
 BUCKETS = 1 << 16
 #: Characters handled at a time inside a task.
 SLICE = 1 << 20
-#: More languages than this would make the broadcast matrix larger than 256 MB; training then refuses.
-MAX_LANGUAGES = 512
+#: Languages learned and scored together: 64 MB of log-probabilities, and as much in a training task.
+BLOCK = 128
 SPACE = 32
 
 
@@ -58,21 +64,38 @@ def blank_buckets() -> tuple[int, ...]:
     return tuple(int(g[0]) for g in gram_buckets(np.full(3, SPACE, np.uint32)))
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(folded code points, text index of each, whether each text has a letter there), with three spaces between texts."""
+def slices(texts: list[str | None]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(buckets of the 1-, 2- and 3-grams that start in a text, text index of each, whether a letter stands there).
+
+    Spaces end every text, so no gram reaches into the next one; grams that start at those spaces are left out.
+    """
     points = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    sizes = np.array([len(p) + 3 for p in points])
-    gap = np.full(3, SPACE, np.uint32)
-    joined = folding()[np.concatenate([x for p in points for x in (p, gap)])]
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    sizes = np.array([len(p) for p in points], dtype=np.int64)
+    gap = np.full(2, SPACE, np.uint32)
+    joined = folding()[np.concatenate([np.zeros(0, np.uint32), *(x for p in points for x in (p, gap))])]
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + len(gap))
+    inside = np.ones(len(joined), bool)
+    ends = np.cumsum(sizes + len(gap))
+    inside[ends - 1] = inside[ends - 2] = False
     for start in range(0, len(joined), SLICE):
-        own = owner[start : start + SLICE]
+        own, starts = owner[start : start + SLICE], inside[start : start + SLICE]
         part = joined[start : start + SLICE + 2]
-        yield np.concatenate([part, gap[: len(own) + 2 - len(part)]]), own, part[: len(own)] != SPACE
+        full = np.concatenate([part, gap[: len(own) + 2 - len(part)]])
+        yield [g[starts] for g in gram_buckets(full)], own[starts], part[: len(own)][starts] != SPACE
+
+
+def training_counts(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(lang, bucket, n): n-gram counts over all rows with columns text and lang.
 
+    A task holds the tables of `block` languages at most and passes them on when another comes.
+    """
 
-def training_counts(rows: DataFrame) -> DataFrame:
-    """(lang, bucket, n): n-gram counts over all rows with columns text and lang."""
+    def emit(tables: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, counts in tables.items():
+            counts[list(blank_buckets())] = 0
+            used = np.flatnonzero(counts)
+            yield pa.record_batch({"lang": pa.array([name] * len(used), pa.string()), "bucket": used.astype(np.int32),
+                                   "n": counts[used]})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
@@ -80,29 +103,40 @@ def training_counts(rows: DataFrame) -> DataFrame:
             texts, langs = batch.column("text"), batch.column("lang").to_pylist()
             for lo, hi in chunks(byte_sizes(texts), SLICE):
                 names, which = np.unique(np.array(langs[lo:hi], dtype=object).astype(str), return_inverse=True)
-                for points, own, _ in slices(texts[lo:hi].to_pylist()):
-                    base = which[own].astype(np.int64) * BUCKETS
-                    total = sum(np.bincount(base + g, minlength=len(names) * BUCKETS) for g in gram_buckets(points))
-                    for k, name in enumerate(names):
-                        mine = tables.setdefault(str(name), np.zeros(BUCKETS, np.int64))
-                        mine += total[k * BUCKETS : (k + 1) * BUCKETS]
-        for name, counts in tables.items():
-            counts[list(blank_buckets())] = 0
-            used = np.flatnonzero(counts)
-            yield pa.record_batch({"lang": pa.array([name] * len(used), pa.string()), "bucket": used.astype(np.int32),
-                                   "n": counts[used]})
+                for first in range(0, len(names), block):
+                    mine = names[first : first + block]
+                    if len(tables.keys() | set(map(str, mine))) > block:
+                        yield from emit(tables)
+                        tables = {}
+                    picked = np.flatnonzero((which >= first) & (which < first + block))
+                    for grams, own, _ in slices(texts[lo:hi].take(pa.array(picked)).to_pylist()):
+                        base = (which[picked] - first)[own].astype(np.int64) * BUCKETS
+                        total = sum(np.bincount(base + g, minlength=len(mine) * BUCKETS) for g in grams)
+                        for k, name in enumerate(mine):
+                            kept = tables.setdefault(str(name), np.zeros(BUCKETS, np.int64))
+                            kept += total[k * BUCKETS : (k + 1) * BUCKETS]
+        yield from emit(tables)
 
     known = rows.where(F.col("lang").isNotNull()).select("text", "lang")
     parts = known.mapInArrow(count, "lang string, bucket int, n bigint")
     return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities of buckets by language) learned from the rows' text and lang."""
-    counts = training_counts(rows).toArrow()
+def fit(rows: DataFrame, smoothing: float = 0.5, block: int = BLOCK) -> Model:
+    """Log-probabilities of buckets by language, learned from the rows' text and lang, in blocks of languages."""
+    counts = training_counts(rows, block)
+    several = rows.select("lang").where("lang is not null").distinct().limit(block + 1).count() > block
+    if not several:
+        return [log_probabilities(counts, smoothing)]
+    counts = materialise(counts, "gram-counts")
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    parts = [langs[i : i + block] for i in range(0, len(langs), block)]
+    return [log_probabilities(counts.where(F.col("lang").between(part[0], part[-1])), smoothing) for part in parts]
+
+
+def log_probabilities(table_rows: DataFrame, smoothing: float) -> tuple[list[str], np.ndarray]:
+    counts = table_rows.toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the broadcast matrix is bounded at {MAX_LANGUAGES}")
     table = np.zeros((len(langs), BUCKETS))
     at = {x: i for i, x in enumerate(langs)}
     rowno = np.array([at[x] for x in counts.column("lang").to_pylist()], dtype=np.int64)
@@ -113,40 +147,60 @@ def fit(rows: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]
     return langs, logs
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns `keep` of every row, with lang_pred and score (the posterior probability of lang_pred)."""
-    langs, logs = model
-    shared = docs.sparkSession.sparkContext.broadcast(logs)
-    kept = docs.select(*keep).schema
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double"])
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.lit(0).alias("none"))
+    rows = docs.select(row.alias("row"), "text", F.lit("und").alias("best"), F.lit(None).cast("double").alias("total"),
+                       F.lit(0.0).alias("others"))
+    for number, block in enumerate(model):
+        last = number == len(model) - 1
+        rows = score_block(rows, block, last)
+        if not last:
+            rows = materialise(rows, "language-round")
+    return rows.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)), F.col("best").alias("lang_pred"),
+                       F.when(F.col("total").isNull(), 0.0).otherwise(1 / F.col("others")).alias("score"))
+
+
+def score_block(rows: DataFrame, block: tuple[list[str], np.ndarray], last: bool) -> DataFrame:
+    """The rows with their best language so far: `total` is its log-probability, `others` the sum of exp(any - total).
+
+    A text without a letter keeps a null total. Texts are passed on but for the last block.
+    """
+    langs, logs = block
+    shared = rows.sparkSession.sparkContext.broadcast(logs)
+    kept = [f for f in rows.schema.fields if not last or f.name != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            texts = batch.column("_scored_text")
-            names, scores = [], []
+            texts = batch.column("text")
+            names, totals, sums = batch.column("best").to_pylist(), [], []
+            before = batch.column("total").to_numpy(zero_copy_only=False)
+            rest = batch.column("others").to_numpy(zero_copy_only=False)
             for lo, hi in chunks(byte_sizes(texts), SLICE):
-                total = np.zeros((len(langs), hi - lo))
+                found = np.zeros((len(langs), hi - lo))
                 letters = np.zeros(hi - lo, np.int64)
-                for points, own, is_letter in slices(texts[lo:hi].to_pylist()):
+                for grams, own, is_letter in slices(texts[lo:hi].to_pylist()):
                     letters += np.bincount(own, weights=is_letter, minlength=hi - lo).astype(np.int64)
-                    grams = gram_buckets(points)
                     for k in range(len(langs)):
-                        total[k] += np.bincount(own, weights=sum(table[k][g] for g in grams), minlength=hi - lo)
-                if langs:
-                    best = total.argmax(axis=0)
-                    share = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
-                else:
-                    best = share = np.zeros(hi - lo)
+                        found[k] += np.bincount(own, weights=sum(table[k][g] for g in grams), minlength=hi - lo)
                 known = (letters > 0) & bool(langs)
-                names += [langs[int(b)] if ok else "und" for b, ok in zip(best, known)]
-                scores.append(np.where(known, share, 0.0))
-            out = [batch.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays(
-                [*out, pa.array(names, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))],
-                names=[*kept.names, "lang_pred", "score"])
-
-    return docs.select(*keep, F.col("text").alias("_scored_text")).mapInArrow(score, schema)
+                held = np.where(np.isnan(before[lo:hi]), -np.inf, before[lo:hi])
+                top = np.maximum(held, found.max(axis=0)) if langs else held
+                safe = np.where(known, top, 0.0)
+                total = np.exp(found - safe).sum(axis=0) + np.where(np.isfinite(held), rest[lo:hi] * np.exp(held - safe), 0.0)
+                first = found.argmax(axis=0) if langs else np.zeros(hi - lo, np.int64)
+                for i in np.flatnonzero(known & (top > held)):
+                    names[lo + i] = langs[int(first[i])]
+                totals.append(np.where(known, top, np.nan))
+                sums.append(total)
+            new = {"best": pa.array(names, pa.string()),
+                   "total": pa.array(np.concatenate([*totals, np.zeros(0)]), from_pandas=True),
+                   "others": pa.array(np.concatenate([*sums, np.zeros(0)]))}
+            yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else batch.column(f.name) for f in kept],
+                                             names=[f.name for f in kept])
+
+    return rows.mapInArrow(score, StructType(kept))
 
 
 def identify(docs: DataFrame, training: DataFrame, keep: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ and an empty index; very long texts run over many sequences; other columns are n
 from __future__ import annotations
 
 import base64
-import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import cache
@@ -36,8 +36,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The first id that the vocabulary leaves free.
 END = 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A run of this many characters without white space is encoded in pieces, as merging takes more than linear time.
+#: A longer run of characters without white space, or of white space alone, is cut after every so many of its characters, as
+#: merging takes more than linear time.
 LONG_RUN = 4096
+LONG_RUNS = re.compile(rf"\S{{{LONG_RUN + 1},}}|\s{{{LONG_RUN + 1},}}")
 ROUNDS = 6
 
 
@@ -52,9 +54,12 @@ def encode(text: str | None, path: str = VOCABULARY) -> np.ndarray:
     """Ids of a whole text."""
     bpe = encoding(path)
     text = text or ""
-    if len(text) <= LONG_RUN or max(map(len, text.split()), default=0) <= LONG_RUN:
+    if len(text) <= LONG_RUN:
         return bpe.encode_to_numpy(text, disallowed_special=())
-    pieces = [text[i : i + LONG_RUN] for i in range(0, len(text), LONG_RUN)]
+    cuts = [0]
+    for run in LONG_RUNS.finditer(text):
+        cuts += range(run.start() + LONG_RUN, run.end(), LONG_RUN)
+    pieces = [text[i:j] for i, j in zip(cuts, [*cuts[1:], len(text)])]
     return np.concatenate([bpe.encode_to_numpy(p, disallowed_special=()) for p in pieces])
 
 
@@ -186,9 +191,10 @@ def write_training_order(docs: DataFrame, folder: str, length: int = 4096, per_s
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A folder for shard files as a URI under the shared work folder."""
-    path = work_dir(spark, "shards")
-    return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
+    """A folder for shard files under the shared work folder, as a URI of the file system that Spark writes it to."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark, "shards"))
+    uri = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return uri.replace("file:/", "file:///", 1) if re.match("file:/[^/]", uri) else uri
 
 
 def read_slots(folder: str, first: int, count: int, length: int = 4096, per_shard: int = 2048) -> Iterator[np.ndarray]:

@@ -67,6 +67,47 @@ def test_language_counts_match_plain_counting(spark):
     assert got == {k: v for k, v in want.items() if k[1] not in blank}
 
 
+def test_language_prediction_matches_plain_naive_bayes(spark):
+    """Every posterior, with any number of languages in a block; more languages than a block are no error."""
+    rng = np.random.default_rng(4)
+    rows = [(i, f"l{i % 11:02d}" if i % 9 else None, "".join(rng.choice(list("abcdé .X"), size=int(rng.integers(0, 40)),
+                                                             p=np.roll([.3, .2, .1, .1, .1, .1, .05, .05], i % 4))))
+            for i in range(120)] + [(500, "l00", None), (501, "l03", "... 12")]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    blank = set(language_id.blank_buckets())
+
+    def grams(text):
+        chars = [ord(c.lower()) if c.isalpha() else 32 for c in text or ""] + [32] * 2
+        got = (int(g[0]) for i in range(len(chars) - 2) for g in language_id.gram_buckets(np.array(chars[i : i + 3], np.uint32)))
+        return [g for g in got if g not in blank]
+
+    counts = {}
+    for _, lang, text in rows:
+        if lang:
+            counts.setdefault(lang, Counter()).update(grams(text))
+    want = {}
+    for i, _, text in rows:
+        logs = [sum(np.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * language_id.BUCKETS)) for g in grams(text)) for _, c in sorted(counts.items())]
+        best = int(np.argmax(np.round(logs, 9)))
+        letters = any(c.isalpha() for c in text or "")
+        want[i] = (sorted(counts)[best], 1 / sum(np.exp(x - logs[best]) for x in logs)) if letters else ("und", 0.0)
+    for block in (2, 5, 128):
+        model = language_id.fit(df, block=block)
+        assert len(model) == -(-11 // block)
+        got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(df, model, ["doc_id"]).collect()}
+        assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+        assert all(abs(got[i][1] - want[i][1]) < 1e-6 for i in want)
+        plain = {(r.lang, r.bucket): r.n for r in language_id.training_counts(df, block).collect()}
+        assert plain == {(k, g): n for k, c in counts.items() for g, n in c.items()}
+
+
+def test_language_takes_columns_of_any_name(spark):
+    names = ["row", "text", "best", "total", "others", "c0", "none", "lang"]
+    df = spark.createDataFrame([("r", "hello there", "b", "t", "o", "c", "n", "en")], ", ".join(f"{c} string" for c in names))
+    got = language_id.identify(df, df, names).first().asDict()
+    assert [got[c] for c in names] == ["r", "hello there", "b", "t", "o", "c", "n", "en"] and got["lang_pred"] == "en" and got["score"] == 1
+
+
 def test_language_odd_rows(spark, odd, empty):
     got = {r.doc_id: r for r in language_id.identify(odd, odd, ["doc_id"]).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3, 7)] == ["und"] * 4 and got[1].score == 0
@@ -408,6 +449,24 @@ def test_training_files_round_trip(spark, odd, empty):
     assert training_order.write_training_order(empty, training_order.new_folder(spark)).count() == 0
 
 
+def test_long_runs_alone_are_cut():
+    bpe = training_order.encoding(training_order.VOCABULARY)
+    prose = "Ordinary words, 12 of them, keep the ids that they have anywhere else. " * 90
+    run = "".join(chr(97 + i * i % 26) for i in range(10_000))
+    ids = training_order.encode(f"{prose}{run} {prose}").tolist()
+    n = training_order.LONG_RUN
+    want = bpe.encode_ordinary(prose + run[:n]) + bpe.encode_ordinary(run[n : 2 * n]) + bpe.encode_ordinary(f"{run[2 * n :]} {prose}")
+    assert ids == want and bpe.decode(ids) == f"{prose}{run} {prose}"
+    assert ids[: len(bpe.encode_ordinary(prose)) - 1] == bpe.encode_ordinary(prose)[:-1]
+    for odd in (" " * 20_000 + "x", "é" * 9000, prose, "", None):
+        assert bpe.decode(training_order.encode(odd).tolist()) == (odd or "")
+    assert training_order.encode(prose).tolist() == bpe.encode_ordinary(prose)
+
+
+def test_shard_folder_is_qualified(spark):
+    assert training_order.new_folder(spark).startswith("file:///")
+
+
 # Toxicity
 
 def test_toxicity_held_out(spark):
