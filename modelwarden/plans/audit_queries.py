@@ -182,9 +182,12 @@ def escalation(spark, sf):
 
 @query("result_events", with_ctes(ESCALATED_SQL) + """
 SELECT CASE WHEN escalate_to_human THEN 'human.escalation' WHEN approved THEN action || '.approved' ELSE action || '.rejected' END AS type,
-  agent_name AS source, trace_id, substr(sha256('event|' || id), 1, 12) AS id, "timestamp" FROM esc""")
+  agent_name AS source, trace_id, substr(sha256('event|' || id), 1, 12) AS id, "timestamp",
+  id AS decision_id, action, approved, confidence, conclusion, escalate_to_human AS escalated FROM esc""")
 def result_events(spark, sf):
-    return gates.result_events(escalated_decisions(spark, sf)).drop("payload")
+    out = gates.result_events(escalated_decisions(spark, sf))
+    held = F.from_json("payload", "decision_id string, action string, approved boolean, confidence double, conclusion string, escalated boolean")
+    return out.withColumn("p", held).select("type", "source", "trace_id", "id", "timestamp", "p.*")
 
 
 @query("trace_store", with_ctes(ESCALATED_SQL, _OUTCOME_SQL.format(src="esc")) + """
@@ -299,11 +302,11 @@ def reward_trend(spark, sf):
 
 
 @query("provenance_rows", with_ctes(ESCALATED_SQL) + """
-SELECT agent_name, action, CAST(count(*) AS BIGINT) AS n, count(*) FILTER (WHERE approved) AS n_approved FROM esc GROUP BY 1, 2""")
+SELECT agent_name, action, trace_id, id AS decision_id, approved, confidence, conclusion, escalate_to_human AS escalated, "timestamp" FROM esc""")
 def provenance_rows(spark, sf):
     out = gates.provenance_rows(escalated_decisions(spark, sf))
-    ok = F.get_json_object("metadata", "$.approved") == "true"
-    return out.groupBy("agent_name", "action").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_approved"))
+    held = F.from_json("metadata", "trace_id string, decision_id string, approved boolean, confidence double, conclusion string, escalated boolean")
+    return out.select("agent_name", "action", held.alias("m"), "timestamp").select("agent_name", "action", "m.*", "timestamp")
 
 
 @query("feedback_signal_rows", with_ctes(DECISIONS_SQL) + f"""

@@ -237,6 +237,21 @@ def metric_files(spark, sf):
     return long.groupBy("model", "metric").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean_value"))
 
 
+@query("metric_artifacts", """
+SELECT CAST(s_nationkey AS BIGINT) AS model, 'metrics' AS artifact_type, CAST(count(*) AS DOUBLE) AS n, CAST(sum(s_suppkey) AS DOUBLE) AS total,
+  CAST(length('{"n":' || CAST(count(*) AS VARCHAR) || ',"total":' || CAST(sum(s_suppkey) AS VARCHAR) || '}') + 1 AS BIGINT) AS size_bytes FROM supplier GROUP BY s_nationkey""")
+def metric_artifacts(spark, sf):
+    """A metrics file per model on disk, listed as artifacts and read back as maps."""
+    path = work_dir(spark, "models")
+    per = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("bigint").alias("model")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("s_suppkey").alias("total"))
+    per.write.partitionBy("model").json(path)
+    model = F.regexp_extract("path", r"model=(\d+)", 1).cast("bigint").alias("model")
+    listed = files.artifacts(files.listing(spark, path, "*.json")).select(model, "artifact_type", "size_bytes")
+    read = files.metric_files(spark, path, "*.json").select(model, F.col("metrics")["n"].alias("n"), F.col("metrics")["total"].alias("total"))
+    return listed.join(read, "model")
+
+
 @query("path_functions", """
 SELECT page_id, split_part(split_part(url, '/', 3), '/', 1) AS bucket, regexp_extract(url, '^[A-Za-z0-9+.-]+://[^/]+/(.*)$', 1) AS key, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages""")
 def path_functions(spark, sf):
