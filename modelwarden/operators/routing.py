@@ -215,12 +215,12 @@ def _least_ancestors(edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def on_cycle(edges: DataFrame) -> DataFrame:
-    """Stages that can reach themselves, found without listing what reaches what.
+def cycle_parts(edges: DataFrame) -> DataFrame:
+    """(stage, part) of the stages that can reach themselves, found without listing what reaches what.
 
-    Stages off all cycles are trimmed as far as possible. Every stage then gets the smallest stage that reaches it as its
-    label; the stages that reach the one named by their label, within that label, form a strongly connected part. The
-    parts found go, and the rest is looked at again.
+    `part` is the smallest stage of the strongly connected part. Stages off all cycles are trimmed as far as possible. Every
+    stage then gets the smallest stage that reaches it as its label; the stages that reach the one named by their label,
+    within that label, form a strongly connected part. The parts found go, and the rest is looked at again.
     """
     live = _trimmed(materialise(edges.select("stage", "target").where("stage IS NOT NULL AND target IS NOT NULL").distinct(), "edges"))
     found = None
@@ -239,11 +239,49 @@ def on_cycle(edges: DataFrame) -> DataFrame:
                 break
             part = new
         ends = part.withColumnRenamed("stage", "target")
-        own = materialise(inner.join(part, "stage", "left_semi").join(ends, "target", "left_semi").select("stage").distinct(), "own")
+        own = inner.join(part, "stage", "left_semi").join(ends, "target", "left_semi").select("stage").distinct()
+        own = materialise(own.join(labels, "stage").select("stage", F.col("label").alias("part")), "own")
         found = own if found is None else found.union(own)
         live = _trimmed(materialise(live.join(part, "stage", "left_anti").join(ends, "target", "left_anti")
                                     .select("stage", "target"), "edges"))
-    return edges.select("stage").limit(0) if found is None else found
+    return edges.select("stage", F.col("stage").alias("part")).limit(0) if found is None else found
+
+
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """Stages that can reach themselves."""
+    return cycle_parts(edges).select("stage")
+
+
+def reach_counts(edges: DataFrame) -> DataFrame:
+    """(stage, part, n_reachable): for every stage the number of stages it can reach, itself included.
+
+    Strongly connected parts reach the same stages, so each becomes one node (named by its smallest stage) of a graph without
+    cycles. What a node reaches is kept as bitmaps of 32,768 stages, only for the blocks of stages that it reaches at all,
+    and passed back along the edges until nothing changes. No (stage, target) pairs are listed; a round is one aggregation,
+    and there are as many steps as the longest path between parts has edges.
+    """
+    edges = materialise(edges.select("stage", "target").where("stage IS NOT NULL AND target IS NOT NULL").distinct(), "edges")
+    stages = edges.select("stage").union(edges.select("target")).distinct()
+    parts = stages.join(cycle_parts(edges), "stage", "left").withColumn("part", F.coalesce("part", "stage"))
+    # Ids are dense inside a task and begin at a block of their own; written, so that they stay.
+    parts = materialise(parts.orderBy("part").withColumn("id", F.monotonically_increasing_id()), "parts")
+    ends = parts.select(F.col("stage").alias("target"), F.col("part").alias("to"))
+    steps = edges.join(parts.select("stage", "part"), "stage").join(ends, "target").where("part <> to")
+    steps = materialise(steps.select("part", "to").distinct(), "steps")
+    own = parts.groupBy("part", F.bitmap_bucket_number("id").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    reached = materialise(own, "reached")
+    while True:
+        new = reached
+        for _ in range(STEPS):
+            passed = steps.join(new.withColumnRenamed("part", "to"), "to").select("part", "block", "bits")
+            new = new.union(passed).groupBy("part", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+        new = materialise(new, "reached")
+        if new.join(reached, ["part", "block", "bits"], "left_anti").isEmpty():
+            break
+        reached = new
+    counts = new.groupBy("part").agg(F.sum(F.bitmap_count("bits")).alias("n_reachable"))
+    return parts.select("stage", "part").join(counts, "part").select("stage", "part", "n_reachable")
 
 
 def delegations(agents: DataFrame, scopes: dict[str, list[str]], orchestrator: str, hours: int = 24) -> DataFrame:

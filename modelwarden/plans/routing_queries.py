@@ -162,6 +162,16 @@ def stage_chain(spark, sf):
     return routing.reachable(_ring_edges(spark, sf), spark.createDataFrame([("1",)], "stage string"))
 
 
+@query("stage_reach_counts", f"""WITH RECURSIVE {_RINGS_SQL.strip()},
+e AS (SELECT stage, target FROM edges WHERE target IS NOT NULL),
+v AS (SELECT stage FROM e UNION SELECT target FROM e),
+r AS (SELECT stage, stage AS target FROM v UNION SELECT r.stage, e.target FROM r JOIN e ON e.stage = r.target),
+p AS (SELECT a.stage, min(CAST(a.target AS VARCHAR)) AS part FROM r a JOIN r b ON a.stage = b.target AND a.target = b.stage GROUP BY 1)
+SELECT CAST(stage AS VARCHAR) AS stage, part, count(*) AS n_reachable FROM r JOIN p USING (stage) GROUP BY stage, part""")
+def stage_reach_counts(spark, sf):
+    return routing.reach_counts(_ring_edges(spark, sf))
+
+
 @query("observed_transitions", with_ctes(DECISIONS_SQL, """
 t AS (SELECT agent_name AS target, lag(agent_name) OVER (PARTITION BY trace_id ORDER BY "timestamp", id) AS stage FROM decisions)""") + """
 SELECT stage, target, count(*) AS n FROM t WHERE stage IS NOT NULL GROUP BY 1, 2""")

@@ -287,6 +287,27 @@ def test_stages(spark, rows):
     assert routing.on_cycle(graph.where("stage > 9")).count() == 0
 
 
+def test_reach_counts_match_plain_search(spark):
+    rng = random.Random(3)
+    graphs = [[(1, 1)], [(i, i + 1) for i in range(12)] + [(12, 9)], [(0, k) for k in range(1, 30)] + [(k, 99) for k in range(1, 30)]]
+    graphs += [[(rng.randrange(n), rng.randrange(n)) for _ in range(m)] for n, m in ((40, 45), (60, 70), (30, 90))]
+    pairs = [(1000 * g + a, 1000 * g + b) for g, edges in enumerate(graphs) for a, b in edges]
+    after, want = {}, {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+        after.setdefault(b, set())
+    for root in after:
+        seen, todo = {root}, [root]
+        while todo:
+            for b in after[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        want[root] = seen
+    got = {r.stage: (r.part, r.n_reachable) for r in routing.reach_counts(spark.createDataFrame(pairs + [(5, None), (None, 5)], "stage int, target int")).collect()}
+    assert got == {a: (min(b for b in seen if a in want[b]), len(seen)) for a, seen in want.items()}
+    assert routing.reach_counts(spark.createDataFrame([], "stage int, target int")).count() == 0
+
+
 def test_delegations(spark, rows):
     a = spark.createDataFrame([("cicd", ts(1)), ("nobody", ts(1))], "agent_name string, granted_at timestamp")
     rows_ = routing.delegations(a, {"cicd": ["x", "y"]}, "orch")
