@@ -1,7 +1,9 @@
 """Corpus operators against plain versions, and the defined results for odd rows."""
 
 import hashlib
+import math
 import os
+import random
 import zlib
 from collections import Counter
 
@@ -248,6 +250,51 @@ def test_leak_with_substitutions(spark, odd, empty):
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_masks_leave_no_gap():
+    for length in range(1, decontamination.WINDOW + 1):
+        extra = decontamination.whole_masks(length)
+        assert not extra or length < 8
+        for p in decontamination.substitutions(length):
+            whole = any(all(c == "0" or at + k not in p for k, c in enumerate(m)) for m, at in extra)
+            assert whole or any(decontamination.hit(m, length, p) for m in decontamination.MASKS), (length, p)
+
+
+def brute_leaks(docs, items, window=20, share=0.8):
+    out = set()
+    for d, words in docs:
+        for i, item in items:
+            best, win = {}, min(window, len(item))
+            for shift in range(-len(item), len(words) + 1):
+                same = [0 <= j + shift < len(words) and words[j + shift] == w for j, w in enumerate(item)]
+                for s in range(len(item) - win + 1):
+                    best.setdefault((sum(same[s : s + win]), -s - shift), 0)
+            if item and max(best)[0] >= math.ceil(win * share):
+                out.add((d, i, max(best)[0], win, -max(best)[1]))
+    return out
+
+
+def test_leaks_of_items_of_all_lengths_match_brute_force(spark):
+    """Items of 1 to 26 words with as many words substituted as may be and one more, some cut off by an end of the text."""
+    rng = random.Random(11)
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in range(1, 27)] + [(40, ["a", "b"] * 12), (41, ["a"] * 9)]
+    docs = []
+    for _ in range(400):
+        n, item = rng.choice(items)
+        m = min(20, n) - math.ceil(min(20, n) * 0.8) if n < 40 else 2
+        gone = rng.sample(range(len(item)), min(len(item), rng.choice([0, m, m, m + 1])))
+        held = [f"x{rng.randrange(9)}" if k in gone else w for k, w in enumerate(item)]
+        held = held[rng.choice([0, 0, 1]) : len(held) - rng.choice([0, 0, 1])]
+        docs.append((len(docs), rng.choices("pqab", k=rng.randrange(4)) + held + rng.choices("pqab", k=rng.randrange(4))))
+    want = brute_leaks(docs, items)
+    assert {i for _, i, *_ in want} == {i for i, _ in items}
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    got = decontamination.leaks(frame, bench)
+    assert {(r.doc_id, r.item_id, r.matched, r.window, r.start) for r in got.collect()} == want
+    longer = {r.item_id for r in decontamination.leaks(frame, bench, shortest=7).collect()}
+    assert longer == {i for i, w in items if len(w) >= 7}
+
+
 # Sharding
 
 def test_shards_are_exact_and_gapless(spark, odd, empty):
