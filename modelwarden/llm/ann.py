@@ -4,8 +4,9 @@ Equal vectors are folded into one first, with the smallest vec_ids that an answe
 share is one candidate and one query. The tree is fitted on a bounded sample; every vector is then dealt to a leaf. A
 query walks the tree best bin first: a priority queue holds nodes by an optimistic inner product (that with the
 centroid, plus the query's length times the spread of the node), and the best node is opened next, until `visits`
-leaves have come out. Visits are calibrated: sample queries are answered by brute force over all vectors, in blocks,
-and visits widen until the leaves seen hold the wanted share of the true neighbours.
+leaves have come out and hold k rows besides the query's own, or no leaf is left. Visits are calibrated: sample queries are
+answered by brute force over all vectors, in blocks, and visits widen until the leaves seen hold the wanted share of the true
+neighbours.
 
 Queries and vectors meet by leaf. A leaf with many vectors or many queries is cut into blocks, and each pair of blocks is a
 task, so a crowded leaf is never one task; each gives back the best of its block only.
@@ -94,17 +95,18 @@ class Tree:
             stack += [(child, own[nearest == k]) for k, child in enumerate(below)]
         return out
 
-    def visit(self, query: np.ndarray, visits: int) -> list[int]:
-        """The first `visits` leaves in best-bin-first order."""
+    def visit(self, query: np.ndarray, visits: int, held: np.ndarray | None = None, needed: int = 0) -> list[int]:
+        """The first `visits` leaves in best-bin-first order, and more until they hold `needed` rows (`held`: rows by node)."""
         hope = self.centroid @ query + np.linalg.norm(query) * self.spread / np.sqrt(len(query))
-        queue, out = [(-hope[0], 0)], []
-        while queue and len(out) < visits:
+        queue, out, seen = [(-hope[0], 0)], [], 0
+        while queue and (len(out) < visits or seen < needed):
             _, at = heapq.heappop(queue)
             if self.children[at]:
                 for child in self.children[at]:
                     heapq.heappush(queue, (-hope[child], child))
             else:
                 out.append(at)
+                seen += held[at] if needed else 0
         return out
 
     def leaves(self) -> int:
@@ -159,17 +161,27 @@ def calibrated_visits(tree: Tree, sample: np.ndarray, vectors: DataFrame, k: int
     shared = vectors.sparkSession.sparkContext.broadcast((tree, sample))
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best of all vectors of a task, for every sample query."""
         model, queries = shared.value
+        scores, leaf = np.zeros((len(queries), 0)), np.zeros((len(queries), 0), np.int64)
         for batch in batches:
             rows = stacked(batch.column("vector"))
-            leaf = model.deal(rows)
-            for q, scores in enumerate(queries @ rows.T):
-                top = np.argsort(-scores, kind="stable")[:k]
-                yield pa.record_batch({"query": np.full(len(top), q, np.int32), "score": scores[top], "leaf": leaf[top]})
+            scores = np.hstack([scores, queries @ rows.T])
+            leaf = np.hstack([leaf, np.broadcast_to(model.deal(rows), (len(queries), len(rows)))])
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            scores, leaf = np.take_along_axis(scores, top, 1), np.take_along_axis(leaf, top, 1)
+        index = np.repeat(np.arange(len(queries), dtype=np.int32), scores.shape[1])
+        yield pa.record_batch({"query": index, "score": scores.ravel(), "leaf": leaf.ravel()})
+
+    def best(hits: DataFrame, *keys: str) -> DataFrame:
+        order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "leaf")))
+        return hits.groupBy("query", *keys).agg(F.slice(order, 1, k).alias("top"))
 
     partial = vectors.select("vector").mapInArrow(brute, "query int, score double, leaf bigint")
-    hits = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "leaf"))), 1, k)
-    truth = partial.groupBy("query").agg(hits["leaf"].alias("leaf")).collect()  # k leaf numbers a sample query
+    # Tasks' answers meet in up to 256 groups a query first, so one row gathers few of them.
+    salted = best(partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(256))), "salt")
+    again = salted.select("query", F.explode("top").alias("hit")).select("query", (-F.col("hit.s")).alias("score"), "hit.leaf")
+    truth = best(again).select("query", F.col("top.leaf").alias("leaf")).collect()  # k leaf numbers a sample query
     rank = []
     for row in truth:
         at = {leaf: n for n, leaf in enumerate(tree.visit(sample[row["query"]], tree.leaves()))}
@@ -212,15 +224,21 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, recall: float = RE
             leaf = shared.value.deal(stacked(batch.column("vector")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=[*batch.schema.names, "leaf"])
 
+    members = materialise(folded.mapInArrow(place, "key bigint, vector array<double>, ids array<bigint>, leaf bigint"), "members")
+    # A number per node; of equal vectors at most k + 1 rows are in `ids`, as many as an answer could need.
+    held = np.zeros(len(tree.children), np.int64)
+    for leaf, n in members.groupBy("leaf").agg(F.sum(F.size("ids"))).collect():
+        held[leaf] = n
+    sizes = spark.sparkContext.broadcast(held)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [shared.value.visit(q, visits) for q in stacked(batch.column("vector"))]
+            paths = [shared.value.visit(q, visits, sizes.value, k + 1) for q in stacked(batch.column("vector"))]
             index = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
             leaf = np.array([x for p in paths for x in p], np.int64)
             taken = batch.take(pa.array(index))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(leaf)], names=[*taken.schema.names, "leaf"])
 
-    members = materialise(folded.mapInArrow(place, "key bigint, vector array<double>, ids array<bigint>, leaf bigint"), "members")
     asks = materialise(probes.mapInArrow(walk, "key bigint, vector array<double>, leaf bigint"), "asks")
     # A row per leaf; the tree has no more leaves than the sample has vectors.
     blocks = members.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(block)).alias("m")).join(

@@ -410,6 +410,21 @@ def test_nearest_ties_and_unusable_vectors(spark):
     assert ann.nearest(df.limit(0), df, k=5).count() == 0
 
 
+def test_answers_are_never_short(spark, monkeypatch):
+    """Many tiny tight clusters and one visit: visits widen until k rows have been seen."""
+    monkeypatch.setattr(ann, "calibrated_visits", lambda *args: 1)
+    rng = np.random.default_rng(5)
+    ends = rng.normal(size=(150, 6))
+    points = [(i, (ends[i % 150] * 9 + rng.normal(size=6) * 0.01).tolist()) for i in range(900)]
+    df = spark.createDataFrame(points, "vec_id bigint, embedding array<double>")
+    visited = ann.Tree(np.array([p for _, p in points]), 900)
+    assert visited.leaves() > 5
+    got = Counter(r.query_id for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=200).collect())
+    assert got == {i: 200 for i in range(0, 900, 20)}
+    few = ann.nearest(df, df.where("vec_id % 20 = 0"), k=1000).groupBy("query_id").count()
+    assert {r["count"] for r in few.collect()} == {899}
+
+
 # Repeated strings
 
 def brute_removed(texts, length=400):
