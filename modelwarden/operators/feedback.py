@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwarden.operators.ordered import top_per_key
@@ -62,6 +62,30 @@ def totals(corrections: DataFrame, flags: DataFrame, keys: Sequence[str], min_sa
     )
 
 
+def summary(corrections: DataFrame, flags: DataFrame, keys: Sequence[str], min_samples: int = 50, min_count: int = 5,
+            show: int = 3) -> DataFrame:
+    """`totals` and `pattern_summary` in one pass: both sides are counted by segment once, and all else follows from counts.
+
+    pattern_count is 0 and top_patterns empty where no segment has min_count corrections. What a task sorts for a key is a row
+    per segment.
+    """
+    keys = list(keys)
+    both = corrections.select(*keys, F.coalesce("segment", F.lit("unknown")).alias("segment"), F.lit(1).alias("c"), F.lit(0).alias("f"))
+    both = both.unionByName(flags.select(*keys, F.lit(None).cast("string").alias("segment"), F.lit(0).alias("c"), F.lit(1).alias("f")))
+    counts = both.groupBy(*keys, "segment").agg(F.sum("c").alias("count"), F.sum("f").alias("flags"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), F.asc_nulls_last("segment")))
+    found = F.col("count") >= min_count
+    shown = F.when(found & (F.col("_place") <= show), F.struct("_place", "segment", "count"))
+    out = counts.withColumn("_place", place).groupBy(*keys).agg(
+        F.sum("count").alias("corrections_count"), F.sum("flags").alias("flags_count"),
+        F.count_if(found & F.col("segment").isNotNull()).alias("pattern_count"), F.array_sort(F.collect_list(shown)).alias("_shown"))
+    top = F.transform("_shown", lambda e: F.struct(
+        e["segment"].alias("segment"), e["count"].alias("count"), (e["count"] / F.col("corrections_count")).alias("percentage")))
+    total = F.col("corrections_count") + F.col("flags_count")
+    return out.withColumn("top_patterns", top).drop("_shown").withColumn("total_feedback", total).withColumn(
+        "enough_for_retrain", total >= min_samples)
+
+
 def segment_errors(rows: DataFrame, keys: Sequence[str], segment: str, is_error: str, above: float = 0.1) -> DataFrame:
     """Error rate and sample count per segment, above the limit only."""
     return (

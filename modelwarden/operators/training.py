@@ -61,6 +61,23 @@ def stratified_split(rows: DataFrame, label: str, key: str, train_share: float =
     ).drop("_pos", "_n")
 
 
+def class_sample(rows: DataFrame, label: str, key: str, shares: dict[object, float], seed: int = 42, **kwargs) -> DataFrame:
+    """A share of the rows of every class named in `shares`, all together in one seeded order, with their `position` in it.
+
+    The order is that of a hash of seed and key, so a sample can be repeated; classes are numbered slice by slice, and so is the
+    whole, hence no task sees a class or the sample as one. Other classes are left out.
+    """
+    from modelwarden.operators.ordered import scan
+
+    wanted = F.coalesce(*(F.when(F.col(label) == v, F.lit(float(s))) for v, s in shares.items()), F.lit(None))
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    hashed = rows.withColumns({"_share": wanted, "_drawn": drawn}).where("_share IS NOT NULL")
+    sizes = hashed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = scan(hashed, [label], ["_drawn", key], position="_place", **kwargs).join(F.broadcast(sizes), label)  # a row per share
+    chosen = numbered.where(F.col("_place") <= F.floor(F.col("_n") * F.col("_share"))).withColumn("_all", F.lit(0))
+    return scan(chosen, ["_all"], ["_drawn", key], position="position", **kwargs).select(*rows.columns, "position")
+
+
 def train_forest(
     rows: DataFrame, features: Sequence[str], label: str = "label", trees: int = 100, depth: int = 10,
     min_instances: int = 5, seed: int = 42,

@@ -142,6 +142,22 @@ def pipeline_traces(spark, sf):
                       F.array_join(F.transform("decisions", lambda d: d["id"]), ",").alias("ids"))
 
 
+@query("pipeline_trace_pages", with_ctes(ESCALATED_SQL, _POSITIONS_SQL, """
+nest AS (SELECT trace_id, (position - 1) // 10 AS page, count(*) AS n, string_agg(id, ',' ORDER BY position) AS ids FROM pos GROUP BY 1, 2),
+head AS (SELECT 't' || CAST(c_custkey AS VARCHAR) AS trace_id, c_name AS pipeline_name FROM customer WHERE c_mktsegment <> 'MACHINERY')""") + """
+SELECT coalesce(head.trace_id, nest.trace_id) AS trace_id, coalesce(page, 0) AS page, coalesce(pipeline_name, '') AS pipeline_name,
+  coalesce(n, 0) AS n_decisions, coalesce(ids, '') AS ids FROM head FULL JOIN nest ON head.trace_id = nest.trace_id""")
+def pipeline_trace_pages(spark, sf):
+    """Traces of more than ten decisions are several rows, each with the header."""
+    none = F.lit(None).cast("timestamp_ntz")
+    heads = table(spark, sf, "customer").where("c_mktsegment <> 'MACHINERY'").select(
+        F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("trace_id"), F.col("c_name").alias("pipeline_name"),
+        none.alias("started_at"), none.alias("completed_at"), F.lit("completed").alias("status"))
+    out = audit.pipeline_traces(heads, escalated_decisions(spark, sf).select("trace_id", "timestamp", "id"), page_rows=10)
+    return out.select("trace_id", "page", "pipeline_name", F.size("decisions").cast("bigint").alias("n_decisions"),
+                      F.array_join(F.transform("decisions", lambda d: d["id"]), ",").alias("ids"))
+
+
 @query("trace_text", with_ctes(ESCALATED_SQL, _POSITIONS_SQL, _OUTCOME_SQL.format(src="esc"), f"""
 lines AS (SELECT trace_id, position, (position - 1) // 30 AS page, '  [' || agent_name || '] ' || action || ' -> ' || CASE WHEN approved THEN 'GO' ELSE 'NO-GO' END
   || ' (confidence: ' || {PCT_SQL} || ')' || CASE WHEN escalate_to_human THEN ' [ESCALATED]' ELSE '' END AS line FROM pos)""") + """

@@ -61,13 +61,11 @@ def segment_errors(spark, sf):
 
 
 def _feedback_subjects(spark, sf):
-    c, f = corrections(spark, sf), flags(spark, sf)
-    pats = feedback.pattern_summary(feedback.error_patterns(c, ["model_name"]), ["model_name"])
     nations = table(spark, sf, "customer").select(
         F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("model_name"),
         (F.col("c_acctbal") > 0).cast("double").alias("score"))
     agree = feedback.agreement(nations, ["model_name"]).select("model_name", "avg_agreement")
-    return feedback.totals(c, f, ["model_name"]).join(pats, "model_name", "left").join(agree, "model_name", "left")
+    return feedback.summary(corrections(spark, sf), flags(spark, sf), ["model_name"]).join(agree, "model_name", "left")
 
 
 _GATE_SQL = with_ctes(FEEDBACK_SQL, _SEGMENTS_SQL, _TOTALS_SQL, """
@@ -102,8 +100,7 @@ SELECT model_name, go AS approved,
 FROM w""")
 def retrain_strategy(spark, sf):
     k = F.substr("model_name", F.lit(2)).cast("int") % 5
-    subjects = feedback.totals(corrections(spark, sf), flags(spark, sf), ["model_name"]).join(
-        feedback.pattern_summary(feedback.error_patterns(corrections(spark, sf), ["model_name"]), ["model_name"]), "model_name", "left")
+    subjects = feedback.summary(corrections(spark, sf), flags(spark, sf), ["model_name"])
     names = F.array(*[F.lit(f"f{i}") for i in range(4)])
     rows = subjects.select(
         "model_name", F.lit("monitor").alias("trigger_source"), F.lit(10).alias("total_features"),
@@ -115,6 +112,19 @@ def retrain_strategy(spark, sf):
     return out.select("model_name", "approved", "strategy", "data_window", F.array_join("retrain_reasons", "; ").alias("reasons"))
 
 
+@query("feedback_summary", with_ctes(FEEDBACK_SQL, _SEGMENTS_SQL, _TOTALS_SQL, """
+r AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY n DESC, segment) AS rn FROM pat),
+top AS (SELECT model_name, count(*) AS n_patterns, string_agg(segment || ':' || CAST(n AS VARCHAR) || ':' || CAST(CAST(round(pct * 1000000) AS BIGINT) AS VARCHAR), ','
+        ORDER BY rn) FILTER (WHERE rn <= 3) AS top3 FROM r GROUP BY 1)""") + """
+SELECT model_name, corrections_count, flags_count, corrections_count + flags_count >= 260 AS enough_for_retrain,
+  coalesce(n_patterns, 0) AS n_patterns, coalesce(top3, '') AS top3 FROM fb LEFT JOIN top USING (model_name)""")
+def feedback_summary(spark, sf):
+    out = feedback.summary(corrections(spark, sf), flags(spark, sf), ["model_name"], 260)
+    line = F.transform("top_patterns", lambda p: F.concat_ws(":", p["segment"], p["count"], F.round(p["percentage"] * 1000000).cast("bigint")))
+    return out.select("model_name", "corrections_count", "flags_count", "enough_for_retrain", F.col("pattern_count").alias("n_patterns"),
+                      F.array_join(line, ",").alias("top3"))
+
+
 _WINDOW_SQL = """
 w AS (SELECT o_custkey % 25 AS model, max(o_orderdate) AS newest FROM orders GROUP BY 1),
 lab AS (SELECT *, CASE model % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'recent_90d' WHEN 2 THEN 'recent_30d_plus_feedback' ELSE 'none' END AS data_window FROM w),

@@ -316,6 +316,16 @@ def class_sample_union(spark, sf):
     return lab.where("quality = 1").unionByName(lab.where("quality = 0"))
 
 
+@query("class_sample", """
+WITH h AS (SELECT doc_id, quality, toxic, md5('42:' || CAST(doc_id AS VARCHAR)) AS h FROM labels),
+r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY h, doc_id) AS rn, count(*) OVER (PARTITION BY quality) AS n FROM h)
+SELECT doc_id, quality, toxic, row_number() OVER (ORDER BY h, doc_id) AS position FROM r
+WHERE rn <= floor(n * CASE quality WHEN 1 THEN 0.5 ELSE 0.25 END)""")
+def class_sample(spark, sf):
+    lab = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    return training.class_sample(lab, "quality", "doc_id", {1: 0.5, 0: 0.25})
+
+
 @query("worst_features", """
 WITH r AS (SELECT p_type, p_brand, max(p_retailprice) AS v FROM part GROUP BY 1, 2)
 SELECT p_type, arg_max(p_brand, (v, p_brand)) AS worst, max(v) AS max_value FROM r GROUP BY 1""")

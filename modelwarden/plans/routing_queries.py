@@ -76,6 +76,26 @@ def scope_violations(spark, sf):
     return routing.violations(decisions(spark, sf), _scopes(spark, sf)).select("id", "agent_name", "action")
 
 
+# The agents' own scopes, one of which goes deep (prefix.**), and the same actions one level further down for a third of the decisions.
+_SCOPE_VALUES = ", ".join(f"('{a}', '{s}')" for a, ss in gates.SCOPES.items() for s in ss)
+
+
+@query("scope_deep", with_ctes(DECISIONS_SQL, f"""
+sc(agent_name, scope) AS (VALUES {_SCOPE_VALUES}),
+d AS (SELECT decisions.id, agent_name, CASE WHEN c % 3 = 0 THEN action || '.x' || CAST(c AS VARCHAR) WHEN c % 7 = 0 THEN 'model.deploy'
+        WHEN c % 7 = 1 THEN 'model.deployed' ELSE action END AS action
+      FROM decisions JOIN (SELECT id, CAST(substr(trace_id, 2) AS BIGINT) AS c FROM decisions) AS k ON k.id = decisions.id)""") + """
+SELECT id, agent_name, action FROM d WHERE EXISTS (SELECT 1 FROM sc WHERE sc.agent_name = d.agent_name
+    AND (sc.scope = d.action OR (sc.scope LIKE '%.**' AND (d.action = replace(sc.scope, '.**', '') OR starts_with(d.action, replace(sc.scope, '**', ''))))))
+  OR d.agent_name NOT IN (SELECT agent_name FROM sc)""")
+def scope_deep(spark, sf):
+    own = spark.createDataFrame([(a, s) for a, ss in gates.SCOPES.items() for s in ss], "agent_name string, scope string")
+    c = F.substr("trace_id", F.lit(2)).cast("bigint")
+    action = (F.when(c % 3 == 0, F.concat("action", F.lit(".x"), c.cast("string"))).when(c % 7 == 0, "model.deploy")
+              .when(c % 7 == 1, "model.deployed").otherwise(F.col("action")))
+    return routing.authorised(decisions(spark, sf).withColumn("action", action), own).select("id", "agent_name", "action")
+
+
 # Stage tables: every customer is a stage; success leads to twice its number, failure to number + 7.
 _STAGES_SQL = """
 stages AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS stage, 'c' || CAST(c_custkey * 2 AS VARCHAR) AS ok, 'c' || CAST(c_custkey + 7 AS VARCHAR) AS bad, c_custkey % 5 = 0 AS terminal FROM customer),
@@ -180,7 +200,6 @@ def observed_transitions(spark, sf):
     return routing.observed_transitions(pos)
 
 
-_SCOPE_VALUES = ", ".join(f"('{a}', '{s}')" for a, ss in gates.SCOPES.items() for s in ss)
 _DELEGATIONS_SQL = with_ctes(DECISIONS_SQL, f"""
 sc(agent_name, scope) AS (VALUES {_SCOPE_VALUES}),
 g AS (SELECT DISTINCT agent_name, date_trunc('hour', "timestamp") AS granted_at FROM decisions)""")

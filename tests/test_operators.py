@@ -339,6 +339,16 @@ def test_training(spark):
     assert (m.f1, m.auc_roc, m.model_version) == (1.0, 1.0, "v1")
 
 
+def test_class_sample_takes_shares_in_one_order(spark):
+    df = spark.range(400).select("id", (F.col("id") % 4).cast("int").alias("label"))
+    whole = training.class_sample(df, "label", "id", {0: 0.5, 1: 0.25, 9: 1.0})
+    sliced = training.class_sample(df, "label", "id", {0: 0.5, 1: 0.25, 9: 1.0}, slice_rows=9)
+    got = sorted((r.position, r.id, r.label) for r in whole.collect())
+    assert got == sorted((r.position, r.id, r.label) for r in sliced.collect())
+    assert [p for p, _, _ in got] == list(range(1, 76)) and [x for _, x, _ in got] != sorted(x for _, x, _ in got)
+    assert (sum(c == 0 for *_, c in got), sum(c == 1 for *_, c in got)) == (50, 25)
+
+
 def test_matching_equals_plain_match(spark):
     """10,000 patterns and 10,000 names against the plain match of every pair, on patterns of all shapes."""
     rng = random.Random(7)

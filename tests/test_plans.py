@@ -36,6 +36,11 @@ def test_partial_aggregation(spark):
         assert "partial_" in plan(spark, name)
 
 
+@pytest.mark.parametrize("name,scans", [("feedback_gate", 5), ("retrain_strategy", 4)])
+def test_feedback_is_counted_once(spark, name, scans):
+    assert plan(spark, name).count("FileScan") <= scans
+
+
 @pytest.mark.parametrize("name,scans", [("notebook_structures", 2), ("notebook_warnings", 2), ("section_code", 3), ("section_confidence", 3)])
 def test_notebook_scans(spark, name, scans):
     df = QUERIES[name](spark, SF)
