@@ -87,18 +87,31 @@ def feedback_gate(spark, sf):
         F.col("observations")[0].alias("first_observation"))
 
 
-@query("retrain_strategy", _GATE_SQL + """
+@query("feedback_observations", _GATE_SQL + """
+, lines AS (SELECT model_name, string_agg('  Segment ' || chr(39) || segment || chr(39) || ': ' || CAST(n AS VARCHAR) || ' corrections (' || CAST(CAST(round_even(pct * 100, 0) AS BIGINT) AS VARCHAR) || '% of total)', '|' ORDER BY n DESC, segment) AS line
+  FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY n DESC, segment) AS rn FROM pat) WHERE rn <= 3 GROUP BY 1)
+SELECT model_name, concat_ws('|',
+  'Feedback received: ' || CAST(corrections_count AS VARCHAR) || ' corrections, ' || CAST(flags_count AS VARCHAR) || ' flags',
+  CASE WHEN a IS NULL THEN 'Label quality: no agreement scores provided (skipping check)'
+    ELSE 'Label quality: avg agreement ' || CAST(CAST(round_even(a * 100, 0) AS BIGINT) AS VARCHAR) || '% (' || CASE WHEN a >= 0.9 THEN 'OK' ELSE 'LOW' END || ', threshold: 90%)' END,
+  CASE WHEN corrections_count > 0 AND np > 0 THEN 'Error patterns: ' || CAST(np AS VARCHAR) || ' systematic failure segments|' || line
+    WHEN corrections_count > 0 THEN 'Error patterns: no systematic failure segments detected' END,
+  CASE WHEN total >= 260 THEN 'Sufficient feedback for retraining: ' || CAST(total AS VARCHAR) || ' samples (threshold: 260)'
+    ELSE 'Insufficient feedback: ' || CAST(total AS VARCHAR) || ' samples (need 260)' END) AS observations
+FROM g LEFT JOIN lines USING (model_name)""")
+def feedback_observations(spark, sf):
+    out = gates.feedback_gate(_feedback_subjects(spark, sf), 260, 0.9)
+    return out.select("model_name", F.array_join("observations", "|").alias("observations"))
+
+
+_RETRAIN_SQL = _GATE_SQL + """
 , r AS (SELECT model_name, total, np, CAST(substr(model_name, 2) AS INTEGER) % 5 AS k FROM g),
 s AS (SELECT model_name, np, k, CASE WHEN k = 4 THEN 0 ELSE total END AS fb, CASE WHEN k = 1 THEN 4 WHEN k = 2 THEN 1 ELSE 0 END AS drifted,
   CASE WHEN k IN (3, 4) THEN 0.0 ELSE 0.02 END AS drop, CASE WHEN k = 3 THEN 0 ELSE np END AS pats FROM r),
-w AS (SELECT *, drifted >= 1 OR fb >= 260 OR drop > 0 OR pats > 0 AS go FROM s)
-SELECT model_name, go AS approved,
-  CASE WHEN NOT go THEN 'skip' WHEN drifted / 10.0 > 0.3 THEN 'full_retrain' WHEN fb > 0 THEN 'fine_tune' ELSE 'full_retrain' END AS strategy,
-  CASE WHEN NOT go THEN 'none' WHEN drifted / 10.0 > 0.3 THEN 'all' WHEN fb > 0 THEN 'recent_30d_plus_feedback' ELSE 'recent_90d' END AS data_window,
-  concat_ws('; ', CASE WHEN drifted > 0 THEN CAST(drifted AS VARCHAR) || ' features drifted' END, CASE WHEN fb >= 260 THEN CAST(fb AS VARCHAR) || ' feedback samples' END,
-    CASE WHEN drop > 0 THEN 'accuracy dropped 0.0200' END, CASE WHEN pats > 0 THEN CAST(pats AS VARCHAR) || ' error patterns' END) AS reasons
-FROM w""")
-def retrain_strategy(spark, sf):
+w AS (SELECT *, drifted >= 1 OR fb >= 260 OR drop > 0 OR pats > 0 AS go FROM s)"""
+
+
+def _retrain_decisions(spark, sf):
     k = F.substr("model_name", F.lit(2)).cast("int") % 5
     subjects = feedback.summary(corrections(spark, sf), flags(spark, sf), ["model_name"])
     names = F.array(*[F.lit(f"f{i}") for i in range(4)])
@@ -108,10 +121,35 @@ def retrain_strategy(spark, sf):
         F.when(k == 4, F.lit(0)).otherwise(F.col("total_feedback")).alias("feedback_count"),
         F.when(k.isin(3, 4), 0.0).otherwise(0.02).alias("accuracy_drop"),
         F.when(k != 3, F.col("pattern_count")).alias("pattern_count"))
-    out = gates.retrain_gate(rows, min_feedback_samples=260)
+    return gates.retrain_gate(rows, min_feedback_samples=260)
+
+
+@query("retrain_strategy", _RETRAIN_SQL + """
+SELECT model_name, go AS approved,
+  CASE WHEN NOT go THEN 'skip' WHEN drifted / 10.0 > 0.3 THEN 'full_retrain' WHEN fb > 0 THEN 'fine_tune' ELSE 'full_retrain' END AS strategy,
+  CASE WHEN NOT go THEN 'none' WHEN drifted / 10.0 > 0.3 THEN 'all' WHEN fb > 0 THEN 'recent_30d_plus_feedback' ELSE 'recent_90d' END AS data_window,
+  concat_ws('; ', CASE WHEN drifted > 0 THEN CAST(drifted AS VARCHAR) || ' features drifted' END, CASE WHEN fb >= 260 THEN CAST(fb AS VARCHAR) || ' feedback samples' END,
+    CASE WHEN drop > 0 THEN 'accuracy dropped 0.0200' END, CASE WHEN pats > 0 THEN CAST(pats AS VARCHAR) || ' error patterns' END) AS reasons
+FROM w""")
+def retrain_strategy(spark, sf):
+    out = _retrain_decisions(spark, sf)
     return out.select("model_name", "approved", "strategy", "data_window", F.array_join("retrain_reasons", "; ").alias("reasons"))
 
 
+@query("retrain_observations", _RETRAIN_SQL + """
+SELECT model_name, concat_ws('|', 'Retrain trigger: monitor for model ' || chr(39) || model_name || chr(39),
+  CASE WHEN drifted > 0 THEN 'Drift: ' || CAST(drifted AS VARCHAR) || '/10 features drifted (' || CAST(drifted * 10 AS VARCHAR) || '%)' END,
+  CASE WHEN fb > 0 THEN 'Feedback: ' || CAST(fb AS VARCHAR) || ' new labeled samples' END,
+  CASE WHEN drop > 0 THEN 'Performance: accuracy dropped by 0.0200' END,
+  CASE WHEN pats > 0 THEN 'Error patterns: ' || CAST(pats AS VARCHAR) || ' systematic failure patterns' END,
+  CASE WHEN NOT go THEN 'Insufficient signal for retraining' END,
+  CASE WHEN go AND drifted / 10.0 > 0.3 THEN 'Strategy: FULL RETRAIN (drift ratio ' || CAST(drifted * 10 AS VARCHAR) || '% > 30% threshold)'
+    WHEN go AND fb > 0 THEN 'Strategy: FINE-TUNE on recent 30 days + ' || CAST(fb AS VARCHAR) || ' feedback samples'
+    WHEN go THEN 'Strategy: FULL RETRAIN on recent 90 days' END) AS observations FROM w""")
+def retrain_observations(spark, sf):
+    return _retrain_decisions(spark, sf).select("model_name", F.array_join("observations", "|").alias("observations"))
+
+
 @query("feedback_summary", with_ctes(FEEDBACK_SQL, _SEGMENTS_SQL, _TOTALS_SQL, """
 r AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY n DESC, segment) AS rn FROM pat),
 top AS (SELECT model_name, count(*) AS n_patterns, string_agg(segment || ':' || CAST(n AS VARCHAR) || ':' || CAST(CAST(round(pct * 1000000) AS BIGINT) AS VARCHAR), ','
