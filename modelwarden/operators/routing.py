@@ -309,10 +309,12 @@ def reach_counts(edges: DataFrame) -> DataFrame:
     """(stage, part, n_reachable): for every stage the number of stages it can reach, itself included.
 
     Strongly connected parts reach the same stages, so each becomes one node (named by its smallest stage) of a graph without
-    cycles. What a node reaches is kept as bitmaps of 32,768 stages, only for the blocks of stages that it reaches at all,
-    and passed back along the edges until nothing changes. No (stage, target) pairs are listed; a round is one aggregation,
-    and there are as many steps as the longest path between parts has edges.
+    cycles, which is contracted until no edge is left. What a node reaches is kept as bitmaps of 32,768 stages, only for the
+    blocks of stages that it reaches at all. Going through the rounds, a node taken out hands what it holds to its
+    predecessors; going back, it gets what its successors reach. No (stage, target) pairs are listed, and there are as many
+    rounds as the logarithm of the longest path has.
     """
+    spark, folder = edges.sparkSession, work_dir(edges.sparkSession, "reach")
     edges = materialise(edges.select("stage", "target").where("stage IS NOT NULL AND target IS NOT NULL").distinct(), "edges")
     stages = edges.select("stage").union(edges.select("target")).distinct()
     parts = stages.join(cycle_parts(edges), "stage", "left").withColumn("part", F.coalesce("part", "stage"))
@@ -320,20 +322,35 @@ def reach_counts(edges: DataFrame) -> DataFrame:
     parts = materialise(parts.orderBy("part").withColumn("id", F.monotonically_increasing_id()), "parts")
     ends = parts.select(F.col("stage").alias("target"), F.col("part").alias("to"))
     steps = edges.join(parts.select("stage", "part"), "stage").join(ends, "target").where("part <> to")
-    steps = materialise(steps.select("part", "to").distinct(), "steps")
-    own = parts.groupBy("part", F.bitmap_bucket_number("id").alias("block")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
-    reached = materialise(own, "reached")
-    while True:
-        new = reached
-        for _ in range(STEPS):
-            passed = steps.join(new.withColumnRenamed("part", "to"), "to").select("part", "block", "bits")
-            new = new.union(passed).groupBy("part", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
-        new = materialise(new, "reached")
-        if new.join(reached, ["part", "block", "bits"], "left_anti").isEmpty():
-            break
-        reached = new
-    counts = new.groupBy("part").agg(F.sum(F.bitmap_count("bits")).alias("n_reachable"))
+    rounds, _ = _contracted(materialise(steps.select(F.col("part").alias("stage"), F.col("to").alias("target")).distinct(), "steps"))
+
+    held: list[str] = []
+    bitmaps = spark.createDataFrame([], parts.select("part").schema).selectExpr("part", "0L AS block", "X'' AS bits").schema
+
+    def holding(nodes: DataFrame) -> DataFrame:
+        """Bitmaps of the nodes (part) themselves and of what was handed to them."""
+        own = parts.join(nodes, "part", "left_semi").groupBy("part", F.bitmap_bucket_number("id").alias("block")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+        return own.union(spark.read.schema(bitmaps).parquet(*held).join(nodes, "part", "left_semi")) if held else own
+
+    def merged(rows: DataFrame, path: str) -> str:
+        rows.groupBy("part", "block").agg(F.bitmap_or_agg("bits").alias("bits")).write.parquet(path)
+        return path
+
+    gone = [t.where("goes").select(F.col("stage").alias("part")).union(t.where("comes").select("target")).distinct() for t in rounds]
+    for number, (tagged, nodes) in enumerate(zip(rounds, gone)):
+        into = tagged.where("comes").select("stage", F.col("target").alias("part"))
+        held.append(merged(holding(nodes).join(into, "part").select(F.col("stage").alias("part"), "block", "bits"),
+                           f"{folder}/held-{number}"))
+    last = parts.select("part").distinct()
+    for nodes in gone:
+        last = last.join(nodes, "part", "left_anti")
+    reached = [merged(holding(materialise(last, "last")), f"{folder}/reached-last")]
+    for number, (tagged, nodes) in reversed(list(enumerate(zip(rounds, gone)))):
+        onward = tagged.where("goes").select(F.col("stage").alias("from"), F.col("target").alias("part"))
+        passed = spark.read.schema(bitmaps).parquet(*reached).join(onward, "part").select(F.col("from").alias("part"), "block", "bits")
+        reached.append(merged(holding(nodes).union(passed), f"{folder}/reached-{number}"))
+    counts = spark.read.schema(bitmaps).parquet(*reached).groupBy("part").agg(F.sum(F.bitmap_count("bits")).alias("n_reachable"))
     return parts.select("stage", "part").join(counts, "part").select("stage", "part", "n_reachable")
 
 
