@@ -213,22 +213,24 @@ def lineage_pairs(decisions: DataFrame) -> DataFrame:
 def lineage_roots(links: DataFrame) -> DataFrame:
     """(id, parent) to (id, root, depth, cyclic), one row per input row, by pointer doubling.
 
-    Chains of length n take log2(n) rounds; only rows that have not met their root are carried on. What is left after as
-    many rounds as the number of rows has bits lies on a cycle or leads into one: cyclic, without root and depth.
+    Chains of length n take log2(n) rounds; only rows that have not met their root are carried on, by one join a round. Where a
+    row is left whose chain ends, one at the very distance of this round meets its root. So a round in which none does leaves
+    only rows that lie on a cycle or lead into one: cyclic, without root and depth.
     """
     known = links.select(F.col("id").alias("parent"), F.lit(True).alias("_known")).distinct()
     start = materialise(links.join(known, "parent", "left").select(
         "id", F.when(F.col("_known"), F.col("parent")).alias("ptr")), "lineage")
     done = start.where("ptr IS NULL").select("id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"))
     pending = start.where("ptr IS NOT NULL").select("id", "ptr", F.lit(1).cast("bigint").alias("depth"))
-    for _ in range(start.count().bit_length() + 1):
-        if pending.isEmpty():
+    while not pending.isEmpty():
+        ahead = done.select(F.col("id").alias("ptr"), F.col("root").alias("_p"), F.col("depth").alias("_d"), F.lit(True).alias("met")).union(
+            pending.select(F.col("id").alias("ptr"), F.col("ptr").alias("_p"), F.col("depth").alias("_d"), F.lit(False)))
+        moved = materialise(pending.join(ahead, "ptr").select(
+            "id", F.col("_p").alias("ptr"), (F.col("depth") + F.col("_d")).alias("depth"), "met"), "lineage")
+        met = moved.where("met").select("id", F.col("ptr").alias("root"), "depth")
+        pending = moved.where("NOT met").drop("met")
+        if met.isEmpty():
             break
-        met = pending.join(done.select(F.col("id").alias("ptr"), "root", F.col("depth").alias("_d")), "ptr").select(
-            "id", "root", (F.col("depth") + F.col("_d")).alias("depth"))
-        ahead = pending.select(F.col("id").alias("ptr"), F.col("ptr").alias("_p"), F.col("depth").alias("_d"))
-        pending, met = materialise(pending.join(ahead, "ptr").select(
-            "id", F.col("_p").alias("ptr"), (F.col("depth") + F.col("_d")).alias("depth")), "lineage"), materialise(met, "lineage")
         done = done.union(met)
     lost = pending.select("id", F.lit(None).cast(done.schema["root"].dataType).alias("root"),
                           F.lit(None).cast("bigint").alias("depth"), F.lit(True).alias("cyclic"))
