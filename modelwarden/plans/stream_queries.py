@@ -201,7 +201,7 @@ def stream_new_files(spark, sf):
 
 def _text_files(spark, lines, folder, suffix, rows_per_file=0):
     """Lines as text files of another suffix."""
-    lines.repartition(2).write.option("maxRecordsPerFile", rows_per_file).text(folder)
+    lines.hint("rebalance").write.option("maxRecordsPerFile", rows_per_file).text(folder)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for i, status in enumerate(fs.globStatus(path(f"{folder}/part-*"))):
@@ -229,13 +229,13 @@ def stream_feed_formats(spark, sf):
     row = F.struct("o_orderkey", "o_orderstatus", "o_totalprice")
     part["csv"].write.csv(f"{folder}/in/csv", header=True)
     part["parquet"].write.parquet(f"{folder}/in/parquet")
-    arrays = part["json"].groupBy(F.floor(F.col("o_orderkey") / 4000)).agg(F.to_json(F.collect_list(row)).alias("value"))
+    arrays = part["json"].groupBy(F.floor(F.col("o_orderkey") / 64000)).agg(F.to_json(F.collect_list(row)).alias("value"))
     _text_files(spark, arrays.select("value"), f"{folder}/in/json", "json", 1)
     _text_files(spark, part["jsonl"].select(F.to_json(row).alias("value")), f"{folder}/in/jsonl", "jsonl")
     _text_files(spark, spark.sql("SELECT 'o_orderkey,o_orderstatus,o_totalprice\nx,O,1.0' AS value"), f"{folder}/in/late", "csv")
     _text_files(spark, spark.sql("SELECT '{broken' AS value"), f"{folder}/in/later", "jsonl")
     _text_files(spark, spark.sql("SELECT 'o_orderkey,o_orderstatus,o_totalprice' AS value"), f"{folder}/in/empty", "csv")
-    src = files.feed(spark, f"{folder}/in", part["csv"].schema, max_files=8)
+    src = files.feed(spark, f"{folder}/in", part["csv"].schema, max_bytes=32 << 20)
     name = F.when(F.contains("file_path", F.lit("/empty/")), "empty").otherwise(F.regexp_extract("file_path", r"([a-z]+)$", 1))
     streams.run_available(src, streams.feed_sink(f"{folder}/feed", ["o_orderkey"], name), f"{folder}/checkpoint")
     decided = streams.gate_arrivals(spark, f"{folder}/feed", ["o_orderkey", "parsed"], min_rows=1, max_null_rate=0.0)

@@ -195,3 +195,19 @@ def test_feed_of_four_formats(spark, tmp_path, rows):
     assert got == [("a", 3, True), ("b", 2, False), ("c", 2, False), ("d", 0, True), ("e", 0, True), ("p", 1, True)]
     assert rows(spark.read.parquet(f"{out}/rows"), "id", "x") == [(1, 0.5), (2, None), (3, 1.5), (4, 2.5), (5, None), (6, 3.5)]
     assert rows(spark.read.parquet(f"{out}/broken"), "dataset_name", "unparsed") == [("a", "bad,2.5"), ("b", '{"id": ')]
+
+
+def test_feed_of_many_small_files_takes_few_batches(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from modelwarden.sources import files
+
+    src = tmp_path / "in"
+    src.mkdir()
+    for i in range(40):
+        (src / f"{i}.jsonl").write_text(f'{{"id": {i}}}\n')
+    schema, out = StructType.fromDDL("id bigint"), str(tmp_path / "out")
+    sink = streams.feed_sink(out, ["id"], F.lit("all"))
+    q = streams.run_available(files.feed(spark, str(src), schema, max_bytes=1 << 20), sink, str(tmp_path / "cp"))
+    assert sum(p["numInputRows"] > 0 for p in q.recentProgress) == 1  # five with eight files a batch
+    assert spark.read.parquet(f"{out}/rows").agg(F.sum("id")).first()[0] == sum(range(40))
