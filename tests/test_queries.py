@@ -62,3 +62,10 @@ def test_entry(spark):
 
 def test_check_sql_belongs_to_queries():
     assert set(CHECK) <= set(QUERIES)
+
+
+def test_stored_edges_are_sketched_too(spark):
+    """The index from sketched edges is computed and held against the exact profile."""
+    out = QUERIES["psi_stored_edges"](spark, SF)
+    assert out.columns == ["feature", "psi", "sketch_close"]
+    assert all(r.sketch_close for r in out.collect())
