@@ -359,7 +359,7 @@ def forest_train_score(spark, sf):
     rows = training.hash_split(li, "l_orderkey", 80, (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 100)
     rows = rows.select("split", "label", *FOREST_FEATURES)
     model = training.train_forest(rows.where("split = 'train'"), FOREST_FEATURES)
-    m = training.holdout_metrics(training.score(model, rows.where("split = 'test'"), "v1"))
+    m = training.holdout_metrics(training.score(model, training.deal(rows.where("split = 'test'")), "v1"))
     return m.select("model_version", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("tested"),
                     (F.col("tp") + F.col("fn")).alias("positives"), F.lit(model.stages[-1].getNumTrees).alias("trees"),
                     ((F.col("accuracy") > 0.8) & (F.col("f1") > 0.8) & (F.col("auc_roc") > 0.85)).alias("learned"))

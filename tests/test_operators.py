@@ -359,6 +359,16 @@ def test_training(spark):
     assert (m.f1, m.auc_roc, m.model_version) == (1.0, 1.0, "v1")
 
 
+def test_forest_rows_are_dealt_to_all_cores(spark, monkeypatch):
+    """Rows of one row group are one partition, which every pass over the trees' levels would read in one task."""
+    monkeypatch.setattr(training.Pipeline, "fit", lambda self, rows: rows)
+    one = spark.range(6000).coalesce(1).select((F.col("id") % 3 == 0).cast("int").alias("label"), F.col("id").cast("double").alias("x"))
+    given = training.train_forest(one, ["x"])
+    sizes = [r["count"] for r in given.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 1.1 * min(sizes)
+    assert given.agg(F.sum("x"), F.count("weight")).first()[:] == (sum(range(6000)), 6000)
+
+
 def test_class_sample_takes_shares_in_one_order(spark):
     df = spark.range(400).select("id", (F.col("id") % 4).cast("int").alias("label"))
     whole = training.class_sample(df, "label", "id", {0: 0.5, 1: 0.25, 9: 1.0})
