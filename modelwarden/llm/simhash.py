@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwarden.llm.components import components
@@ -46,6 +46,8 @@ BINS = 512
 MARGIN, SLACK = 0.14, 4
 #: Shingles that one side of a comparison of sets holds, about; texts up to which a group is not cut into blocks.
 SET_BLOCK, GROUP = 1 << 20, 1024
+#: Bits of the table that says which rows may be wanted, in words of 64: it bounds what is broadcast.
+MARKS = 1 << 24
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -254,6 +256,20 @@ def set_forest(fps: np.ndarray, first: np.ndarray, second: np.ndarray, max_bits:
     return tree
 
 
+def marked(rows: DataFrame, own: list[str], wanted: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose columns `own` may equal `key` of some row of `wanted`: all that do, few others while MARKS is ample.
+
+    So a join with `wanted` shuffles little of `rows`, however many are wanted. A null equals a null.
+    """
+    def at(names: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*names), F.lit(MARKS))
+
+    bit = F.expr("shiftleft(1L, cast(_at % 64 as int))")
+    words = wanted.select(at(key).alias("_at")).groupBy(F.expr("_at div 64").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    placed = rows.withColumn("_at", at(own)).withColumn("_word", F.expr("_at div 64"))
+    return placed.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def set_links(docs: DataFrame, points: DataFrame, grouped: DataFrame, shingle: int, max_bits: int,
               min_similarity: float) -> DataFrame:
     """Edges (a, b) that connect all texts of a group (node, root) whose sets of shingles have the similarity.
@@ -263,6 +279,7 @@ def set_links(docs: DataFrame, points: DataFrame, grouped: DataFrame, shingle: i
     members = materialise(points.join(grouped, "node"), "members")
     chosen = members.select(F.col("row.doc_id").alias("_row_id"), F.col("row._set_hash").alias("_row_hash"), "node")
     texts = docs.select("doc_id", "_set_hash", F.col("text").cast("binary").alias("_shingled_text"))
+    texts = marked(texts, ["doc_id", "_set_hash"], chosen, ["_row_id", "_row_hash"])
     texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_row_id")) & (F.col("_set_hash") == F.col("_row_hash")))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,9 +410,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, max_bits: int = 22, min_similari
     """The rows of `docs` without near-duplicates: of each component the row with the smallest doc_id stays."""
     text_hash = F.xxhash64("text").alias("text_hash")
     rows = near_duplicates(docs.select("doc_id", "text", text_hash), ["doc_id", "text_hash"], shingle, max_bits, min_similarity)
-    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-    first = materialise(first.select(F.col("k.doc_id").alias("first_id"), F.col("k.text_hash").alias("first_hash")), "first")
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", text_hash)
-    chosen = whole.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
-    once = Window.partitionBy("doc_id", "text_hash").orderBy("text_hash")  # of repeated rows too only one stays
+    first = materialise(rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("at")).select("at"), "first")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct("doc_id", text_hash).alias("own"))
+    # The join and the window go by one column (where a null id equals a null), so the texts are shuffled once.
+    chosen = whole.join(first, F.col("own") == F.col("at"))
+    once = Window.partitionBy("at").orderBy("at")  # of repeated rows too only one stays
     return chosen.withColumn("copy", F.row_number().over(once)).where("copy = 1").select("row.*")

@@ -220,6 +220,30 @@ def test_sketch_estimates_similarity():
         assert abs(simhash.similar(x, y)[0] - share) < 0.12
 
 
+@pytest.mark.parametrize("bits", [simhash.MARKS, 64])
+def test_texts_that_are_not_wanted_stay_out_of_the_join(spark, monkeypatch, bits):
+    monkeypatch.setattr(simhash, "MARKS", bits)
+    rows = spark.range(500).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.xxhash64("id").alias("h"))
+    wanted = rows.where("doc_id % 100 = 0 OR doc_id IS NULL").select(F.col("doc_id").alias("a"), F.col("h").alias("b"))
+    kept = simhash.marked(rows, ["doc_id", "h"], wanted, ["a", "b"])
+    assert kept.columns == ["doc_id", "h"]
+    ids = [r.doc_id for r in kept.collect()]
+    assert {None, 100, 200, 300, 400} <= set(ids) and len(ids) == len(set(ids)) < (8 if bits > 64 else 150)
+
+
+def test_near_duplicate_stage_shuffles_whole_rows_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(None, "a b c d e f", 1), (None, "a b c d e f", 1), (2, "g h i j k l", 2), (3, None, 3)]
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, n int"))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2  # the rows, and the keys of those that stay
+        assert sorted((r.doc_id or 0, r.n) for r in kept.collect()) == [(0, 1), (2, 2), (3, 3)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_simhash_odd_rows(spark, odd, empty):
     got = {(r.doc_id, r.component_id, r.fingerprint) for r in simhash.near_duplicates(odd, ["doc_id"]).collect()}
     assert {(i, 1, "0" * 16) for i in (1, 2, 3)} <= got
