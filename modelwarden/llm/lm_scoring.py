@@ -1,7 +1,7 @@
 """Scoring of whole texts by a causal self-attention model on subword ids, trained here in numpy.
 
 Texts are read once into shards: A-Z in lower case, words apart by one space, subword ids of a public byte-level BPE, and
-an end id. Three things are learned from the training texts, all of them in passes over all shards:
+an end id. A shard's distinct words are encoded once each. Three things are learned from the training texts, all of them in passes over all shards:
 
 * word counts for the base score, exact over all training words: each shard lists its distinct words by hash with their
   counts, a shuffle by word adds them up, and each shard gets back the totals of its own words only;
@@ -22,7 +22,10 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from functools import cache
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelwarden.llm.common import chunks
 from modelwarden.llm.substring_dedup import Hashes
-from modelwarden.llm.training_order import END, VOCABULARY, encode
+from modelwarden.llm.training_order import END, LONG_RUN, VOCABULARY, encode, encoding
 from modelwarden.session import materialise
 
 IDS = END + 1
@@ -43,9 +47,13 @@ FRESH = WINDOW - OVERLAP
 #: The training windows are dealt to the rounds, so each is learned from once.
 ROUNDS, BATCH, STEP = 2, 128, 1e-2
 #: Windows and rows that scoring handles at a time: small enough for the processor's caches.
-TOGETHER, ROWS = 64, 1024
+TOGETHER, ROWS = 32, 768
+#: Windows whose gradients are found at a time, and parameters that Adam moves at a time.
+PART, STRETCH = 32, 1 << 14
 SHARD_BYTES = 12 << 20
 SPACE = 32
+#: In UTF-8, white space that words may hold.
+OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -56,33 +64,86 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def word_hashes(joined: bytes) -> np.ndarray:
-    """A 64-bit hash of each of the words in `joined`, which are apart by one space."""
-    data = np.frombuffer(joined, np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64)
-    edges = np.flatnonzero(data == SPACE)
-    return Hashes(data).of(np.append(0, edges + 1), np.append(edges, len(data)))
+@cache
+def id_bytes(path: str) -> np.ndarray:
+    """Bytes of every id."""
+    out = np.zeros(IDS, np.int64)
+    for token in encoding(path).token_byte_values():
+        out[encoding(path).encode_single_token(token)] = len(token)
+    return out
+
+
+def valid(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def words_and_ids(texts: list[bytes], path: str = VOCABULARY) -> tuple[np.ndarray, ...]:
+    """(hash of every distinct word, number of every word in that list, words of every text, ids, ids of every text).
+
+    The words of a text are apart by one space. A piece of the vocabulary's pattern never goes on behind a space, so
+    every distinct word is encoded once; texts where that does not hold, for other white space or cuts, are encoded whole.
+    """
+    data = b"".join(b" " + t for t in texts if t)
+    places = np.flatnonzero(np.frombuffer(data, np.uint8) == SPACE)
+    edges = pa.py_buffer(np.append(places, len(data)).astype(np.int64))
+    words = pa.Array.from_buffers(pa.large_binary(), len(places), [None, edges, pa.py_buffer(data)]).dictionary_encode()
+    del data, places, edges
+    codes = words.indices.to_numpy()
+    n_words = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
+    ends = np.frombuffer(words.dictionary.buffers()[1], np.int64)[: len(words.dictionary) + 1]
+    listed, sizes = words.dictionary.buffers()[2], np.diff(ends)
+    listed, ends = (listed.to_pybytes() if len(sizes) else b"")[: ends[-1] if len(sizes) else 0], ends[1:]
+    names = np.zeros(len(sizes), np.uint64)
+    for i, j in chunks(sizes, 1 << 16):  # tables of powers are as long as what is hashed at a time
+        base = ends[i] - sizes[i]
+        names[i:j] = Hashes(np.frombuffer(listed[base : ends[j - 1]], np.uint8)).of(ends[i:j] - sizes[i:j] + 1 - base, ends[i:j] - base)
+
+    plain = sizes <= LONG_RUN
+    plain[np.searchsorted(ends, [m.start() for m in OTHER_SPACE.finditer(listed)], side="right")] = False
+    if not valid(listed):
+        plain &= [valid(listed[e - n : e]) for e, n in zip(ends, sizes)]
+    del words
+    spans = np.where(plain, sizes, 0)
+    read = np.frombuffer(listed, np.uint8)[np.repeat(plain, sizes)].tobytes()
+    found = encoding(path).encode_to_numpy(read.decode(), disallowed_special=())
+    behind = np.searchsorted(np.cumsum(id_bytes(path)[found]), np.cumsum(spans), side="right")
+    n_codes, found, end = np.diff(behind, prepend=0), found.astype("<u2"), np.array([END], "<u2")
+
+    n_ids, ids, past = np.zeros(len(texts), np.int64), [], np.cumsum(n_words)
+    for i, text in enumerate(texts):
+        own = codes[past[i] - n_words[i] : past[i]]
+        if plain[own].all():
+            n = n_codes[own]
+            ends = np.cumsum(n)
+            places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(behind[own] - ends, n)
+            ids.append(found[places])
+        else:
+            ids.append(encode(" " + text.decode("utf-8", "replace"), path).astype("<u2"))
+        n_ids[i] = len(ids[-1]) + 1
+        ids.append(end)
+    return names, codes, n_words, np.concatenate([end[:0], *ids]), n_ids
 
 
 def shards(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """One row per shard: documents, ids, and words as numbers of a list of distinct word hashes with training counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId() << 24, 0
-        doc_ids, held_out, ids, hashes, held = [], [], [], [], 0
+        doc_ids, held_out, texts, held = [], [], [], 0
 
         def cut() -> pa.RecordBatch:
-            nonlocal doc_ids, held_out, ids, hashes, held, number
-            words = np.array([len(h) for h in hashes], np.int64)
-            flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-            names, codes = np.unique(flat, return_inverse=True)
+            nonlocal doc_ids, held_out, texts, held, number
+            names, codes, words, ids, n_ids = words_and_ids(texts, path)
             training = np.repeat(~np.array(held_out, bool), words)
             counts = np.bincount(codes[training], minlength=len(names)).astype(np.int32)
             row = {"shard": part + number, "doc_ids": doc_ids, "held_out": held_out, "n_words": words.tolist(),
-                   "n_ids": [len(x) for x in ids], "ids": pack(np.concatenate(ids).astype("<u2")),
-                   "codes": pack(codes.astype("<u4")), "names": names.astype("<u8").tobytes(), "counts": counts.tobytes()}
+                   "n_ids": n_ids.tolist(), "ids": pack(ids), "codes": pack(codes.astype("<u4")),
+                   "names": names.astype("<u8").tobytes(), "counts": counts.tobytes()}
             number += 1
-            doc_ids, held_out, ids, hashes, held = [], [], [], [], 0
+            doc_ids, held_out, texts, held = [], [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=kinds)
 
         kinds = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
@@ -92,8 +153,7 @@ def shards(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             for doc_id, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(),
                                          batch.column("_bytes")):
                 joined = b" ".join((text.as_py() or b"").lower().split())
-                hashes.append(word_hashes(joined))
-                ids.append(np.append(encode(" " + joined.decode("utf-8", "replace") if joined else "", path), END))
+                texts.append(joined)
                 doc_ids.append(doc_id)
                 held_out.append(bool(out))
                 held += len(joined) + 64
@@ -206,13 +266,15 @@ def training_stream(row: dict) -> list[np.ndarray]:
     return [ids[e - n : e] for e, n, out in zip(ends, row["n_ids"], row["held_out"]) if not out]
 
 
-def counted(rows: DataFrame, size: int, count) -> np.ndarray:
-    """Sum over the shards of `count(training texts)`, an array of `size` numbers."""
+def counted(rows: DataFrame, size: int, numbers: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """How often each of `size` numbers stands in `numbers(ids of training texts)`, where the ids follow an end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                total += count(training_stream(row))
+                stream = np.concatenate([np.array([END], "<u2"), *training_stream(row)])
+                for s in range(0, len(stream) - 1, 1 << 20):
+                    total += np.bincount(numbers(stream[s : s + (1 << 20) + 1]), minlength=size)
         used = np.flatnonzero(total)
         yield pa.record_batch({"at": used.astype(np.int32), "n": total[used]})
 
@@ -223,24 +285,31 @@ def counted(rows: DataFrame, size: int, count) -> np.ndarray:
     return out
 
 
-def windows_of(texts: list[np.ndarray], of: np.ndarray) -> tuple[np.ndarray, ...]:
+def windows_of(texts: list[np.ndarray], of: np.ndarray, choose: Callable[[int], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
     """Units and units before of WINDOW places; ids to predict, text number and whether to count of the last FRESH places;
     and whether the window begins its text, so that its first OVERLAP places stand before the text.
 
-    A text is read after an end; a window's places beyond its text are not counted.
+    A text is read after an end; a window's places beyond its text are not counted. `choose` gives the numbers of the
+    windows to make, of so many.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
-    stream = np.concatenate([x for t in texts for x in ([END, END], t)]).astype(np.int64)
+    stream = np.concatenate([x for t in texts for x in ([END, END], t)]).astype(np.int32)
     begin = np.cumsum(sizes + 2) - sizes - 2
     n = np.maximum(1, -(-sizes // FRESH))
     text = np.repeat(np.arange(len(texts)), n)
     start = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * FRESH
-    place = start[:, None] + np.arange(-OVERLAP, FRESH)[None, :]
-    at = begin[text][:, None] + 1 + np.clip(place, 0, sizes[text][:, None] - 1)
-    counts = place[:, OVERLAP:] < sizes[text][:, None]
-    units = of[stream]
-    return (units[at], units[at - 1], stream[at[:, OVERLAP:] + 1], np.broadcast_to(text[:, None], counts.shape), counts,
-            start == 0)
+    if choose is not None:
+        chosen = choose(len(text))
+        text, start = text[chosen], start[chosen]
+    place = start.astype(np.int32)[:, None] + np.arange(-OVERLAP, FRESH, dtype=np.int32)[None, :]
+    past = sizes[text].astype(np.int32)[:, None]
+    counts = place[:, OVERLAP:] < past
+    np.minimum(place, past - 1, out=place)
+    place[start == 0, :OVERLAP] = 0
+    at = begin[text][:, None] + 1 + place
+    units = of[stream].astype(np.uint16)
+    return (np.take(units, at), np.take(units, at - 1), np.take(stream, at[:, OVERLAP:] + 1),
+            np.broadcast_to(text[:, None], counts.shape), counts, start == 0)
 
 
 class Attention:
@@ -249,110 +318,170 @@ class Attention:
     def __init__(self, neighbours: np.ndarray, parameters: dict[str, np.ndarray] | None = None):
         rng = np.random.default_rng(1)
         small = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.p = parameters or {
+        start = parameters or {
             "own": 0.1 * rng.standard_normal((UNITS, WIDTH)), "before": 0.1 * rng.standard_normal((UNITS, WIDTH)),
             "query": small(WIDTH, WIDTH), "distance": np.zeros(WINDOW, np.float32), "mix": small(2 * WIDTH, WIDTH), "shift": np.full(WIDTH, 0.1, np.float32),
             "out": np.zeros((WIDTH, CLASSES), np.float32)}
-        self.p = {k: np.array(v, np.float32) for k, v in self.p.items()}
+        # The parameters, their gradients and the moments are parts of four long arrays, which Adam runs through.
+        self.values = np.concatenate([np.ravel(v) for v in start.values()]).astype(np.float32)
+        self.shapes = {k: np.shape(v) for k, v in start.items()}
+        self.p = self.parts(self.values)
         self.neighbours, self.odds = neighbours, np.exp(neighbours)
-        self.room, self.sides = np.empty((0, FRESH, WINDOW), np.float32), []
-        self.gain, self.row = np.empty((ROWS, CLASSES), np.float32), np.empty((ROWS, CLASSES), np.float32)
+        self.kept: dict[str, np.ndarray] = {}
         gap = np.arange(OVERLAP, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
         self.causal, self.gap = gap >= 0, np.maximum(gap, 0)
-        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        self.moments = np.zeros((0, 0), np.float32)
         self.steps = 0
 
+    def parts(self, values: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for k, shape in self.shapes.items():
+            size = int(np.prod(shape))
+            out[k], at = values[at : at + size].reshape(shape), at + size
+        return out
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """A kept array: new ones of this size cost page faults."""
+        if name not in self.kept or len(self.kept[name]) < shape[0]:
+            self.kept[name] = np.empty(shape, np.float32)
+        return self.kept[name][: shape[0]]
+
     def hidden(self, own: np.ndarray, before: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
         """Attention of the last FRESH places of a batch of windows; `first`: nothing stands before these.
 
         Products of the query and key maps, and of the value map and mix, are one map each.
         """
-        p, s, n = self.p, {}, len(own)
-        if len(self.room) < n:  # kept arrays: new ones of this size cost page faults
-            self.room = np.empty((n, FRESH, WINDOW), np.float32)
-            self.sides = [np.empty((n, size, WIDTH), np.float32) for size in (WINDOW, WINDOW, FRESH, FRESH, FRESH, FRESH)]
-        h, more, q, o, z, y = (x[:n] for x in self.sides)
+        p, n = self.p, len(own)
+        h, turned = self.room("h", n, WINDOW, WIDTH), self.room("turned", n, WIDTH, WINDOW)
+        more, a = self.room("more", n, WINDOW, WIDTH), self.room("a", n, FRESH, WINDOW)
+        q, o, z, y = (self.room(k, n, FRESH, WIDTH) for k in "qozy")
         np.take(p["own"], own, axis=0, out=h, mode="clip")
         h += np.take(p["before"], before, axis=0, out=more, mode="clip")
+        np.copyto(turned, h.transpose(0, 2, 1))
         fresh = h[:, OVERLAP:]
-        a = np.matmul(np.matmul(fresh, p["query"], out=q), h.transpose(0, 2, 1), out=self.room[:n])
+        np.matmul(np.matmul(fresh, p["query"], out=q), turned, out=a)
         a += np.where(self.causal, p["distance"][self.gap], np.float32(-1e9))
-        a[first, :, :OVERLAP] = -1e9
-        np.exp(np.minimum(a, np.float32(60), out=a), out=a)
-        total = a.sum(axis=2, keepdims=True)
+        if first.any():
+            a[first, :, :OVERLAP] = -1e9
+        if n and a.max() > 60:
+            np.minimum(a, np.float32(60), out=a)
+        np.exp(a, out=a)
+        a *= (1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32))).reshape(n, FRESH, 1)
         np.matmul(a, h, out=o)
-        o /= total
         np.matmul(fresh, p["mix"][:WIDTH], out=z)
         z += np.matmul(o, p["mix"][WIDTH:], out=y)
         z += p["shift"]
-        s.update(h=h, q=q, o=o, a=a, total=total, z=np.maximum(z, 0, out=z))
-        return s
-
-    def logs(self, z: np.ndarray, own: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log-probability of the target classes."""
+        return {"h": h, "turned": turned, "q": q, "o": o, "a": a, "z": np.maximum(z, 0, out=z)}
+
+    def weights(self, z: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(what the layer adds to the logarithms of the classes, the classes' weights after that, the sum of these)."""
+        gain, odds = self.room("gain", len(z), CLASSES), self.room("odds", len(z), CLASSES)
+        weight = self.room("weight", len(z), CLASSES)
+        np.matmul(z, self.p["out"], out=gain)
+        if len(z) and (gain.max() > 60 or gain.min() < -60):
+            np.clip(gain, -60, 60, out=gain)
+        np.exp(gain, out=weight)
+        weight *= np.take(self.odds, own, axis=0, out=odds, mode="clip")
+        return gain, weight, weight @ np.ones(CLASSES, np.float32)
+
+    def gains(self, z: np.ndarray, own: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """What the layer adds to the log-probability of the target classes."""
         out = np.empty(len(z), np.float64)
         for i in range(0, len(z), ROWS):
-            x, y = own[i : i + ROWS], target[i : i + ROWS]
-            gain, odds = self.gain[: len(x)], self.row[: len(x)]  # kept arrays: new ones of this size cost page faults
-            np.matmul(z[i : i + ROWS], self.p["out"], out=gain)
-            np.minimum(gain, np.float32(60), out=gain)
-            at = gain[np.arange(len(x)), y].astype(np.float64) + self.neighbours[x, y]
-            np.exp(gain, out=gain)
-            np.take(self.odds, x, axis=0, out=odds, mode="clip")
-            out[i : i + ROWS] = at - np.log(np.einsum("nc,nc->n", gain, odds).astype(np.float64))
+            gain, _, total = self.weights(z[i : i + ROWS], own[i : i + ROWS])
+            right = np.arange(0, gain.size, CLASSES) + target[i : i + ROWS]
+            out[i : i + ROWS] = gain.take(right) - np.log(total.astype(np.float64))
         return out
 
+    def logs(self, z: np.ndarray, own: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probability of the target classes."""
+        return self.gains(z, own, target) + self.neighbours[own, target]
+
     def learn(self, own: np.ndarray, before: np.ndarray, target: np.ndarray, counts: np.ndarray, first: np.ndarray) -> None:
         """One Adam step on the counted places of a batch of windows."""
-        p, s = self.p, self.hidden(own, before, first)
-        s["a"] /= s["total"]
-        b, t = np.nonzero(counts)
-        z, n = s["z"][b, t], max(1, len(b))
-        logit = z @ p["out"] + self.neighbours[own[:, OVERLAP:][b, t]]
-        logit -= logit.max(axis=1, keepdims=True)
-        np.exp(logit, out=logit)
-        logit /= logit.sum(axis=1, keepdims=True)
-        logit[np.arange(len(b)), target[b, t]] -= 1
-        logit /= n
-        g = {"out": z.T @ logit}
-        dz = np.zeros_like(s["z"])
-        dz[b, t] = (logit @ p["out"].T) * (z > 0)
-        flat = lambda x: x.reshape(-1, x.shape[-1])
-        fresh = s["h"][:, OVERLAP:]
-        both = np.concatenate([fresh, s["o"]], axis=2)
-        g["mix"], g["shift"] = flat(both).T @ flat(dz), flat(dz).sum(axis=0)
-        dx = dz @ p["mix"].T
-        do = dx[..., WIDTH:]
-        dh = s["a"].transpose(0, 2, 1) @ do
-        dh[:, OVERLAP:] += dx[..., :WIDTH]
-        da = do @ s["h"].transpose(0, 2, 1)
-        da = s["a"] * (da - (da * s["a"]).sum(axis=2, keepdims=True))
-        g["distance"] = np.bincount(self.gap[self.causal], weights=da.sum(axis=0)[self.causal], minlength=WINDOW).astype(np.float32)
-        dh += da.transpose(0, 2, 1) @ s["q"]
-        dq = da @ s["h"]
-        g["query"] = flat(fresh).T @ flat(dq)
-        dh[:, OVERLAP:] += dq @ p["query"].T
-        for name, at in (("own", own), ("before", before)):
-            order = np.argsort(at.ravel(), kind="stable")
-            keys = at.ravel()[order]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            g[name] = np.zeros_like(p[name])
-            g[name][keys[first]] = np.add.reduceat(flat(dh)[order], first, axis=0)
+        self.find_slopes(own, before, target, counts, first)
         self.steps += 1
-        for k, v in p.items():
-            m, r = self.moments[k]
-            m += 0.1 * (g[k] - m)
-            r += 0.01 * (g[k] ** 2 - r)
-            v -= STEP * (m / (1 - 0.9**self.steps)) / (np.sqrt(r / (1 - 0.99**self.steps)) + 1e-8)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([v.ravel() for v in self.p.values()])
-
-    def unflat(self, values: np.ndarray) -> dict[str, np.ndarray]:
-        out, at = {}, 0
-        for k, v in self.p.items():
-            out[k], at = values[at : at + v.size].reshape(v.shape).astype(np.float32), at + v.size
-        return out
+        # The moments are kept without the factors 0.1 and 0.01 of each new term.
+        some = np.sqrt(0.01 / (1 - 0.99**self.steps))
+        rate, least = np.float32(STEP * 0.1 / (1 - 0.9**self.steps) / some), np.float32(1e-8 / some)
+        for i in range(0, len(self.values), STRETCH):
+            (m, r, slope), v = self.moments[:, i : i + STRETCH], self.values[i : i + STRETCH]
+            m *= np.float32(0.9)
+            m += slope
+            r *= np.float32(0.99)
+            r += np.multiply(slope, slope, out=slope)
+            step = np.sqrt(r, out=slope)
+            step += least
+            np.divide(m, step, out=step)
+            step *= rate
+            v -= step
+
+    def find_slopes(self, own: np.ndarray, before: np.ndarray, target: np.ndarray, counts: np.ndarray, first: np.ndarray) -> None:
+        """Gradients of the mean loss of the counted places, added up part by part."""
+        if not len(self.moments):
+            self.moments = np.zeros((3, len(self.values)), np.float32)
+            self.slopes = self.parts(self.moments[2])
+        p, g, places = self.p, self.slopes, max(1, int(counts.sum()))
+        dh = self.room("dh", len(own), WINDOW, WIDTH)
+        for k in ("query", "mix", "shift", "out"):
+            g[k][...] = 0
+        near = np.zeros((FRESH, WINDOW), np.float32)
+        for i in range(0, len(own), PART):
+            part = slice(i, i + PART)
+            near += self.slope(dh[part], own[part], before[part], target[part], counts[part] / np.float32(places), first[part])
+        g["distance"][...] = np.bincount(self.gap[self.causal], weights=near[self.causal], minlength=WINDOW)
+        pairs = dh.reshape(-1, WIDTH)
+        for name, at in (("own", own), ("before", before)):
+            at = at.astype(np.uint16).ravel()  # 16 bits are sorted by digits
+            order = np.argsort(at, kind="stable")
+            keys = at[order]
+            begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            rows = np.take(pairs, order, axis=0, out=self.room("more", *dh.shape).reshape(-1, WIDTH), mode="clip")
+            g[name][...] = 0
+            # Two numbers are added at a time as one complex number.
+            g[name][keys[begin]] = np.add.reduceat(rows.view(np.complex64), begin, axis=0).view(np.float32)
+
+    def slope(self, dh: np.ndarray, own: np.ndarray, before: np.ndarray, target: np.ndarray, share: np.ndarray,
+              first: np.ndarray) -> np.ndarray:
+        """Adds to the gradients of the maps; puts that of the inputs into `dh`; returns that of the attention's logits, summed.
+
+        `share` is what a place counts for.
+        """
+        p, g, s, n = self.p, self.slopes, self.hidden(own, before, first), len(own)
+        back = np.ascontiguousarray(np.concatenate([p["mix"][:WIDTH], p["query"]], axis=1).T)
+        h, a, z = s["h"], s["a"], s["z"].reshape(-1, WIDTH)
+        _, weight, total = self.weights(z, own[:, OVERLAP:].reshape(-1))
+        right = np.arange(0, weight.size, CLASSES) + target.reshape(-1)
+        weight.reshape(-1)[right] = weight.take(right) - total
+        scale = (share.reshape(-1) / total)[:, None]
+        flat = self.room("flat", len(z), WIDTH)
+        g["out"] += summed(np.multiply(z, scale, out=flat).reshape(n, FRESH, WIDTH), weight.reshape(n, FRESH, CLASSES))
+        np.matmul(weight, np.ascontiguousarray(p["out"].T), out=flat)
+        flat *= scale
+        both, fresh, y = self.room("both", n, FRESH, 2 * WIDTH), h[:, OVERLAP:], s["z"]  # slopes behind mix and query
+        dz = np.multiply(flat.reshape(n, FRESH, WIDTH), s["z"] > 0, out=both[:, :, :WIDTH])
+        g["mix"][WIDTH:] += summed(s["o"], dz)
+        do = np.matmul(dz, np.ascontiguousarray(p["mix"][WIDTH:].T), out=y)
+        np.matmul(a.transpose(0, 2, 1), do, out=dh)
+        da = np.matmul(do, s["turned"], out=self.room("da", n, FRESH, WINDOW))
+        do *= s["o"]
+        da -= (do.reshape(-1, WIDTH) @ np.ones(WIDTH, np.float32)).reshape(n, FRESH, 1)  # the mean of da under a
+        da *= a
+        dh += np.matmul(da.transpose(0, 2, 1), s["q"], out=self.room("more", n, WINDOW, WIDTH))
+        np.matmul(da, h, out=both[:, :, WIDTH:])
+        sides = summed(fresh, both)
+        g["mix"][:WIDTH] += sides[:, :WIDTH]
+        g["query"] += sides[:, WIDTH:]
+        g["shift"] += (np.ones(n * FRESH, np.float32) @ both.reshape(-1, 2 * WIDTH))[:WIDTH]
+        dh[:, OVERLAP:] += np.matmul(both, back, out=y)
+        return da.sum(axis=0)
+
+
+def summed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sum over the windows of left transposed times right; windows are joined in blocks, which leaves fewer terms."""
+    blocks = len(left) // gcd(len(left), 8)
+    left, right = (x.reshape(blocks, -1, x.shape[-1]) for x in (left, right))
+    return np.matmul(left.transpose(0, 2, 1), right).sum(axis=0)
 
 
 def windows_of_round(count: int, shard: int, start: int, number: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -370,39 +499,56 @@ def train(rows: DataFrame, of: np.ndarray, kind: np.ndarray, neighbours: np.ndar
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             units, classes, logs, start = shared.value
-            copy, seen = Attention(logs, start), 0
+            copy, seen, class_of = Attention(logs, start), 0, classes[units]
             for batch in batches:
                 for row in batch.to_pylist():
                     texts = training_stream(row)
                     for s in range(0, len(texts), 256):
-                        own, before, target, _, counts, first = windows_of(texts[s : s + 256], units)
-                        chosen = windows_of_round(len(own), row["shard"], s, number, rounds)
-                        for i in range(0, len(chosen), BATCH):
-                            c = chosen[i : i + BATCH]
-                            copy.learn(own[c], before[c], classes[units[target[c]]], counts[c], first[c])
-                        seen += len(chosen)
+                        own, before, target, _, counts, first = windows_of(
+                            texts[s : s + 256], units, lambda n: windows_of_round(n, row["shard"], s, number, rounds))
+                        for i in range(0, len(own), BATCH):
+                            c = slice(i, i + BATCH)
+                            copy.learn(own[c], before[c], class_of[target[c]], counts[c], first[c])
+                        seen += len(own)
             if seen:
-                values = copy.flat()
+                values = copy.values
                 yield pa.record_batch({"at": np.arange(len(values), dtype=np.int32), "v": values * np.float64(seen),
                                        "n": np.full(len(values), seen, np.int64)})
 
         got = (rows.select("shard", "ids", "n_ids", "held_out").mapInArrow(run, "at int, v double, n bigint").groupBy("at")
                .agg((F.sum("v") / F.sum("n")).alias("v")).orderBy("at").toArrow())  # one row a parameter
         if got.num_rows:
-            model = Attention(neighbours, model.unflat(got.column("v").to_numpy()))
+            model = Attention(neighbours, model.parts(got.column("v").to_numpy()))
     return model.p
 
 
+def scored_texts(model: Attention, texts: list[np.ndarray], units: np.ndarray, inside: np.ndarray, class_of: np.ndarray,
+                 follow: np.ndarray) -> np.ndarray:
+    """Log-probability of every text; `follow`: that of a unit after a unit, by counts, in one row."""
+    own, before, target, text, counts, first = windows_of(texts, units)
+    found = np.empty(len(own))
+    for i in range(0, len(own), TOGETHER):
+        c = slice(i, i + TOGETHER)
+        z = model.hidden(own[c], before[c], first[c])["z"]
+        x, y = own[c, OVERLAP:].reshape(-1).astype(np.int64), target[c].reshape(-1)
+        places = model.gains(z.reshape(-1, WIDTH), x, class_of.take(y))
+        places += follow.take(x * UNITS + units.take(y))
+        places += inside.take(y)
+        found[c] = np.einsum("nf,nf->n", places.reshape(-1, FRESH), counts[c])
+    return np.bincount(text[:, 0], weights=found, minlength=len(texts))
+
+
 def attention_scores(rows: DataFrame, tables: tuple[np.ndarray, ...], parameters: dict[str, np.ndarray]) -> DataFrame:
     """(shard, doc, score): log10 probability of every document.
 
-    tables: unit of an id, log-probability of an id in its unit, and what `neighbour_logs` gives.
+    tables: unit of an id, log-probability of an id in its unit, class of a unit, log-probability of a class after a unit,
+    and of a unit after a unit in one row.
     """
     shared = rows.sparkSession.sparkContext.broadcast((tables, parameters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (units, inside, classes, logs, after), p = shared.value
-        model = Attention(logs, p)
+        (units, inside, classes, logs, follow), p = shared.value
+        model, class_of = Attention(logs, p), classes[units]
         for batch in batches:
             for row in batch.to_pylist():
                 ids, sizes = unpack(row["ids"], "<u2"), np.array(row["n_ids"], np.int64)
@@ -411,17 +557,7 @@ def attention_scores(rows: DataFrame, tables: tuple[np.ndarray, ...], parameters
                 while first < len(sizes):
                     past = max(first + 1, int(np.searchsorted(ends, ends[first] + 65536)))
                     texts = [ids[e - n : e] for e, n in zip(ends[first:past], sizes[first:past])]
-                    own, before, target, text, counts, begins = windows_of(texts, units)
-                    last = own[:, OVERLAP:]
-                    found = []
-                    for i in range(0, len(own), TOGETHER):
-                        some = slice(i, i + TOGETHER)
-                        c = counts[some]
-                        z = model.hidden(own[some], before[some], begins[some])["z"][c]
-                        x, y = last[some][c], target[some][c]
-                        u = units[y]
-                        found.append(model.logs(z, x, classes[u]) + after[x, u] + inside[y])
-                    score[first:past] = np.bincount(text[counts], weights=np.concatenate(found), minlength=past - first)
+                    score[first:past] = scored_texts(model, texts, units, inside, class_of, follow)
                     first = past
                 yield pa.record_batch({"shard": np.full(len(score), row["shard"], np.int64),
                                        "doc": np.arange(len(score), dtype=np.int32), "score": score / np.log(10)})
@@ -435,18 +571,16 @@ def score_texts(docs: DataFrame) -> DataFrame:
     `docs` has doc_id, text and held_out; the rows that are not held out are learned from.
     """
     rows = materialise(shards(docs), "shards")
-    counts = counted(rows, IDS, lambda texts: sum((np.bincount(t, minlength=IDS) for t in texts), np.zeros(IDS, np.int64)))
-    of, within = units_of(counts)
+    of, within = units_of(counted(rows, IDS, lambda ids: ids[1:]))
 
-    def pairs(texts: list[np.ndarray]) -> np.ndarray:
-        if not texts:
-            return np.zeros(UNITS**2, np.int64)
-        stream = of[np.concatenate([np.array([END], "<u2"), *texts])].astype(np.int64)
-        return np.bincount(stream[:-1] * UNITS + stream[1:], minlength=UNITS**2)
+    def pairs(ids: np.ndarray) -> np.ndarray:
+        units = of[ids].astype(np.int64)
+        return units[:-1] * UNITS + units[1:]
 
     kind, neighbours, after = neighbour_logs(counted(rows, UNITS**2, pairs).reshape(UNITS, UNITS).astype(np.float64))
     parameters = train(rows, of, kind, neighbours)
-    scored = materialise(attention_scores(rows, (of, within, kind, neighbours, after), parameters), "scores")
+    follow = (after + neighbours[:, kind]).ravel()
+    scored = materialise(attention_scores(rows, (of, within, kind, neighbours, follow), parameters), "scores")
     base, total = base_scores(rows)
     return base.join(scored, ["shard", "doc"]).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -667,6 +667,71 @@ def test_attention_is_causal_and_learns():
     assert loss() < 0.5 * start
 
 
+def test_slopes_of_the_loss():
+    """Along its gradient every parameter changes the loss by the gradient's length, however the batch is parted."""
+    rng = np.random.default_rng(9)
+    logs = rng.standard_normal((lm_scoring.UNITS, lm_scoring.CLASSES)).astype(np.float32)
+    logs -= np.log(np.exp(logs).sum(axis=1, keepdims=True))
+    model = lm_scoring.Attention(logs)
+    for name in ("out", "distance", "own", "before"):
+        model.p[name] += 0.3 * rng.standard_normal(model.p[name].shape).astype(np.float32)
+    texts = [rng.integers(0, 40, n).astype("<u2") for n in (1, 30, 700, 500)]
+    own, before, target, _, counts, first = lm_scoring.windows_of(texts, np.arange(lm_scoring.IDS) % 50)
+    assert len(own) > lm_scoring.PART and len(own) % lm_scoring.PART and not counts.all()
+    target = target % lm_scoring.CLASSES
+
+    def loss():
+        z = model.hidden(own, before, first)["z"]
+        return -model.logs(z[counts], own[:, lm_scoring.OVERLAP :][counts], target[counts]).mean()
+
+    model.find_slopes(own, before, target, counts, first)
+    for name, slope in model.slopes.items():
+        length = np.linalg.norm(slope)
+        step, kept = 1e-2 * slope / length, model.p[name].copy()
+        model.p[name][...] = kept + step
+        above = loss()
+        model.p[name][...] = kept - step
+        assert (above - loss()) / 2e-2 == pytest.approx(length, rel=0.05), name
+        model.p[name][...] = kept
+
+
+def test_each_distinct_word_is_encoded_once(monkeypatch):
+    """Ids are those of the whole texts, though the vocabulary reads a shard's distinct words only."""
+    def whole(text):
+        return [*training_order.encode(" " + text.decode("utf-8", "replace") if text else ""), training_order.END]
+
+    odd = ["it's don't 'll '", "z" * 5000 + " ok", "\x1c q \u00a0", "a\u00a0 \u00a0b", "\u3000 abc123!? \u65e5\u672c", "x" * 4096, ""]
+    texts = [b" ".join(t.encode().split()) for t in odd] + [b"", b"\xff\xfe a\xc3 b", b"plain words", b"plain"]
+    for some in (texts, texts[::-1], [], [b""]):
+        names, codes, n_words, ids, n_ids = lm_scoring.words_and_ids(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n_ids))[:-1]] == list(map(whole, some))
+        assert n_words.tolist() == [len(t.split()) for t in some]
+        flat = [w for t in some for w in t.split()]
+        assert len(names) == len(set(flat)) and len(set(zip(flat, names[codes].tolist()))) == len(names)
+    read, bpe = [], training_order.encoding(training_order.VOCABULARY)
+
+    class Counting:
+        def encode_to_numpy(self, text, **_):
+            read.append(text)
+            return bpe.encode_to_numpy(text, disallowed_special=())
+
+        def __getattr__(self, name):
+            return getattr(bpe, name)
+
+    lm_scoring.id_bytes(training_order.VOCABULARY)
+    monkeypatch.setattr(lm_scoring, "encoding", lambda path: Counting())
+    monkeypatch.setattr(training_order, "encoding", lambda path: Counting())
+    lm_scoring.words_and_ids([b"one two three two"] * 50)
+    assert read == [" one two three"]
+
+
+def test_only_chosen_windows_are_made():
+    texts = [np.arange(n, dtype="<u2") for n in (1, 24, 25, 300)]
+    units, chosen = np.arange(lm_scoring.IDS), np.array([0, 3, 5, 11])
+    every, some = lm_scoring.windows_of(texts, units), lm_scoring.windows_of(texts, units, lambda n: chosen)
+    assert all(np.array_equal(a[chosen], b) for a, b in zip(every, some))
+
+
 def test_every_training_window_is_learned_from_once():
     dealt = [lm_scoring.windows_of_round(1001, 3 << 24, 256, number) for number in range(lm_scoring.ROUNDS)]
     assert sorted(np.concatenate(dealt).tolist()) == list(range(1001)) and min(map(len, dealt)) > 400
