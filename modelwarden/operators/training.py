@@ -7,13 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwarden.operators.evaluation import class_metrics, roc_auc
+from modelwarden.operators.forest import CellForest
 from modelwarden.session import materialise
 
 #: Tasks per core of a training pass: enough to even out slower ones, few enough as each sums a table of all nodes.
@@ -97,10 +97,7 @@ def train_forest(
     """
     weights = balance_weights(rows, label)  # one row per class
     weighted = deal(rows.select(label, *features)).join(F.broadcast(weights), label)
-    forest = RandomForestClassifier(
-        featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=min_instances, seed=seed,
-    )
+    forest = CellForest(features, label, "weight", trees, depth, min_instances, seed)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), forest]).fit(weighted)
 
 
