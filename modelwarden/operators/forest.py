@@ -9,11 +9,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.util import DefaultParamsWriter
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from modelwarden.session import materialise, release, work_dir
 
@@ -78,24 +80,26 @@ def cut_points(rows: DataFrame, names: list[str], bins: int) -> list[np.ndarray]
         F.count(F.lit(1)).alias("n"),
         F.count_if(y.isNull() | F.isnan(y) | (y < 0) | (y != F.floor(y)) | (y >= CLASSES)).alias("bad_labels"),
         *(F.count_if(F.col(c).isNull() | F.isnan(c)).alias(f"bad_{c}") for c in names),
-        *(F.approx_count_distinct(c).alias(f"n_{c}") for c in names),
-        *(F.percentile_approx(c, shares, ACCURACY).alias(f"at_{c}") for c in names)).first()
+        *(F.approx_count_distinct(c).alias(c) for c in names)).first()
     if not found["n"]:
         raise ValueError("no rows to train on")
     if found["bad_labels"]:
         raise ValueError(f"{found['bad_labels']} labels are not whole numbers from 0 to {CLASSES - 1}")
     if bad := [c for c in names if found[f"bad_{c}"]]:
         raise ValueError("null or NaN in feature " + ", ".join(c[1:] for c in bad))
-    few = [c for c in names if found[f"n_{c}"] <= 2 * bins]  # a bounded set each
-    sets = rows.agg(*(F.collect_set(c).alias(c) for c in few)).first().asDict() if few else {}
+    few = [c for c in names if found[c] <= 2 * bins]  # a bounded set each
+    many = [c for c in names if found[c] >= bins / 2]
+    read = rows.agg(*(F.collect_set(c).alias(f"set_{c}") for c in few),
+                    *(F.percentile_approx(c, shares, ACCURACY).alias(f"at_{c}") for c in many)).first().asDict()
     cuts = []
     for c in names:
-        values = np.unique(np.array(sets.get(c, []), float))
-        if 0 < len(values) <= bins:
+        values = np.unique(np.array(read.get(f"set_{c}", []), float))
+        if 0 < len(values) <= bins or c not in many:
             middle = values[:-1] / 2 + values[1:] / 2
-            cuts.append(np.where((values[:-1] <= middle) & (middle < values[1:]), middle, values[:-1]))
+            found_cuts = np.where((values[:-1] <= middle) & (middle < values[1:]), middle, values[:-1])
         else:
-            cuts.append(np.unique(np.array(found[f"at_{c}"], float)))
+            found_cuts = np.unique(np.array(read[f"at_{c}"], float))
+        cuts.append(found_cuts[found_cuts < np.finfo(float).max])  # above the last number nothing is parted
     return cuts
 
 
@@ -119,16 +123,6 @@ def cell_blocks(rows: DataFrame, cuts: list[np.ndarray], block: int) -> tuple[Da
     words = [range(i, min(i + a_word, len(cuts))) for i in range(0, len(cuts), a_word)]
     keys = [f"k{i}" for i in range(len(words))]
 
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = {"label": batch.column("label").to_numpy().astype(np.int32)}
-            for key, word in zip(keys, words):
-                out[key] = np.zeros(batch.num_rows, np.int64)
-                for i in word:
-                    out[key] <<= bits
-                    out[key] |= np.searchsorted(cuts[i], batch.column(f"x{i}").to_numpy(), side="left")
-            yield pa.record_batch(out)
-
     def pack(cells: pa.Table) -> pa.Table:
         col = {c: cells.column(c).to_numpy() for c in ("label", "n", *keys)}
         order = np.lexsort([*(col[k] for k in keys), col["label"], col["n"]])  # by count first
@@ -141,9 +135,19 @@ def cell_blocks(rows: DataFrame, cuts: list[np.ndarray], block: int) -> tuple[Da
             "bins": pa.array([bins.tobytes()], pa.binary()), "labels": pa.array([col["label"][order].astype(np.uint8).tobytes()], pa.binary()),
             "counts": pa.array([col["n"][order].astype(np.int64).tobytes()], pa.binary())})
 
-    names = [f"x{i}" for i in range(len(cuts))]
-    cells = rows.select("label", *names).mapInArrow(binned, "label int, " + ", ".join(f"{k} bigint" for k in keys))
-    cells = materialise(cells.groupBy("label", *keys).agg(F.count(F.lit(1)).alias("n")), "forest-cells")
+    parted = [i for i, c in enumerate(cuts) if len(c)]
+    binned = rows
+    if parted:  # Spark's buckets have their lower edge, bins their upper one
+        edges = [[-np.inf, *np.nextafter(cuts[i], np.inf).tolist(), np.inf] for i in parted]
+        names = {"inputCols": [f"x{i}" for i in parted], "outputCols": [f"b{i}" for i in parted]}
+        binned = Bucketizer(splitsArray=edges, **names).transform(rows)
+    for key, word in zip(keys, words):
+        packed = F.lit(0).cast("bigint")
+        for i in word:
+            packed = F.shiftleft(packed, bits) + (F.col(f"b{i}").cast("bigint") if i in parted else F.lit(0))
+        binned = binned.withColumn(key, packed)
+    cells = binned.groupBy(F.col("label").cast("int").alias("label"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    cells = materialise(cells, "forest-cells")
     n = -(-cells.count() // block)
     dealt = cells.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
     blocks = materialise(dealt.groupBy("block").applyInArrow(pack, "block int, size int, bins binary, labels binary, counts binary"),
@@ -366,3 +370,74 @@ def as_model(spark: SparkSession, forest: RandomForestClassifier, grown: list[di
     spark.createDataFrame(each, "_1 int, _2 string, _3 double").write.parquet(f"{path}/treesMetadata")
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/metadata")
     return RandomForestClassificationModel.load(path)
+
+
+def class_probabilities(model: PipelineModel, rows: DataFrame) -> Column | None:
+    """The array of class probabilities of a forest on plain columns, as its transform() gives; None for any other model.
+
+    A batch of rows goes through one tree after the other, so the tree at hand stays in the CPU's cache.
+    """
+    stages = getattr(model, "stages", [])
+    if [type(s) for s in stages] != [VectorAssembler, RandomForestClassificationModel]:
+        return None
+    assembler, forest = stages
+    inputs = assembler.getInputCols()
+    plain = all(c in rows.columns and isinstance(rows.schema[c].dataType, NumericType) for c in inputs)
+    if not plain or assembler.getHandleInvalid() != "error" or forest.isSet("thresholds") or (trees := tree_arrays(forest)) is None:
+        return None
+    shared = rows.sparkSession.sparkContext.broadcast(trees)
+    n_classes = forest.numClasses
+
+    @F.arrow_udf("array<double>")
+    def vote(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)  # one column comes as it is
+            if bad := [c for c, x in zip(inputs, columns) if x.null_count or np.isnan(x.to_numpy()).any()]:
+                raise ValueError("null or NaN in " + ", ".join(bad))
+            n = len(columns[0])
+            values, every = np.concatenate([x.to_numpy() for x in columns]), np.arange(n)
+            votes = np.zeros((n_classes, n))
+            for tree in shared.value:
+                node = np.zeros(n, np.intp)
+                for _ in range(tree["depth"]):
+                    at = tree["feature"].take(node)
+                    at *= n
+                    at += every
+                    right = values.take(at) > tree["threshold"].take(node)
+                    node *= 2
+                    node += right
+                    node = tree["children"].take(node)
+                for c in range(n_classes):
+                    votes[c] += tree["shares"][c].take(node)
+            votes /= np.maximum(votes.sum(axis=0), np.finfo(float).tiny)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * n_classes), pa.array(votes.T.ravel()))
+
+    return vote(*(F.col(c).cast("double") for c in inputs))
+
+
+def tree_arrays(forest: RandomForestClassificationModel) -> list[dict] | None:
+    """Every tree's nodes as arrays, from the files in which Spark keeps a forest; None if it splits by category."""
+    spark = SparkSession.active()
+    path = work_dir(spark, "forest")
+    forest.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select(
+        "treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.impurityStats",
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), "nodeData.split.numCategories").toArrow()
+    col = {c: nodes.column(c).to_numpy() for c in ("treeID", "id", "leftChild", "rightChild", "featureIndex", "threshold", "numCategories")}
+    if (col["numCategories"] >= 0).any():
+        return None
+    stats = np.array(nodes.column("impurityStats").combine_chunks().flatten()).reshape(len(nodes), -1)
+    shares = stats / np.maximum(stats.sum(axis=1, keepdims=True), np.finfo(float).tiny)
+    trees = []
+    for t in range(forest.getNumTrees):
+        own = np.flatnonzero(col["treeID"] == t)
+        own = own[np.argsort(col["id"][own])]
+        leaf, ids = col["featureIndex"][own] < 0, np.arange(len(own))
+        children = np.stack([np.where(leaf, ids, col["leftChild"][own]), np.where(leaf, ids, col["rightChild"][own])], axis=1)
+        depth, front = 0, ids[:1]
+        while not leaf[front].all():
+            depth, front = depth + 1, np.unique(children[front[~leaf[front]]])
+        trees.append({"feature": np.where(leaf, 0, col["featureIndex"][own]).astype(np.intp), "depth": depth,
+                      "threshold": np.where(leaf, np.inf, col["threshold"][own]), "children": children.ravel().astype(np.intp),
+                      "shares": np.ascontiguousarray(shares[own].T)})
+    return trees

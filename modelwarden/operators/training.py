@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwarden.operators.evaluation import class_metrics, roc_auc
-from modelwarden.operators.forest import CellForest
+from modelwarden.operators.forest import CellForest, class_probabilities
 from modelwarden.session import materialise
 
 #: Tasks per core of a training pass: enough to even out slower ones, few enough as each sums a table of all nodes.
@@ -103,6 +103,10 @@ def train_forest(
 
 def score(model: PipelineModel, rows: DataFrame, version: str) -> DataFrame:
     """Adds pred, class probabilities, positive-class score and the model version. Batch or streaming."""
+    if (votes := class_probabilities(model, rows)) is not None:
+        out = rows.withColumn("probabilities", votes)
+        best = F.array_position("probabilities", F.array_max("probabilities")) - 1
+        return out.withColumns({"pred": best.cast("int"), "score": F.col("probabilities")[1], "model_version": F.lit(version)})
     out = model.transform(rows).withColumn("probabilities", vector_to_array("probability"))
     return (
         out.withColumn("pred", F.col("prediction").cast("int")).withColumn("score", F.col("probabilities")[1])

@@ -120,3 +120,17 @@ def test_thresholds(spark):
             forest.cut_points(rows.withColumn("x1", F.when(F.col("x1") > 5, F.col("x1")).otherwise(bad)), ["x0", "x1"], 32)
     with pytest.raises(ValueError, match="labels"):
         forest.cut_points(rows.withColumn("label", F.lit(0.5)), ["x0"], 32)
+
+
+def test_scores_are_those_of_the_model(spark):
+    """Batches through tree after tree give what transform() gives for each row, for batches and for other models alike."""
+    rows = noisy(spark, 5000)
+    model = training.train_forest(rows, ["few", "many"], trees=7, depth=6)
+    assert forest.class_probabilities(model, rows) is not None and forest.class_probabilities(model.stages[-1], rows) is None
+    ours = training.score(model, rows, "v")
+    plain = model.transform(rows).select("id", F.col("prediction").cast("int").alias("p"), F.col("probability").alias("q"))
+    assert ours.columns == [*rows.columns, "probabilities", "pred", "score", "model_version"]
+    for r in ours.join(plain, "id").collect():
+        assert r.pred == r.p and r.probabilities == pytest.approx(r.q.toArray().tolist(), abs=1e-12) and r.score == r.probabilities[1]
+    with pytest.raises(Exception, match="null or NaN in many"):
+        training.score(model, rows.withColumn("many", F.when(F.col("id") != 7, F.col("many"))), "v").select("score").collect()
